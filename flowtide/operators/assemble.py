@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,28 +73,27 @@ def segment(packets: DataFrame, t: Timeouts, order: Sequence[str] = ORDER) -> Da
     before = by_key.rowsBetween(W.unboundedPreceding, -1)
     pay = (F.col("payload_len") > 0).cast("int")
 
-    rows = packets.withColumn(
-        "rst_before", F.coalesce(F.lag(has_flag(S.RST).cast("int")).over(by_key), F.lit(0))
-    ).withColumn("next_ts", F.lead("ts_us").over(by_key))
-    rows = rows.withColumn("rst_seg", F.sum("rst_before").over(upto)).withColumn(
-        "pay_cum", F.sum(pay).over(upto)
+    # RST packets before this one number the parts that RST alone cuts
+    rows = packets.select(
+        "*",
+        F.lead("ts_us").over(by_key).alias("next_ts"),
+        F.coalesce(F.sum(has_flag(S.RST).cast("int")).over(before), F.lit(0)).alias("rst_seg"),
+        F.sum(pay).over(upto).alias("pay_cum"),
+        F.last(F.when(pay == 1, F.col("ts_us")), ignorenulls=True).over(before).alias("pay_prev_ts"),
     )
-    # the latest time of the rows before, valid only inside the same RST segment
-    seen = F.max(F.struct("rst_seg", "ts_us")).over(before)
-    rows = rows.withColumn("_seen", seen).withColumn(
-        "prev_max", F.when(F.col("_seen.rst_seg") == F.col("rst_seg"), F.col("_seen.ts_us"))
+    # the latest time of the rows before, valid only inside the same RST part
+    rows = rows.select("*", F.max(F.struct("rst_seg", "ts_us")).over(before).alias("_seen"))
+    prev_max = F.when(F.col("_seen.rst_seg") == F.col("rst_seg"), F.col("_seen.ts_us"))
+    hard = prev_max.isNull() | (F.col("ts_us") - prev_max >= idle_limit(t))
+    rows = rows.select(
+        "*",
+        F.sum(hard.cast("int")).over(upto).alias("seg_no"),
+        F.max(F.when(hard, F.col("pay_cum") - pay)).over(upto).alias("_pay_base"),
+        (~hard & (F.col("ts_us") < prev_max)).cast("int").alias("jump"),
     )
-    hard = F.col("prev_max").isNull() | (F.col("ts_us") - F.col("prev_max") >= idle_limit(t))
-    rows = rows.withColumn("hard", hard.cast("int"))
-    rows = rows.withColumn("seg_no", F.sum("hard").over(upto)).withColumn(
-        "_pay_base", F.max(F.when(F.col("hard") == 1, F.col("pay_cum") - pay)).over(upto)
+    return rows.withColumn("pay_rank", F.col("pay_cum") - F.col("_pay_base")).drop(
+        "_seen", "_pay_base", "pay_cum", "rst_seg"
     )
-    rows = rows.withColumn("pay_rank", F.col("pay_cum") - F.col("_pay_base")).withColumn(
-        "pay_prev_ts", F.last(F.when(pay == 1, F.col("ts_us")), ignorenulls=True).over(before)
-    )
-    return rows.withColumn(
-        "jump", ((F.col("hard") == 0) & (F.col("ts_us") < F.col("prev_max"))).cast("int")
-    ).drop("_seen", "_pay_base", "pay_cum", "rst_before", "rst_seg", "hard", "prev_max")
 
 
 def _order_struct(order: Sequence[str]) -> Column:
@@ -187,16 +186,16 @@ def _may_split(t: Timeouts) -> Column:
 
 
 def split_points(
-    ts: np.ndarray, side: np.ndarray, flags: np.ndarray, proto: np.ndarray, t: Timeouts
+    ts_us: np.ndarray, side: np.ndarray, flags: np.ndarray, proto: np.ndarray, t: Timeouts
 ) -> np.ndarray:
     """Number of the flow every packet of one ordered segment belongs to."""
-    out = np.zeros(len(ts), dtype=np.int64)
+    out = np.zeros(len(ts_us), dtype=np.int64)
     no = 0
-    start = last = int(ts[0])
+    start = last = int(ts_us[0])
     fin = 0
     close_at: int | None = None
-    for i in range(len(ts)):
-        now = int(ts[i])
+    for i in range(len(ts_us)):
+        now = int(ts_us[i])
         if i and (
             (close_at is not None and now >= close_at)
             or now - last >= (t.udp if proto[i] == S.UDP else t.idle_us)
@@ -219,30 +218,28 @@ def _folded(rows: DataFrame, t: Timeouts, order: Sequence[str]) -> DataFrame:
     """
     seg = W.partitionBy("flow_key", "seg_no")
     fin = has_flag(S.FIN)
+    side_fin = [F.min(F.when(fin & (F.col("side") == s), F.col("ts_us"))).over(seg) for s in (0, 1)]
     rows = (
-        rows.withColumn("end_us", F.max("ts_us").over(seg))
-        .withColumn("min_us", F.min("ts_us").over(seg))
-        .withColumn("_f0", F.min(F.when(fin & (F.col("side") == 0), F.col("ts_us"))).over(seg))
-        .withColumn("_f1", F.min(F.when(fin & (F.col("side") == 1), F.col("ts_us"))).over(seg))
+        rows.drop("pay_rank", "pay_prev_ts", "jump")
+        .select(
+            "*",
+            F.max("ts_us").over(seg).alias("end_us"),
+            F.min("ts_us").over(seg).alias("min_us"),
+            side_fin[0].alias("_f0"),
+            side_fin[1].alias("_f1"),
+        )
         .where(_may_split(t))
-        .drop("end_us", "min_us", "_f0", "_f1", "pay_rank", "pay_prev_ts", "jump")
+        .drop("end_us", "min_us", "_f0", "_f1")
     )
     schema = T.StructType([*rows.schema.fields, T.StructField("sub_no", T.LongType())])
-    by = list(order)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="mergesort")
-        return pdf.assign(
-            sub_no=split_points(
-                pdf["ts_us"].to_numpy(),
-                pdf["side"].to_numpy(),
-                pdf["flags"].to_numpy(),
-                pdf["proto"].to_numpy(),
-                t,
-            )
-        )
+    by = [(c, "ascending") for c in order]
+
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.sort_by(by)
+        col = {c: part.column(c).to_numpy() for c in ("ts_us", "side", "flags", "proto")}
+        return part.append_column("sub_no", pa.array(split_points(**col, t=t)))
 
-    return rows.groupBy("flow_key", "seg_no").applyInPandas(fold, schema)
+    return rows.groupBy("flow_key", "seg_no").applyInArrow(fold, schema)
 
 
 def payload_ranks(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -251,15 +248,11 @@ def payload_ranks(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -
     upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
     before = w.rowsBetween(W.unboundedPreceding, -1)
     pay = (F.col("payload_len") > 0).cast("int")
-    return (
-        rows.withColumn("pay_rank", F.sum(pay).over(upto))
-        .withColumn(
-            "pay_prev_ts", F.last(F.when(pay == 1, F.col("ts_us")), ignorenulls=True).over(before)
-        )
-        .withColumn(
-            "jump",
-            F.coalesce((F.col("ts_us") < F.max("ts_us").over(before)).cast("int"), F.lit(0)),
-        )
+    return rows.select(
+        "*",
+        F.sum(pay).over(upto).alias("pay_rank"),
+        F.last(F.when(pay == 1, F.col("ts_us")), ignorenulls=True).over(before).alias("pay_prev_ts"),
+        F.coalesce((F.col("ts_us") < F.max("ts_us").over(before)).cast("int"), F.lit(0)).alias("jump"),
     )
 
 
@@ -305,7 +298,7 @@ def assemble(
     """All flows of ``packets`` with counters, flags, end reason and the first 30 payload packets."""
     from flowtide.operators import hot
 
-    packets = with_side(packets)
+    packets = with_side(packets).drop("src")
     capture_end = packets.agg(F.max("ts_us").alias("capture_end_us"))
     keys = hot.hot_keys(packets, hot_rows)
     if keys is None:
