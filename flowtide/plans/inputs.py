@@ -22,3 +22,43 @@ def ev_long_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
+
+
+EM_DIM = 16
+EM_MIN_FLOWS = 10
+
+
+def em_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score rows of the embedding table without the fitted unknown score."""
+    from flowtide.operators import scores as C
+
+    flows = B.em_flows(spark, sf_dir)
+    scorer = C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
+    s = C.class_scores(C.score_logits(flows, scorer), B.EM_CLASSES)
+    nll = F.transform(F.col("conf"), lambda p: F.lit(1.0) - p)
+    return s.withColumn("p_safe", F.col("conf")).withColumn(
+        "surprise", C.running_surprise(nll, F.col("ppi_len"))
+    )
+
+
+def em_bank(spark: SparkSession, sf_dir: str, diagonal: bool = True):
+    from flowtide.operators import scores as C
+
+    train = C.known_only(B.em_flows(spark, sf_dir).where("split = 'train'"))
+    sums = C.gaussian_sums(train, EM_DIM, C.em_projection)
+    return C.fit_bank(sums, B.EM_CLASSES, EM_DIM, EM_MIN_FLOWS, diagonal=diagonal)
+
+
+def em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score rows with the diagonal unknown score ``u``, fitted on known validation flows."""
+    from flowtide.operators import scores as C
+
+    flows = B.em_flows(spark, sf_dir)
+    scorer = C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
+    with_m = C.add_mahal(flows, em_bank(spark, sf_dir))
+    s = C.class_scores(C.score_logits(with_m, scorer), B.EM_CLASSES)
+    nll = F.transform(F.col("conf"), lambda p: F.lit(1.0) - p)
+    s = s.withColumn("p_safe", F.col("conf")).withColumn(
+        "surprise", C.running_surprise(nll, F.col("ppi_len"))
+    )
+    return C.combined_score(s, C.signal_moments(s.where("split = 'val'")))

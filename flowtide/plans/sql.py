@@ -147,3 +147,83 @@ def prefix_stats_sql(k: str = "30", source: str = "pp", keys: str = "flow_id") -
     return f"""SELECT {keys}, {body}
 FROM (SELECT *, CASE WHEN dir <> lag(dir) OVER (PARTITION BY {keys} ORDER BY j) THEN 1 ELSE 0 END AS turn
       FROM {source} WHERE j <= {k}) GROUP BY {keys}"""
+
+
+# --- embeddings as prefix scores ----------------------------------------------------------------
+
+EM_LOGITS = """WITH RECURSIVE em AS (
+  SELECT vec_id AS flow_id, CAST(label AS INTEGER) AS class_id,
+    CASE WHEN label IN (8, 9) THEN -1 ELSE CAST(label AS INTEGER) END AS label,
+    CASE WHEN vec_id % 5 <= 2 THEN 'train' WHEN vec_id % 5 = 3 THEN 'val' ELSE 'test' END AS split,
+    CAST(3 + (vec_id * 7) % 28 AS INTEGER) AS ppi_len, CAST(vec_id // 100 AS INTEGER) AS period, embedding
+  FROM embeddings),
+dv AS MATERIALIZED (SELECT flow_id, unnest(range(1, len(embedding) + 1)) AS d, CAST(unnest(embedding) AS DOUBLE) AS v FROM em),
+mu AS MATERIALIZED (SELECT label AS c, d, round(avg(v), 9) AS m FROM dv JOIN em USING (flow_id)
+  WHERE split = 'train' AND label >= 0 AND d <= 60 GROUP BY label, d),
+cum AS (SELECT flow_id, c, d, sum((v - m) * (v - m)) OVER (PARTITION BY flow_id, c ORDER BY d) AS s FROM dv JOIN mu USING (d)),
+lg AS MATERIALIZED (SELECT flow_id, CAST(d // 2 AS INTEGER) AS k, c, round(-80.0::DOUBLE * s, 9) AS z FROM cum WHERE d % 2 = 0),
+ef AS MATERIALIZED (SELECT em.flow_id, em.label, em.split, em.ppi_len, em.period, CAST(g.k AS INTEGER) AS k, lg.c, lg.z
+  FROM em CROSS JOIN (SELECT unnest(range(1, 31)) AS k) g JOIN lg ON lg.flow_id = em.flow_id AND lg.k = least(g.k, em.ppi_len))"""
+
+
+def class_scores_sql(adj: str = "0.0::DOUBLE", temp: str = "1.0::DOUBLE", name: str = "cs", digits: int = 9) -> str:
+    """CTE ``name`` from ``ef``; ``adj`` may use column c, ``temp`` column k."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT flow_id, any_value(label) AS label, any_value(split) AS split, any_value(ppi_len) AS ppi_len, any_value(period) AS period, k,
+    CAST(min(c) FILTER (a = m) AS INTEGER) AS pred, CAST(min(c) FILTER (z = mr) AS INTEGER) AS pred_raw,
+    round(1.0::DOUBLE / sum(exp((a - m) / t)), {digits}) AS conf,
+    round((1.0::DOUBLE - exp((list_sort(list(a), 'DESC')[2] - any_value(m)) / any_value(t))) / sum(exp((a - m) / t)), {digits}) AS margin,
+    round(-any_value(t) * (any_value(m) / any_value(t) + ln(sum(exp((a - m) / t)))), {digits}) AS energy,
+    round(-(any_value(mr) + ln(sum(exp(z - mr)))), {digits}) AS energy_raw
+  FROM (SELECT *, max(a) OVER (PARTITION BY flow_id, k) AS m, max(z) OVER (PARTITION BY flow_id, k) AS mr
+        FROM (SELECT *, z + {adj} AS a, {temp} AS t FROM ef))
+  GROUP BY flow_id, k)"""
+
+
+EM_SCORED = (
+    EM_LOGITS
+    + ",\n"
+    + class_scores_sql()
+    + """,
+sc AS MATERIALIZED (SELECT cs.*, conf AS p_safe, coalesce(round((SELECT avg(1.0::DOUBLE - b.conf) FROM cs b
+    WHERE b.flow_id = cs.flow_id AND b.k >= 2 AND b.k <= least(cs.k, cs.ppi_len)), 9), 0.0::DOUBLE) AS surprise FROM cs)"""
+)
+
+#: diagonal relative distance on the first 16 features, shrunk by 0.1, classes with >= 10 flows
+EM_MAHAL = """,
+tr AS MATERIALIZED (SELECT em.flow_id, em.label AS c, em.ppi_len, d, v FROM em JOIN dv USING (flow_id)
+  WHERE split = 'train' AND label >= 0 AND d <= 16),
+ks AS (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k),
+vc AS MATERIALIZED (SELECT k, label AS c, count(*) AS n FROM em, ks WHERE split = 'train' AND label >= 0 AND ppi_len >= k
+  GROUP BY k, label HAVING count(*) >= 10),
+cm AS MATERIALIZED (SELECT k, c, d, avg(v) AS m FROM tr JOIN vc USING (c) WHERE ppi_len >= k AND d <= 2 * k GROUP BY k, c, d),
+pv0 AS (SELECT k, d, sum((v - m) * (v - m)) / (count(*) - count(DISTINCT c)) AS v FROM tr JOIN cm USING (c, d)
+  WHERE ppi_len >= k GROUP BY k, d),
+pv AS MATERIALIZED (SELECT k, d, 0.9::DOUBLE * v + 0.1::DOUBLE * avg(v) OVER (PARTITION BY k) AS v FROM pv0),
+bg0 AS (SELECT k, d, avg(v) AS m, var_pop(v) AS v FROM tr, ks WHERE ppi_len >= k AND d <= 2 * k GROUP BY k, d),
+bg AS MATERIALIZED (SELECT k, d, m, 0.9::DOUBLE * v + 0.1::DOUBLE * avg(v) OVER (PARTITION BY k) AS v FROM bg0),
+dc AS (SELECT dv.flow_id, cm.k, cm.c, sum((dv.v - cm.m) * (dv.v - cm.m) / pv.v) AS q FROM dv JOIN cm USING (d)
+  JOIN pv ON pv.k = cm.k AND pv.d = cm.d GROUP BY dv.flow_id, cm.k, cm.c),
+db AS (SELECT dv.flow_id, bg.k, sum((dv.v - bg.m) * (dv.v - bg.m) / bg.v) AS q FROM dv JOIN bg USING (d) GROUP BY dv.flow_id, bg.k),
+mh AS MATERIALIZED (SELECT em.flow_id, ks.k, coalesce(round(min(dc.q) - any_value(db.q), 9), 0.0::DOUBLE) AS mahal
+  FROM em CROSS JOIN ks LEFT JOIN dc ON dc.flow_id = em.flow_id AND dc.k = least(ks.k, em.ppi_len)
+  LEFT JOIN db ON db.flow_id = em.flow_id AND db.k = least(ks.k, em.ppi_len) GROUP BY em.flow_id, ks.k)"""
+
+EM_SCORES = (
+    EM_SCORED
+    + EM_MAHAL
+    + """,
+s0 AS MATERIALIZED (SELECT sc.*, mh.mahal FROM sc JOIN mh USING (flow_id, k)),
+zp AS MATERIALIZED (SELECT k, avg(energy) AS em, CASE WHEN count(*) >= 2 AND stddev_pop(energy) > 1e-8 THEN stddev_pop(energy) END AS es,
+  avg(mahal) AS mm, CASE WHEN count(*) >= 2 AND stddev_pop(mahal) > 1e-8 THEN stddev_pop(mahal) END AS ms,
+  avg(surprise) AS sm, CASE WHEN count(*) >= 2 AND stddev_pop(surprise) > 1e-8 THEN stddev_pop(surprise) END AS ss
+  FROM s0 WHERE split = 'val' AND label >= 0 AND k <= ppi_len GROUP BY k),
+su AS MATERIALIZED (SELECT s0.*, round(coalesce((energy - em) / es, 0) + coalesce((mahal - mm) / ms, 0)
+   + 0.5::DOUBLE * coalesce((surprise - sm) / ss, 0), 9) AS u, round(coalesce((energy - em) / es, 0), 9) AS z_energy
+  FROM s0 LEFT JOIN zp USING (k))"""
+)
+
+
+def theta_sql(f: float = 0.02, name: str = "th") -> str:
+    return f"""{name} AS MATERIALIZED (SELECT k, round(quantile_cont(u, {1.0 - f}::DOUBLE), 9) AS theta FROM su
+  WHERE split = 'val' AND label >= 0 AND k <= ppi_len GROUP BY k HAVING count(*) >= 2)"""
