@@ -31,35 +31,35 @@ def running_totals(
     the group's grand total (``name_total``). ``order`` must be unique inside a group."""
     groups = list(groups)
     keyed = df.select(
-        "*", *[(F.col(e) if isinstance(e, str) else e).alias(f"_v_{n}") for n, e in sums.items()]
+        "*", *[(F.col(e) if isinstance(e, str) else e).alias(f"__v_{n}") for n, e in sums.items()]
     )
     spread = keyed.repartitionByRange(*[F.col(g) for g in groups], *_range_order(order))
-    spread = cut(spread.withColumn("_part", F.spark_partition_id()))
+    spread = cut(spread.withColumn("__part", F.spark_partition_id()))
 
-    per_part = spread.groupBy(*groups, "_part").agg(
-        *[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in sums]
+    per_part = spread.groupBy(*groups, "__part").agg(
+        *[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in sums]
     )
-    before = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*groups)
     offsets = per_part.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups],
-        F.col("_part").alias("_p"),
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_s_{n}").over(whole).alias(f"{n}_total") for n in sums],
+        *[F.col(g).alias(f"__g_{g}") for g in groups],
+        F.col("__part").alias("__at"),
+        *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in sums],
+        *[F.sum(f"__s_{n}").over(whole).alias(f"{n}_total") for n in sums],
     )
-    match = F.col("_part") == F.col("_p")
+    match = F.col("__part") == F.col("__at")
     for g in groups:
-        match = match & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        match = match & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
     inside = (
-        W.partitionBy("_part", *groups)
+        W.partitionBy("__part", *groups)
         .orderBy(*_range_order(order))
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
     out = spread.join(offsets, match)
     for n in sums:
-        out = out.withColumn(n, F.sum(f"_v_{n}").over(inside) + F.col(f"_o_{n}"))
-    helper = [c for c in out.columns if c.startswith("_v_") or c.startswith("_o_")]
-    return out.drop("_part", "_p", *helper, *[f"_g_{g}" for g in groups])
+        out = out.withColumn(n, F.sum(f"__v_{n}").over(inside) + F.col(f"__o_{n}"))
+    helper = [c for c in out.columns if c.startswith("__v_") or c.startswith("__o_")]
+    return out.drop("__part", "__at", *helper, *[f"__g_{g}" for g in groups])
 
 
 def global_row_number(

@@ -28,17 +28,18 @@ EM_DIM = 16
 EM_MIN_FLOWS = 10
 
 
+def em_scorer(flows: DataFrame):
+    from flowtide.operators import scores as C
+
+    return C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
+
+
 def em_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score rows of the embedding table without the fitted unknown score."""
     from flowtide.operators import scores as C
 
     flows = B.em_flows(spark, sf_dir)
-    scorer = C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
-    s = C.class_scores(C.score_logits(flows, scorer), B.EM_CLASSES)
-    nll = F.transform(F.col("conf"), lambda p: F.lit(1.0) - p)
-    return s.withColumn("p_safe", F.col("conf")).withColumn(
-        "surprise", C.running_surprise(nll, F.col("ppi_len"))
-    )
+    return C.score_flows(flows, C.ScoreModel(em_scorer(flows)))
 
 
 def em_bank(spark: SparkSession, sf_dir: str, diagonal: bool = True):
@@ -49,16 +50,20 @@ def em_bank(spark: SparkSession, sf_dir: str, diagonal: bool = True):
     return C.fit_bank(sums, B.EM_CLASSES, EM_DIM, EM_MIN_FLOWS, diagonal=diagonal)
 
 
-def em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score rows with the diagonal unknown score ``u``, fitted on known validation flows."""
+def em_model(spark: SparkSession, sf_dir: str):
+    """Scorer, diagonal bank and signal moments, each fitted on its own split."""
+    from dataclasses import replace
+
     from flowtide.operators import scores as C
 
     flows = B.em_flows(spark, sf_dir)
-    scorer = C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
-    with_m = C.add_mahal(flows, em_bank(spark, sf_dir))
-    s = C.class_scores(C.score_logits(with_m, scorer), B.EM_CLASSES)
-    nll = F.transform(F.col("conf"), lambda p: F.lit(1.0) - p)
-    s = s.withColumn("p_safe", F.col("conf")).withColumn(
-        "surprise", C.running_surprise(nll, F.col("ppi_len"))
-    )
-    return C.combined_score(s, C.signal_moments(s.where("split = 'val'")))
+    model = C.ScoreModel(em_scorer(flows), bank=em_bank(spark, sf_dir))
+    val = C.score_flows(C.known_only(flows.where("split = 'val'")), model)
+    return replace(model, moments=C.moments_array(C.signal_moments(val)))
+
+
+def em_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score rows with the unknown score ``u``, fitted on known validation flows."""
+    from flowtide.operators import scores as C
+
+    return C.score_flows(B.em_flows(spark, sf_dir), em_model(spark, sf_dir))

@@ -84,7 +84,12 @@ def score_fill_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("running_surprise", Q.EM_SCORED + " SELECT flow_id, k, round(surprise, 6) AS surprise FROM sc")
 def running_surprise(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.long_scores(em_scored(spark, sf), ["surprise"], ["flow_id"])
+    """From a column of per-packet NLLs (here 1 - conf), in plain expressions."""
+    s = em_scored(spark, sf).select(
+        "flow_id", "ppi_len", F.transform("conf", lambda p: F.lit(1.0) - p).alias("nll")
+    )
+    s = s.select("flow_id", C.running_surprise(F.col("nll"), F.col("ppi_len")).alias("surprise"))
+    rows = C.long_scores(s, ["surprise"], ["flow_id"])
     return rows.withColumn("surprise", F.round("surprise", 6))
 
 
@@ -207,10 +212,9 @@ def signal_moments(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("k", *[F.round(c, 6).alias(c) for c in m.columns if c != "k"])
 
 
-@query("combined_unknown_score", Q.EM_SCORES + " SELECT flow_id, k, round(u, 6) AS u, round(z_energy, 6) AS z_energy FROM su")
+@query("combined_unknown_score", Q.EM_SCORES + " SELECT flow_id, k, u, z_energy FROM su")
 def combined_unknown_score(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.long_scores(em_scores(spark, sf), ["u", "z_energy"], ["flow_id"])
-    return rows.select("flow_id", "k", F.round("u", 6).alias("u"), F.round("z_energy", 6).alias("z_energy"))
+    return C.long_scores(em_scores(spark, sf), ["u", "z_energy"], ["flow_id"])
 
 
 @query(

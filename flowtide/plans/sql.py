@@ -219,7 +219,7 @@ zp AS MATERIALIZED (SELECT k, avg(energy) AS em, CASE WHEN count(*) >= 2 AND std
   avg(surprise) AS sm, CASE WHEN count(*) >= 2 AND stddev_pop(surprise) > 1e-8 THEN stddev_pop(surprise) END AS ss
   FROM s0 WHERE split = 'val' AND label >= 0 AND k <= ppi_len GROUP BY k),
 su AS MATERIALIZED (SELECT s0.*, round(coalesce((energy - em) / es, 0) + coalesce((mahal - mm) / ms, 0)
-   + 0.5::DOUBLE * coalesce((surprise - sm) / ss, 0), 9) AS u, round(coalesce((energy - em) / es, 0), 9) AS z_energy
+   + 0.5::DOUBLE * coalesce((surprise - sm) / ss, 0), 6) AS u, round(coalesce((energy - em) / es, 0), 6) AS z_energy
   FROM s0 LEFT JOIN zp USING (k))"""
 )
 
