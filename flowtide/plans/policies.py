@@ -250,3 +250,219 @@ SUMMARY = """SELECT CAST(count(*) AS BIGINT) AS n, round(avg(k), 6) AS mean_k, r
 def policy_summary(spark: SparkSession, sf: str) -> DataFrame:
     out = H.summarize(safe_decisions(spark, sf))
     return out.select(*[c if c == "n" else F.round(c, 6).alias(c) for c in out.columns])
+
+
+# --- matched thresholds, fronts, open set ----------------------------------------------------------
+
+
+def theta_fit_sql(target: float, where: str, src: str = "sc", name: str = "tf") -> str:
+    """Bisection in the logit for the threshold with the target mean K, as a recursive CTE."""
+    lo, hi = H.logit(0.5), H.logit(0.999)
+
+    def mean(theta: str) -> str:
+        return f"((SELECT base FROM {name}n) + coalesce((SELECT sum(w) FROM {name}b WHERE x < {theta}), 0)) / (SELECT n FROM {name}n)"
+
+    theta = "1.0::DOUBLE / (1.0::DOUBLE + exp(-0.5::DOUBLE * (lo + hi)))"
+    return f"""{name}r AS MATERIALIZED (SELECT s.flow_id, s.k, s.p_safe AS p, least(e.ppi_len, 30) AS last,
+   max(s.p_safe) OVER (PARTITION BY s.flow_id ORDER BY s.k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM {src} s JOIN (SELECT flow_id, ppi_len FROM em WHERE {where}) e ON e.flow_id = s.flow_id WHERE s.k >= 2 AND s.k <= least(e.ppi_len, 30)),
+{name}s AS MATERIALIZED (SELECT flow_id, k, p, last, lead(k) OVER (PARTITION BY flow_id ORDER BY k) AS nk FROM {name}r WHERE before IS NULL OR p > before),
+{name}b AS MATERIALIZED (SELECT p AS x, CAST(sum(coalesce(nk, last) - k) AS DOUBLE) AS w FROM {name}s GROUP BY p),
+{name}n AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(k0) AS DOUBLE) AS base FROM (SELECT flow_id, min(k) AS k0 FROM {name}s GROUP BY flow_id)),
+{name}i AS (SELECT 0 AS i, {lo!r}::DOUBLE AS lo, {hi!r}::DOUBLE AS hi, FALSE AS done, CAST(NULL AS DOUBLE) AS theta, CAST(NULL AS DOUBLE) AS mk
+  UNION ALL
+  SELECT i + 1, CASE WHEN NOT done AND abs(m - {target}) > 0.01 AND m < {target} THEN mid ELSE lo END,
+   CASE WHEN NOT done AND abs(m - {target}) > 0.01 AND m >= {target} THEN mid ELSE hi END,
+   done OR abs(m - {target}) <= 0.01, CASE WHEN done THEN theta ELSE t END, CASE WHEN done THEN mk ELSE m END
+  FROM (SELECT *, {mean('t')} AS m FROM (SELECT *, 0.5::DOUBLE * (lo + hi) AS mid, {theta} AS t FROM {name}i WHERE i < 40))),
+{name} AS MATERIALIZED (SELECT coalesce(max(theta) FILTER (done), max(1.0::DOUBLE / (1.0::DOUBLE + exp(-0.5::DOUBLE * (lo + hi)))) FILTER (NOT done)) AS theta, max(mk) AS mk
+  FROM {name}i WHERE i = 40)"""
+
+
+VAL_KNOWN = "split = 'val' AND label >= 0"
+
+
+@query(
+    "calibrate_threshold",
+    Q.EM_SCORED + f", {theta_fit_sql(6.0, VAL_KNOWN)} SELECT round(theta, 6) AS theta, 1.0::DOUBLE AS reachable, round(mk, 6) AS mean_k FROM tf",
+)
+def calibrate_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    fit = H.calibrate_theta(C.known_only(em_scored(spark, sf).where("split = 'val'")), 6.0)
+    row = (round(fit["theta"], 6), fit["reachable"], round(fit["mean_k"], 6))
+    return spark.createDataFrame([row], "theta double, reachable double, mean_k double")
+
+
+@query("operating_points")
+def operating_points(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    s = em_scored(spark, sf)
+    d = V.operating_points(s.where("split = 'val'"), s.where("split = 'test'"), B.EM_CLASSES, 6.0, n=12, n_bins=5, min_count=3)
+    return d.groupBy("policy", "knob", "val_mean_k").agg(F.count("*").alias("n"), F.avg("k").alias("mean_k"))
+
+
+@query("policy_fronts")
+def policy_fronts(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    s = em_scored(spark, sf)
+    return V.policy_fronts(s.where("split = 'val'"), s.where("split = 'test'"), B.EM_CLASSES, n=40, n_bins=5, min_count=3)
+
+
+POINTS = """tg AS (SELECT CAST(unnest(range(1, 20)) AS DOUBLE) * 0.05::DOUBLE AS theta),
+dq AS (SELECT tg.theta, f.flow_id, f.label, coalesce(min(s.k) FILTER (s.conf >= tg.theta), f.ppi_len) AS k
+  FROM tg CROSS JOIN (SELECT * FROM em WHERE split = 'test' AND label >= 0) f JOIN sc s ON s.flow_id = f.flow_id AND s.k <= f.ppi_len GROUP BY tg.theta, f.flow_id, f.label, f.ppi_len),
+pt AS (SELECT theta, avg(dq.k) AS mean_k, avg(CASE WHEN sc.pred = dq.label THEN 1.0::DOUBLE ELSE 0 END) AS accuracy
+  FROM dq JOIN sc ON sc.flow_id = dq.flow_id AND sc.k = dq.k GROUP BY theta)"""
+
+
+@query(
+    "front_summary",
+    Q.EM_SCORED + f""", {POINTS}, bb AS (SELECT 2.0::DOUBLE + 10.0::DOUBLE * i / 200 AS b FROM range(0, 201) r(i)),
+ab AS (SELECT b, coalesce(max(accuracy) FILTER (mean_k <= b), 0) AS a FROM pt CROSS JOIN bb GROUP BY b)
+SELECT 'confidence' AS policy, {", ".join(f"round(coalesce((SELECT max(accuracy) FROM pt WHERE mean_k <= {b}), 0), 6) AS acc_at_{b}" for b in (4, 6, 8))},
+ round((SELECT avg(a) FROM ab), 6) AS pareto_area, round((SELECT min(mean_k) FROM pt), 6) AS smallest_mean_k""",
+)
+def front_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    out = V.front_summary(sweep_points(spark, sf).withColumn("policy", F.lit("confidence")))
+    return out.select("policy", *[F.round(c, 6).alias(c) for c in out.columns if c != "policy"])
+
+
+@query(
+    "packets_for_accuracy",
+    Q.EM_SCORED + f", {POINTS} SELECT t AS target, round(min(mean_k) FILTER (accuracy >= t), 6) AS mean_k FROM pt CROSS JOIN (SELECT unnest([0.2::DOUBLE, 0.99::DOUBLE]) AS t) GROUP BY t",
+)
+def packets_for_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    pts = sweep_points(spark, sf)
+    return C.concat([V.packets_for_accuracy(pts, t).select(F.lit(t).alias("target"), F.round("mean_k", 6).alias("mean_k")) for t in (0.2, 0.99)])
+
+
+@query(
+    "open_world",
+    Q.EM_SCORES + f""", {theta_fit_sql(6.0, "split = 'val'")}, {Q.theta_sql(0.02)}, {safe_sql('(SELECT theta FROM tf)', name='rf')}, {safe_sql('(SELECT theta FROM tf)', 'commit_first', name='cf')}
+{SUMMARY}, 'reject_first' AS check_order, round((SELECT theta FROM tf), 6) AS theta_commit, 1.0::DOUBLE AS reachable, round((SELECT mk FROM tf), 6) AS val_mean_k FROM rf
+UNION ALL {SUMMARY}, 'commit_first', round((SELECT theta FROM tf), 6), 1.0::DOUBLE, round((SELECT mk FROM tf), 6) FROM cf""",
+)
+def open_world(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    s = em_scores(spark, sf)
+    out = V.open_world(s.where("split = 'val'"), s.where("split = 'test'"))
+    return out.select(*[c if c in ("n", "check_order", "reachable") else F.round(c, 6).alias(c) for c in out.columns])
+
+
+SIG = ("energy_raw", "energy", "mahal", "surprise", "u", "z_energy")
+
+
+@query(
+    "unknown_auroc",
+    Q.EM_SCORES + f""", t AS ({" UNION ALL ".join(f"SELECT '{s}' AS signal, k, label < 0 AS y, {s} AS v FROM su WHERE split = 'test' AND k <= ppi_len AND k IN (3, 5, 8, 10, 15, 30)" for s in SIG)}),
+r AS (SELECT signal, k, y, rank() OVER (PARTITION BY signal, k ORDER BY v) + (count(*) OVER (PARTITION BY signal, k, v) - 1) / 2.0::DOUBLE AS rk FROM t),
+g AS (SELECT signal, k, sum(rk) FILTER (y) AS s, CAST(count(*) FILTER (y) AS BIGINT) AS n_pos, CAST(count(*) FILTER (NOT y) AS BIGINT) AS n_neg FROM r GROUP BY 1, 2)
+SELECT signal, k, round((s - n_pos * (n_pos + 1) / 2.0::DOUBLE) / (n_pos * n_neg), 6) AS auroc, n_pos, n_neg FROM g WHERE n_pos > 0 AND n_neg > 0""",
+)
+def unknown_auroc(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    return V.unknown_auroc(em_scores(spark, sf).where("split = 'test'")).withColumn("auroc", F.round("auroc", 6))
+
+
+@query(
+    "rejection_stats",
+    Q.EM_SCORES + f""", {Q.theta_sql(0.1)}, r AS (SELECT e.flow_id, any_value(e.label) AS label, min(s.k) FILTER (s.k >= 3 AND s.u >= th.theta) AS rk
+ FROM (SELECT * FROM em WHERE split = 'test') e JOIN su s ON s.flow_id = e.flow_id AND s.k <= e.ppi_len LEFT JOIN th ON th.k = s.k GROUP BY e.flow_id)
+SELECT 0.1::DOUBLE AS f, round(avg(CASE WHEN rk IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) FILTER (label >= 0), 6) AS known_reject_rate,
+ round(avg(CASE WHEN rk IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) FILTER (label < 0), 6) AS unknown_reject_rate, round(avg(rk) FILTER (label < 0), 6) AS mean_rejection_k FROM r""",
+)
+def rejection_stats(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    s = em_scores(spark, sf)
+    out = V.rejection_stats(s.where("split = 'test'"), reject_theta(s), 0.1)
+    return out.select("f", *[F.round(c, 6).alias(c) for c in out.columns if c != "f"])
+
+
+@query(
+    "energy_gate_stats",
+    Q.EM_SCORED + """, g AS (SELECT round(quantile_cont(energy_raw, 0.9::DOUBLE), 9) AS t FROM sc WHERE split = 'val' AND label >= 0 AND k = 10 AND ppi_len >= 10),
+r AS (SELECT label, CASE WHEN ppi_len >= 10 AND energy_raw >= (SELECT t FROM g) THEN 1.0::DOUBLE ELSE 0 END AS hit FROM sc WHERE split = 'test' AND k = 10)
+SELECT 0.1::DOUBLE AS f, round(avg(hit) FILTER (label >= 0), 6) AS known_reject_rate, round(avg(hit) FILTER (label < 0), 6) AS unknown_reject_rate,
+ max(CASE WHEN label < 0 AND hit > 0 THEN 10.0::DOUBLE END) AS mean_rejection_k FROM r""",
+)
+def energy_gate_stats(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    s = em_scored(spark, sf)
+    t = C.reject_thresholds(s.where("split = 'val'"), [0.1], "energy_raw").where("k = 10").first()["theta"]
+    out = V.gate_stats(s.where("split = 'test'"), t, 10, 0.1)
+    return out.select("f", F.round("known_reject_rate", 6).alias("known_reject_rate"), F.round("unknown_reject_rate", 6).alias("unknown_reject_rate"), "mean_rejection_k")
+
+
+@query("match_rejection_rate")
+def match_rejection_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """The f matched to three known rejection rates, and the rate it really gives."""
+    from flowtide.operators import evaluate as V
+
+    val = em_scores(spark, sf).where("split = 'val'")
+    bank = V.quantile_bank(val)
+    parts = []
+    for rate in (0.05, 0.2, 0.4):
+        f = V.match_f(val, bank, rate)
+        parts.append(V.rejection_stats(val, V.theta_at(bank, f), f).withColumn("target", F.lit(rate)))
+    return C.concat(parts)
+
+
+@query("earliness_report")
+def earliness_report(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    s = em_scores(spark, sf)
+    return V.earliness_report(s.where("split = 'val'"), s.where("split = 'test'"), fs=(0.1, 0.2))
+
+
+COST_SQL = """pk3 AS (SELECT 'three' AS policy, flow_id, 3 AS k, 0 AS prediction FROM fl UNION ALL SELECT 'eight', flow_id, 8, 1 FROM fl UNION ALL SELECT 'half', flow_id, greatest(ppi_len // 2, 1), 2 FROM fl),
+cst AS (SELECT d.policy, least(d.k, f.ppi_len) AS k, CASE WHEN d.prediction = f.label THEN 1.0::DOUBLE ELSE 0 END AS hit,
+  CAST(sum(pp.ipt) FILTER (pp.j <= least(d.k, f.ppi_len)) AS DOUBLE) AS t, CAST(sum(pp.ipt) AS DOUBLE) AS full_t
+ FROM pk3 d JOIN fl f ON f.flow_id = d.flow_id JOIN pp ON pp.flow_id = d.flow_id GROUP BY d.policy, d.flow_id, d.k, f.ppi_len, d.prediction, f.label)"""
+
+
+def _cost_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.plans.inputs import ev_long_flows
+
+    fl = ev_long_flows(spark, sf).where("ppi_len > 0").select("flow_id", "label", "ppi", "ppi_len")
+    rules = F.array(
+        F.struct(F.lit("three").alias("policy"), F.lit(3).alias("k"), F.lit(0).alias("prediction")),
+        F.struct(F.lit("eight").alias("policy"), F.lit(8).alias("k"), F.lit(1).alias("prediction")),
+        F.struct(F.lit("half").alias("policy"), F.greatest(F.floor(F.col("ppi_len") / 2).cast("int"), F.lit(1)).alias("k"), F.lit(2).alias("prediction")),
+    )
+    rows = fl.select("flow_id", "label", "ppi", "ppi_len", F.explode(rules).alias("r"))
+    return rows.select("flow_id", "label", "ppi", "ppi_len", "r.policy", F.least("r.k", "ppi_len").alias("k"), "r.prediction")
+
+
+@query(
+    "time_to_decision",
+    Q.flows_sql(B.EV30_TIMEOUTS, rst=False) + """ SELECT f.flow_id, f.ppi_len, CAST(coalesce(sum(pp.ipt) FILTER (pp.j <= least(8, f.ppi_len)), 0) AS BIGINT) AS t FROM fl f JOIN pp ON pp.flow_id = f.flow_id GROUP BY f.flow_id, f.ppi_len""",
+)
+def time_to_decision(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+    from flowtide.plans.inputs import ev_long_flows
+
+    fl = ev_long_flows(spark, sf).where("ppi_len > 0")
+    return fl.select("flow_id", "ppi_len", V.time_to_decision(F.col("ppi"), F.lit(8), F.col("ppi_len")).alias("t"))
+
+
+@query(
+    "policy_cost",
+    Q.flows_sql(B.EV30_TIMEOUTS, rst=False) + f""", {COST_SQL} SELECT policy, CAST(count(*) AS BIGINT) AS n, round(avg(k), 6) AS packets_mean, round(quantile_cont(k, 0.5::DOUBLE), 6) AS packets_median,
+ round(quantile_cont(k, 0.95::DOUBLE), 6) AS packets_p95, round(avg(t), 6) AS time_mean, round(avg(t) / greatest(avg(full_t), 1e-9), 6) AS time_share, round(avg(hit), 6) AS accuracy,
+ round(quantile_cont(t, 0.5::DOUBLE), 6) AS time_median, round(quantile_cont(t, 0.95::DOUBLE), 6) AS time_p95 FROM cst GROUP BY policy""",
+)
+def policy_cost(spark: SparkSession, sf: str) -> DataFrame:
+    from flowtide.operators import evaluate as V
+
+    out = V.policy_cost(_cost_decisions(spark, sf))
+    return out.select("policy", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("policy", "n")])
