@@ -82,26 +82,25 @@ def exact_quantiles(
         F.count("*").alias("_c")
     )
     cum = running_totals(counted, groups, [value], {"_cum": "_c"})
-    # a group has few probs, so positions are matched by filtering each value's rank span
+    # the probabilities travel as one row; a value keeps the positions its rank span covers
+    one = df.sparkSession.createDataFrame([([float(p) for p in probs],)], "_probs array<double>")
     spans = cum.select(
         *groups,
         F.col(value).cast("double").alias("_x"),
         (F.col("_cum") - F.col("_c")).alias("_from"),
         F.col("_cum").alias("_to"),
         (F.col("_cum_total") - 1).alias("_last"),
-        F.array(*[F.lit(float(p)) for p in probs]).alias("_probs"),
-    )
+    ).crossJoin(F.broadcast(one))
     hit = spans.select(
         *groups,
         "_x",
         F.explode(
             F.expr(
-                "filter(transform(_probs, p -> named_struct('prob', p,"
-                " 'lo', floor(p * _last), 'frac', p * _last - floor(p * _last),"
+                "transform(filter(_probs, p -> floor(p * _last) < _to and floor(p * _last) + 1 >= _from),"
+                " p -> named_struct('prob', p, 'frac', p * _last - floor(p * _last),"
                 " 'at_lo', floor(p * _last) >= _from and floor(p * _last) < _to,"
                 " 'at_hi', least(floor(p * _last) + 1, _last) >= _from"
-                " and least(floor(p * _last) + 1, _last) < _to)),"
-                " s -> s.at_lo or s.at_hi)"
+                " and least(floor(p * _last) + 1, _last) < _to))"
             )
         ).alias("s"),
     )

@@ -404,7 +404,7 @@ def sweep(scores: DataFrame, value: str, grid: Sequence[float], **kw) -> DataFra
     return histogram_summary(sweep_histogram(record_segments(scores, value, **kw), grid))
 
 
-def summarize(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def summarize(decisions: DataFrame, by: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
     """The numbers every policy table reports. A rejected known flow counts as an error."""
     known, unk = F.col("label") >= 0, F.col("label") < 0
     rejected = F.col("decision").isin(S.REJECT, S.FORCED_REJECT)
@@ -421,6 +421,7 @@ def summarize(decisions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (F.lit(1.0) - avg(unk, rejected)).alias("unknown_committed"),
         avg(unk, F.col("k")).alias("mean_k_unknown"),
         avg(unk & rejected, F.col("k")).alias("rejection_k"),
+        *more,
     )
 
 

@@ -301,7 +301,7 @@ def decay_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "signal_validation",
-    Q.EM_SCORES + f""", {WINDOWS_SQL}, {DOMINANT}, {DECAY_SQL}, wm AS (SELECT period, {', '.join(f'avg({s}) AS {s}' for s in SIGNALS)} FROM ws JOIN dp USING (window_id) GROUP BY period),
+    Q.EM_SCORES + f""", {WINDOWS_SQL}, {DOMINANT}, {DECAY_SQL}, wm AS (SELECT period, {', '.join(f'round(avg({s}), 9) AS {s}' for s in SIGNALS)} FROM ws JOIN dp USING (window_id) GROUP BY period),
 vl AS ({" UNION ALL ".join(f"SELECT '{s}' AS signal, {s} AS x, policy_macro_f1 AS y FROM wm JOIN dec USING (period)" for s in SIGNALS)}),
 rk AS (SELECT signal, rank() OVER (PARTITION BY signal ORDER BY x) + (count(*) OVER (PARTITION BY signal, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY signal ORDER BY y) + (count(*) OVER (PARTITION BY signal, y) - 1) / 2.0::DOUBLE AS ry FROM vl WHERE x IS NOT NULL AND y IS NOT NULL)
 SELECT signal, round(corr(rx, ry), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM rk GROUP BY signal""",
