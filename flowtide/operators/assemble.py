@@ -13,9 +13,8 @@ never meets one task (see ``hot.py``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -185,36 +184,46 @@ def _may_split(t: Timeouts) -> Column:
     return out
 
 
-def split_points(
-    ts_us: np.ndarray, side: np.ndarray, flags: np.ndarray, proto: np.ndarray, t: Timeouts
-) -> np.ndarray:
-    """Number of the flow every packet of one ordered segment belongs to."""
-    out = np.zeros(len(ts_us), dtype=np.int64)
-    no = 0
-    start = last = int(ts_us[0])
-    fin = 0
-    close_at: int | None = None
-    for i in range(len(ts_us)):
-        now = int(ts_us[i])
-        if i and (
-            (close_at is not None and now >= close_at)
-            or now - last >= (t.udp if proto[i] == S.UDP else t.idle_us)
-            or (t.active_us is not None and now - start >= t.active_us)
+class Fold:
+    """The open flow of one segment, fed packet by packet in arrival order."""
+
+    def __init__(self, t: Timeouts) -> None:
+        self.t = t
+        self.no = -1
+
+    def _open(self, no: int, now: int) -> None:
+        self.no, self.start, self.last, self.fin, self.close_at = no, now, now, 0, None
+        self.n_pay, self.pay_ts = 0, None
+
+    def add(self, fresh: bool, now: int, side: int, flags: int, proto: int, payload: int) -> tuple:
+        """(flow number, payload rank, time of the payload packet before, time went backwards)."""
+        t = self.t
+        idle = t.udp if proto == S.UDP else t.idle_us
+        if fresh:
+            self._open(0, now)
+        elif (
+            (self.close_at is not None and now >= self.close_at)
+            or now - self.last >= idle
+            or (t.active_us is not None and now - self.start >= t.active_us)
         ):
-            no, start, last, fin, close_at = no + 1, now, now, 0, None
-        last = max(last, now)
-        if t.linger_us is not None and proto[i] == S.TCP and flags[i] & S.FIN:
-            fin |= 1 << int(side[i])
-            if fin == 3:
-                close_at = now + t.linger_us
-        out[i] = no
-    return out
+            self._open(self.no + 1, now)
+        jump = int(now < self.last)
+        self.last = max(self.last, now)
+        before = self.pay_ts
+        if payload > 0:
+            self.n_pay, self.pay_ts = self.n_pay + 1, now
+        if t.linger_us is not None and proto == S.TCP and flags & S.FIN:
+            self.fin |= 1 << side
+            if self.fin == 3:
+                self.close_at = now + t.linger_us
+        return self.no, self.n_pay, before, jump
 
 
 def _folded(rows: DataFrame, t: Timeouts, order: Sequence[str]) -> DataFrame:
-    """Packets of the segments that may split, with ``sub_no`` added.
+    """Packets of the segments that may split, with ``sub_no`` and the ranks inside the new flows.
 
-    Each group is one segment of one key that is not hot, so it has at most ``hot_rows`` packets.
+    Partitions are sorted by segment and arrival and read as a stream: only the open flow's few
+    numbers are held, whatever the size of a segment.
     """
     seg = W.partitionBy("flow_key", "seg_no")
     fin = has_flag(S.FIN)
@@ -231,29 +240,28 @@ def _folded(rows: DataFrame, t: Timeouts, order: Sequence[str]) -> DataFrame:
         .where(_may_split(t))
         .drop("end_us", "min_us", "_f0", "_f1")
     )
-    schema = T.StructType([*rows.schema.fields, T.StructField("sub_no", T.LongType())])
-    by = [(c, "ascending") for c in order]
-
-    def fold(part: pa.Table) -> pa.Table:
-        part = part.sort_by(by)
-        col = {c: part.column(c).to_numpy() for c in ("ts_us", "side", "flags", "proto")}
-        return part.append_column("sub_no", pa.array(split_points(**col, t=t)))
-
-    return rows.groupBy("flow_key", "seg_no").applyInArrow(fold, schema)
-
-
-def payload_ranks(rows: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """``pay_rank``, ``pay_prev_ts`` and ``jump`` inside already known flows."""
-    w = W.partitionBy(*group).orderBy(*order)
-    upto = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    pay = (F.col("payload_len") > 0).cast("int")
-    return rows.select(
-        "*",
-        F.sum(pay).over(upto).alias("pay_rank"),
-        F.last(F.when(pay == 1, F.col("ts_us")), ignorenulls=True).over(before).alias("pay_prev_ts"),
-        F.coalesce((F.col("ts_us") < F.max("ts_us").over(before)).cast("int"), F.lit(0)).alias("jump"),
-    )
+    names = rows.columns
+    made = [("sub_no", T.LongType()), ("pay_rank", T.LongType()), ("pay_prev_ts", T.LongType()), ("jump", T.IntegerType())]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(n, k) for n, k in made]])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flow, here = Fold(t), None
+        for b in batches:
+            if b.num_rows == 0:
+                continue
+            keys = b.column("flow_key").to_pylist()
+            cols = [b.column(c).to_pylist() for c in ("seg_no", "ts_us", "side", "flags", "proto", "payload_len")]
+            out = []
+            for key, seg_no, *packet in zip(keys, *cols, strict=True):
+                fresh = (key, seg_no) != here
+                here = (key, seg_no)
+                out.append(flow.add(fresh, *packet))
+            extra = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, *[n for n, _ in made]])
+
+    # the window above has put whole keys into partitions
+    return rows.sortWithinPartitions("flow_key", "seg_no", *order).mapInArrow(fold, schema)
 
 
 def _assemble_cold(packets: DataFrame, t: Timeouts, order: Sequence[str]) -> DataFrame:
@@ -262,7 +270,7 @@ def _assemble_cold(packets: DataFrame, t: Timeouts, order: Sequence[str]) -> Dat
     if t.active_us is None and t.linger_us is None:
         return _finish(whole)
     group = ["flow_key", "seg_no", "sub_no"]
-    parts = flow_rows(payload_ranks(_folded(rows, t, order), group, order), group, t, order)
+    parts = flow_rows(_folded(rows, t, order), group, t, order)
     return _finish(whole.where(~_may_split(t))).unionByName(_finish(parts))
 
 
@@ -331,7 +339,6 @@ __all__ = [
     "end_reasons",
     "flow_rows",
     "packet_rows",
-    "payload_ranks",
     "segment",
-    "split_points",
+    "Fold",
 ]
