@@ -62,7 +62,7 @@ def prefix_flowstats(
     flows: DataFrame, k: int | Column, keep: Sequence[str] = ("flow_id",)
 ) -> DataFrame:
     """The 46 statistics recomputed from the first ``min(k, ppi_len)`` recorded packets only."""
-    cut = F.lit(P.check_k(k)) if isinstance(k, int) else k
+    cut = k if isinstance(k, Column) else F.lit(P.check_k(k))
     first = flows.where(F.size("ppi") > 0).select(
         *keep, F.slice(F.col("ppi"), F.lit(1), cut).alias("_p")
     )
