@@ -29,7 +29,7 @@ def packet_stream(spark: SparkSession, sf: str, batches: int = BATCHES) -> DataF
         "*", F.when(F.col("src") == "A", F.lit(0)).otherwise(F.lit(1)).alias("side"), F.timestamp_micros("ts_us").alias("event_time")
     )
     path = scratch_path(spark, "packets")
-    RP.write_in_order(SF.with_flush(packets), path, F.col("ts_us"), batches)
+    RP.write_in_order(SF.with_flush(packets), path, F.col("ts_us"), batches, "flow_key")
     return RP.read_stream(spark, path, SF.PACKETS)
 
 
@@ -58,7 +58,7 @@ def scored_flows(spark: SparkSession, sf: str) -> tuple[DataFrame, C.ScoreModel,
 def event_files(spark: SparkSession, flows: DataFrame, batches: int = BATCHES) -> DataFrame:
     events = RP.schedule(RP.capture_starts(flows, 1000.0), speed=1.0)
     path = scratch_path(spark, "events")
-    RP.write_in_order(events, path, F.unix_micros("event_time"), batches)
+    RP.write_in_order(events, path, F.unix_micros("event_time"), batches, "flow_id")
     return RP.read_stream(spark, path, RP.EVENTS)
 
 
@@ -122,10 +122,15 @@ def replay_poisson(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy((F.col("index") < 0).alias("end")).agg(F.count("*").alias("n"), F.max("event_time").alias("last"))
 
 
+def slices(rows: DataFrame, least: int) -> int:
+    """Time slices of at most a million rows: a slice is one file, so files age in time order."""
+    return max(least, -(-rows.count() // 1_000_000))
+
+
 def event_stream(spark: SparkSession, sf: str, batches: int = BATCHES) -> DataFrame:
     e = B.table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("event_time"))
     path = scratch_path(spark, "plain")
-    RP.write_in_order(e, path, F.unix_micros("event_time"), batches)
+    RP.write_in_order(e, path, F.unix_micros("event_time"), slices(e, batches))
     return RP.read_stream(spark, path, e.schema)
 
 
@@ -206,7 +211,7 @@ def decided_stream(spark: SparkSession, sf: str) -> DataFrame:
         (F.lit(1.0) - F.col("value") / 530.0).alias("p_safe"), (F.col("value") / 77.0).alias("surprise"),
     )
     path = scratch_path(spark, "decided")
-    RP.write_in_order(rows, path, F.col("decision_id"), BATCHES)
+    RP.write_in_order(rows, path, F.col("decision_id"), slices(rows, BATCHES))
     return RP.read_stream(spark, path, rows.schema)
 
 

@@ -72,19 +72,26 @@ def schedule(
     )
 
 
-def write_in_order(events: DataFrame, path: str, by: Column, batches: int) -> None:
-    """Write events as ``batches`` files whose age follows ``by`` (a micro-batch can read one each)."""
-    edges = events.select(by.cast("double").alias("v")).approxQuantile("v", [i / batches for i in range(1, batches)], 0.001)
+def write_in_order(events: DataFrame, path: str, by: Column, batches: int, key: str | None = None) -> None:
+    """Write events in ``batches`` slices whose files' age follows ``by``.
+
+    With a ``key`` its rows share a file inside a slice, so a stream that takes files by age sees
+    every key's rows in order, however many tasks write a slice. Without one a slice is one file and
+    ``batches`` has to keep it small.
+    """
+    v = by.cast("double")
+    probs = [i / batches for i in range(1, batches)]
+    edges = events.select(v.alias("v")).approxQuantile("v", probs, 0.001) if probs else []
     lows: Sequence[float | None] = [None, *edges]
     highs: Sequence[float | None] = [*edges, None]
-    v = by.cast("double")
     for lo, hi in zip(lows, highs, strict=True):
         part = events
         if lo is not None:
             part = part.where(v > lo)
         if hi is not None:
             part = part.where(v <= hi)
-        part.coalesce(1).write.mode("append").parquet(path)
+        part = part.repartition(key) if key else part.repartition(1)
+        part.write.mode("append").parquet(path)
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:

@@ -60,7 +60,7 @@ def test_rules_of_the_engine(spark):
 
 def test_thirty_packets_force_a_decision_and_more_are_ignored(spark):
     batch = [(1, i, i, 20) for i in range(35)]
-    (r,) = run(spark, [batch], E.Rules(theta_commit=0.99999))
+    (r,) = run(spark, [batch], E.Rules(theta_commit=2.0))
     assert (r["k"], r["decision"]) == (30, "forced_commit")
 
 
@@ -68,7 +68,7 @@ def test_a_flow_keeps_the_model_it_started_with(spark):
     switch = int(dt.datetime(2024, 1, 1, 0, 0, 5, tzinfo=dt.UTC).timestamp() * 1000)
     versions = [E.Version(model("old")), E.Version(model("new", True), since_ms=switch)]
     rows = run(
-        spark, [[(1, 0, 0, 900)], [(1, 1, 8, 900), (2, 0, 9, 900), (1, -1, 9, 0), (2, -1, 10, 0)]], E.Rules(theta_commit=0.99999), versions
+        spark, [[(1, 0, 0, 900)], [(1, 1, 8, 900), (2, 0, 9, 900), (1, -1, 9, 0), (2, -1, 10, 0)]], E.Rules(theta_commit=2.0), versions
     )
     assert {r["flow_id"]: r["model_version"] for r in rows} == {1: "old", 2: "new"}
 
@@ -79,7 +79,7 @@ def test_streamed_flows_are_the_batch_flows(spark, sf, batches, timers):
     base = B.ev_packets(spark, sf)
     packets = A.with_side(base).withColumn("event_time", F.timestamp_micros("ts_us"))
     path = scratch_path(spark, "p")
-    RP.write_in_order(SF.with_flush(packets), path, F.col("ts_us"), batches)
+    RP.write_in_order(SF.with_flush(packets), path, F.col("ts_us"), batches, "flow_key")
     out = RUN.run_to_table(SF.flow_stream(RP.read_stream(spark, path, SF.PACKETS), B.EV_TIMEOUTS, timers), "f")
     cols = ["flow_key", "flow_id", "start_us", "end_us", "packets", "bytes_rev", "flags_seen", "ppi"]
     want = A.assemble(base, B.EV_TIMEOUTS).select(*cols)
