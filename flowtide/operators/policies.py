@@ -286,8 +286,8 @@ def record_segments(
 ) -> DataFrame:
     """Outcome of a threshold rule for every threshold at once.
 
-    Rows (keep, above, upto, k, decision, prediction): for thresholds in (above, upto] the flow
-    stops at ``k``. At most one row per record high plus the forced one. ``above`` is NULL for
+    Rows (keep, above, upto, k, k_before, decision, prediction): for thresholds in (above, upto] the
+    flow stops at ``k``; ``k_before`` is the stop of the segment below (NULL in the first). At most one row per record high plus the forced one. ``above`` is NULL for
     minus infinity, ``upto`` NULL for plus infinity.
     """
     _check_order(order)
@@ -315,23 +315,25 @@ def record_segments(
         F.col("_kr") - (1 if order == "reject_first" else 0)
     )
     base = base.withColumn("_upto_k", F.least(stop, F.col("_last")))
-    start = F.struct(F.lit(0).alias("k"), F.lit(None).cast("double").alias("best"),
-                     F.array().cast("array<struct<above:double,upto:double,k:int>>").alias("out"))
+    start = F.struct(F.lit(0).alias("k"), F.lit(None).cast("double").alias("best"), F.lit(None).cast("int").alias("at"),
+                     F.array().cast("array<struct<above:double,upto:double,k:int,k_before:int>>").alias("out"))
 
     def step(acc: Column, v: Column) -> Column:
         k = acc["k"] + 1
         value = _num(v)
         record = (k >= k_min) & (k <= F.col("_upto_k")) & (acc["best"].isNull() | (value > acc["best"]))
-        seg = F.struct(acc["best"].alias("above"), value.alias("upto"), k.alias("k"))
+        seg = F.struct(acc["best"].alias("above"), value.alias("upto"), k.alias("k"), acc["at"].alias("k_before"))
         return F.struct(
             k.alias("k"),
             F.when(record, value).otherwise(acc["best"]).alias("best"),
+            F.when(record, k).otherwise(acc["at"]).alias("at"),
             F.when(record, F.concat(acc["out"], F.array(seg))).otherwise(acc["out"]).alias("out"),
         )
 
     base = base.withColumn("_r", F.aggregate(value, start, step))
     end_k = F.when(F.col("_kr") <= S.K_MAX, F.col("_kr")).otherwise(F.col("_last"))
-    tail = F.array(F.struct(F.col("_r.best").alias("above"), F.lit(None).cast("double").alias("upto"), F.lit(0).alias("k")))
+    tail = F.array(F.struct(F.col("_r.best").alias("above"), F.lit(None).cast("double").alias("upto"), F.lit(0).alias("k"),
+                            F.col("_r.at").alias("k_before")))
     segs = base.select(
         *keep, "pred", "_kr", "_forced_reject", end_k.alias("_end"), F.explode(F.concat("_r.out", tail)).alias("s")
     )
@@ -341,10 +343,10 @@ def record_segments(
     ).otherwise(F.lit(S.FORCED_COMMIT))
     k = F.when(final, F.col("_end")).otherwise(F.col("s.k"))
     out = segs.select(*keep, F.col("s.above").alias("above"), F.col("s.upto").alias("upto"), k.alias("k"),
-                      code.alias("decision"), "pred")
+                      F.col("s.k_before").alias("k_before"), code.alias("decision"), "pred")
     gone = F.col("decision").isin(S.REJECT, S.FORCED_REJECT)
     return out.select(
-        *keep, "above", "upto", "k", "decision",
+        *keep, "above", "upto", "k", "k_before", "decision",
         F.when(gone, F.lit(S.UNKNOWN)).otherwise(F.element_at("pred", F.col("k"))).alias("prediction"),
     )
 
@@ -489,11 +491,10 @@ def calibrate_theta(
     before the search, so it never goes back to the flows.
     """
     segs = record_segments(scores, "p_safe", k_min=k_min, keep=("flow_id", "label"), **kw)
-    w = W.partitionBy("flow_id").orderBy(F.col("above").asc_nulls_first())
     steps = cut(
-        segs.withColumn("d", F.col("k") - F.lag("k").over(w))
-        .groupBy(F.col("above").alias("x"))
-        .agg(F.sum(F.coalesce("d", F.col("k"))).cast("double").alias("w"), F.count("*").alias("c"))
+        segs.groupBy(F.col("above").alias("x")).agg(
+            F.sum(F.col("k") - F.coalesce("k_before", F.lit(0))).cast("double").alias("w"), F.count("*").alias("c")
+        )
     )
     first = steps.where("x is null").first()
     n, base = first["c"], first["w"]

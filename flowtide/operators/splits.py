@@ -43,7 +43,7 @@ def assign(flows: DataFrame, splits: DataFrame) -> DataFrame:
 
 def restrict_sessions(flows: DataFrame, sessions: DataFrame) -> DataFrame:
     """Flows of the listed (period, session_id) pairs."""
-    return flows.join(F.broadcast(sessions.select("period", "session_id").distinct()), ["period", "session_id"], "left_semi")
+    return flows.join(sessions.select("period", "session_id"), ["period", "session_id"], "left_semi")
 
 
 def overlap_problems(splits: DataFrame) -> DataFrame:
@@ -258,9 +258,21 @@ def sample_rows(rows: DataFrame, rate: float, seed: int, *keys: Column) -> DataF
     return rows.where(uniform(seed, "row-sample", *keys) < F.lit(float(rate)))
 
 
+#: up to this many rows a sample is taken as a distributed top-n
+TOP_N = 50_000
+
+
 def subsample(rows: DataFrame, n: int, seed: int, key: str, order: Sequence[str] | None = None) -> DataFrame:
     """``n`` rows without replacement, in their original order (``order``, default the key)."""
-    picked = rows.orderBy(lcg_draw(seed, "subsample", F.col(key)), key).limit(n)
+    draw = lcg_draw(seed, "subsample", F.col(key))
+    if n <= TOP_N:
+        picked = rows.orderBy(draw, key).limit(n)
+    else:
+        # a large sample must not pass through one task: number the rows in draw order instead
+        from flowtide.operators.ordered import global_row_number
+
+        placed = global_row_number(rows.withColumn("_d", draw), ["_d", key], "_rn")
+        picked = placed.where(F.col("_rn") <= n).drop("_d", "_rn", "_rn_total")
     return picked.orderBy(*(order or [key]))
 
 

@@ -163,13 +163,13 @@ def day_verification(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "unexpected_classes",
-    "SELECT DISTINCT event_type || '/' || user_id % 40 AS name FROM events EXCEPT SELECT DISTINCT event_type || '/' || user_id % 40 FROM events WHERE value > 60",
+    "SELECT DISTINCT event_type || '/' || user_id % 40 AS name FROM events EXCEPT SELECT DISTINCT event_type || '/' || user_id % 40 FROM events WHERE value > 200",
 )
 def unexpected_classes(spark: SparkSession, sf: str) -> DataFrame:
     e = B.table(spark, sf, "events").select(
         F.concat("event_type", F.lit("/"), (F.col("user_id") % 40).cast("string")).alias("name"), "value"
     )
-    return e.select("name").distinct().exceptAll(e.where("value > 60").select("name").distinct())
+    return e.select("name").distinct().exceptAll(e.where("value > 200").select("name").distinct())
 
 
 # --- captures --------------------------------------------------------------------------------------

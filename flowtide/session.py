@@ -21,6 +21,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators rely on (UTC above all)."""
     for name, value in SETTINGS.items():
         spark.conf.set(name, value)
+    sc = spark.sparkContext
+    if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # one machine with the untouched default: a task per core instead of 200
+        spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
     return spark
 
 

@@ -211,7 +211,7 @@ def labelled(files: DataFrame, labels: DataFrame, pattern: str | None = None) ->
     The file list is small (one row per capture).
     """
     ok = labels.where(F.trim(F.coalesce("class_name", F.lit(""))) != "")
-    rows = files.join(F.broadcast(ok), "file_name")
+    rows = files.join(ok, "file_name")
     if pattern is not None:
         rows = rows.where(F.col("file_name").rlike(pattern))
     return rows.withColumn("session_id", F.dense_rank().over(W.orderBy("file_name")) - 1)
@@ -219,7 +219,7 @@ def labelled(files: DataFrame, labels: DataFrame, pattern: str | None = None) ->
 
 def unlabelled(files: DataFrame, labels: DataFrame) -> DataFrame:
     ok = labels.where(F.trim(F.coalesce("class_name", F.lit(""))) != "").select("file_name")
-    return files.join(F.broadcast(ok), "file_name", "left_anti")
+    return files.join(ok, "file_name", "left_anti")
 
 
 # fixed values: words in a capture's name and what they mean
