@@ -20,6 +20,12 @@ from flowtide import schema as S
 from flowtide.functions import ppi as P
 
 
+#: digits score columns keep; the last digits of a double depend on the order of additions
+DIGITS = 6
+#: a running mean of such values needs more, or half of the means over two packets are exact ties
+MEAN_DIGITS = 12
+
+
 class Scorer(Protocol):
     """Anything that scores prefixes. Runs inside tasks, on Arrow batches and in streams."""
 
@@ -156,7 +162,7 @@ def class_scores(
     n_classes: int,
     adjustment: Sequence[float] | None = None,
     temperatures: Sequence[float] | None = None,
-    digits: int | None = 9,
+    digits: int | None = DIGITS,
 ) -> DataFrame:
     """From flat logits ``z``: pred, pred_raw, conf, margin, energy, energy_raw per prefix.
 
@@ -203,7 +209,7 @@ def class_scores(
     return staged.select(*keep, "z", *[F.col(f"_s.{n}").alias(n) for n in names])
 
 
-def running_surprise(nll: Column, ppi_len: Column, digits: int | None = 9) -> Column:
+def running_surprise(nll: Column, ppi_len: Column, digits: int | None = MEAN_DIGITS) -> Column:
     """Mean next-packet NLL over packets 2..k (0 at k = 1), carried past the flow's end."""
     none = F.array().cast("array<double>")
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s"), none.alias("out"))
@@ -415,7 +421,7 @@ def fit_bank(
     return GaussianBank(means, prec, bg_mean, bg_prec, valid)
 
 
-def add_mahal(flows: DataFrame, bank: GaussianBank, digits: int = 9) -> DataFrame:
+def add_mahal(flows: DataFrame, bank: GaussianBank, digits: int = DIGITS) -> DataFrame:
     """Adds ``mahal``: the relative distance of every prefix, carried past the flow's end."""
     cols = flows.columns
     out = T.StructType([*flows.schema.fields, T.StructField("mahal", T.ArrayType(T.DoubleType()))])
@@ -452,7 +458,7 @@ class ScoreModel:
     bank: GaussianBank | None = None
     moments: np.ndarray | None = None
     weights: tuple[float, float, float] = (1.0, 1.0, 0.5)
-    digits: int = 9
+    digits: int = DIGITS
 
     def columns(self, x: np.ndarray, ppi_len: np.ndarray) -> dict[str, np.ndarray]:
         """Score arrays [n, 30] of a batch; positions past a flow's end repeat its last prefix."""
@@ -484,7 +490,7 @@ class ScoreModel:
         valid = (np.arange(S.K_MAX)[None] >= 1) & (np.arange(S.K_MAX)[None] < last[:, None])
         run = np.cumsum(np.where(valid, 1.0 - out["conf"], 0.0), axis=1)
         count = np.cumsum(valid, axis=1)
-        out["surprise"] = np.round(np.where(count > 0, run / np.maximum(count, 1), 0.0), self.digits)
+        out["surprise"] = np.round(np.where(count > 0, run / np.maximum(count, 1), 0.0), MEAN_DIGITS)
         if self.bank is not None:
             dim = self.bank.means.shape[2]
             d = [self.bank.distance(em_projection(x, k, dim), k) for k in range(1, S.K_MAX + 1)]
@@ -492,13 +498,11 @@ class ScoreModel:
         if self.moments is not None:
             # past a flow's end the position keeps its own K's moments, as the arrays are per K
             z = [(out[s] - self.moments[:, j, 0]) / self.moments[:, j, 1] for j, s in enumerate(SIGNALS)]
-            out["z_energy"] = np.round(z[0], U_DIGITS)
-            out["u"] = np.round(sum(w * v for w, v in zip(self.weights, z, strict=True)), U_DIGITS)
+            out["z_energy"] = np.round(z[0], self.digits)
+            out["u"] = np.round(sum(w * v for w, v in zip(self.weights, z, strict=True)), self.digits)
         return out
 
 
-#: the combined score is kept coarser than its parts, whose last digits it magnifies
-U_DIGITS = 6
 
 INT_COLUMNS = ("pred", "pred_raw")
 

@@ -82,7 +82,7 @@ def score_fill_forward(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("k >= ppi_len").select("flow_id", "k", "pred", F.round("conf", 6).alias("conf"))
 
 
-@query("running_surprise", Q.EM_SCORED + " SELECT flow_id, k, round(surprise, 6) AS surprise FROM sc")
+@query("running_surprise", Q.EM_SCORED + " SELECT flow_id, k, surprise FROM sc")
 def running_surprise(spark: SparkSession, sf: str) -> DataFrame:
     """From a column of per-packet NLLs (here 1 - conf), in plain expressions."""
     s = em_scored(spark, sf).select(
@@ -90,7 +90,7 @@ def running_surprise(spark: SparkSession, sf: str) -> DataFrame:
     )
     s = s.select("flow_id", C.running_surprise(F.col("nll"), F.col("ppi_len")).alias("surprise"))
     rows = C.long_scores(s, ["surprise"], ["flow_id"])
-    return rows.withColumn("surprise", F.round("surprise", 6))
+    return rows
 
 
 def _channel_sql(c: str, v: int) -> str:
@@ -121,7 +121,7 @@ def next_packet_likelihood(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "score_pass",
     Q.EM_SCORES + """ SELECT flow_id, label, split, ppi_len, k, pred, round(conf, 6) AS conf, round(p_safe, 6) AS p_safe,
- round(surprise, 6) AS surprise, round(mahal, 6) AS mahal FROM su""",
+ surprise, mahal FROM su""",
 )
 def score_pass(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.long_scores(
@@ -130,7 +130,7 @@ def score_pass(spark: SparkSession, sf: str) -> DataFrame:
     )
     return rows.select(
         "flow_id", "label", "split", "ppi_len", "k", "pred",
-        *[F.round(c, 6).alias(c) for c in ("conf", "p_safe", "surprise", "mahal")],
+        *[F.round(c, 6).alias(c) for c in ("conf", "p_safe")], "surprise", "mahal",
     )
 
 

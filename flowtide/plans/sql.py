@@ -166,7 +166,7 @@ ef AS MATERIALIZED (SELECT em.flow_id, em.label, em.split, em.ppi_len, em.period
   FROM em CROSS JOIN (SELECT unnest(range(1, 31)) AS k) g JOIN lg ON lg.flow_id = em.flow_id AND lg.k = least(g.k, em.ppi_len))"""
 
 
-def class_scores_sql(adj: str = "0.0::DOUBLE", temp: str = "1.0::DOUBLE", name: str = "cs", digits: int = 9) -> str:
+def class_scores_sql(adj: str = "0.0::DOUBLE", temp: str = "1.0::DOUBLE", name: str = "cs", digits: int = 6) -> str:
     """CTE ``name`` from ``ef``; ``adj`` may use column c, ``temp`` column k."""
     return f"""{name} AS MATERIALIZED (
   SELECT flow_id, any_value(label) AS label, any_value(split) AS split, any_value(ppi_len) AS ppi_len, any_value(period) AS period, k,
@@ -186,7 +186,7 @@ EM_SCORED = (
     + class_scores_sql()
     + """,
 sc AS MATERIALIZED (SELECT cs.*, conf AS p_safe, coalesce(round((SELECT avg(1.0::DOUBLE - b.conf) FROM cs b
-    WHERE b.flow_id = cs.flow_id AND b.k >= 2 AND b.k <= least(cs.k, cs.ppi_len)), 9), 0.0::DOUBLE) AS surprise FROM cs)"""
+    WHERE b.flow_id = cs.flow_id AND b.k >= 2 AND b.k <= least(cs.k, cs.ppi_len)), 12), 0.0::DOUBLE) AS surprise FROM cs)"""
 )
 
 #: diagonal relative distance on the first 16 features, shrunk by 0.1, classes with >= 10 flows
@@ -205,7 +205,7 @@ bg AS MATERIALIZED (SELECT k, d, m, 0.9::DOUBLE * v + 0.1::DOUBLE * avg(v) OVER
 dc AS (SELECT dv.flow_id, cm.k, cm.c, sum((dv.v - cm.m) * (dv.v - cm.m) / pv.v) AS q FROM dv JOIN cm USING (d)
   JOIN pv ON pv.k = cm.k AND pv.d = cm.d GROUP BY dv.flow_id, cm.k, cm.c),
 db AS (SELECT dv.flow_id, bg.k, sum((dv.v - bg.m) * (dv.v - bg.m) / bg.v) AS q FROM dv JOIN bg USING (d) GROUP BY dv.flow_id, bg.k),
-mh AS MATERIALIZED (SELECT em.flow_id, ks.k, coalesce(round(min(dc.q) - any_value(db.q), 9), 0.0::DOUBLE) AS mahal
+mh AS MATERIALIZED (SELECT em.flow_id, ks.k, coalesce(round(min(dc.q) - any_value(db.q), 6), 0.0::DOUBLE) AS mahal
   FROM em CROSS JOIN ks LEFT JOIN dc ON dc.flow_id = em.flow_id AND dc.k = least(ks.k, em.ppi_len)
   LEFT JOIN db ON db.flow_id = em.flow_id AND db.k = least(ks.k, em.ppi_len) GROUP BY em.flow_id, ks.k)"""
 
