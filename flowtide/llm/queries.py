@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontam, exact, langid, packing, simhash
+from flowtide.llm import decontam, exact, langid, packing, repeats, simhash
 from flowtide.llm.common import prepare, read_table
 from flowtide.session import configure
 
@@ -31,6 +31,13 @@ def query(name: str, sql: str | None = None) -> Callable:
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
+@query("op2_repeat_removal")
+def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query(
     "op3_exact_dedup",
     f"""
