@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,9 +27,28 @@ def configure(spark: SparkSession) -> SparkSession:
     if sc.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
         # one machine with the untouched default: a task per core instead of 200
         spark.conf.set("spark.sql.shuffle.partitions", str(sc.defaultParallelism))
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they may run on other machines
+    and in other folders than the driver."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flowtide_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="flowtide-"), "flowtide.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("flowtide", os.path.relpath(path, here)))
+    sc.addPyFile(target)
+    sc._flowtide_shipped = True
+
+
 def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A single-JVM session for tests and the bench."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("flowtide")
