@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import column, runs, tasks_for, whole, without_ids
+from flowtide.llm.common import SENT_IDS, column, runs, tasks_for, whole, without_ids
 from flowtide.session import cut
 
 #: fingerprints that one merged block holds on average, at most
@@ -124,6 +124,10 @@ def exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
         .where("group_size > 1")
     )
+    # cut first: a join straight after the aggregate would sit on its partitions and could not be split
+    groups = cut(groups)
+    if groups.count() <= SENT_IDS:
+        groups = F.broadcast(groups)
     return keyed.join(groups, ["text_sha256", "n_bytes"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

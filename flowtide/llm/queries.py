@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontam, exact, langid, packing, repeats, simhash
+from flowtide.llm import decontam, exact, langid, packing, rangecoder, repeats, secrets, simhash, warc
 from flowtide.llm.common import prepare, read_table
-from flowtide.session import configure
+from flowtide.session import configure, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +50,22 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_copies(read_table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op4_warc",
+    """
+    WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT payload_digest, min(page_id) AS first FROM t WHERE payload_bytes >= 100 GROUP BY 1)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > first THEN first END AS refers_to
+    FROM t LEFT JOIN g USING (payload_digest)
+    """,
+)
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
@@ -60,11 +76,63 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(read_table(spark, sf_dir, "documents"))
 
 
+def _sql_matches(kind: str, number: int, pattern: str, group: int, least: int) -> str:
+    return f"""
+    SELECT doc_id, source, '{kind}' AS kind, {number} AS number, p + len(found[i]) AS "end", p AS start, value[i] AS value FROM (
+      SELECT doc_id, source, found, value, i,
+             list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: len(x))), 0) AS p
+      FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (
+        SELECT doc_id, source, regexp_split_to_array(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}', 0) AS found,
+               regexp_extract_all(text, '{pattern}', {group}) AS value FROM documents WHERE regexp_matches(text, '{pattern}')))
+    ) WHERE len(value[i]) >= {least}"""
+
+
+def _secrets_sql() -> str:
+    kinds = [_sql_matches(k, i, p.replace("'", "''"), g, least) for i, (k, p, g, least) in enumerate(secrets.KINDS)]
+    runs = _sql_matches(secrets.REUSE, len(kinds), "[A-Za-z0-9+/_.=-]+", 0, 12)
+    base = " UNION ALL ".join(f"({k})" for k in kinds)
+    return f"""
+    WITH base AS ({base}),
+    vals AS (SELECT value, count(DISTINCT coalesce(source, '')) AS owners FROM base GROUP BY 1),
+    runs AS (SELECT * FROM ({runs}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')),
+    again AS (
+      SELECT r.* FROM runs r JOIN vals v ON r.value = v.value AND v.owners < {secrets.EXAMPLE_OWNERS}
+      WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = r.doc_id AND b.start <= r.start AND b."end" >= r."end")),
+    spans AS (SELECT * FROM base UNION ALL SELECT * FROM again),
+    g AS (
+      SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+             string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, number) FILTER (kind <> 'reuse') AS b,
+             string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, number) AS spans,
+             count(*) FILTER (kind = 'reuse') AS n_reuse, count(*) FILTER (kind <> 'reuse' AND owners < {secrets.EXAMPLE_OWNERS}) AS n_live,
+             count(*) FILTER (kind <> 'reuse' AND owners >= {secrets.EXAMPLE_OWNERS}) AS n_example
+      FROM spans JOIN vals USING (value) GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+           sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           coalesce(n_reuse, 0) AS n_reuse, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+    FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op7_secrets", _secrets_sql())
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(read_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.array_join("base", ","), 256).alias("base_sha256"), F.array_join("spans", ",").alias("spans"),
+        "n_reuse", "n_live", "n_example",
+    )
+
+
 @query("op8_packing")
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+@query("op9_token_files")
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    rangecoder.write_ids(read_table(spark, sf_dir, "documents"), path)
+    return rangecoder.checksums(rangecoder.read_ids(spark, path))
+
+
 @query("op10_decontamination")
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

@@ -10,13 +10,12 @@ from __future__ import annotations
 
 import unicodedata
 from functools import cache as once
-
-import numpy as np
+from struct import pack
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: words a worker keeps in each of two generations; the older one is dropped when the newer is full
-KEPT_WORDS = 200_000
+KEPT_WORDS = 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -59,11 +58,11 @@ class WordIds(dict):
         if plain_letters(word):
             word = word.lower()
             if not word.isascii():
-                word = "".join([self.letters[b] for b in word.encode()])
+                word = word.encode().decode("latin-1").translate(self.letters)
             found = [t.id for t in self.model.tokenize(word)]
         else:
             found = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes() + tail
+        return pack(f"<{len(found)}I", *found) + tail
 
     def text(self, text: str) -> bytes:
         """The ids of a whole text, without an end id."""
