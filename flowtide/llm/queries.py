@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontam, exact, langid, packing, rangecoder, repeats, secrets, simhash, warc
+from flowtide.llm import decontam, exact, langid, maintext, packing, rangecoder, repeats, secrets, simhash, warc
 from flowtide.llm.common import prepare, read_table
 from flowtide.session import configure, scratch_path
 
@@ -31,6 +31,11 @@ def query(name: str, sql: str | None = None) -> Callable:
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')"
 
 
+@query("op1_main_text")
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query("op2_repeat_removal")
 def op2_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.without_repeats(read_table(spark, sf_dir, "documents"))
