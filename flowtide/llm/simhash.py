@@ -31,8 +31,6 @@ SEED = 42
 CELL = 4096
 #: rows of (anchor, fingerprint) that one task takes
 TASK_ROWS = 1 << 20
-#: an odd factor that mixes fingerprints into node numbers (a bijection on 64 bits)
-MIX = np.uint64(0x9E3779B97F4A7C15)
 #: shingles whose bits are unpacked at a time
 SLICE = 1 << 15
 
@@ -126,7 +124,7 @@ def _compare(batches: Iterator[pa.RecordBatch], key: str, cell: int | None) -> I
                 b.append(np.array(y, np.uint64))
         left, right = np.concatenate(a), np.concatenate(b)
         if len(left):
-            yield pa.RecordBatch.from_arrays([pa.array((left * MIX).view(np.int64)), pa.array((right * MIX).view(np.int64))], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], ["a", "b"])
         for members in handed:
             yield pa.RecordBatch.from_arrays([pa.array(members.view(np.int64)), pa.nulls(len(members), pa.int64())], ["a", "b"])
 
@@ -152,7 +150,7 @@ def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(distinct: DataFrame, rows: int) -> DataFrame:
-    """Links (a, b) between mixed node numbers of the distinct fingerprints in column ``fp``.
+    """Links (a, b) between the distinct fingerprints in column ``fp``.
 
     An anchor with more than ``CELL`` members is split: its fingerprints are dealt by every three of
     six blocks of the 64 bits. Three differing bits leave three blocks alike, so two linked
@@ -179,13 +177,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     marked = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("_t")).mapInArrow(_fingerprints, "doc_id long, fp long"))
     first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
 
-    def mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = column(batch, "fp").astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("first_id"), pa.array((fp.view(np.uint64) * MIX).view(np.int64))], ["fp", "first_id", "node"])
-
-    nodes = first.mapInArrow(mixed, "fp long, first_id long, node long")
-    rooted = cut(nodes.join(components(links(first, first.count())), "node", "left").select("fp", "first_id", F.coalesce("root", "node").alias("root")))
+    nodes = components(links(first, first.count())).withColumnRenamed("node", "fp")
+    rooted = cut(first.join(nodes, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = rooted.join(smallest, "root").select("fp", "component_id")
     return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
