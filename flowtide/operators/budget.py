@@ -7,13 +7,13 @@ driver; the flows of a window are read where they lie, in a table laid out by wi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from flowtide import schema as S
@@ -68,16 +68,9 @@ def weighted_draw(rows: DataFrame, weight: Column, n_draws: DataFrame, seed: int
     marks = n_draws.crossJoin(F.broadcast(total)).select(
         (uniform(seed, purpose, F.col("draw")) * F.col("_t")).alias("_x"), "draw"
     )
-    payload = [c for c in rows.columns]
     line = cum.select(
-        F.col("_cum").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("draw"),
-        F.struct(*payload).alias("_row"), F.col("pos").alias("_tie"),
-    ).unionByName(
-        marks.select(
-            "_x", F.lit(0).alias("_kind"), "draw",
-            F.lit(None).cast(T.StructType([rows.schema[c] for c in payload])).alias("_row"), F.col("draw").alias("_tie"),
-        )
-    )
+        F.col("_cum").alias("_x"), F.lit(1).alias("_kind"), F.lit(None).cast("bigint").alias("draw"), F.col("pos").alias("_tie")
+    ).unionByName(marks.select("_x", F.lit(0).alias("_kind"), "draw", F.col("draw").alias("_tie")))
     # number of rows whose cumulative weight is at or below the draw = index of the row taken
     placed = running_totals(line, [], ["_x", "_kind", "_tie"], {"_seen": F.col("_kind").cast("bigint")})
     taken = placed.where("_kind = 0").select("draw", (F.col("_seen") + 1).alias("_i"))
@@ -115,106 +108,103 @@ def unknown_burst(stream: DataFrame, share: float, lo: int, hi: int, seed: int)
     return stream.where(~swap).unionByName(at.join(pool, "_i").select(*stream.columns))
 
 
-# --- the controller -------------------------------------------------------------------------------
+# --- feedback ---------------------------------------------------------------------------------------
 
+FOLLOWED = ("mean_k", "p95_k")
+#: errors looked at for swinging, and how large each of them has to be
+SWING_LENGTH, SWING_SIZE = 6, 0.05
 
-def _squash(x: float) -> float:
-    return 1.0 / (1.0 + math.exp(-x)) if x >= 0 else math.exp(x) / (1.0 + math.exp(x))
 
+class Dial(NamedTuple):
+    """A threshold that errors turn: where it starts, its rails, the weights of the last error and of the
+    carried sum of errors, and the bound of that sum."""
 
-@dataclass
-class Knob:
-    """One clipped proportional-integral loop in logit space."""
+    start: float
+    low: float
+    high: float
+    gain: float
+    memory: float
+    bound: float = 1.0
 
-    value: float
-    lo: float
-    hi: float
-    kp: float
-    ki: float
-    i_max: float = 1.0
-    integral: float = 0.0
+    def turned(self, value: float, carried: float, error: float, scale: float = 1.0) -> tuple[float, float, bool]:
+        """(value, carried sum, whether the error pushes beyond a rail) after one error, in log odds."""
+        carried = float(np.clip(carried + error, -self.bound, self.bound))
+        free = H.sigmoid(H.logit(value) - scale * (self.gain * error + self.memory * carried))
+        stuck = free <= self.low if error > 0 else free >= self.high and error < 0
+        return float(np.clip(free, self.low, self.high)), carried, bool(stuck)
 
-    def __post_init__(self) -> None:
-        if not 0.0 < self.lo <= self.value <= self.hi < 1.0:
-            raise ValueError(f"need 0 < lo <= value <= hi < 1, got {self.lo}, {self.value}, {self.hi}")
 
-    def move(self, error: float) -> bool:
-        """Apply one error; True when pinned on a rail the error still pushes into."""
-        self.integral = min(max(self.integral + error, -self.i_max), self.i_max)
-        wanted = _squash(H.logit(self.value) - self.kp * error - self.ki * self.integral)
-        self.value = min(max(wanted, self.lo), self.hi)
-        return (wanted <= self.lo and error > 0) or (wanted >= self.hi and error < 0)
+COMMIT_DIAL = Dial(0.9, 0.5, 0.999, 1.0, 0.02)
+REJECT_DIAL = Dial(0.02, 0.001, 0.2, 0.2, 0.02)
 
 
-MODES = ("mean_k", "p95_k")
+@dataclass(frozen=True)
+class Loop:
+    """Settings of a feedback loop. What changes from window to window is its state, a plain dict that can be
+    stored as JSON: ``begin`` makes it, ``step`` gives the next one.
 
-
-@dataclass
-class Controller:
-    """State of one budget loop. ``static`` keeps its first knobs."""
+    The mean mode turns the commit threshold. The p95 mode moves the last K allowed by one. A limit
+    on the rejection rate turns the false-rejection share beside either. A loop that is ``held``
+    only records. ``targets`` sets new targets from the windows named.
+    """
 
     target: float
-    theta: Knob = field(default_factory=lambda: Knob(0.9, 0.5, 0.999, 1.0, 0.02))
-    f: Knob = field(default_factory=lambda: Knob(0.02, 0.001, 0.2, 0.2, 0.02))
-    metric: str = "mean_k"
-    min_flows: int = 200
-    k_cap: int = S.K_MAX
-    k_cap_range: tuple[int, int] = (3, S.K_MAX)
-    reject_cap: float | None = None
-    static: bool = False
-    schedule: Mapping[int, float] = field(default_factory=dict)
-    recent: list[float] = field(default_factory=list)
-    told_infeasible: bool = False
+    commit: Dial = COMMIT_DIAL
+    reject: Dial = REJECT_DIAL
+    follow: str = "mean_k"
+    least_flows: int = 200
+    caps: tuple[int, int] = (3, S.K_MAX)
+    reject_limit: float | None = None
+    held: bool = False
+    targets: Mapping[int, float] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        if self.metric not in MODES:
-            raise ValueError(f"metric must be one of {MODES}, got {self.metric!r}")
-        if self.target <= 0:
-            raise ValueError(f"target must be positive, got {self.target}")
-
-    def set_target(self, target: float) -> None:
-        if target <= 0:
-            raise ValueError(f"target must be positive, got {target}")
-        self.target, self.recent, self.told_infeasible = float(target), [], False
-
-    def swinging(self) -> bool:
-        """Six errors in a row that are all above 5 % and change sign every time."""
-        r = self.recent[-6:]
-        return len(r) == 6 and all(abs(x) > 0.05 for x in r) and all(a * b < 0 for a, b in zip(r, r[1:], strict=False))
-
-    def close(self, n: int, mean_k: float, p95_k: float, reject_rate: float) -> tuple[str, float]:
-        """End a window: (reason, error); the knobs now hold what the next window uses."""
-        if n < self.min_flows:
-            return "frozen", 0.0
-        seen = mean_k if self.metric == "mean_k" else p95_k
-        error = (seen - self.target) / self.target
-        lo, hi = self.k_cap_range
-        if self.metric == "mean_k":
-            pinned = self.theta.move(error)
+        wrong = [d for d in (self.commit, self.reject) if not 0 < d.low <= d.start <= d.high < 1]
+        if wrong:
+            raise ValueError(f"a dial has to start between its rails, inside (0, 1): {wrong[0]}")
+        if self.follow not in FOLLOWED:
+            raise ValueError(f"a loop follows one of {', '.join(FOLLOWED)}")
+        self.aimed({}, self.target)
+
+    def begin(self) -> dict:
+        fresh = {"theta": self.commit.start, "theta_sum": 0.0, "f": self.reject.start, "f_sum": 0.0, "k_cap": self.caps[1], "scale": 1.0}
+        return self.aimed(fresh, self.target)
+
+    def aimed(self, state: Mapping, target: float) -> dict:
+        """The state with a new target; what was remembered about the old one is forgotten."""
+        if not target > 0:
+            raise ValueError("a target is a positive number of packets")
+        return {**state, "target": float(target), "errors": [], "stuck": False}
+
+    def step(self, state: Mapping, window: Mapping) -> tuple[dict, str, float]:
+        """(next state, what happened, relative error) for a window with n, mean_k, p95_k, reject_rate."""
+        error = (window[self.follow] - state["target"]) / state["target"]
+        if self.held:
+            return dict(state), "static", error
+        if window["n"] < self.least_flows:
+            return dict(state), "frozen", 0.0
+        new = dict(state)
+        if self.follow == "mean_k":
+            new["theta"], new["theta_sum"], stuck = self.commit.turned(state["theta"], state["theta_sum"], error, state["scale"])
         else:
-            self.k_cap = max(lo, self.k_cap - 1) if error > 0 else min(hi, self.k_cap + 1)
-            pinned = error > 0 and self.k_cap <= lo
-        if self.reject_cap is not None:
-            self.f.move((reject_rate - self.reject_cap) / max(self.reject_cap, 1e-9))
-        reason = "infeasible" if pinned and not self.told_infeasible else "update"
-        self.told_infeasible = pinned
-        self.recent = [*self.recent, error][-6:]
-        if self.swinging():
-            self.theta.kp, self.theta.ki, self.recent = self.theta.kp * 0.5, self.theta.ki * 0.5, []
-            reason += "+oscillation"
-        return reason, error
-
-    def state(self) -> dict:
-        from dataclasses import asdict
-
-        return asdict(self)
-
-    @classmethod
-    def restore(cls, state: Mapping) -> Controller:
-        s = dict(state)
-        s["theta"], s["f"] = Knob(**s["theta"]), Knob(**s["f"])
-        s["k_cap_range"] = tuple(s["k_cap_range"])
-        return cls(**s)
+            new["k_cap"] = int(np.clip(state["k_cap"] + (-1 if error > 0 else 1), *self.caps))
+            stuck = error > 0 and new["k_cap"] == self.caps[0]
+        if self.reject_limit is not None:
+            excess = (window["reject_rate"] - self.reject_limit) / max(self.reject_limit, 1e-9)
+            new["f"], new["f_sum"], _ = self.reject.turned(state["f"], state["f_sum"], excess)
+        what = ["infeasible" if stuck and not state["stuck"] else "update"]
+        new["stuck"] = stuck
+        new["errors"] = [*state["errors"], error][-SWING_LENGTH:]
+        if _swings(new["errors"]):
+            new["scale"], new["errors"] = state["scale"] / 2, []
+            what.append("oscillation")
+        return new, "+".join(what), error
+
+
+def _swings(errors: Sequence[float]) -> bool:
+    """Whether a full run of errors is large throughout and changes its sign at every step."""
+    e = np.asarray(errors)
+    return len(e) == SWING_LENGTH and bool((np.abs(e) > SWING_SIZE).all() and (e[1:] * e[:-1] < 0).all())
 
 
 def lay_out(stream: DataFrame, window: int, block: int = 64) -> tuple[DataFrame, int, int]:
@@ -239,32 +229,39 @@ WINDOW_ROW = (
 
 def replay(
     stream: DataFrame,
-    controllers: Mapping[str, Controller],
+    loops: Mapping[str, Loop],
     *,
     bank=None,
     window: int = 2000,
     order: str = "reject_first",
     block: int = 64,
 ) -> DataFrame:
-    """Run controllers over an ordered stream; one row per window and controller.
+    """Run feedback loops over an ordered stream; one row per window and loop.
 
-    Every flow of a window uses the knobs its controller had when the window opened. All
-    controllers share the pass: a window is one aggregate over its own flows. ``bank`` is the
-    quantile bank the per-K reject thresholds of an ``f`` come from; without it nothing is rejected.
+    Every flow of a window uses what its loop's state says when the window opens. All loops share the
+    pass: a window is one aggregate over its own flows. ``bank`` is the quantile bank the per-K reject
+    thresholds of an ``f`` come from; without it nothing is rejected.
     """
     from flowtide.operators.evaluate import theta_at
 
     spark = stream.sparkSession
     keep = ["flow_id", "label", "ppi_len", "pos", "p_safe", "pred"] + (["u"] if bank is not None else [])
-    loops = list(controllers.values())
-    fs = {round(c.f.value, 6) for c in loops}
-    cache = {f: theta_at(bank, f) if bank is not None else H.NEVER for f in fs}
-    # when only thresholds move, a flow's answer to every threshold is worked out once
-    fixed = len(fs) == 1 and all(c.metric == "mean_k" and c.reject_cap is None and c.k_cap == S.K_MAX for c in loops)
+    states = {name: loop.begin() for name, loop in loops.items()}
+    rejects: dict[float, Sequence] = {}
+
+    def reject_at(f: float) -> Sequence:
+        f = round(f, 6)
+        if f not in rejects:
+            rejects[f] = H.NEVER if bank is None else theta_at(bank, f)
+        return rejects[f]
+
+    # when only commit thresholds move, a flow's answer to every threshold is worked out once
+    firsts = {round(x["f"], 6) for x in states.values()}
+    fixed = len(firsts) == 1 and all(x.follow == "mean_k" and x.reject_limit is None and x.caps[1] == S.K_MAX for x in loops.values())
     rows = stream.select(*keep)
     if fixed:
         rows = H.record_segments(
-            rows, "p_safe", k_min=2, theta_reject=cache[min(fs)], order=order, keep=("flow_id", "label", "pos")
+            rows, "p_safe", k_min=2, theta_reject=reject_at(min(firsts)), order=order, keep=("flow_id", "label", "pos")
         )
     table, n_windows, _ = lay_out(rows, window, block)
     out: list[tuple] = []
@@ -274,36 +271,21 @@ def replay(
         F.col("upto").isNull() | (F.col("theta") <= F.col("upto"))
     )
     for w in range(n_windows):
-        knobs, opened = [], {}
-        for name, c in controllers.items():
-            if w in c.schedule:
-                c.set_target(c.schedule[w])
-            f = round(c.f.value, 6)
-            if f not in cache:
-                cache[f] = theta_at(bank, f) if bank is not None else H.NEVER
-            opened[name] = (c.target, c.theta.value, c.k_cap, c.f.value)
-            knobs.append((w, name, c.theta.value, c.k_cap, cache[f]))
-        # knobs travel as rows, not as literals, so every window runs the same compiled plan
-        wide = table.where(F.col("block") == w // block).join(
-            F.broadcast(spark.createDataFrame(knobs, KNOBS)), "window_id"
+        for name, loop in loops.items():
+            if w in loop.targets:
+                states[name] = loop.aimed(states[name], loop.targets[w])
+        # what is in force travels as rows, not as literals, so every window runs the same compiled plan
+        forces = [(w, name, x["theta"], x["k_cap"], reject_at(x["f"])) for name, x in states.items()]
+        wide = table.where(F.col("block") == w // block).join(F.broadcast(spark.createDataFrame(forces, KNOBS)), "window_id")
+        decided = wide.where(covers) if fixed else H.safe_stop(
+            wide, F.col("theta"), F.col("th"), order=order, k_cap=F.col("cap"), keep=["flow_id", "label", "name", "pos"]
         )
-        if fixed:
-            d = wide.where(covers)
-        else:
-            d = H.safe_stop(
-                wide, F.col("theta"), F.col("th"), order=order, k_cap=F.col("cap"), keep=["flow_id", "label", "name", "pos"]
-            )
-        stats = H.summarize(d, ["name"], more)
-        for r in stats.collect():
-            c = controllers[r["name"]]
-            reason, error = ("static", (r["mean_k"] - c.target) / c.target) if c.static else c.close(
-                r["n"], r["mean_k"], r["p95_k"], r["reject_rate"]
-            )
-            target, theta, k_cap, f = opened[r["name"]]
+        for r in H.summarize(decided, ["name"], more).collect():
+            name, was = r["name"], states[r["name"]]
+            states[name], reason, error = loops[name].step(was, r.asDict())
             out.append(
-                (r["name"], w, r["start"], r["n"], target, theta, k_cap, f, r["mean_k"], r["p95_k"], r["forced_rate"],
-                 r["known_accuracy"], r["known_reject_rate"], r["unknown_reject_rate"], r["reject_rate"], reason,
-                 float(error), c.theta.integral)
+                (name, w, r["start"], r["n"], was["target"], was["theta"], was["k_cap"], was["f"], r["mean_k"], r["p95_k"], r["forced_rate"],
+                 r["known_accuracy"], r["known_reject_rate"], r["unknown_reject_rate"], r["reject_rate"], reason, float(error), states[name]["theta_sum"])
             )
     return spark.createDataFrame(out, WINDOW_ROW)
 
@@ -379,7 +361,7 @@ def tune_gains(
     n_win = -(-val.count() // window)
     steps = {n_win // 3: 0.6 * target, 2 * n_win // 3: target}
     loops = {
-        f"{kp}/{ki}": Controller(target, theta=Knob(theta0, 0.5, 0.999, kp, ki), schedule=steps, min_flows=min_flows)
+        f"{kp}/{ki}": Loop(target, COMMIT_DIAL._replace(start=theta0, gain=kp, memory=ki), least_flows=min_flows, targets=steps)
         for kp, ki in grid
     }
     summary = tracking_summary(replay(stream, loops, bank=bank, window=window))
@@ -410,11 +392,9 @@ def controller_report(
     stream = cut(stream_order(parts))
     bounds = {r["part"]: (r["start"], r["stop"]) for r in spans(stream).collect()}
 
-    def pair(target: float, theta: float, schedule: Mapping[int, float] | None = None, tag: str = "") -> dict[str, Controller]:
-        make = lambda static: Controller(
-            target, theta=Knob(theta, 0.5, 0.999, kp, ki), schedule=dict(schedule or {}), min_flows=min_flows, static=static
-        )
-        return {f"{tag}controller": make(False), f"{tag}static": make(True)}
+    def pair(target: float, theta: float, targets: Mapping[int, float] | None = None, tag: str = "") -> dict[str, Loop]:
+        moving = Loop(target, COMMIT_DIAL._replace(start=theta, gain=kp, memory=ki), least_flows=min_flows, targets=dict(targets or {}))
+        return {f"{tag}controller": moving, f"{tag}static": replace(moving, held=True)}
 
     start = {b: H.calibrate_theta(val, b, **kw)["theta"] for b in budgets}
     loops = {k: v for b in budgets for k, v in pair(b, start[b], tag=f"{b}|").items()}
@@ -447,6 +427,6 @@ def controller_report(
 
 
 __all__ = [
-    "Controller", "Knob", "controller_report", "count_windows", "double_hard", "hard_classes",
+    "Dial", "Loop", "controller_report", "count_windows", "double_hard", "hard_classes",
     "lay_out", "replay", "spans", "stream_order", "tracking_summary", "tune_gains", "unknown_burst", "weighted_draw",
 ]

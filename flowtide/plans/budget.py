@@ -128,9 +128,9 @@ wr AS MATERIALIZED (SELECT l.w, l.theta, l.kp, rn.n, {target.replace('w >=', 'l.
 def loop_windows(spark: SparkSession, sf: str, static: bool = False) -> DataFrame:
     s = em_scores(spark, sf)
     bank = V.quantile_bank(s.where("split = 'val'"))
-    c = U.Controller(
-        LOOP["target"], theta=U.Knob(LOOP["theta"], 0.5, 0.999, LOOP["kp"], LOOP["ki"]), f=U.Knob(LOOP["f"], 0.001, 0.2, 0.2, 0.02),
-        min_flows=10, schedule={STEP_AT: STEP_TO}, static=static,
+    c = U.Loop(
+        LOOP["target"], U.Dial(LOOP["theta"], 0.5, 0.999, LOOP["kp"], LOOP["ki"]), U.Dial(LOOP["f"], 0.001, 0.2, 0.2, 0.02),
+        least_flows=10, targets={STEP_AT: STEP_TO}, held=static,
     )
     return U.replay(U.stream_order(stream_parts(s)), {"loop": c}, bank=bank, window=LOOP["window"])
 
@@ -159,10 +159,10 @@ def tail_budget_replay(spark: SparkSession, sf: str) -> DataFrame:
     """The p95 mode (moves k_cap) next to a loop that also caps the rejection rate (moves f)."""
     s = em_scores(spark, sf)
     bank = V.quantile_bank(s.where("split = 'val'"))
-    knob = lambda: U.Knob(0.6, 0.5, 0.999, 0.5, 0.05)
+    dial = U.Dial(0.6, 0.5, 0.999, 0.5, 0.05)
     loops = {
-        "p95": U.Controller(8.0, theta=knob(), metric="p95_k", min_flows=10),
-        "reject_cap": U.Controller(6.0, theta=knob(), reject_cap=0.05, min_flows=10),
+        "p95": U.Loop(8.0, dial, follow="p95_k", least_flows=10),
+        "reject_cap": U.Loop(6.0, dial, reject_limit=0.05, least_flows=10),
     }
     out = U.replay(U.stream_order(stream_parts(s)), loops, bank=bank, window=20)
     return out.select("name", "window_id", "theta", "k_cap", "f", "mean_k", "p95_k", "reject_rate", "reason")

@@ -330,7 +330,7 @@ def monitor_report(spark: SparkSession, sf: str) -> DataFrame:
     ref_hist = D.reference_histogram(s.where("split = 'val'"), 0.5, th, N)
     stream = U.stream_order(stream_parts(s))
     n_val = s.where("split = 'val'").count() // WINDOW
-    loop = U.Controller(6.0, theta=U.Knob(0.5, 0.5, 0.999, 3.0, 0.02), min_flows=10)
+    loop = U.Loop(6.0, U.Dial(0.5, 0.5, 0.999, 3.0, 0.02), least_flows=10)
     from flowtide.operators import evaluate as V
 
     thetas = U.replay(stream, {"controller": loop}, bank=V.quantile_bank(s.where("split = 'val'")), window=WINDOW)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide import bindings as B
 from flowtide.operators import policies as H
-from flowtide.operators.budget import Controller
+from flowtide.operators.budget import Loop
 from flowtide.operators import scores as C
 from flowtide.plans import sql as Q
 from flowtide.plans.features import LONG, TOKENS_SQL
@@ -225,9 +225,9 @@ w AS (SELECT *, (row_number() OVER (ORDER BY event_id) - 1) // 200 AS window_id,
     f"WITH {DECIDED} SELECT CAST(window_id AS BIGINT) AS window_id, CAST(count(*) AS BIGINT) AS n, round(avg(k), 6) AS observed, round((avg(k) - 12.0::DOUBLE) / 12.0::DOUBLE, 6) AS error FROM w GROUP BY window_id HAVING count(*) = 200",
 )
 def stream_budget_loop(spark: SparkSession, sf: str) -> DataFrame:
-    loop = L.BudgetLoop(200, 5, ["decision_id"], controller=Controller(12.0))
+    loop = L.BudgetLoop(200, 5, ["decision_id"], loop=Loop(12.0))
     RUN.run_batches(decided_stream(spark, sf), loop, "budget")
-    return L.as_table(spark, loop).select("window_id", "n", F.round("observed", 6).alias("observed"), F.round("error", 6).alias("error"))
+    return loop.table(spark).select("window_id", "n", F.round("observed", 6).alias("observed"), F.round("error", 6).alias("error"))
 
 
 @query(
@@ -240,9 +240,9 @@ UNION ALL SELECT CAST(window_id AS BIGINT), 'mean_pkt_nll', round(mean_pkt_nll,
 )
 def stream_drift_loop(spark: SparkSession, sf: str) -> DataFrame:
     ref = {"mean_k": (12.0, 2.0), "commit_rate": (0.5, 0.05), "mean_safe_at_commit": (0.9, 0.01), "mean_pkt_nll": (0.5, 0.1)}
-    loop = L.DriftLoop(200, 5, ["decision_id"], reference=ref, histogram=[1.0] * 5)
+    loop = L.DriftLoop(200, 5, ["decision_id"], histogram=[1.0] * 5)
     RUN.run_batches(decided_stream(spark, sf), loop, "drift")
-    return L.as_table(spark, loop).select("window_id", "signal", F.round("value", 6).alias("value"), F.round("z", 6).alias("z"))
+    return loop.monitored(spark, ref).select("window_id", "signal", F.round("value", 6).alias("value"), F.round("z", 6).alias("z"))
 
 
 @query("stream_admission")

@@ -2,22 +2,27 @@
 
 A count window spans micro-batches. Every batch is numbered with a distributed running count and
 summed per window; only those sums (a row per window) reach the loop, which keeps the open window's
-sum and a few numbers of state.
+sum and a few numbers of state, stored after each batch so that a restarted stream goes on from them.
 """
 
 from __future__ import annotations
 
+import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide import schema as S
-from flowtide.operators.budget import Controller
+from flowtide.operators.budget import Loop
+from flowtide.operators.drift import monitor
 from flowtide.operators.ordered import global_row_number
 
 MODES = ("auto", "manual", "quality_first")
+#: added to every class share before two histograms are compared
+KL_FLOOR = 1e-3
 
 
 def window_sums(decisions: DataFrame, order: list[str], offset: int, window: int, n_classes: int) -> DataFrame:
@@ -57,140 +62,160 @@ def _percentile(sums: dict, q: float) -> float:
 
 @dataclass
 class WindowLoop:
-    """Shared bookkeeping: closes a window when its count is complete."""
+    """Counts decided flows into windows and judges each full one.
+
+    ``closed`` windows are done, ``open`` holds the sums of the one being filled, ``state`` what the judge
+    carries from window to window. With ``folder`` these are stored after every batch beside
+    the rows of its windows, and ``resume`` goes on from the last batch stored: a restarted stream
+    neither forgets the open window nor judges a batch twice.
+    """
 
     window: int
     n_classes: int
     order: list[str]
-    seen: int = 0
+    folder: str | None = None
+    closed: int = 0
     open: dict = field(default_factory=dict)
+    state: dict = field(default_factory=dict)
     rows: list[dict] = field(default_factory=list)
-    done_batches: set[int] = field(default_factory=set)
+    last_batch: int = -1
+
+    ROW = ""
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id in self.done_batches:
+        if batch_id <= self.last_batch:
             return
         decided = batch.where("decision <> 'undecidable'")
-        for r in sorted(window_sums(decided, self.order, self.seen, self.window, self.n_classes).collect(), key=lambda r: r["window_id"]):
-            part = {k: (v or 0) for k, v in r.asDict().items()}
-            w = part.pop("window_id")
+        held = self.open.get("n", 0)
+        new: list[dict] = []
+        for r in sorted(window_sums(decided, self.order, held, self.window, self.n_classes).collect(), key=lambda r: r["window_id"]):
+            part = {k: (v or 0) for k, v in r.asDict().items() if k != "window_id"}
             self.open = {k: self.open.get(k, 0) + v for k, v in part.items()}
-            self.seen += part["n"]
             if self.open["n"] >= self.window:
-                self.rows.extend(self.close(w, self.open))
-                self.open = {}
-        self.done_batches.add(batch_id)
-
-    def close(self, window_id: int, sums: dict) -> list[dict]:
+                new += self.judge(self.closed, self.open)
+                self.closed, self.open = self.closed + 1, {}
+        self.rows += new
+        self.last_batch = batch_id
+        if self.folder is not None:
+            self._store(batch.sparkSession, batch_id, new)
+
+    def judge(self, window_id: int, sums: dict) -> list[dict]:
+        """Rows for a full window."""
         raise NotImplementedError
 
+    def _memory(self) -> dict:
+        return {"closed": self.closed, "open": self.open, "state": self.state}
+
+    def _store(self, spark: SparkSession, batch_id: int, rows: list[dict]) -> None:
+        kept = [(json.dumps(self._memory()), [json.dumps(r) for r in rows])]
+        spark.createDataFrame(kept, "memory string, rows array<string>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+
+    def resume(self, spark: SparkSession) -> WindowLoop:
+        """Take up what the last stored batch left; a folder without batches changes nothing."""
+        from pyspark.errors import AnalysisException
+
+        try:
+            stored = spark.read.schema("memory string, rows array<string>, batch bigint").parquet(self.folder)
+        except AnalysisException:
+            return self
+        found = stored.orderBy("batch").collect()
+        if found:
+            for name, value in json.loads(found[-1]["memory"]).items():
+                setattr(self, name, value)
+            self.last_batch = found[-1]["batch"]
+            self.rows = [json.loads(r) for x in found for r in x["rows"]]
+        return self
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        names = [c.split()[0] for c in self.ROW.split(", ")]
+        return spark.createDataFrame([tuple(r[c] for c in names) for r in self.rows], self.ROW)
+
 
 @dataclass
 class BudgetLoop(WindowLoop):
-    """Controller rows per window. Modes: auto moves the knobs; manual and quality_first only record."""
+    """A feedback loop over the windows of a stream.
+
+    Modes: ``auto`` follows the loop; ``manual`` keeps a threshold that was set, ``quality_first`` the
+    highest one, and both only record. A change of mode starts a new window.
+    """
 
-    controller: Controller = field(default_factory=lambda: Controller(6.0))
-    mode: str = "auto"
-    manual_theta: float | None = None
+    loop: Loop = field(default_factory=lambda: Loop(6.0))
+
+    ROW = (
+        "window_id bigint, n bigint, metric string, target double, observed double, error double, integral double, theta_commit double,"
+        " f double, k_cap int, mode string, reason string"
+    )
 
     def __post_init__(self) -> None:
-        if self.mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
         if self.window < 10:
-            raise ValueError("window must be at least 10 decisions")
-
-    def set_mode(self, mode: str, theta: float | None = None) -> None:
-        if mode not in MODES:
-            raise ValueError(f"mode must be one of {MODES}")
-        if theta is not None and not 0.0 < theta < 1.0:
-            raise ValueError("theta must be in (0, 1)")
-        if mode == "auto" and self.mode != "auto":
-            # go on from the threshold in force
-            k = self.controller.theta
-            k.value = min(max(self.theta, k.lo), k.hi)
-        elif mode == "manual":
-            self.manual_theta = theta if theta is not None else self.theta
-        self.mode, self.open = mode, {}
+            raise ValueError("a window has at least 10 decisions")
+        self.state = self.state or {**self.loop.begin(), "mode": MODES[0], "set": None}
 
     @property
     def theta(self) -> float:
-        if self.mode == "manual" and self.manual_theta is not None:
-            return self.manual_theta
-        return self.controller.theta.hi if self.mode == "quality_first" else self.controller.theta.value
-
-    def close(self, window_id: int, sums: dict) -> list[dict]:
-        n = sums["n"]
-        c, mean, p95 = self.controller, sums["k"] / n, _percentile(sums, 0.95)
-        seen = mean if c.metric == "mean_k" else p95
-        reason, error = self.mode, (seen - c.target) / c.target
-        if self.mode == "auto":
-            reason, error = c.close(n, mean, p95, sums["rejects"] / n)
+        mode = self.state["mode"]
+        return self.state["set"] if mode == "manual" else self.loop.commit.high if mode == "quality_first" else self.state["theta"]
+
+    def set_mode(self, mode: str, theta: float | None = None) -> None:
+        if mode not in MODES or theta is not None and not 0 < theta < 1:
+            raise ValueError(f"a mode is one of {', '.join(MODES)}, a threshold lies between 0 and 1")
+        in_force = self.theta
+        if mode == "manual":
+            self.state["set"] = in_force if theta is None else theta
+        elif mode == "auto":
+            # go on from the threshold in force
+            self.state["theta"] = min(max(in_force, self.loop.commit.low), self.loop.commit.high)
+        self.state["mode"], self.open = mode, {}
+
+    def set_budget(self, target: float | None = None, follow: str | None = None, window: int | None = None) -> None:
+        """Change target, what is followed, or the window; the open window starts anew."""
+        if window is not None and window < 10:
+            raise ValueError("a window has at least 10 decisions")
+        self.loop = replace(self.loop, target=self.loop.target if target is None else target, follow=follow or self.loop.follow)
+        self.state = self.loop.aimed(self.state, self.loop.target)
+        self.window, self.open = window or self.window, {}
+
+    def judge(self, window_id: int, sums: dict) -> list[dict]:
+        seen = {"n": sums["n"], "mean_k": sums["k"] / sums["n"], "p95_k": float(_percentile(sums, 0.95)), "reject_rate": sums["rejects"] / sums["n"]}
+        mode, target = self.state["mode"], self.state["target"]
+        observed = seen[self.loop.follow]
+        reason, error = mode, (observed - target) / target
+        if mode == "auto":
+            moved, reason, error = self.loop.step(self.state, seen)
+            self.state = {**self.state, **moved}
+        x = self.state
         return [
-            {"window_id": window_id, "n": n, "metric": c.metric, "target": c.target, "observed": float(seen), "error": float(error),
-             "integral": c.theta.integral, "theta_commit": self.theta, "f": c.f.value, "k_cap": c.k_cap, "mode": self.mode, "reason": reason}
+            {"window_id": window_id, "n": seen["n"], "metric": self.loop.follow, "target": target, "observed": float(observed), "error": float(error),
+             "integral": x["theta_sum"], "theta_commit": self.theta, "f": x["f"], "k_cap": x["k_cap"], "mode": mode, "reason": reason}
         ]
 
 
-BUDGET_ROW = (
-    "window_id bigint, n bigint, metric string, target double, observed double, error double, integral double, theta_commit double,"
-    " f double, k_cap int, mode string, reason string"
-)
-
-
 @dataclass
 class DriftLoop(WindowLoop):
-    """One row per signal and window: value, z, CUSUM sums, alarm, level."""
+    """The signals of every window. ``monitored`` standardises them and adds sums, alarms and levels; the rows
+    are few, so this is the batch operator over all windows so far."""
 
-    reference: dict[str, tuple[float, float]] = field(default_factory=dict)
     histogram: list[float] = field(default_factory=list)
-    h: float = 5.0
-    k: float = 0.5
-    warmup: int = 5
-    span: int = 3
-    sums: dict[str, tuple[float, float]] = field(default_factory=dict)
-    recent: list[set[str]] = field(default_factory=list)
-
-    def _kl(self, counts: list[int]) -> float | None:
-        a, b = sum(counts), sum(self.histogram)
-        if not a or not b:
+
+    ROW = "window_id bigint, n bigint, mean_k double, commit_rate double, reject_rate double, mean_safe_at_commit double, mean_pkt_nll double, prior_kl double"
+
+    def judge(self, window_id: int, sums: dict) -> list[dict]:
+        share = lambda part, of: sums[part] / sums[of] if sums[of] else None
+        return [
+            {"window_id": window_id, "n": sums["n"], "mean_k": share("k", "n"), "commit_rate": share("commits", "n"), "reject_rate": share("rejects", "n"),
+             "mean_safe_at_commit": share("p", "n_p"), "mean_pkt_nll": share("nll", "n_nll"), "prior_kl": self._shift(sums)}
+        ]
+
+    def _shift(self, sums: dict) -> float | None:
+        """How far the window's classes are from the reference histogram, both smoothed."""
+        seen, usual = (np.asarray(c, float) for c in ([sums[f"c{c}"] for c in range(self.n_classes)], self.histogram))
+        if not seen.sum() or not usual.sum():
             return None
-        scale = 1.0 + len(counts) * 1e-3
-        p = [(c / a + 1e-3) / scale for c in counts]
-        q = [(c / b + 1e-3) / scale for c in self.histogram]
-        return sum(x * math.log(x / y) for x, y in zip(p, q, strict=True))
-
-    def close(self, window_id: int, sums: dict) -> list[dict]:
-        n = sums["n"]
-        values = {
-            "mean_k": sums["k"] / n, "commit_rate": sums["commits"] / n, "reject_rate": sums["rejects"] / n,
-            "mean_safe_at_commit": sums["p"] / sums["n_p"] if sums["n_p"] else None,
-            "mean_pkt_nll": sums["nll"] / sums["n_nll"] if sums["n_nll"] else None,
-            "prior_kl": self._kl([sums[f"c{c}"] for c in range(self.n_classes)]),
-        }
-        alarms, out = set(), []
-        for s, (mean, std) in self.reference.items():
-            v = values.get(s)
-            z = None if v is None else (v - mean) / max(std, 1e-9)
-            pos, neg = self.sums.get(s, (0.0, 0.0))
-            if z is not None and window_id >= self.warmup:
-                pos, neg = max(0.0, pos + z - self.k), max(0.0, neg - z - self.k)
-                if pos > self.h or neg > self.h:
-                    alarms.add(s)
-                    pos = neg = 0.0
-            self.sums[s] = (pos, neg)
-            out.append({"window_id": window_id, "signal": s, "value": v, "z": z, "cusum_pos": pos, "cusum_neg": neg, "alarm": s in alarms})
-        self.recent = [*self.recent, alarms][-self.span :]
-        several = len(set().union(*self.recent)) >= 2
-        level = "alarm" if several else "warning" if alarms else "none"
-        return [{**r, "level": level} for r in out]
-
-
-DRIFT_ROW = (
-    "window_id bigint, signal string, value double, z double, cusum_pos double, cusum_neg double, alarm boolean, level string"
-)
-
-
-def as_table(spark, loop: WindowLoop) -> DataFrame:
-    schema = BUDGET_ROW if isinstance(loop, BudgetLoop) else DRIFT_ROW
-    names = [c.split()[0] for c in schema.split(", ")]
-    return spark.createDataFrame([tuple(r[c] for c in names) for r in loop.rows], schema)
+        p, q = ((c / c.sum() + KL_FLOOR) / (1 + KL_FLOOR * len(c)) for c in (seen, usual))
+        return float((p * np.log(p / q)).sum())
+
+    def monitored(self, spark: SparkSession, reference: dict[str, tuple[float, float]], h: float = 5.0, warmup: int = 5) -> DataFrame:
+        """(window_id, signal, value, z, pos, neg, alarm, level) against each signal's mean and deviation."""
+        usual = spark.createDataFrame([(s, float(m), float(d)) for s, (m, d) in reference.items()], "signal string, mean double, std double")
+        rows, levels = monitor(self.table(spark), usual, list(reference), h, warmup=warmup)
+        return rows.join(levels.select("window_id", "level"), "window_id").select("window_id", "signal", "value", "z", "pos", "neg", "alarm", "level")

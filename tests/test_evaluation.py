@@ -239,35 +239,54 @@ def test_matched_rate_is_reached(scores):
     assert rate == pytest.approx(0.25, abs=0.03)
 
 
-def test_controller_settles_on_a_plant_and_reports_rails():
-    c = U.Controller(6.0, theta=U.Knob(0.6, 0.5, 0.999, 1.0, 0.02))
+def window(mean, n=500, p95=9.0, rejects=0.0):
+    return {"n": n, "mean_k": mean, "p95_k": p95, "reject_rate": rejects}
+
+
+def test_a_loop_settles_on_a_plant_and_reports_rails():
+    import json
+
+    loop = U.Loop(6.0, U.Dial(0.6, 0.5, 0.999, 1.0, 0.02))
+    x = loop.begin()
     for _ in range(60):
-        mean = 2.0 + 1.2 * H.logit(c.theta.value)
-        c.close(500, mean, mean, 0.0)
+        mean = 2.0 + 1.2 * H.logit(x["theta"])
+        x, _, _ = loop.step(x, window(mean))
     assert mean == pytest.approx(6.0, rel=0.05)
-    low = U.Controller(0.5)
-    assert [low.close(500, 9.0, 9.0, 0.0)[0] for _ in range(12)].count("infeasible") == 1
-    assert U.Controller(6.0).close(10, 9.0, 9.0, 0.0)[0] == "frozen"
-    with pytest.raises(ValueError):
-        U.Controller(-1.0)
-    again = U.Controller.restore(c.state())
-    assert again.close(500, 7.0, 7.0, 0.0) == c.close(500, 7.0, 7.0, 0.0) and again.theta == c.theta
+    low, y, told = U.Loop(0.5), U.Loop(0.5).begin(), []
+    for _ in range(12):
+        y, what, _ = low.step(y, window(9.0))
+        told.append(what)
+    assert told.count("infeasible") == 1
+    assert loop.step(x, window(9.0, n=10))[:2] == (x, "frozen")
+    for wrong in (lambda: U.Loop(-1.0), lambda: U.Loop(6.0, follow="median"), lambda: U.Loop(6.0, U.Dial(0.4, 0.5, 0.9, 1.0, 0.0))):
+        with pytest.raises(ValueError):
+            wrong()
+    assert loop.step(json.loads(json.dumps(x)), window(7.0)) == loop.step(x, window(7.0))
+
+
+def test_swings_halve_the_gains():
+    loop, told = U.Loop(6.0), []
+    x = loop.begin()
+    for i in range(6):
+        x, what, _ = loop.step(x, window(7.0 if i % 2 else 5.0))
+        told.append(what)
+    assert told[-1].endswith("oscillation") and x["scale"] == 0.5 and not x["errors"]
 
 
-def test_oscillation_halves_the_gains():
-    c = U.Controller(6.0)
-    kp = c.theta.kp
-    reasons = [c.close(500, 7.0 if i % 2 else 5.0, 7.0, 0.0)[0] for i in range(6)]
-    assert reasons[-1].endswith("oscillation") and c.theta.kp == kp / 2
+def test_tail_mode_moves_the_cap_and_a_limit_moves_f():
+    loop = U.Loop(8.0, follow="p95_k", reject_limit=0.05)
+    x, _, _ = loop.step(loop.begin(), window(5.0, p95=20.0, rejects=0.2))
+    assert x["k_cap"] == 29 and x["f"] < loop.reject.start and x["theta"] == loop.commit.start
 
 
 def test_replay_fast_and_general_paths_agree(scores):
     known = scores.where("label >= 0")
     bank = V.quantile_bank(known)
     stream = U.stream_order([("a", scores.where("period < 2")), ("b", scores.where("period = 2"))])
-    make = lambda cap: U.Controller(6.0, theta=U.Knob(0.7, 0.5, 0.999, 0.5, 0.05), min_flows=10, reject_cap=cap)
+    dial = U.Dial(0.7, 0.5, 0.999, 0.5, 0.05)
+    make = lambda limit: U.Loop(6.0, dial, least_flows=10, reject_limit=limit)
     fast = U.replay(stream, {"x": make(None)}, bank=bank, window=40).orderBy("window_id").collect()
-    p95 = U.Controller(6.0, theta=U.Knob(0.7, 0.5, 0.999, 0.5, 0.05), min_flows=10, metric="p95_k")
+    p95 = U.Loop(6.0, dial, least_flows=10, follow="p95_k")
     slow = U.replay(stream, {"x": make(None), "y": p95}, bank=bank, window=40).where("name = 'x'").orderBy("window_id").collect()
     assert [tuple(r) for r in fast] == [tuple(r) for r in slow]
 

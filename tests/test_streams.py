@@ -118,3 +118,28 @@ def test_schedule_paces_gaps(spark):
     with pytest.raises(ValueError):
         RP.schedule(df, speed=0)
     assert S.K_MAX == 30
+
+
+def decided(spark, start, n):
+    rows = [(i, i % 7 + 1, "commit", 0.9, 0.5, 0) for i in range(start, start + n)]
+    return spark.createDataFrame(rows, "decision_id long, k int, decision string, p_safe double, surprise double, prediction int")
+
+
+def test_a_change_of_mode_starts_a_full_window_and_a_restart_goes_on(spark, tmp_path):
+    from flowtide.operators.budget import Loop
+    from flowtide.streaming.loops import BudgetLoop
+
+    make = lambda: BudgetLoop(10, 3, ["decision_id"], f"{tmp_path}/loop", loop=Loop(4.0, least_flows=5))
+    loop = make().resume(spark)
+    loop(decided(spark, 0, 13), 0)
+    loop.set_mode("manual", 0.7)
+    loop(decided(spark, 13, 14), 1)
+    assert [(r["window_id"], r["n"], r["mode"]) for r in loop.rows] == [(0, 10, "auto"), (1, 10, "manual")] and loop.open["n"] == 4
+    again = make().resume(spark)
+    assert again.state == loop.state and again.rows == loop.rows and again.open == loop.open
+    again(decided(spark, 13, 14), 1)  # a batch that was stored is not judged again
+    again(decided(spark, 27, 6), 2)
+    assert [(r["window_id"], r["n"]) for r in again.rows] == [(0, 10), (1, 10), (2, 10)] and again.theta == 0.7
+    again.set_budget(target=5.0, window=12)
+    again(decided(spark, 33, 12), 3)
+    assert again.rows[-1]["n"] == 12 and again.rows[-1]["target"] == 5.0 and again.table(spark).count() == 4
