@@ -7,6 +7,7 @@ integer arithmetic, for places where another SQL engine has to reproduce the dra
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,3 +56,24 @@ def lcg_draw_sql(seed: int, purpose: str, key: str) -> str:
         x = f"(({x}) * {MULTIPLIER} + {INCREMENT}) % {MODULUS}"
         x = f"(({x}) + (({x}) >> 13)) % {MODULUS}"
     return f"({x})"
+
+
+#: a draw for (purpose, keys) that can be ordered by; equal keys draw alike
+Draw = Callable[..., Column]
+
+
+def hashed(seed: int) -> Draw:
+    """53 bits from a hash of keys of any type."""
+    return lambda purpose, *keys: uniform(seed, purpose, *keys)
+
+
+def arithmetic(seed: int) -> Draw:
+    """31 bits from integer keys below 2^31 that another SQL engine can repeat."""
+
+    def draw(purpose: str, *keys: Column) -> Column:
+        key = keys[0]
+        for more in keys[1:]:
+            key = key * 1009 + more
+        return lcg_draw(seed, purpose, key)
+
+    return draw

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowtide import schema as S
-from flowtide.functions.draws import lcg_draw, uniform
+from flowtide.functions.draws import Draw, uniform
 
 
 class LeakageError(ValueError):
@@ -155,13 +155,13 @@ def class_profile(flows: DataFrame) -> DataFrame:
     )
 
 
-def draw_open_set(profile: DataFrame, n_known: int, n_unknown: int, min_support: int, seed: int) -> DataFrame:
+def draw_open_set(profile: DataFrame, n_known: int, n_unknown: int, min_support: int, draw: Draw) -> DataFrame:
     """(label, role): unknown classes spread over categories, half from the rarer and half from the
     more frequent classes of each; short categories are topped up at random; then known classes.
 
-    Works on the class table. Order inside a half is a hash of (seed, label).
+    Works on the class table. The order inside a half is drawn from the label.
     """
-    order = lcg_draw(seed, "open-set", F.col("label"))
+    order = draw("open-set", F.col("label"))
     base = profile.select("label", "support", "category", order.alias("_o")).withColumn(
         "_ok", F.col("support") >= min_support
     )
@@ -189,7 +189,7 @@ def draw_open_set(profile: DataFrame, n_known: int, n_unknown: int, min_support:
     )
     unknown = ranked.where(F.col("_u") <= n_unknown).select("label", F.lit("unknown").alias("role"))
     rest = base.join(unknown.select("label"), "label", "left_anti").withColumn(
-        "_k", F.row_number().over(W.orderBy(lcg_draw(seed, "open-set/known", F.col("label")), "label"))
+        "_k", F.row_number().over(W.orderBy(draw("open-set/known", F.col("label")), "label"))
     )
     return unknown.unionByName(rest.where(F.col("_k") <= n_known).select("label", F.lit("known").alias("role")))
 
@@ -258,40 +258,33 @@ def sample_rows(rows: DataFrame, rate: float, seed: int, *keys: Column) -> DataF
     return rows.where(uniform(seed, "row-sample", *keys) < F.lit(float(rate)))
 
 
-#: up to this many rows a sample is taken as a distributed top-n
-TOP_N = 50_000
+def subsample(rows: DataFrame, n: int, draw: Draw, key: str, order: Sequence[str] | None = None) -> DataFrame:
+    """``n`` rows without replacement, in their original order (``order``, default the key).
 
+    Rows are numbered in the order of their draws, in ranges, so no sample passes through one task.
+    """
+    from flowtide.operators.ordered import global_row_number
 
-def subsample(rows: DataFrame, n: int, seed: int, key: str, order: Sequence[str] | None = None) -> DataFrame:
-    """``n`` rows without replacement, in their original order (``order``, default the key)."""
-    draw = lcg_draw(seed, "subsample", F.col(key))
-    if n <= TOP_N:
-        picked = rows.orderBy(draw, key).limit(n)
-    else:
-        # a large sample must not pass through one task: number the rows in draw order instead
-        from flowtide.operators.ordered import global_row_number
-
-        placed = global_row_number(rows.withColumn("_d", draw), ["_d", key], "_rn")
-        picked = placed.where(F.col("_rn") <= n).drop("_d", "_rn", "_rn_total")
-    return picked.orderBy(*(order or [key]))
+    placed = global_row_number(rows.withColumn("_d", draw("subsample", F.col(key))), ["_d", key], "_rn")
+    return placed.where(F.col("_rn") <= n).drop("_d", "_rn", "_rn_total").orderBy(*(order or [key]))
 
 
-def label_fraction(rows: DataFrame, fraction: float, seed: int, key: str) -> DataFrame:
+def label_fraction(rows: DataFrame, fraction: float, draw: Draw, key: str) -> DataFrame:
     """max(1, round(fraction n)) rows."""
     total = rows.count()
-    return subsample(rows, max(1, round(fraction * total)), seed, key)
+    return subsample(rows, max(1, round(fraction * total)), draw, key)
 
 
-def at_most_per_group(rows: DataFrame, group: str, n: int, seed: int, key: str) -> DataFrame:
+def at_most_per_group(rows: DataFrame, group: str, n: int, draw: Draw, key: str) -> DataFrame:
     """At most ``n`` rows per group in hash order.
 
     A row number below a limit is cut in each task first, so a huge group sends n rows per task.
     """
-    w = W.partitionBy(group).orderBy(lcg_draw(seed, "per-group", F.col(key)), key)
+    w = W.partitionBy(group).orderBy(draw("per-group", F.col(key)), key)
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def epoch_permutations(rows: DataFrame, n_samples: int, seed: int, key: str) -> DataFrame:
+def epoch_permutations(rows: DataFrame, n_samples: int, draw: Draw, key: str) -> DataFrame:
     """(pass_no, slot, key): fresh permutations, each row once per pass, cut to ``n_samples``."""
     from flowtide.operators.ordered import global_row_number
 
@@ -300,14 +293,13 @@ def epoch_permutations(rows: DataFrame, n_samples: int, seed: int, key: str) ->
     n = rows.count()
     passes = -(-n_samples // n)
     wide = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass_no"))
-    draw = F.pmod(lcg_draw(seed, "epoch", F.col(key) * 1009 + F.col("pass_no")), F.lit(2**31))
-    placed = global_row_number(wide.withColumn("_d", draw), ["pass_no", "_d", key], "slot")
+    placed = global_row_number(wide.withColumn("_d", draw("epoch", F.col(key), F.col("pass_no"))), ["pass_no", "_d", key], "slot")
     return placed.where(F.col("slot") <= n_samples).select("pass_no", "slot", key)
 
 
-def replay_sample(flows: DataFrame, period: str, n: int, seed: int, space: DataFrame) -> DataFrame:
+def replay_sample(flows: DataFrame, period: str, n: int, draw: Draw, space: DataFrame) -> DataFrame:
     """``n`` flows of one period with class name and whether the class is known."""
 
-    picked = subsample(flows.where(F.col("period") == period), n, seed, "flow_id")
+    picked = subsample(flows.where(F.col("period") == period), n, draw, "flow_id")
     s = F.broadcast(space.select(F.col("dataset_id").alias("_d"), "name", (F.col("model_idx") >= 0).alias("known")))
     return picked.join(s, F.col("label") == F.col("_d"), "left").drop("_d")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowtide import bindings as B
+from flowtide.functions import draws as R
 from flowtide.operators import calibrate as K
 from flowtide.operators import metrics as M
 from flowtide.operators import scores as C
@@ -66,26 +67,28 @@ def isotonic_map(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted on all validation prefixes, applied to the test prefixes."""
     m = K.fit_isotonic(xy(safe_rows(spark, sf, "val")))
     test = safe_rows(spark, sf, "test")
-    return test.select("flow_id", "k", F.round(m.apply(F.col("conf")), 6).alias("p_correct"))
+    return test.select("flow_id", "k", F.round(m.of(F.col("conf")), 6).alias("p_correct"))
 
 
 @query("platt_map")
 def platt_map(spark: SparkSession, sf: str) -> DataFrame:
     m = K.fit_platt(xy(safe_rows(spark, sf, "val")))
     test = safe_rows(spark, sf, "test")
-    return test.select("flow_id", "k", F.round(m.apply(F.col("conf")), 6).alias("p_correct"))
+    return test.select("flow_id", "k", F.round(m.of(F.col("conf")), 6).alias("p_correct"))
 
 
-@query("safe_map_choice")
+@query(
+    "safe_map_choice",
+    Q.EM_LOGITS + """, v AS (SELECT least(ppi_len, 30) AS n FROM em WHERE label >= 0 AND split = 'val'),
+ g AS (SELECT CAST(k AS INTEGER) AS k, (SELECT count(*) FROM v WHERE v.n >= k) AS n FROM range(1, 31) t(k))
+SELECT CAST(n AS BIGINT) AS n, k, CASE WHEN n = 0 THEN 'constant' WHEN n < 60 THEN 'platt' ELSE 'isotonic' END AS kind FROM g""",
+)
 def safe_map_choice(spark: SparkSession, sf: str) -> DataFrame:
-    """The map every K gets by the size of its population."""
-    val = safe_rows(spark, sf, "val")
-    parts = []
-    for k in (3, 10, 30):
-        rows = val.where(F.col("k") == k)
-        m = K.fit_safe_map(xy(rows), min_isotonic=60)
-        parts.append(rows.agg(F.count("*").alias("n")).withColumns({"k": F.lit(k), "kind": F.lit(m.kind)}))
-    return C.concat(parts)
+    """The kind of map every K gets by the size of its population."""
+    rows = safe_rows(spark, sf, "val").groupBy("k").agg(F.count("*").alias("n"))
+    sizes = {r["k"]: r["n"] for r in rows.collect()}
+    table = [(sizes.get(k, 0), k, K.choose_kind(sizes.get(k, 0), 60)) for k in range(1, 31)]
+    return spark.createDataFrame(table, "n bigint, k int, kind string")
 
 
 @query(
@@ -97,9 +100,12 @@ def calibration_population(spark: SparkSession, sf: str) -> DataFrame:
     return C.concat([K.population(val, k).agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k in (3, 8, 24)])
 
 
-@query("calibration_cap")
+@query(
+    "calibration_cap",
+    Q.EM_LOGITS + " SELECT k, CAST(least(count(*), 20) AS BIGINT) AS n FROM (SELECT unnest(range(1, least(ppi_len, 30) + 1)) AS k FROM em WHERE label >= 0 AND split = 'val') GROUP BY k",
+)
 def calibration_cap(spark: SparkSession, sf: str) -> DataFrame:
-    rows = K.capped(safe_rows(spark, sf, "val"), "k", 20, seed=0)
+    rows = K.capped(safe_rows(spark, sf, "val"), "k", 20, R.hashed(0))
     return rows.groupBy("k").agg(F.count("*").alias("n"))
 
 
@@ -110,11 +116,10 @@ TEMP_SQL = "(1.0::DOUBLE + least(k, ppi_len) / 10.0::DOUBLE)"
 
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
     temps = [1.0 + k / 10.0 for k in range(1, 31)]
-    cal = K.Calibration("centroid-1", ADJ, temps, [K.SafeMap("platt", a=2.0, b=-1.0)] * 30)
-    cal.check("centroid-1")
+    cal = K.Calibration("centroid-1", ADJ, temps, {k: K.Line(2.0, -1.0) for k in range(1, 31)}).of("centroid-1")
     s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, cal.adjustment, cal.temperatures)
     rows = C.reached(C.long_scores(s, ["pred", "conf"], ["flow_id", "label", "split", "ppi_len"]))
-    return cal.safe_probability(rows)
+    return cal.with_probability(rows)
 
 
 @query(

@@ -151,7 +151,7 @@ def robustness_summary(spark: SparkSession, sf: str) -> DataFrame:
     acc = M.accuracy(long, ["condition", "k"]).select("condition", F.lit("accuracy").alias("metric"), "k", F.col("accuracy").alias("value"))
     auc = acc.groupBy("condition").agg(F.avg("value").alias("value")).select("condition", F.lit("auc_k").alias("metric"), F.lit(0).alias("k"), "value")
     reports = acc.unionByName(auc)
-    R.assert_same_conditions(reports, [c.name for c in G.conditions(CONDS)], ["metric", "k"])
+    R.assert_same_conditions(reports, list(G.conditions(CONDS)), ["metric", "k"])
     return R.robustness(reports)
 
 

@@ -136,17 +136,20 @@ DRAW = lambda purpose: R.lcg_draw_sql(42, purpose, "CAST(label AS BIGINT)")  # n
 
 @query(
     "open_set_draw",
-    FL + f""", {PROFILE}, b AS (SELECT *, {DRAW('open-set')} AS o, support >= 3 AS ok, 20 // (SELECT count(DISTINCT category) FROM pf)
-   + CASE WHEN dense_rank() OVER (ORDER BY category) <= 20 % (SELECT count(DISTINCT category) FROM pf) THEN 1 ELSE 0 END AS quota FROM pf),
+    FL + f""", {PROFILE}, b AS (SELECT *, {DRAW('open-set')} AS o, support >= 3 AS ok, (SELECT count(*) // 5 FROM pf) // (SELECT count(DISTINCT category) FROM pf)
+   + CASE WHEN dense_rank() OVER (ORDER BY category) <= (SELECT count(*) // 5 FROM pf) % (SELECT count(DISTINCT category) FROM pf) THEN 1 ELSE 0 END AS quota FROM pf),
 e AS (SELECT *, count(*) OVER (PARTITION BY category) // 2 AS half, row_number() OVER (PARTITION BY category ORDER BY support, label) AS r FROM b WHERE ok),
 t AS (SELECT *, r <= half AS rare, CASE WHEN r <= half THEN least((quota + 1) // 2, half) ELSE quota - least((quota + 1) // 2, half) END AS take FROM e),
 i AS (SELECT *, row_number() OVER (PARTITION BY category, rare ORDER BY o, label) <= take AS first FROM t),
-u AS (SELECT label FROM i QUALIFY row_number() OVER (ORDER BY first DESC, o, label) <= 20),
-k AS (SELECT label FROM pf WHERE label NOT IN (SELECT label FROM u) QUALIFY row_number() OVER (ORDER BY {DRAW('open-set/known')}, label) <= 60)
+u AS (SELECT label FROM i QUALIFY row_number() OVER (ORDER BY first DESC, o, label) <= (SELECT count(*) // 5 FROM pf)),
+k AS (SELECT label FROM pf WHERE label NOT IN (SELECT label FROM u) QUALIFY row_number() OVER (ORDER BY {DRAW('open-set/known')}, label) <= (SELECT 3 * count(*) // 5 FROM pf))
 SELECT label, 'unknown' AS role FROM u UNION ALL SELECT label, 'known' FROM k""",
 )
 def open_set_draw(spark: SparkSession, sf: str) -> DataFrame:
-    return P.draw_open_set(profile(spark, sf), 60, 20, 3, 42)
+    """Three fifths of the classes known, one fifth unknown."""
+    classes = profile(spark, sf)
+    n = classes.count()
+    return P.draw_open_set(classes, 3 * n // 5, n // 5, 3, R.arithmetic(42))
 
 
 @query(
@@ -155,7 +158,7 @@ def open_set_draw(spark: SparkSession, sf: str) -> DataFrame:
 )
 def subsample_rows(spark: SparkSession, sf: str) -> DataFrame:
     orders = B.table(spark, sf, "orders").select("o_orderkey")
-    return P.subsample(orders, 500, 3, "o_orderkey")
+    return P.subsample(orders, 500, R.arithmetic(3), "o_orderkey")
 
 
 @query(
@@ -163,7 +166,7 @@ def subsample_rows(spark: SparkSession, sf: str) -> DataFrame:
     f"SELECT event_id FROM events ORDER BY {R.lcg_draw_sql(3, 'subsample', 'event_id')}, event_id LIMIT (SELECT CAST(round(count(*) * 0.1::DOUBLE) AS BIGINT) FROM events)",
 )
 def label_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    return P.label_fraction(B.table(spark, sf, "events").select("event_id"), 0.1, 3, "event_id")
+    return P.label_fraction(B.table(spark, sf, "events").select("event_id"), 0.1, R.arithmetic(3), "event_id")
 
 
 @query("row_sample")
@@ -215,7 +218,7 @@ SELECT pass_no, slot, vec_id FROM s WHERE slot <= (SELECT 3 * count(*) // 2 FROM
 )
 def epoch_permutations(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.table(spark, sf, "embeddings").select("vec_id")
-    return P.epoch_permutations(rows, 3 * rows.count() // 2, 5, "vec_id")
+    return P.epoch_permutations(rows, 3 * rows.count() // 2, R.arithmetic(5), "vec_id")
 
 
 @query("weighted_draw")
@@ -235,7 +238,7 @@ def weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
 )
 def at_most_per_class(spark: SparkSession, sf: str) -> DataFrame:
     rows = B.table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
-    return P.at_most_per_group(rows, "label", 12, 9, "vec_id")
+    return P.at_most_per_group(rows, "label", 12, R.arithmetic(9), "vec_id")
 
 
 @query(
@@ -243,7 +246,7 @@ def at_most_per_class(spark: SparkSession, sf: str) -> DataFrame:
     FL + f" SELECT flow_id, period FROM fl QUALIFY row_number() OVER (PARTITION BY period ORDER BY {R.lcg_draw_sql(9, 'per-group', 'flow_id')}, flow_id) <= 100",
 )
 def week_cap(spark: SparkSession, sf: str) -> DataFrame:
-    return P.at_most_per_group(ev_flows(spark, sf).select("flow_id", "period"), "period", 100, 9, "flow_id")
+    return P.at_most_per_group(ev_flows(spark, sf).select("flow_id", "period"), "period", 100, R.arithmetic(9), "flow_id")
 
 
 @query(
@@ -251,4 +254,4 @@ def week_cap(spark: SparkSession, sf: str) -> DataFrame:
     FL + f" SELECT flow_id, 'app-' || label AS name, label < 5 AS known FROM fl WHERE period = 'WEEK-2024-04' ORDER BY {R.lcg_draw_sql(2, 'subsample', 'flow_id')}, flow_id LIMIT 80",
 )
 def replay_sample(spark: SparkSession, sf: str) -> DataFrame:
-    return P.replay_sample(ev_flows(spark, sf), "WEEK-2024-04", 80, 2, ev_space(spark)).select("flow_id", "name", "known")
+    return P.replay_sample(ev_flows(spark, sf), "WEEK-2024-04", 80, R.arithmetic(2), ev_space(spark)).select("flow_id", "name", "known")

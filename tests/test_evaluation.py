@@ -168,7 +168,7 @@ def test_isotonic_map_is_pool_adjacent_violators(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double")
     m = K.fit_isotonic(df)
     want = pav(x.tolist(), y.tolist())
-    got = df.select("x", m.apply(F.col("x")).alias("p")).distinct().collect()
+    got = df.select("x", m.of(F.col("x")).alias("p")).distinct().collect()
     assert all(r["p"] == pytest.approx(want[r["x"]]) for r in got)
 
 
@@ -177,14 +177,18 @@ def test_platt_map_recovers_a_line(spark):
     x = rng.normal(0, 1, 3000)
     y = rng.random(3000) < 1 / (1 + np.exp(-(2 * x - 0.5)))
     m = K.fit_platt(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double"))
-    assert m.a == pytest.approx(2, abs=0.25) and m.b == pytest.approx(-0.5, abs=0.2)
+    assert m.slope == pytest.approx(2, abs=0.25) and m.offset == pytest.approx(-0.5, abs=0.2)
 
 
 def test_map_choice_and_checkpoint(spark):
-    none = spark.createDataFrame([], "x double, y double")
-    assert K.fit_safe_map(none).kind == "constant"
+    rng = np.random.default_rng(8)
+    rows = [(k, float(x), float(rng.random() < x)) for k, n in ((1, 40), (2, 30), (4, 120)) for x in rng.random(n)]
+    maps = K.fit_maps(spark.createDataFrame(rows, "k int, x double, y double"), range(1, 5), few=100)
+    assert [maps[k].kind for k in range(1, 5)] == ["platt", "platt", "constant", "isotonic"]
+    alone = K.fit_platt(spark.createDataFrame([r[1:] for r in rows if r[0] == 2], "x double, y double"))
+    assert maps[2] == pytest.approx(alone)
     with pytest.raises(ValueError):
-        K.Calibration("a", [], [], []).check("b")
+        K.Calibration("a", [], [], {}).of("b")
 
 
 def test_temperature_never_makes_it_worse(spark):

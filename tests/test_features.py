@@ -110,7 +110,10 @@ def test_draws_do_not_depend_on_partitions(flows):
 
 
 def test_conditions_are_checked():
-    assert G.conditions([{"name": "x", "kind": "drop", "value": 0.1}])[0] == G.CLEAN
+    assert list(G.conditions([{"name": "x", "kind": "drop", "value": 0.1}, G.UNDAMAGED])) == ["clean", "x"]
+    twice = {"name": "x", "kind": "drop", "value": 0.1}
+    with pytest.raises(ValueError):
+        G.conditions([twice, twice])
     for bad in ({"name": "x", "kind": "melt", "value": 1}, {"name": "x", "kind": "drop"}, {"name": "x", "kind": "drop", "value": 2.0}, {"name": "clean", "kind": "drop", "value": 0.1}):
         with pytest.raises(ValueError):
             G.conditions([bad])

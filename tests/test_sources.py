@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowtide import bindings as B
+from flowtide.functions import draws as R
 from flowtide.operators import splits as P
 from flowtide.sources import captures as CP
 from flowtide.sources import flow_csv as V
@@ -164,14 +165,14 @@ def test_label_space(spark):
 
 def test_open_set_draw_counts_and_support(spark):
     prof = spark.createDataFrame([(c, 10 * c, c % 3) for c in range(30)], "label int, support bigint, category int")
-    a = P.draw_open_set(prof, 15, 7, 50, 1)
+    a = P.draw_open_set(prof, 15, 7, 50, R.hashed(1))
     roles = {r["label"]: r["role"] for r in a.collect()}
     assert list(roles.values()).count("unknown") == 7 and list(roles.values()).count("known") == 15
     assert all(10 * c >= 50 for c, r in roles.items() if r == "unknown")
-    b = {r["label"] for r in P.draw_open_set(prof, 15, 7, 50, 2).where("role = 'unknown'").collect()}
+    b = {r["label"] for r in P.draw_open_set(prof, 15, 7, 50, R.hashed(2)).where("role = 'unknown'").collect()}
     assert b != {c for c, r in roles.items() if r == "unknown"}
     with pytest.raises(ValueError):
-        P.draw_open_set(prof, 30, 7, 50, 1)
+        P.draw_open_set(prof, 30, 7, 50, R.hashed(1))
 
 
 def test_sampling_does_not_depend_on_partitions(spark, sf):
@@ -179,3 +180,10 @@ def test_sampling_does_not_depend_on_partitions(spark, sf):
     a = P.sample_rows(rows, 0.2, 1, F.col("o_orderkey"))
     assert a.exceptAll(P.sample_rows(rows.repartition(5), 0.2, 1, F.col("o_orderkey"))).isEmpty()
     assert 0.1 < a.count() / rows.count() < 0.3
+
+
+def test_draws_differ_2_to_31_apart_and_take_strings(spark):
+    rows = spark.createDataFrame([(i + j * 2**31, f"k{i}") for i in range(50) for j in (0, 1)], "id bigint, name string")
+    d = rows.select("name", R.hashed(4)("x", F.col("id")).alias("d"), R.hashed(4)("x", F.col("name")).alias("e"))
+    assert d.select("d").distinct().count() == 100 and d.select("e").distinct().count() == 50
+    assert P.subsample(rows.select("name").distinct(), 20, R.hashed(1), "name").count() == 20
