@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 from typing import Protocol
 
 import numpy as np
@@ -286,142 +287,140 @@ def class_validity(train: DataFrame, min_flows: int = 50) -> DataFrame:
     )
 
 
-def gaussian_sums(train: DataFrame, dim: int, project: Callable[[np.ndarray, int], np.ndarray]) -> DataFrame:
-    """Sufficient statistics per (k, label): n, sum of x, sum of the outer product (flat).
+def em_projection(x: np.ndarray, dim: int = 2 * S.K_MAX) -> np.ndarray:
+    """[n, 30, dim]: per K the features its packets have filled, two each, and zeros behind them."""
+    filled = np.arange(dim)[None] < 2 * np.arange(1, S.K_MAX + 1)[:, None]
+    return x[:, None, :dim] * filled[None]
 
-    Every task adds up its own rows, so a task sends one row per (k, label) whatever its size.
-    An unknown label raises.
+
+#: flows whose per-K copies are held at a time
+SLICE = 512
+
+
+def gaussian_sums(train: DataFrame, project: Callable[[np.ndarray], np.ndarray], full: bool = True) -> DataFrame:
+    """Moments per (k, label) as rows (k, label, i, j, v): the count at (0, 0), the sum of x_i at (i, 0), the sum
+    of x_i x_j at i <= j, numbered from 1; without ``full`` only i = j. Flows count at the K they reached.
+
+    A task adds up its own rows and sends one set of numbers per (k, label), whatever its size. A flow of an
+    unknown class raises.
     """
-    out = T.StructType(
-        [
-            T.StructField("k", T.IntegerType()),
-            T.StructField("label", T.IntegerType()),
-            T.StructField("n", T.LongType()),
-            T.StructField("s", T.ArrayType(T.DoubleType())),
-            T.StructField("o", T.ArrayType(T.DoubleType())),
-        ]
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[tuple[int, int], list] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for b in batches:
-            if b.num_rows == 0:
-                continue
-            x = _matrix(b.column("x")).astype(np.float64)
-            y = b.column("label").to_numpy()
-            n = b.column("ppi_len").to_numpy()
-            if (y < 0).any():
-                raise ValueError("unknown-class flows must not reach the Gaussian fit")
-            for k in range(1, S.K_MAX + 1):
-                xk = project(x, k)
-                for c in np.unique(y[n >= k]):
-                    rows = xk[(n >= k) & (y == c)]
-                    one = acc.setdefault((k, int(c)), [0, np.zeros(dim), np.zeros((dim, dim))])
-                    one[0] += len(rows)
-                    one[1] += rows.sum(0)
-                    one[2] += rows.T @ rows
-        if acc:
-            keys = list(acc)
+            label, length = (b.column(c).to_numpy() for c in ("label", "ppi_len"))
+            if (label < 0).any():
+                raise ValueError("a Gaussian fit takes flows of known classes only")
+            x = _matrix(b.column("x")).astype(np.float64) if b.num_rows else np.zeros((0, 1))
+            for i in range(0, b.num_rows, SLICE):
+                own = slice(i, i + SLICE)
+                reached = np.arange(1, S.K_MAX + 1)[None] <= length[own, None]
+                seen = project(x[own]) * reached[..., None]
+                for c in np.unique(label[own]).tolist():
+                    mine = label[own] == c
+                    v = seen[mine]
+                    square = np.einsum("nkd,nke->kde", v, v) if full else np.einsum("nkd,nkd->kd", v, v)
+                    parts = [reached[mine].sum(0).astype(float), v.sum(0), square]
+                    held[c] = [p + q for p, q in zip(held[c], parts, strict=True)] if c in held else parts
+        for c, (n, total, square) in held.items():
+            dim = total.shape[1]
+            i, j = np.triu_indices(dim) if full else (np.arange(dim),) * 2
+            left = np.concatenate(([0], np.arange(1, dim + 1), i + 1))
+            right = np.concatenate(([0], np.zeros(dim, int), j + 1))
+            values = np.concatenate((n[:, None], total, square[:, i, j] if full else square), axis=1)
+            used = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([k for k, _ in keys], pa.int32()),
-                    pa.array([c for _, c in keys], pa.int32()),
-                    pa.array([acc[i][0] for i in keys], pa.int64()),
-                    _arrays(np.stack([acc[i][1] for i in keys])),
-                    _arrays(np.stack([acc[i][2].reshape(-1) for i in keys])),
+                    pa.array(np.repeat(used + 1, len(left)), pa.int32()), pa.array(np.full(len(used) * len(left), c), pa.int32()),
+                    pa.array(np.tile(left, len(used)), pa.int32()), pa.array(np.tile(right, len(used)), pa.int32()), pa.array(values[used].ravel()),
                 ],
-                names=["k", "label", "n", "s", "o"],
+                names=["k", "label", "i", "j", "v"],
             )
 
-    parts = train.select("x", "label", "ppi_len").mapInArrow(run, out)
-    flat = parts.select("k", "label", F.lit(0).alias("i"), F.col("n").cast("double").alias("v")).unionByName(
-        parts.select("k", "label", F.posexplode("s").alias("i", "v")).withColumn("i", F.col("i") + 1)
-    ).unionByName(
-        parts.select("k", "label", F.posexplode("o").alias("i", "v")).withColumn("i", F.col("i") + 1 + dim)
-    )
-    return flat.groupBy("k", "label", "i").agg(F.sum("v").alias("v"))
+    parts = train.select("x", "label", "ppi_len").mapInArrow(run, "k int, label int, i int, j int, v double")
+    return parts.groupBy("k", "label", "i", "j").agg(F.sum("v").alias("v"))
 
 
-def em_projection(x: np.ndarray, k: int, dim: int = 16) -> np.ndarray:
-    """First ``dim`` features, zero past the prefix."""
-    out = x[:, :dim].copy()
-    out[:, 2 * k :] = 0.0
-    return out
+class Distances(NamedTuple):
+    """What a relative distance needs per K: the centres of the classes and, last, of all flows; the inverse
+    spread inside classes and of all flows (matrices, or diagonals); which classes have enough flows."""
 
+    centre: np.ndarray  # [30, C + 1, d]
+    inverse: np.ndarray  # [30, 2, d, d] or [30, 2, d]
+    enough: np.ndarray  # [30, C]
 
-@dataclass(frozen=True)
-class GaussianBank:
-    """Per-K class means, pooled precision and a background Gaussian (small driver-side arrays)."""
-
-    means: np.ndarray  # [30, C, d]
-    precision: np.ndarray  # [30, d, d]
-    bg_mean: np.ndarray  # [30, d]
-    bg_precision: np.ndarray  # [30, d, d]
-    valid: np.ndarray  # [30, C]
-
-    def distance(self, xk: np.ndarray, k: int) -> np.ndarray:
-        """min_c d(x, c) - d(x, background) at prefix ``k``; 0 where no class is valid."""
-        ok = self.valid[k - 1]
-        if not ok.any():
-            return np.zeros(len(xk))
-        gaps = xk[:, None, :] - self.means[k - 1][ok][None]
-        near = np.einsum("ncd,de,nce->nc", gaps, self.precision[k - 1], gaps).min(axis=1)
-        back = xk - self.bg_mean[k - 1]
-        return near - np.einsum("nd,de,ne->n", back, self.bg_precision[k - 1], back)
-
-
-def fit_bank(
-    sums: DataFrame, n_classes: int, dim: int, min_flows: int = 50, shrinkage: float = 0.1, diagonal: bool = False
-) -> GaussianBank:
-    """Turn the sufficient statistics into a bank. 30 x C x (1 + d + d^2) numbers come back.
-
-    Pooled covariance divides by n - #classes, the background by n; both are shrunk towards their
-    mean variance. ``diagonal`` keeps variances only (dimensions without spread are left out).
+    def relative(self, seen: np.ndarray) -> np.ndarray:
+        """[n, 30] from [n, 30, d]: the distance to the nearest class less that to all flows, 0 without a class."""
+        out = np.zeros(seen.shape[:2])
+        far = np.where(np.append(self.enough, np.ones((len(self.enough), 1), bool), axis=1), 0.0, np.inf)
+        for i in range(0, len(seen), SLICE):
+            gap = seen[i : i + SLICE, :, None] - self.centre[None]
+            inside, overall = (self._size(g, side) for g, side in ((gap[:, :, :-1], 0), (gap[:, :, -1:], 1)))
+            near = (inside + far[None, :, :-1]).min(axis=2, initial=np.inf)
+            out[i : i + SLICE] = np.where(np.isfinite(near), near - overall[:, :, 0], 0.0)
+        return out
+
+    def _size(self, gap: np.ndarray, side: int) -> np.ndarray:
+        inverse = self.inverse[:, side]
+        turned = gap * inverse[None, :, None] if inverse.ndim == 2 else np.einsum("nkcd,kde->nkce", gap, inverse)
+        return (turned * gap).sum(axis=-1)
+
+
+def _shrunk_inverse(spread: np.ndarray, shrinkage: float) -> np.ndarray:
+    """Inverses of matrices [.., d, d], or of diagonals [.., d], drawn towards their mean variance. In a diagonal,
+    dimensions without spread count as zero and are left out."""
+    if spread.ndim == 3:
+        dim = spread.shape[-1]
+        mean = np.trace(spread, axis1=1, axis2=2)[:, None, None] / dim
+        return np.linalg.inv((1 - shrinkage) * spread + shrinkage * mean * np.eye(dim))
+    live = spread > 1e-15
+    mean = np.where(live, spread, 0.0).sum(-1, keepdims=True) / np.maximum(live.sum(-1, keepdims=True), 1)
+    drawn = (1 - shrinkage) * spread + shrinkage * mean
+    return np.where(live, 1.0 / np.where(live, drawn, 1.0), 0.0)
+
+
+def fit_distances(sums: DataFrame, n_classes: int, dim: int, min_flows: int = 50, shrinkage: float = 0.1) -> Distances:
+    """Distances from the moments of ``gaussian_sums``; 30 x classes x dimensions^2 numbers at most come back.
+
+    The spread inside classes pools the classes with enough flows and loses a degree of freedom to each. A K at
+    which nothing can be said keeps unit spread.
     """
-    n = np.zeros((S.K_MAX, n_classes))
-    s = np.zeros((S.K_MAX, n_classes, dim))
-    o = np.zeros((S.K_MAX, n_classes, dim * dim))
-    for r in sums.collect():
-        k, c, i = r["k"] - 1, r["label"], r["i"]
-        if i == 0:
-            n[k, c] = r["v"]
-        elif i <= dim:
-            s[k, c, i - 1] = r["v"]
-        else:
-            o[k, c, i - 1 - dim] = r["v"]
-    valid = n >= min_flows
-    means, bg_mean = np.zeros((S.K_MAX, n_classes, dim)), np.zeros((S.K_MAX, dim))
-    prec = np.tile(np.eye(dim), (S.K_MAX, 1, 1))
-    bg_prec = prec.copy()
-
-    def inverse(cov: np.ndarray) -> np.ndarray:
-        if diagonal:
-            v = np.diag(cov)
-            live = v > 1e-15
-            mean = v[live].mean() if live.any() else 1.0
-            out = np.zeros(dim)
-            out[live] = 1.0 / ((1 - shrinkage) * v[live] + shrinkage * mean)
-            return np.diag(out)
-        cov = (1 - shrinkage) * cov + shrinkage * (np.trace(cov) / dim) * np.eye(dim)
-        return np.linalg.inv(cov)
-
-    for k in range(S.K_MAX):
-        ok = valid[k]
-        if ok.any() and n[k][ok].sum() > ok.sum():
-            mu = s[k][ok] / n[k][ok][:, None]
-            means[k][ok] = mu
-            scatter = o[k][ok].sum(0).reshape(dim, dim) - (mu * n[k][ok][:, None]).T @ mu
-            prec[k] = inverse(scatter / (n[k][ok].sum() - ok.sum()))
-        total = n[k].sum()
-        if total > 1:
-            bg_mean[k] = s[k].sum(0) / total
-            bg_prec[k] = inverse(
-                o[k].sum(0).reshape(dim, dim) / total - np.outer(bg_mean[k], bg_mean[k])
-            )
-    return GaussianBank(means, prec, bg_mean, bg_prec, valid)
+    got = sums.toArrow()
+    k, c, i, j = (got.column(n).to_numpy() for n in ("k", "label", "i", "j"))
+    v = got.column("v").to_numpy()
+    full = bool(((j > 0) & (i != j)).any())
+    n, total = np.zeros((S.K_MAX, n_classes)), np.zeros((S.K_MAX, n_classes, dim))
+    square = np.zeros((S.K_MAX, n_classes, dim, dim) if full else (S.K_MAX, n_classes, dim))
+    at, one, two = i == 0, (i > 0) & (j == 0), j > 0
+    n[k[at] - 1, c[at]] = v[at]
+    total[k[one] - 1, c[one], i[one] - 1] = v[one]
+    if full:
+        for a, b in ((i, j), (j, i)):
+            square[k[two] - 1, c[two], a[two] - 1, b[two] - 1] = v[two]
+    else:
+        square[k[two] - 1, c[two], i[two] - 1] = v[two]
+    outer = (lambda x: x[..., :, None] * x[..., None, :]) if full else np.square
+    wide = (slice(None),) + (None,) * (square.ndim - 2)
+    enough = n >= min_flows
+    mean = total / np.maximum(n, 1)[..., None]
+    counted = np.where(enough, n, 0.0)
+    kept = counted.reshape(counted.shape + (1,) * (square.ndim - 2))
+    inside = (np.where(kept > 0, square, 0.0) - kept * outer(mean)).sum(axis=1)
+    freedom = counted.sum(1) - enough.sum(1)
+    every = n.sum(1)
+    middle = total.sum(1) / np.maximum(every, 1)[:, None]
+    overall = square.sum(1) / np.maximum(every, 1)[wide] - outer(middle)
+    unit = np.eye(dim) if full else np.ones(dim)
+    pair = [
+        np.where((known > 0)[wide], _shrunk_inverse(np.where((known > 0)[wide], spread, unit), shrinkage), unit)
+        for known, spread in ((np.maximum(freedom, 0), inside / np.maximum(freedom, 1)[wide]), (np.maximum(every - 1, 0), overall))
+    ]
+    # without freedom there is no spread to measure a class by, and without two flows no middle
+    centre = np.concatenate((np.where((enough & (freedom > 0)[:, None])[..., None], mean, 0.0), np.where(every > 1, 1.0, 0.0)[:, None, None] * middle[:, None]), axis=1)
+    return Distances(centre, np.stack(pair, axis=1), enough)
 
 
-def add_mahal(flows: DataFrame, bank: GaussianBank, digits: int = DIGITS) -> DataFrame:
+def add_mahal(flows: DataFrame, distances: Distances) -> DataFrame:
     """Adds ``mahal``: the relative distance of every prefix, carried past the flow's end."""
     cols = flows.columns
     out = T.StructType([*flows.schema.fields, T.StructField("mahal", T.ArrayType(T.DoubleType()))])
@@ -432,10 +431,8 @@ def add_mahal(flows: DataFrame, bank: GaussianBank, digits: int = DIGITS) -> Dat
                 continue
             x = _matrix(b.column("x")).astype(np.float64)
             last = np.clip(b.column("ppi_len").to_numpy(), 1, S.K_MAX)
-            dim = bank.means.shape[2]
-            m = np.stack([bank.distance(em_projection(x, k, dim), k) for k in range(1, S.K_MAX + 1)], axis=1)
             at = np.minimum(np.arange(S.K_MAX)[None], last[:, None] - 1)
-            m = np.round(np.take_along_axis(m, at, axis=1), digits)
+            m = np.take_along_axis(distances.relative(em_projection(x, distances.centre.shape[2])), at, axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, _arrays(m)], names=[*cols, "mahal"])
 
     return flows.mapInArrow(run, out)
@@ -455,7 +452,7 @@ class ScoreModel:
     scorer: Scorer
     adjustment: np.ndarray | None = None
     temperatures: np.ndarray | None = None
-    bank: GaussianBank | None = None
+    bank: Distances | None = None
     moments: np.ndarray | None = None
     weights: tuple[float, float, float] = (1.0, 1.0, 0.5)
     digits: int = DIGITS
@@ -492,9 +489,8 @@ class ScoreModel:
         count = np.cumsum(valid, axis=1)
         out["surprise"] = np.round(np.where(count > 0, run / np.maximum(count, 1), 0.0), MEAN_DIGITS)
         if self.bank is not None:
-            dim = self.bank.means.shape[2]
-            d = [self.bank.distance(em_projection(x, k, dim), k) for k in range(1, S.K_MAX + 1)]
-            out["mahal"] = np.round(np.stack(d, axis=1)[rows, at], self.digits)
+            seen = em_projection(x, self.bank.centre.shape[2])
+            out["mahal"] = np.round(self.bank.relative(seen)[rows, at], self.digits)
         if self.moments is not None:
             # past a flow's end the position keeps its own K's moments, as the arrays are per K
             z = [(out[s] - self.moments[:, j, 0]) / self.moments[:, j, 1] for j, s in enumerate(SIGNALS)]

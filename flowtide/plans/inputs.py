@@ -24,7 +24,8 @@ def r6(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
 
-EM_DIM = 16
+#: a prefix of 30 packets fills 60 features
+EM_DIM = 60
 EM_MIN_FLOWS = 10
 
 
@@ -46,8 +47,8 @@ def em_bank(spark: SparkSession, sf_dir: str, diagonal: bool = True):
     from flowtide.operators import scores as C
 
     train = C.known_only(B.em_flows(spark, sf_dir).where("split = 'train'"))
-    sums = C.gaussian_sums(train, EM_DIM, C.em_projection)
-    return C.fit_bank(sums, B.EM_CLASSES, EM_DIM, EM_MIN_FLOWS, diagonal=diagonal)
+    sums = C.gaussian_sums(train, C.em_projection, full=not diagonal)
+    return C.fit_distances(sums, B.EM_CLASSES, EM_DIM, EM_MIN_FLOWS)
 
 
 def em_model(spark: SparkSession, sf_dir: str):

@@ -10,7 +10,7 @@ from flowtide import schema as S
 from flowtide.operators import scores as C
 from flowtide.plans import sql as Q
 from flowtide.plans.features import LONG, TOKENS_SQL
-from flowtide.plans.inputs import EM_DIM, em_bank, em_scored, em_scores, ev_long_flows
+from flowtide.plans.inputs import em_bank, em_scored, em_scores, ev_long_flows
 from flowtide.plans.registry import query
 
 
@@ -159,18 +159,17 @@ def score_content_hash(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "gaussian_sums",
-    Q.EM_LOGITS + """, t AS (SELECT em.flow_id, em.label, em.ppi_len, list(v ORDER BY d) FILTER (d <= 16) AS x
-  FROM em JOIN dv USING (flow_id) WHERE split = 'train' AND label >= 0 GROUP BY ALL),
-g AS (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k),
-a AS (SELECT CAST(unnest(range(1, 17)) AS INTEGER) AS i), b AS (SELECT CAST(unnest(range(1, 17)) AS INTEGER) AS j),
-f AS (SELECT k, label, t.ppi_len, t.x FROM t JOIN g ON t.ppi_len >= k)
-SELECT k, label, 0 AS i, round(count(*), 6)::DOUBLE AS v FROM f GROUP BY ALL
-UNION ALL SELECT k, label, i, round(sum(CASE WHEN i <= 2 * k THEN x[i] ELSE 0 END), 6) FROM f, a GROUP BY ALL
-UNION ALL SELECT k, label, 16 + (i - 1) * 16 + j, round(sum(CASE WHEN greatest(i, j) <= 2 * k THEN x[i] * x[j] ELSE 0 END), 6) FROM f, a, b GROUP BY k, label, i, j""",
+    Q.EM_LOGITS + """, f AS MATERIALIZED (SELECT g.k, em.label, dv.flow_id, d, CASE WHEN d <= 2 * g.k THEN v ELSE 0 END AS v
+  FROM em JOIN dv USING (flow_id) JOIN (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k) g ON em.ppi_len >= g.k
+  WHERE split = 'train' AND label >= 0 AND d <= 60)
+SELECT k, label, 0 AS i, 0 AS j, round(count(*) / 60, 6)::DOUBLE AS v FROM f GROUP BY ALL
+UNION ALL SELECT k, label, CAST(d AS INTEGER), 0, round(sum(v), 6) FROM f GROUP BY k, label, d
+UNION ALL SELECT a.k, a.label, CAST(a.d AS INTEGER), CAST(b.d AS INTEGER), round(sum(a.v * b.v), 6)
+  FROM f a JOIN f b ON a.flow_id = b.flow_id AND a.k = b.k AND a.d <= b.d GROUP BY a.k, a.label, a.d, b.d""",
 )
 def gaussian_sums(spark: SparkSession, sf: str) -> DataFrame:
     train = C.known_only(B.em_flows(spark, sf).where("split = 'train'"))
-    return C.gaussian_sums(train, EM_DIM, C.em_projection).select("k", "label", "i", (F.round("v", 6) + 0.0).alias("v"))
+    return C.gaussian_sums(train, C.em_projection).select("k", "label", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query(

@@ -189,10 +189,10 @@ sc AS MATERIALIZED (SELECT cs.*, conf AS p_safe, coalesce(round((SELECT avg(1.0:
     WHERE b.flow_id = cs.flow_id AND b.k >= 2 AND b.k <= least(cs.k, cs.ppi_len)), 12), 0.0::DOUBLE) AS surprise FROM cs)"""
 )
 
-#: diagonal relative distance on the first 16 features, shrunk by 0.1, classes with >= 10 flows
+#: diagonal relative distance on the 60 features that prefixes fill, shrunk by 0.1, classes with >= 10 flows
 EM_MAHAL = """,
 tr AS MATERIALIZED (SELECT em.flow_id, em.label AS c, em.ppi_len, d, v FROM em JOIN dv USING (flow_id)
-  WHERE split = 'train' AND label >= 0 AND d <= 16),
+  WHERE split = 'train' AND label >= 0 AND d <= 60),
 ks AS (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k),
 vc AS MATERIALIZED (SELECT k, label AS c, count(*) AS n FROM em, ks WHERE split = 'train' AND label >= 0 AND ppi_len >= k
   GROUP BY k, label HAVING count(*) >= 10),

@@ -328,15 +328,22 @@ def test_gaussian_fit_refuses_unknown_and_matches_numpy(spark):
     x = rng.normal(0, 1, (80, 60))
     y = rng.integers(0, 2, 80)
     df = spark.createDataFrame([(i, int(y[i]), 30, x[i].tolist()) for i in range(80)], "flow_id bigint, label int, ppi_len int, x array<double>")
-    bank = C.fit_bank(C.gaussian_sums(df, 4, lambda v, k: C.em_projection(v, k, 4)), 2, 4, 10)
+    four = lambda v: C.em_projection(v, 4)
+    bank = C.fit_distances(C.gaussian_sums(df, four), 2, 4, 10)
     p = x[:, :4]
     mu = np.stack([p[y == c].mean(0) for c in (0, 1)])
     res = p - mu[y]
     cov = res.T @ res / 78
     cov = 0.9 * cov + 0.1 * np.trace(cov) / 4 * np.eye(4)
-    assert np.allclose(bank.precision[29], np.linalg.inv(cov)) and np.allclose(bank.means[29], mu)
-    with pytest.raises(Exception, match="unknown-class"):
-        C.gaussian_sums(df.withColumn("label", F.lit(-1)), 4, lambda v, k: C.em_projection(v, k, 4)).collect()
+    assert np.allclose(bank.inverse[29, 0], np.linalg.inv(cov)) and np.allclose(bank.centre[29, :2], mu)
+    assert np.allclose(bank.centre[29, 2], p.mean(0))
+    plain = C.fit_distances(C.gaussian_sums(df, four, full=False), 2, 4, 10)
+    var = (res**2).sum(0) / 78
+    assert np.allclose(plain.inverse[29, 0], 1 / (0.9 * var + 0.1 * var.mean()))
+    few = C.fit_distances(C.gaussian_sums(df, four, full=False), 2, 4, 1000)
+    assert not few.relative(four(x)).any() and few.enough.sum() == 0
+    with pytest.raises(Exception, match="known classes"):
+        C.gaussian_sums(df.withColumn("label", F.lit(-1)), four).collect()
 
 
 def test_first_rejection_and_missing_thresholds(spark):
