@@ -72,7 +72,7 @@ def window_signals(
 def dominant_period(decisions: DataFrame, by: Sequence[str] = ("window_id",)) -> DataFrame:
     """Most common period of every window; the lowest wins a tie."""
     counts = decisions.groupBy(*by, "period").agg(F.count("*").alias("_c"))
-    return counts.groupBy(*by).agg(F.max_by("period", F.struct("_c", -F.col("period"))).alias("period"))
+    return counts.groupBy(*by).agg(F.min_by("period", F.struct(-F.col("_c"), F.col("period"))).alias("period"))
 
 
 def unpivot_signals(windows: DataFrame, signals: Sequence[str], keep: Sequence[str] = ("window_id",)) -> DataFrame:
@@ -283,6 +283,13 @@ def decay_summary(weeks: DataFrame, metrics: Sequence[str], base: str = "test_id
     )
 
 
+def early_minus_late(summary: DataFrame, early: str, late: str) -> DataFrame:
+    """How much more an early prefix changed than a late one: the difference of two metrics' changes, below zero
+    when the early one loses more."""
+    change = lambda m: F.max(F.when(F.col("metric") == m, F.col("change")))
+    return summary.agg((change(early) - change(late)).alias("early_minus_late"))
+
+
 def first_events(levels: DataFrame) -> DataFrame:
     """First warning, first alarm and number of alarm windows."""
     warn = F.col("level") != "none"
@@ -312,15 +319,19 @@ def lead_weeks(
 ) -> DataFrame:
     """Floor = base mean minus the drop; first drift week at or below it; weeks the warning and the
     alarm came earlier (positive = before)."""
-    floor = decay.agg((F.avg(F.when(F.col("split") == base_split, F.col(metric))) - drop).alias("floor"))
-    below = decay.where(F.col("split") == drift_split).crossJoin(F.broadcast(floor)).agg(
-        F.max("floor").alias("floor"), F.min(F.when(F.col(metric) <= F.col("floor"), F.col("period"))).alias("first_below")
+    # weeks are counted by their place among the weeks on record, so labels may be of any type
+    weeks = decay.withColumn("_at", F.row_number().over(W.orderBy(F.col("split") == drift_split, "period")))
+    floor = weeks.agg((F.avg(F.when(F.col("split") == base_split, F.col(metric))) - drop).alias("floor"))
+    low = F.when((F.col("split") == drift_split) & (F.col(metric) <= F.col("floor")), F.col("_at"))
+    below = weeks.crossJoin(F.broadcast(floor)).agg(
+        F.max("floor").alias("floor"), F.min_by("period", low).alias("first_below"), F.min(low).alias("_below")
     )
     hits = windows.select("window_id", "period").join(levels, "window_id").agg(
         F.min_by("period", F.when(F.col("level") != "none", F.col("window_id"))).alias("warning_week"),
         F.min_by("period", F.when(F.col("level") == "alarm", F.col("window_id"))).alias("alarm_week"),
     )
     one = below.crossJoin(hits)
-    return one.withColumns(
-        {"lead_warning": F.col("first_below") - F.col("warning_week"), "lead_alarm": F.col("first_below") - F.col("alarm_week")}
-    )
+    for name in ("warning", "alarm"):
+        at = weeks.groupBy(F.col("period").alias(f"{name}_week")).agg(F.max("_at").alias("_hit"))
+        one = one.join(F.broadcast(at), f"{name}_week", "left").withColumn(f"lead_{name}", F.col("_below") - F.col("_hit")).drop("_hit")
+    return one.select("floor", "first_below", "warning_week", "alarm_week", "lead_warning", "lead_alarm")

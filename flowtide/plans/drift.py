@@ -274,31 +274,43 @@ def weekly_decay_capped(spark: SparkSession, sf: str) -> DataFrame:
     return D.weekly_decay(s, 0.5, ks=(5, 8, 30), by=["period"], week_cap=15)
 
 
+DECAY_SUMMARY_SQL = f"""WITH wk AS (SELECT {Q.week_sql('o_orderdate')} AS period, CASE WHEN extract('year' FROM o_orderdate) < 1995 THEN 'test_id' ELSE 'test_drift' END AS split, avg(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS n_orders
+  FROM orders GROUP BY 1, 2),
+l AS (SELECT split, period, 'price' AS metric, price AS value FROM wk UNION ALL SELECT split, period, 'n_orders', n_orders FROM wk),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric, split ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY metric, split) AS n FROM l),
+ds AS (SELECT metric, avg(value) FILTER (split = 'test_id') AS base, avg(value) FILTER (split = 'test_drift' AND i >= n - 4) AS last_drift,
+ avg(value) FILTER (split = 'test_drift' AND i >= n - 4) - avg(value) FILTER (split = 'test_id') AS change,
+ regr_slope(value, CAST(i AS DOUBLE)) FILTER (split = 'test_drift') AS slope_per_week FROM r GROUP BY metric)"""
+
+
+def order_decay(spark: SparkSession, sf: str) -> DataFrame:
+    orders = B.table(spark, sf, "orders").select("o_orderdate", "o_totalprice")
+    split = F.when(F.year("o_orderdate") < 1995, F.lit("test_id")).otherwise(F.lit("test_drift"))
+    weeks = orders.groupBy(week_label(F.col("o_orderdate")).alias("period"), split.alias("split")).agg(
+        F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("n_orders")
+    )
+    return D.decay_summary(weeks, ["price", "n_orders"])
+
+
 @query(
     "decay_summary",
-    f"""WITH wk AS (SELECT {Q.week_sql('o_orderdate')} AS period, CASE WHEN extract('year' FROM o_orderdate) = 1996 THEN 'test_id' ELSE 'test_drift' END AS split, avg(o_totalprice) AS price, CAST(count(*) AS DOUBLE) AS n_orders
-  FROM orders WHERE extract('year' FROM o_orderdate) IN (1996, 1997) GROUP BY 1, 2),
-l AS (SELECT split, period, 'price' AS metric, price AS value FROM wk UNION ALL SELECT split, period, 'n_orders', n_orders FROM wk),
-r AS (SELECT *, row_number() OVER (PARTITION BY metric, split ORDER BY period) - 1 AS i, count(*) OVER (PARTITION BY metric, split) AS n FROM l)
-SELECT metric, round(avg(value) FILTER (split = 'test_id'), 4) AS base, round(avg(value) FILTER (split = 'test_drift' AND i >= n - 4), 4) AS last_drift,
- round(avg(value) FILTER (split = 'test_drift' AND i >= n - 4) - avg(value) FILTER (split = 'test_id'), 4) AS change,
- round(regr_slope(value, CAST(i AS DOUBLE)) FILTER (split = 'test_drift'), 4) AS slope_per_week FROM r GROUP BY metric""",
+    DECAY_SUMMARY_SQL + " SELECT metric, round(base, 4) AS base, round(last_drift, 4) AS last_drift, round(change, 4) AS change, round(slope_per_week, 4) AS slope_per_week FROM ds",
 )
 def decay_summary(spark: SparkSession, sf: str) -> DataFrame:
-    orders = B.table(spark, sf, "orders").select("o_orderdate", "o_totalprice")
-    year = F.year("o_orderdate")
-    weeks = (
-        orders.where(year.isin(1996, 1997))
-        .groupBy(
-            week_label(F.col("o_orderdate")).alias("period"),
-            F.when(year == 1996, F.lit("test_id")).otherwise(F.lit("test_drift")).alias("split"),
-        )
-        .agg(F.avg("o_totalprice").alias("price"), F.count("*").cast("double").alias("n_orders"))
-    )
-    out = D.decay_summary(weeks, ["price", "n_orders"])
+    """Weekly order prices and counts of all years, the first three as the base."""
+    out = order_decay(spark, sf)
     return out.select("metric", *[F.round(c, 4).alias(c) for c in out.columns if c != "metric"])
 
 
+@query(
+    "decay_early_minus_late",
+    DECAY_SUMMARY_SQL + " SELECT round(max(change) FILTER (metric = 'price') - max(change) FILTER (metric = 'n_orders'), 4) AS early_minus_late FROM ds",
+)
+def decay_early_minus_late(spark: SparkSession, sf: str) -> DataFrame:
+    out = D.early_minus_late(order_decay(spark, sf), "price", "n_orders")
+    return out.select(F.round("early_minus_late", 4).alias("early_minus_late"))
+
+
 @query(
     "signal_validation",
     Q.EM_SCORES + f""", {WINDOWS_SQL}, {DOMINANT}, {DECAY_SQL}, wm AS (SELECT period, {', '.join(f'round(avg({s}), 9) AS {s}' for s in SIGNALS)} FROM ws JOIN dp USING (window_id) GROUP BY period),

@@ -246,9 +246,17 @@ SUMMARY = """SELECT CAST(count(*) AS BIGINT) AS n, round(avg(k), 6) AS mean_k, r
  round(avg(k) FILTER (label < 0), 6) AS mean_k_unknown, round(avg(k) FILTER (label < 0 AND decision IN (1,3)), 6) AS rejection_k"""
 
 
-@query("policy_summary", Q.EM_SCORES + f", {Q.theta_sql(0.1)}, {SAFE_SQL} {SUMMARY} FROM de")
+def open_f1_sql(src: str) -> str:
+    """Macro-F1 over the classes among the labels of ``src``, the unknown one included."""
+    return f"""(SELECT round(avg(CASE WHEN tp > 0 THEN 2.0::DOUBLE * tp / (predicted + support) ELSE 0 END), 6) FROM (
+  SELECT c, (SELECT count(*) FROM {src} WHERE label = c AND prediction IN (SELECT label FROM {src})) AS support,
+   (SELECT count(*) FROM {src} WHERE prediction = c) AS predicted, (SELECT count(*) FROM {src} WHERE label = c AND prediction = c) AS tp
+  FROM (SELECT DISTINCT label AS c FROM {src})) WHERE support > 0) AS open_set_macro_f1"""
+
+
+@query("policy_summary", Q.EM_SCORES + f", {Q.theta_sql(0.1)}, {SAFE_SQL} {SUMMARY}, {open_f1_sql('de')} FROM de")
 def policy_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = H.summarize(safe_decisions(spark, sf))
+    out = H.policy_summary(safe_decisions(spark, sf))
     return out.select(*[c if c == "n" else F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -344,8 +352,8 @@ def packets_for_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "open_world",
     Q.EM_SCORES + f""", {theta_fit_sql(6.0, "split = 'val'")}, {Q.theta_sql(0.02)}, {safe_sql('(SELECT theta FROM tf)', name='rf')}, {safe_sql('(SELECT theta FROM tf)', 'commit_first', name='cf')}
-{SUMMARY}, 'reject_first' AS check_order, round((SELECT theta FROM tf), 6) AS theta_commit, 1.0::DOUBLE AS reachable, round((SELECT mk FROM tf), 6) AS val_mean_k FROM rf
-UNION ALL {SUMMARY}, 'commit_first', round((SELECT theta FROM tf), 6), 1.0::DOUBLE, round((SELECT mk FROM tf), 6) FROM cf""",
+{SUMMARY}, {open_f1_sql('rf')}, 'reject_first' AS check_order, round((SELECT theta FROM tf), 6) AS theta_commit, 1.0::DOUBLE AS reachable, round((SELECT mk FROM tf), 6) AS val_mean_k FROM rf
+UNION ALL {SUMMARY}, {open_f1_sql('cf')}, 'commit_first', round((SELECT theta FROM tf), 6), 1.0::DOUBLE, round((SELECT mk FROM tf), 6) FROM cf""",
 )
 def open_world(spark: SparkSession, sf: str) -> DataFrame:
     from flowtide.operators import evaluate as V

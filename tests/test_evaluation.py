@@ -350,3 +350,13 @@ def test_first_rejection_and_missing_thresholds(spark):
     df = spark.createDataFrame([([0.0, 9.0, 9.0, 9.0] + [0.0] * 26, 4)], "u array<double>, n int")
     got = df.select(C.first_rejection(F.col("u"), [5.0] * 30, F.col("n")).alias("a"), C.first_rejection(F.col("u"), [None] * 30, F.col("n")).alias("b")).first()
     assert (got["a"], got["b"]) == (3, 0)
+
+
+def test_weeks_may_be_strings(spark):
+    d = spark.createDataFrame([(0, "w2"), (0, "w1"), (0, "w1"), (1, "w3"), (1, "w2")], "window_id bigint, period string")
+    assert [r["period"] for r in D.dominant_period(d).orderBy("window_id").collect()] == ["w1", "w2"]
+    decay = spark.createDataFrame([("a", "w1", 0.9), ("a", "w2", 0.9), ("b", "w3", 0.9), ("b", "w4", 0.8)], "split string, period string, policy_macro_f1 double")
+    windows = spark.createDataFrame([(0, "w2"), (1, "w3"), (2, "w4")], "window_id bigint, period string")
+    levels = spark.createDataFrame([(0, "none"), (1, "warning"), (2, "alarm")], "window_id bigint, level string")
+    r = D.lead_weeks(decay, windows, levels, "a", "b").first()
+    assert (r["first_below"], r["warning_week"], r["lead_warning"], r["lead_alarm"]) == ("w4", "w3", 1, 0)
