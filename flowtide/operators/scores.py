@@ -21,10 +21,14 @@ from flowtide import schema as S
 from flowtide.functions import ppi as P
 
 
-#: digits score columns keep; the last digits of a double depend on the order of additions
-DIGITS = 6
-#: a running mean of such values needs more, or half of the means over two packets are exact ties
-MEAN_DIGITS = 12
+def rounded(values: np.ndarray, digits: int | None) -> np.ndarray:
+    """Operators keep doubles as they come. The last bits depend on the order of additions, so a caller that
+    compares runs of different engines asks for digits."""
+    return values if digits is None else np.round(values, digits)
+
+
+def rounded_column(c: Column, digits: int | None) -> Column:
+    return c if digits is None else F.round(c, digits)
 
 
 class Scorer(Protocol):
@@ -44,6 +48,7 @@ class CentroidScorer:
     centers: np.ndarray  # [C, 60]
     scale: float
     version: str = "centroid-1"
+    digits: int | None = None
 
     @property
     def n_classes(self) -> int:
@@ -53,23 +58,23 @@ class CentroidScorer:
         d = 2 * S.K_MAX
         gap = x[:, None, :d] - self.centers[None]
         run = np.cumsum(gap * gap, axis=2)[:, :, 1::2]
-        return np.round(-self.scale * run, 9).transpose(0, 2, 1)
+        return rounded(-self.scale * run, self.digits).transpose(0, 2, 1)
 
 
-def fit_centroids(train: DataFrame, n_classes: int, scale: float, x: str = "x") -> CentroidScorer:
+def fit_centroids(train: DataFrame, n_classes: int, scale: float, x: str = "x", digits: int | None = None) -> CentroidScorer:
     """Class means of the first 60 features over known training rows; C x 60 numbers come back."""
     d = 2 * S.K_MAX
     rows = (
         train.where(F.col("label") >= 0)
         .select("label", F.posexplode(F.slice(x, 1, d)).alias("d", "v"))
         .groupBy("label", "d")
-        .agg(F.round(F.avg("v"), 9).alias("m"))
+        .agg(rounded_column(F.avg("v"), digits).alias("m"))
         .collect()
     )
     centers = np.zeros((n_classes, d))
     for r in rows:
         centers[r["label"], r["d"]] = r["m"]
-    return CentroidScorer(centers, scale)
+    return CentroidScorer(centers, scale, digits=digits)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -163,7 +168,7 @@ def class_scores(
     n_classes: int,
     adjustment: Sequence[float] | None = None,
     temperatures: Sequence[float] | None = None,
-    digits: int | None = DIGITS,
+    digits: int | None = None,
 ) -> DataFrame:
     """From flat logits ``z``: pred, pred_raw, conf, margin, energy, energy_raw per prefix.
 
@@ -192,7 +197,7 @@ def class_scores(
             s["t"].alias("t"),
         ),
     )
-    rd = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
+    rd = lambda c: rounded_column(c, digits)
     step3 = F.transform(
         step2,
         lambda s: F.struct(
@@ -210,7 +215,7 @@ def class_scores(
     return staged.select(*keep, "z", *[F.col(f"_s.{n}").alias(n) for n in names])
 
 
-def running_surprise(nll: Column, ppi_len: Column, digits: int | None = MEAN_DIGITS) -> Column:
+def running_surprise(nll: Column, ppi_len: Column, digits: int | None = None) -> Column:
     """Mean next-packet NLL over packets 2..k (0 at k = 1), carried past the flow's end."""
     none = F.array().cast("array<double>")
     start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s"), none.alias("out"))
@@ -220,7 +225,7 @@ def running_surprise(nll: Column, ppi_len: Column, digits: int | None = MEAN_DIG
         total = acc["s"] + F.when((i >= 2) & (i <= ppi_len), v).otherwise(F.lit(0.0))
         n = F.least(i, ppi_len) - 1
         mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
-        mean = mean if digits is None else F.round(mean, digits)
+        mean = rounded_column(mean, digits)
         return F.struct(
             i.alias("i"), total.alias("s"), F.concat(acc["out"], F.array(mean)).alias("out")
         )
@@ -455,7 +460,9 @@ class ScoreModel:
     bank: Distances | None = None
     moments: np.ndarray | None = None
     weights: tuple[float, float, float] = (1.0, 1.0, 0.5)
-    digits: int = DIGITS
+    digits: int | None = None
+    #: of the running surprise: with few, half of the means over two packets would be exact ties
+    mean_digits: int | None = None
 
     def columns(self, x: np.ndarray, ppi_len: np.ndarray) -> dict[str, np.ndarray]:
         """Score arrays [n, 30] of a batch; positions past a flow's end repeat its last prefix."""
@@ -481,21 +488,21 @@ class ScoreModel:
             "energy_raw": -(mr[..., 0] + np.log(np.exp(raw - mr).sum(-1))),
         }
         for c in ("conf", "margin", "energy", "energy_raw"):
-            out[c] = np.round(out[c], self.digits)
+            out[c] = rounded(out[c], self.digits)
         out["p_safe"] = out["conf"]
         # without a next-packet head the surprise of a packet is the doubt left after it
         valid = (np.arange(S.K_MAX)[None] >= 1) & (np.arange(S.K_MAX)[None] < last[:, None])
         run = np.cumsum(np.where(valid, 1.0 - out["conf"], 0.0), axis=1)
         count = np.cumsum(valid, axis=1)
-        out["surprise"] = np.round(np.where(count > 0, run / np.maximum(count, 1), 0.0), MEAN_DIGITS)
+        out["surprise"] = rounded(np.where(count > 0, run / np.maximum(count, 1), 0.0), self.mean_digits)
         if self.bank is not None:
             seen = em_projection(x, self.bank.centre.shape[2])
-            out["mahal"] = np.round(self.bank.relative(seen)[rows, at], self.digits)
+            out["mahal"] = rounded(self.bank.relative(seen)[rows, at], self.digits)
         if self.moments is not None:
             # past a flow's end the position keeps its own K's moments, as the arrays are per K
             z = [(out[s] - self.moments[:, j, 0]) / self.moments[:, j, 1] for j, s in enumerate(SIGNALS)]
-            out["z_energy"] = np.round(z[0], self.digits)
-            out["u"] = np.round(sum(w * v for w, v in zip(self.weights, z, strict=True)), self.digits)
+            out["z_energy"] = rounded(z[0], self.digits)
+            out["u"] = rounded(sum(w * v for w, v in zip(self.weights, z, strict=True)), self.digits)
         return out
 
 
@@ -558,7 +565,7 @@ def moments_array(moments: DataFrame) -> np.ndarray:
     return out
 
 
-def combined_score(scores: DataFrame, moments: DataFrame, digits: int = 6) -> DataFrame:
+def combined_score(scores: DataFrame, moments: DataFrame, digits: int | None = None) -> DataFrame:
     """Adds ``u`` and ``z_energy``. A constant or unseen signal contributes 0.
 
     ``moments`` has one row per K, so it travels as one broadcast row.
@@ -575,17 +582,17 @@ def combined_score(scores: DataFrame, moments: DataFrame, digits: int = 6) -> Da
     zipped = F.arrays_zip(*[F.col(s) for s in SIGNALS])
     u = F.transform(
         zipped,
-        lambda v, i: F.round(
+        lambda v, i: rounded_column(
             sum((F.lit(w) * z(v[s], s, i + 1) for s, w in zip(SIGNALS[1:], WEIGHTS[1:], strict=True)),
                 F.lit(WEIGHTS[0]) * z(v["energy"], "energy", i + 1)),
             digits,
         ),
     )
-    ze = F.transform(F.col("energy"), lambda v, i: F.round(z(v, "energy", i + 1), digits))
+    ze = F.transform(F.col("energy"), lambda v, i: rounded_column(z(v, "energy", i + 1), digits))
     return scores.crossJoin(F.broadcast(one)).withColumns({"u": u, "z_energy": ze}).drop("_m")
 
 
-def reject_thresholds(val: DataFrame, fs: Sequence[float], signal: str = "u") -> DataFrame:
+def reject_thresholds(val: DataFrame, fs: Sequence[float], signal: str = "u", digits: int | None = None) -> DataFrame:
     """(k, f, theta): the 1 - f quantile of ``signal`` over known validation flows reaching K."""
     from flowtide.operators.ordered import exact_quantiles
 
@@ -596,7 +603,7 @@ def reject_thresholds(val: DataFrame, fs: Sequence[float], signal: str = "u") ->
     enough = rows.groupBy("k").agg(F.count("*").alias("n")).where("n >= 2").select("k")
     q = exact_quantiles(rows, ["k"], signal, [1.0 - f for f in fs])
     return q.join(F.broadcast(enough), "k", "left_semi").select(
-        "k", F.round(F.lit(1.0) - F.col("prob"), 9).alias("f"), F.round("quantile", 9).alias("theta")
+        "k", F.round(F.lit(1.0) - F.col("prob"), 9).alias("f"), rounded_column(F.col("quantile"), digits).alias("theta")
     )
 
 
@@ -699,8 +706,9 @@ def next_packet_scores(flows: DataFrame, counts: DataFrame, alpha: float = 1.0)
 # --- embedding probes ---------------------------------------------------------------------------
 
 
-def nearest_vote(reference: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
-    """Majority class of the ``k`` most similar reference rows (cosine of unit vectors).
+def nearest_vote(reference: DataFrame, queries: DataFrame, k: int = 20, block: int = 4096, digits: int | None = None) -> DataFrame:
+    """Majority class of the ``k`` most similar reference rows other than itself (cosine of unit vectors), for a
+    stated set of query rows.
 
     Both sides are cut into blocks; a task multiplies one pair of blocks as matrices and keeps k
     rows per query, so no task holds more than two blocks and no list of all pairs exists.
@@ -725,7 +733,8 @@ def nearest_vote(reference: DataFrame, queries: DataFrame, k: int = 20, block: i
         types = [pa.int64(), pa.int64(), pa.int32(), pa.float64()]
         if len(qi) == 0 or len(ri) == 0:
             return pa.Table.from_arrays([pa.array([], t) for t in types], names=names)
-        sim = np.round(_matrix(left.column("x")) @ _matrix(right.column("x")).T, 9)
+        sim = rounded(_matrix(left.column("x")) @ _matrix(right.column("x")).T, digits)
+        sim[qi[:, None] == ri[None]] = -np.inf
         order = np.lexsort((np.broadcast_to(ri, sim.shape), -sim), axis=1)[:, :k]
         y = right.column("class_id").to_numpy()
         cols = [np.repeat(qi, order.shape[1]), ri[order].ravel(), y[order].ravel()]
@@ -737,7 +746,8 @@ def nearest_vote(reference: DataFrame, queries: DataFrame, k: int = 20, block: i
 
     w = W.partitionBy("query").orderBy(F.col("sim").desc(), F.col("ref"))
     votes = (
-        pairs.withColumn("_r", F.row_number().over(w))
+        pairs.where("sim > double('-infinity')")
+        .withColumn("_r", F.row_number().over(w))
         .where(F.col("_r") <= k)
         .groupBy("query", "class_id")
         .agg(F.count("*").alias("votes"))
@@ -748,21 +758,20 @@ def nearest_vote(reference: DataFrame, queries: DataFrame, k: int = 20, block: i
     )
 
 
-def uniformity(rows: DataFrame, block: int = 4096) -> DataFrame:
-    """log of the mean exp(-2 |u - v|^2) over distinct pairs, summed block against block."""
-    n = rows.agg(F.count("*")).first()[0]
-    nb = max(1, -(-n // block))
-    b = F.pmod(F.xxhash64("flow_id"), F.lit(nb)).cast("int")
-    left = rows.select(b.alias("bl"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("br"), "flow_id", "x")
-    right = rows.select(b.alias("br"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bl"), "flow_id", "x")
+def uniformity(rows: DataFrame, group: Column) -> DataFrame:
+    """log of the mean exp(-2 |u - v|^2) over the pairs inside groups, as for batches of a training run.
+
+    ``group`` deals the rows into groups of bounded size, which the caller chooses; all pairs of a large table would
+    be no distributed job. Sums per group are added up.
+    """
+    dealt = rows.select(group.alias("_g"), "x")
 
-    def total(a: pa.Table, c: pa.Table) -> pa.Table:
-        if a.num_rows == 0 or c.num_rows == 0:
-            return pa.table({"s": pa.array([0.0]), "n": pa.array([0], pa.int64())})
-        u, v = _matrix(a.column("x")), _matrix(c.column("x"))
-        d2 = (u * u).sum(1)[:, None] + (v * v).sum(1)[None] - 2.0 * (u @ v.T)
-        other = a.column("flow_id").to_numpy()[:, None] != c.column("flow_id").to_numpy()[None]
-        return pa.table({"s": pa.array([float(np.exp(-2.0 * d2)[other].sum())]), "n": pa.array([int(other.sum())])})
+    def total(part: pa.Table) -> pa.Table:
+        u = _matrix(part.column("x"))
+        size = (u * u).sum(1)
+        near = np.exp(-2.0 * (size[:, None] + size[None] - 2.0 * (u @ u.T)))
+        n = len(u) * (len(u) - 1)
+        return pa.table({"s": pa.array([float(near.sum() - np.trace(near))]), "n": pa.array([n], pa.int64())})
 
-    parts = left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br")).applyInArrow(total, "s double, n bigint")
+    parts = dealt.groupBy("_g").applyInArrow(total, "s double, n bigint")
     return parts.agg(F.log(F.sum("s") / F.sum("n")).alias("uniformity"), F.sum("n").alias("n_pairs"))

@@ -117,7 +117,7 @@ TEMP_SQL = "(1.0::DOUBLE + least(k, ppi_len) / 10.0::DOUBLE)"
 def calibrated(spark: SparkSession, sf: str) -> DataFrame:
     temps = [1.0 + k / 10.0 for k in range(1, 31)]
     cal = K.Calibration("centroid-1", ADJ, temps, {k: K.Line(2.0, -1.0) for k in range(1, 31)}).of("centroid-1")
-    s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, cal.adjustment, cal.temperatures)
+    s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, cal.adjustment, cal.temperatures, digits=6)
     rows = C.reached(C.long_scores(s, ["pred", "conf"], ["flow_id", "label", "split", "ppi_len"]))
     return cal.with_probability(rows)
 

@@ -24,6 +24,9 @@ def r6(name: str) -> Column:
     return F.round(F.col(name), 6).alias(name)
 
 
+#: digits of centres and logits, of scores, of running means and of thresholds: the SQL texts round alike, so that
+#: sums in another order do not make or break ties
+RAW_DIGITS, SCORE_DIGITS, MEAN_DIGITS, THETA_DIGITS = 9, 6, 12, 9
 #: a prefix of 30 packets fills 60 features
 EM_DIM = 60
 EM_MIN_FLOWS = 10
@@ -32,7 +35,7 @@ EM_MIN_FLOWS = 10
 def em_scorer(flows: DataFrame):
     from flowtide.operators import scores as C
 
-    return C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
+    return C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE, digits=RAW_DIGITS)
 
 
 def em_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def em_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     from flowtide.operators import scores as C
 
     flows = B.em_flows(spark, sf_dir)
-    return C.score_flows(flows, C.ScoreModel(em_scorer(flows)))
+    return C.score_flows(flows, C.ScoreModel(em_scorer(flows), digits=SCORE_DIGITS, mean_digits=MEAN_DIGITS))
 
 
 def em_bank(spark: SparkSession, sf_dir: str, diagonal: bool = True):
@@ -58,7 +61,7 @@ def em_model(spark: SparkSession, sf_dir: str):
     from flowtide.operators import scores as C
 
     flows = B.em_flows(spark, sf_dir)
-    model = C.ScoreModel(em_scorer(flows), bank=em_bank(spark, sf_dir))
+    model = C.ScoreModel(em_scorer(flows), bank=em_bank(spark, sf_dir), digits=SCORE_DIGITS, mean_digits=MEAN_DIGITS)
     val = C.score_flows(C.known_only(flows.where("split = 'val'")), model)
     return replace(model, moments=C.moments_array(C.signal_moments(val)))
 

@@ -46,7 +46,7 @@ COLS = ["flow_id", "label", "period", "ppi_len", "k", "decision", "prediction"]
 
 
 def reject_theta(scores: DataFrame, f: float = 0.1) -> list[float | None]:
-    return C.theta_array(C.reject_thresholds(scores.where("split = 'val'"), [f]), f)
+    return C.theta_array(C.reject_thresholds(scores.where("split = 'val'"), [f], digits=9), f)
 
 
 def safe_decisions(spark: SparkSession, sf: str, order: str = "reject_first", theta: float = 0.5) -> DataFrame:
@@ -359,7 +359,7 @@ def open_world(spark: SparkSession, sf: str) -> DataFrame:
     from flowtide.operators import evaluate as V
 
     s = em_scores(spark, sf)
-    out = V.open_world(s.where("split = 'val'"), s.where("split = 'test'"))
+    out = V.open_world(s.where("split = 'val'"), s.where("split = 'test'"), digits=9)
     return out.select(*[c if c in ("n", "check_order", "reachable") else F.round(c, 6).alias(c) for c in out.columns])
 
 
@@ -405,7 +405,7 @@ def energy_gate_stats(spark: SparkSession, sf: str) -> DataFrame:
     from flowtide.operators import evaluate as V
 
     s = em_scored(spark, sf)
-    t = C.reject_thresholds(s.where("split = 'val'"), [0.1], "energy_raw").where("k = 10").first()["theta"]
+    t = C.reject_thresholds(s.where("split = 'val'"), [0.1], "energy_raw", 9).where("k = 10").first()["theta"]
     out = V.gate_stats(s.where("split = 'test'"), t, 10, 0.1)
     return out.select("f", F.round("known_reject_rate", 6).alias("known_reject_rate"), F.round("unknown_reject_rate", 6).alias("unknown_reject_rate"), "mean_rejection_k")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowtide import bindings as B
 from flowtide import schema as S
+from flowtide.functions import draws as R
 from flowtide.operators import scores as C
 from flowtide.plans import sql as Q
 from flowtide.plans.features import LONG, TOKENS_SQL
@@ -16,7 +17,7 @@ from flowtide.plans.registry import query
 
 def em_logits(spark: SparkSession, sf: str) -> DataFrame:
     flows = B.em_flows(spark, sf)
-    scorer = C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE)
+    scorer = C.fit_centroids(flows.where("split = 'train'"), B.EM_CLASSES, B.EM_SCALE, digits=9)
     return C.score_logits(flows, scorer)
 
 
@@ -48,7 +49,7 @@ def logits_from_outputs(spark: SparkSession, sf: str) -> DataFrame:
     Q.EM_LOGITS + f""", {Q.class_scores_sql()} SELECT flow_id, k, pred, round(conf, 6) AS conf FROM cs""",
 )
 def softmax_argmax(spark: SparkSession, sf: str) -> DataFrame:
-    s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES)
+    s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, digits=6)
     return C.long_scores(s, ["pred", "conf"], ["flow_id"]).withColumn("conf", F.round("conf", 6))
 
 
@@ -64,7 +65,7 @@ SELECT flow_id, k, pred, pred_raw, round(conf, 6) AS conf, round(margin, 6) AS m
 )
 def class_score_columns(spark: SparkSession, sf: str) -> DataFrame:
     temps = [0.5 + k / 20.0 for k in range(1, S.K_MAX + 1)]
-    s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, ADJ, temps)
+    s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, ADJ, temps, digits=6)
     rows = C.long_scores(s, ["pred", "pred_raw", "conf", "margin", "energy", "energy_raw"], ["flow_id"])
     rows = rows.where(F.col("k").isin(1, 2, 5, 9, 30))
     return rows.select(
@@ -88,7 +89,7 @@ def running_surprise(spark: SparkSession, sf: str) -> DataFrame:
     s = em_scored(spark, sf).select(
         "flow_id", "ppi_len", F.transform("conf", lambda p: F.lit(1.0) - p).alias("nll")
     )
-    s = s.select("flow_id", C.running_surprise(F.col("nll"), F.col("ppi_len")).alias("surprise"))
+    s = s.select("flow_id", C.running_surprise(F.col("nll"), F.col("ppi_len"), 12).alias("surprise"))
     rows = C.long_scores(s, ["surprise"], ["flow_id"])
     return rows
 
@@ -222,7 +223,7 @@ def combined_unknown_score(spark: SparkSession, sf: str) -> DataFrame:
 SELECT k, 0.02::DOUBLE AS f, round(theta, 6) AS theta FROM a UNION ALL SELECT k, 0.1::DOUBLE, round(theta, 6) FROM b""",
 )
 def reject_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    t = C.reject_thresholds(em_scores(spark, sf).where("split = 'val'"), [0.02, 0.1])
+    t = C.reject_thresholds(em_scores(spark, sf).where("split = 'val'"), [0.02, 0.1], digits=9)
     return t.withColumn("theta", F.round("theta", 6))
 
 
@@ -233,7 +234,7 @@ FROM em JOIN su USING (flow_id) LEFT JOIN th ON th.k = su.k GROUP BY em.flow_id"
 )
 def first_rejection(spark: SparkSession, sf: str) -> DataFrame:
     s = em_scores(spark, sf)
-    theta = C.theta_array(C.reject_thresholds(s.where("split = 'val'"), [0.1]), 0.1)
+    theta = C.theta_array(C.reject_thresholds(s.where("split = 'val'"), [0.1], digits=9), 0.1)
     last = F.least("ppi_len", F.lit(S.K_MAX))
     return s.select("flow_id", C.first_rejection(F.col("u"), theta, last).alias("rejection_k"))
 
@@ -245,7 +246,7 @@ def first_rejection(spark: SparkSession, sf: str) -> DataFrame:
 )
 def energy_gate_threshold(spark: SparkSession, sf: str) -> DataFrame:
     val = em_scored(spark, sf).where("split = 'val'")
-    t = C.reject_thresholds(val, [0.02], "energy_raw").where(F.col("k").isin(3, 10))
+    t = C.reject_thresholds(val, [0.02], "energy_raw", 9).where(F.col("k").isin(3, 10))
     return t.select("k", F.round("theta", 6).alias("theta"))
 
 
@@ -281,17 +282,17 @@ def prefix_classifier_fitted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "nearest_neighbour_probe",
-    Q.EM_LOGITS + """, n AS (SELECT flow_id, class_id, embedding::DOUBLE[] AS x, flow_id % 2 AS h FROM em),
+    Q.EM_LOGITS + """, n AS (SELECT flow_id, class_id, embedding::DOUBLE[] AS x FROM em),
  pr AS (SELECT q.flow_id AS query, q.class_id AS y, r.flow_id AS ref, r.class_id, round(list_dot_product(q.x, r.x), 9) AS sim
-  FROM n q JOIN n r ON q.h = 1 AND r.h = 0),
+  FROM n q JOIN n r ON q.flow_id % 50 = 0 AND r.flow_id <> q.flow_id),
  tp AS (SELECT * FROM pr QUALIFY row_number() OVER (PARTITION BY query ORDER BY sim DESC, ref) <= 20),
  vt AS (SELECT query, y, class_id, count(*) AS n FROM tp GROUP BY ALL)
 SELECT query, CAST(any_value(y) AS INTEGER) AS class_id, CAST(arg_max(class_id, n * 100 - class_id) AS INTEGER) AS pred, CAST(max(n) AS BIGINT) AS votes FROM vt GROUP BY query""",
 )
 def nearest_neighbour_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose id is divisible by 50 as queries against all others."""
     flows = B.em_flows(spark, sf)
-    half = F.pmod("flow_id", F.lit(2))
-    votes = C.nearest_vote(flows.where(half == 0), flows.where(half == 1))
+    votes = C.nearest_vote(flows, flows.where(F.pmod("flow_id", F.lit(50)) == 0), digits=9)
     truth = flows.select(F.col("flow_id").alias("query"), "class_id")
     return votes.join(truth, "query").select("query", "class_id", "pred", "votes")
 
@@ -303,12 +304,17 @@ def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
     return linear_accuracy(B.em_flows(spark, sf))
 
 
+GROUP_DRAW = R.lcg_draw_sql(1, "uniformity", "flow_id")
+
+
 @query(
     "embedding_uniformity",
-    Q.EM_LOGITS + """, n AS (SELECT flow_id, embedding::DOUBLE[] AS x FROM em)
+    Q.EM_LOGITS + f""", n AS (SELECT flow_id, embedding::DOUBLE[] AS x, {GROUP_DRAW} % ((SELECT count(*) FROM em) // 256 + 1) AS g FROM em)
 SELECT round(ln(avg(exp(-2.0::DOUBLE * pow(list_distance(a.x, b.x), 2)))), 6) AS uniformity, CAST(count(*) AS BIGINT) AS n_pairs
-FROM n a JOIN n b ON a.flow_id <> b.flow_id""",
+FROM n a JOIN n b ON a.g = b.g AND a.flow_id <> b.flow_id""",
 )
 def embedding_uniformity(spark: SparkSession, sf: str) -> DataFrame:
-    out = C.uniformity(B.em_flows(spark, sf))
+    flows = B.em_flows(spark, sf)
+    group = F.pmod(R.arithmetic(1)("uniformity", F.col("flow_id")), F.lit(flows.count() // 256 + 1))
+    out = C.uniformity(flows, group)
     return out.select(F.round("uniformity", 6).alias("uniformity"), "n_pairs")

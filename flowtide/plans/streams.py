@@ -49,9 +49,9 @@ def scored_flows(spark: SparkSession, sf: str) -> tuple[DataFrame, C.ScoreModel,
     flows = flows.withColumn("label", F.when(F.col("label") == 6, F.lit(-1)).otherwise(F.col("label")))
     flows = cut(flows.select("flow_id", "flow_key", "label", "ppi", "ppi_len", "x", "start_us", F.lit(0).alias("period")))
     even = F.col("flow_key") % 2 == 0
-    model = C.ScoreModel(C.fit_centroids(flows.where(even), N, 0.05))
+    model = C.ScoreModel(C.fit_centroids(flows.where(even), N, 0.05, digits=9), digits=6, mean_digits=12)
     val = C.score_flows(flows.where(~even).drop("ppi"), model)
-    theta = C.theta_array(C.reject_thresholds(val, [0.1], "energy_raw"), 0.1)
+    theta = C.theta_array(C.reject_thresholds(val, [0.1], "energy_raw", 9), 0.1)
     return flows, model, theta
 
 
@@ -243,11 +243,3 @@ def stream_drift_loop(spark: SparkSession, sf: str) -> DataFrame:
     loop = L.DriftLoop(200, 5, ["decision_id"], histogram=[1.0] * 5)
     RUN.run_batches(decided_stream(spark, sf), loop, "drift")
     return loop.monitored(spark, ref).select("window_id", "signal", F.round("value", 6).alias("value"), F.round("z", 6).alias("z"))
-
-
-@query("stream_admission")
-def stream_admission(spark: SparkSession, sf: str) -> DataFrame:
-    """A limit of 60 flows at once out of about 150."""
-    flows = ev_long_flows(spark, sf).select("flow_id")
-    taken = E.admit(F.col("flow_id"), 60, 150)
-    return flows.agg(F.count("*").alias("flows"), F.count(F.when(taken, 1)).alias("admitted"), F.count(F.when(~taken, 1)).alias("dropped"))

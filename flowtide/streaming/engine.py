@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowtide import schema as S
-from flowtide.functions.draws import uniform
 from flowtide.operators.scores import ScoreModel
 from flowtide.streaming.replay import END
 
@@ -228,15 +227,6 @@ class DecisionProcessor(StatefulProcessor):
         pass
 
 
-def admit(flow_id: Column, max_flows: int, expected_flows: int, seed: int = 0) -> Column:
-    """Whether a flow is taken in when ``expected_flows`` run at once and ``max_flows`` may.
-
-    There is no global counter in a distributed stream, so a fixed share of the flow keys is
-    admitted: the limit holds on average, and a flow is either wholly in or wholly out.
-    """
-    return uniform(seed, "admission", flow_id) * expected_flows < F.lit(max_flows)
-
-
 def decide_stream(
     events: DataFrame, versions: Sequence[Version], rules: Rules = Rules(), watermark: str = "10 minutes"
 ) -> DataFrame:
