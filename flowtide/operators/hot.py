@@ -139,7 +139,7 @@ def assemble_hot(
 ) -> DataFrame:
     """Per-side flow rows (as ``assemble.flow_rows``) of the hot keys only.
 
-    Arrival order is taken to be time order here: a chunk is a time range.
+    For packets in time order: a chunk is a time range.
     """
     from flowtide.operators.assemble import flow_rows, has_flag, idle_limit
 

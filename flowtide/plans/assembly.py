@@ -124,23 +124,34 @@ def flow_long_sequence(spark: SparkSession, sf: str) -> DataFrame:
     return A.packet_rows(ev_long_flows(spark, sf))
 
 
-@query(
-    "flow_clock_jumps",
-    Q.flows_sql(jump=JUMP_SQL).replace(
-        "ORDER BY ts, event_id) AS rn", "ORDER BY event_id) AS rn"
-    )
-    + " SELECT flow_key, flow_id, start_us, end_us, clock_jumps, ppi_len FROM fl",
+CLOCK_JUMPS_SQL = (
+    Q.flows_sql(jump=JUMP_SQL).replace("ORDER BY ts, event_id) AS rn", "ORDER BY event_id) AS rn")
+    + " SELECT flow_key, flow_id, start_us, end_us, clock_jumps, ppi_len FROM fl"
 )
-def flow_clock_jumps(spark: SparkSession, sf: str) -> DataFrame:
+
+
+def jumping(spark: SparkSession, sf: str, hot_rows: int = A.HOT_ROWS) -> DataFrame:
+    """Flows in arrival order of packets whose clock steps back three hours now and then."""
     packets = B.ev_packets(spark, sf).withColumn(
         "ts_us",
         F.col("ts_us") - F.when(F.col("pkt_id") % 11 == 0, F.lit(10_800_000_000)).otherwise(F.lit(0)),
     )
-    return A.assemble(packets, B.EV_TIMEOUTS, order=["pkt_id"]).select(
+    return A.assemble(packets, B.EV_TIMEOUTS, order=["pkt_id"], hot_rows=hot_rows).select(
         "flow_key", "flow_id", "start_us", "end_us", "clock_jumps", "ppi_len"
     )
 
 
+@query("flow_clock_jumps", CLOCK_JUMPS_SQL)
+def flow_clock_jumps(spark: SparkSession, sf: str) -> DataFrame:
+    return jumping(spark, sf)
+
+
+@query("flow_hot_arrival", CLOCK_JUMPS_SQL)
+def flow_hot_arrival(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where every key counts as hot."""
+    return jumping(spark, sf, hot_rows=2)
+
+
 @query(
     "flow_end_reason",
     Q.flows_sql() + f" SELECT flow_id, {Q.reason_sql()} AS end_reason FROM fl",

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import lzma
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,11 +49,53 @@ def source_name() -> Column:
 def scan(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Raw rows of the allow-listed columns plus ``source_file``.
 
-    The parser only materialises the selected columns. Plain, gzip and bzip2 files are read as they
-    are; other compression has to be undone before. An empty file has no rows.
+    The parser only materialises the selected columns. Plain, gzip and bzip2 files go to Spark's reader; files
+    named ``.xz`` are decompressed in the tasks, a block at a time. An empty file has no rows.
     """
-    raw = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", False).csv(paths)
-    return raw.select(*READ, source_name().alias("source_file"))
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    packed = [p for p in listed if p.endswith(".xz")]
+    plain = [p for p in listed if not p.endswith(".xz")]
+    parts = []
+    if plain:
+        raw = spark.read.schema(SCHEMA).option("header", True).option("enforceSchema", False).csv(plain)
+        parts.append(raw.select(*READ, source_name().alias("source_file")))
+    if packed:
+        parts.append(_scan_xz(spark, packed))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+#: decompressed bytes a task takes at a time
+XZ_BYTES = 1 << 22
+
+
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of xz files behind the header, which is checked."""
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            rest, header = b"", True
+            with lzma.open(pa.BufferReader(content.as_buffer())) as file:
+                while block := file.read(XZ_BYTES):
+                    *lines, rest = (rest + block).split(b"\n")
+                    yield from _checked(path, lines, header)
+                    header = header and not lines
+            yield from _checked(path, [rest] if rest else [], header)
+
+
+def _checked(path: str, lines: list[bytes], header: bool) -> Iterator[pa.RecordBatch]:
+    texts = [x.rstrip(b"\r").decode() for x in lines]
+    if header and texts and texts.pop(0).split(",") != HEADER:
+        raise ValueError(f"{path}: the header is not the one expected")
+    texts = [t for t in texts if t]
+    if texts:
+        yield pa.RecordBatch.from_arrays([pa.array([path] * len(texts)), pa.array(texts)], ["path", "line"])
+
+
+def _scan_xz(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+    lines = files.mapInArrow(_lines, "path string, line string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in SCHEMA)
+    rows = lines.select(F.from_csv("line", fields).alias("r"), F.regexp_extract("path", r"(flows-[^/]+?\.csv[^/]*)$", 1).alias("source_file"))
+    return rows.select(*[F.col(f"r.`{c}`").alias(c) for c in READ], "source_file")
 
 
 def sample(raw: DataFrame, rate: float, seed: int) -> DataFrame:

@@ -41,6 +41,25 @@ def test_scan_reads_the_allowed_columns_only(spark, csv):
     assert r["flags_seen"] == 2 | 8 and r["period"] == "WEEK-2022-01" and [p["size"] for p in r["ppi"]] == [100, 1500]
 
 
+def test_xz_files_are_read_alike(spark, csv, tmp_path, monkeypatch):
+    import lzma
+
+    monkeypatch.setattr(V, "XZ_BYTES", 700)
+    csv("flows-20220103.csv", [{}, {"FLAG_SYN_REV": "1"}, {"PPI_LEN": "3"}])
+    path, packed = str(tmp_path / "flows-20220103.csv"), str(tmp_path / "flows-20220103.csv.xz")
+    with open(path, "rb") as f, lzma.open(packed, "wb") as g:
+        g.write(f.read())
+    plain = sorted(map(str, V.scan(spark, path).drop("source_file").collect()))
+    raw = V.scan(spark, packed)
+    assert sorted(map(str, raw.drop("source_file").collect())) == plain and len(plain) == 3
+    assert {r["source_file"] for r in raw.collect()} == {"flows-20220103.csv.xz"}
+    assert V.scan(spark, [path, packed]).count() == 6
+    with lzma.open(str(tmp_path / "flows-20220105.csv.xz"), "wb") as g:
+        g.write(b"a,b\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        V.scan(spark, str(tmp_path / "flows-20220105.csv.xz")).collect()
+
+
 def test_wrong_length_raises_or_is_set_apart(spark, csv):
     path = csv("flows-20220103.csv", [{}, {"PPI_LEN": "3"}])
     raw = V.scan(spark, path)
