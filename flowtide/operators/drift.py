@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from flowtide import schema as S
@@ -102,64 +105,36 @@ def standardise(long: DataFrame, reference: DataFrame) -> DataFrame:
     return long.join(F.broadcast(reference), "signal").withColumn("z", z).drop("mean", "std")
 
 
-#: windows of one series folded in one row
-BLOCK = 100_000
-
-
-def _fold(z: Column, pos: Column, neg: Column, h: Column, k: float) -> Column:
-    """Fold one ordered array of (window_id, z) into per-window (pos, neg, alarm)."""
-    none = F.array().cast("array<struct<window_id:bigint,z:double,pos:double,neg:double,alarm:boolean>>")
-    start = F.struct(pos.alias("pos"), neg.alias("neg"), none.alias("out"))
-
-    def step(acc: Column, e: Column) -> Column:
-        live = e["z"].isNotNull() & ~F.isnan(e["z"]) & (F.abs(e["z"]) < float("inf"))
-        up = F.when(live, F.greatest(F.lit(0.0), acc["pos"] + e["z"] - k)).otherwise(acc["pos"])
-        down = F.when(live, F.greatest(F.lit(0.0), acc["neg"] - e["z"] - k)).otherwise(acc["neg"])
-        alarm = live & ((up > h) | (down > h))
-        up, down = F.when(alarm, F.lit(0.0)).otherwise(up), F.when(alarm, F.lit(0.0)).otherwise(down)
-        row = F.struct(e["window_id"].alias("window_id"), e["z"].alias("z"), up.alias("pos"), down.alias("neg"), alarm.alias("alarm"))
-        return F.struct(up.alias("pos"), down.alias("neg"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(z, start, step)
-
-
-def cusum(long: DataFrame, h: float | Column = 5.0, k: float = 0.5, warmup: int = 0, by: Sequence[str] = ("signal",), block: int = BLOCK) -> DataFrame:
+def cusum(long: DataFrame, h: float | Column = 5.0, k: float = 0.5, warmup: int = 0, by: Sequence[str] = ("signal",)) -> DataFrame:
     """Two-sided CUSUM with reset per series: adds pos, neg, alarm.
 
-    Windows before ``warmup`` are not accumulated. A series longer than ``block`` windows is folded
-    block by block; only each series' two sums travel from one block to the next.
+    Windows before ``warmup`` are not accumulated, values that are no finite number are passed over. A series is read
+    in order as a stream that holds two sums; series are dealt over the tasks, and a task does not hold its rows.
     """
     by = list(by)
-    hc = F.lit(float(h)) if not isinstance(h, Column) else h
-    rows = long.withColumns({"_h": hc, "_b": F.floor(F.col("window_id") / block)})
-    n_blocks = (rows.agg(F.max("_b")).first()[0] or 0) + 1
-    carry: DataFrame | None = None
-    parts = []
-    for b in range(int(n_blocks)):
-        mine = rows.where((F.col("_b") == b) & (F.col("window_id") >= warmup))
-        grouped = mine.groupBy(*by).agg(
-            F.array_sort(F.collect_list(F.struct("window_id", "z"))).alias("_z"), F.max("_h").alias("_h")
-        )
-        if carry is not None:
-            grouped = grouped.join(F.broadcast(carry), by, "left")
-        else:
-            grouped = grouped.withColumns({"_pos": F.lit(0.0), "_neg": F.lit(0.0)})
-        folded = grouped.select(
-            *by, _fold(F.col("_z"), F.coalesce("_pos", F.lit(0.0)), F.coalesce("_neg", F.lit(0.0)), F.col("_h"), k).alias("_f")
-        )
-        if n_blocks > 1:
-            from flowtide.session import cut
-
-            folded = cut(folded)
-            carry = folded.select(*by, F.col("_f.pos").alias("_pos"), F.col("_f.neg").alias("_neg"))
-        parts.append(folded.select(*by, F.explode("_f.out").alias("e")).select(*by, "e.*"))
-    out = C.concat(parts)
-    if warmup:
-        early = long.where(F.col("window_id") < warmup).select(
-            *by, "window_id", "z", F.lit(0.0).alias("pos"), F.lit(0.0).alias("neg"), F.lit(False).alias("alarm")
-        )
-        out = out.unionByName(early)
-    return out
+    limit = h if isinstance(h, Column) else F.lit(float(h))
+    rows = long.select(*by, "window_id", "z", limit.cast("double").alias("_h"))
+    names = [*by, "window_id", "z"]
+    schema = T.StructType([*(rows.schema[n] for n in names), *(T.StructField(n, T.DoubleType()) for n in ("pos", "neg")), T.StructField("alarm", T.BooleanType())])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, up, down = None, 0.0, 0.0
+        for b in batches:
+            series = list(zip(*(b.column(c).to_pylist() for c in by), strict=True))
+            out = []
+            for s, w, z, top in zip(series, *(b.column(c).to_pylist() for c in ("window_id", "z", "_h")), strict=True):
+                if s != here:
+                    here, up, down = s, 0.0, 0.0
+                alarm = False
+                if z is not None and math.isfinite(z) and w >= warmup:
+                    up, down = max(0.0, up + z - k), max(0.0, down - z - k)
+                    if alarm := up > top or down > top:
+                        up = down = 0.0
+                out.append((up, down, alarm))
+            made = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.float64(), pa.float64(), pa.bool_()), strict=True)] if out else [pa.array([], t) for t in (pa.float64(), pa.float64(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *made], names=[*names, "pos", "neg", "alarm"])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, "window_id").mapInArrow(stream, schema)
 
 
 def alarm_levels(alarms: DataFrame, span: int = 3) -> DataFrame:

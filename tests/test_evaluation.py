@@ -301,7 +301,7 @@ def test_cusum_alarms_on_a_step_and_resets(spark):
     got = [r["alarm"] for r in D.cusum(df, 5.0).orderBy("window_id").collect()]
     assert got.index(True) == 13 and got.count(True) == 3
     whole = D.cusum(df, 5.0).orderBy("window_id").collect()
-    cut = D.cusum(df, 5.0, block=5).orderBy("window_id").collect()
+    cut = D.cusum(df.repartition(5), 5.0).orderBy("window_id").collect()
     assert [tuple(r) for r in whole] == [tuple(r) for r in cut]
 
 
