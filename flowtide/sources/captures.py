@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from flowtide import schema as S
 
@@ -206,15 +205,15 @@ def encode(packets: DataFrame, file: Column) -> DataFrame:
 
 
 def labelled(files: DataFrame, labels: DataFrame, pattern: str | None = None) -> DataFrame:
-    """Files with a non-empty class; ``session_id`` numbers them in name order, 0-based.
+    """Files with a non-empty class; ``session_id`` numbers them in name order, 0-based."""
+    from flowtide.operators.ordered import global_row_number
 
-    The file list is small (one row per capture).
-    """
     ok = labels.where(F.trim(F.coalesce("class_name", F.lit(""))) != "")
     rows = files.join(ok, "file_name")
     if pattern is not None:
         rows = rows.where(F.col("file_name").rlike(pattern))
-    return rows.withColumn("session_id", F.dense_rank().over(W.orderBy("file_name")) - 1)
+    names = global_row_number(rows.select("file_name").distinct(), ["file_name"], "_rn")
+    return rows.join(names.select("file_name", (F.col("_rn") - 1).cast("int").alias("session_id")), "file_name")
 
 
 def unlabelled(files: DataFrame, labels: DataFrame) -> DataFrame:
