@@ -138,7 +138,27 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangecoder.checksums(rangecoder.read_ids(spark, path))
 
 
-@query("op10_decontamination")
+def _words_sql(table: str, key: str) -> str:
+    lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"SELECT {key}, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"
+
+
+CONTAMINATION_SQL = f"""
+WITH d AS ({_words_sql('documents', 'doc_id')}), b AS ({_words_sql('benchmark', 'item_id')}),
+win AS (SELECT DISTINCT item_id, list_slice(w, i, i + {decontam.WINDOW - 1}) AS x
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - {decontam.WINDOW - 1}) + 1)) AS i FROM b WHERE len(w) > 0)),
+occ AS (SELECT doc_id, i, n, x FROM (
+    SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS x FROM (
+      SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT len(x) AS n FROM win) WHERE len(w) >= n))
+  WHERE x IN (SELECT x FROM win)),
+hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM occ) GROUP BY 1),
+its AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM occ JOIN win USING (x) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {decontam.LEAST} * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
+
+
+@query("op10_decontamination", CONTAMINATION_SQL)
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -14,7 +14,7 @@ from flowtide.llm import langid, tokens
 from flowtide.llm.common import prepare
 from tools.check import TABLES, norm
 
-SQL = ["op3_exact_dedup", "op4_warc", "op7_secrets"]
+SQL = ["op3_exact_dedup", "op4_warc", "op7_secrets", "op10_decontamination"]
 
 
 def test_all_are_registered():
