@@ -28,9 +28,9 @@ from flowtide.session import cut
 SIZE = 50
 TRIGGER = 24
 #: bytes of text that are parsed together; longer documents are parsed in parts that overlap by a window
-SHARD_BYTES = 4 << 20
-#: bytes of text per bucket of triggers and per bucket of documents
-BUCKET_BYTES = 24 << 20
+SHARD_BYTES = 2 << 20
+#: bytes of text per bucket of triggers and per bucket of documents; a task takes several
+BUCKET_BYTES = 6 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POSITION_BITS = 30
 
@@ -56,7 +56,7 @@ def phrases(data: np.ndarray, starts: np.ndarray, size: int = SIZE, trigger: int
     none = np.zeros(0, np.int64)
     if n < size:
         return none, none, none.astype(np.uint64)
-    up, down = _powers(max(1 << n.bit_length(), 1 << 16))
+    up, down = _powers((n // (1 << 18) + 1) << 18)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(data * up[:n], dtype=np.uint64)))
     hashes = _mixed((sums[trigger:] - sums[:-trigger]) * down[: n - trigger + 1])
     low = np.uint64((1 << _POSITION_BITS) - 1)
