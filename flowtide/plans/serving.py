@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide import schema as S
 from flowtide.functions import ppi as P
 from flowtide.operators import policies as H
 from flowtide.operators import scores as C
@@ -12,7 +13,7 @@ from flowtide.operators import serving as V
 from flowtide.operators import splits as SP
 from flowtide.plans import sql as Q
 from flowtide.plans.inputs import em_scores, ev_flows
-from flowtide.plans.policies import reject_theta
+from flowtide.plans.policies import reject_theta, safe_sql
 from flowtide.plans.registry import query
 from flowtide.plans.splits import SPEC
 
@@ -127,16 +128,28 @@ def flow_detail(spark: SparkSession, sf: str) -> DataFrame:
     return packets.join(flow.select("flow_id", "decision"), "flow_id").select("flow_id", "j", "size", "dir", "decision")
 
 
+NAMED = "CASE decision " + " ".join(f"WHEN {code} THEN '{name}'" for code, name in S.DECISIONS.items()) + " END"
+
+
 @query(
     "score_one_flow",
-    Q.EM_SCORES + f", {Q.theta_sql(0.1)} SELECT su.k, pred, round(p_safe, 6) AS p_safe, round(u, 6) AS u FROM su WHERE flow_id = 4 AND k <= ppi_len",
+    Q.EM_SCORES + f""", {Q.theta_sql(0.1)}, {safe_sql(where='flow_id = 4')}
+SELECT su.k, pred, round(p_safe, 6) AS p_safe, round(u, 6) AS u, de.k AS decided_k, {NAMED} AS decision, prediction FROM su, de WHERE su.flow_id = 4 AND su.k <= su.ppi_len""",
 )
 def score_one_flow(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.reached(C.long_scores(em_scores(spark, sf).where("flow_id = 4"), ["pred", "p_safe", "u"], ["ppi_len"]))
-    return rows.select("k", "pred", F.round("p_safe", 6).alias("p_safe"), F.round("u", 6).alias("u"))
+    """Every prefix of one flow, and where and how it is decided first."""
+    s = em_scores(spark, sf)
+    one = s.where("flow_id = 4")
+    rows = C.reached(C.long_scores(one, ["pred", "p_safe", "u"], ["flow_id", "ppi_len"]))
+    first = H.safe_stop(one, 0.5, reject_theta(s)).select("flow_id", F.col("k").alias("decided_k"), V.decision_names(F.col("decision")).alias("decision"), "prediction")
+    out = rows.join(F.broadcast(first), "flow_id")
+    return out.select("k", "pred", F.round("p_safe", 6).alias("p_safe"), F.round("u", 6).alias("u"), "decided_k", "decision", "prediction")
 
 
-@query("decision_trace")
+@query(
+    "decision_trace",
+    Q.EM_SCORES + f", {Q.theta_sql(0.1)}, {safe_sql()} SELECT su.flow_id, su.k, pred, p_safe, u, {NAMED} AS decision FROM su JOIN de ON de.flow_id = su.flow_id AND su.k <= de.k",
+)
 def decision_trace(spark: SparkSession, sf: str) -> DataFrame:
     """Every prefix a decided flow was scored at, up to its decision."""
     s = em_scores(spark, sf)
