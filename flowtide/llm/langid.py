@@ -30,7 +30,9 @@ BITS = 18
 #: size of the alphabet that unknown letters are spread over
 ALPHABET = 1 << 10
 #: distinct words a worker keeps the scores of, or counts before it hands counts on
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
+#: words whose letters are scored or counted at a time
+PART_WORDS = 8192
 #: one of so many training documents is left out of the counts and used for calibration
 CALIBRATION = 8
 UNKNOWN = "und"
@@ -95,6 +97,9 @@ class Model:
     def word_bits(self, found: list[str]) -> np.ndarray:
         """Per word: bits under each language, and the number of predictions in the last column."""
         keys, sizes, of = sequences(found)
+        # a sequence says how long it is, and the same ones come up in many words
+        keys, at, back = np.unique(keys, return_index=True, return_inverse=True)
+        sizes = sizes[at]
         p = np.full((len(keys), len(self.languages)), 1.0 / ALPHABET)
         for k in range(ORDER):
             rows = np.flatnonzero(sizes > k)
@@ -107,7 +112,7 @@ class Model:
                 mixed = (np.maximum(count - d, 0.0) + d * kinds * p[rows]) / total
             p[rows] = np.where(total > 0, mixed, p[rows])
         bits = np.zeros((len(found), len(self.languages) + 1))
-        cost = -np.log2(np.maximum(p, 1e-12))
+        cost = -np.log2(np.maximum(p, 1e-12))[back]
         for j in range(len(self.languages)):
             bits[:, j] = np.bincount(of, cost[:, j], minlength=len(found))
         bits[:, -1] = np.bincount(of, minlength=len(found))
@@ -136,10 +141,13 @@ class Scorer:
         new = [w for w in dict.fromkeys(chain.from_iterable(found)) if w not in self.numbers]
         if new:
             self.numbers.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
-            spelled = [letters(w)[::-1] if self.reverse else letters(w) for w in new]
-            bits = self.model.word_bits(spelled)
-            bits[[not s for s in spelled]] = 0.0
-            self.table = np.concatenate((self.table, bits))
+            parts = [self.table]
+            for i in range(0, len(new), PART_WORDS):
+                spelled = [letters(w)[::-1] if self.reverse else letters(w) for w in new[i : i + PART_WORDS]]
+                bits = self.model.word_bits(spelled)
+                bits[[not s for s in spelled]] = 0.0
+                parts.append(bits)
+            self.table = np.concatenate(parts)
         out = np.zeros((len(texts), self.table.shape[1]))
         get = self.numbers.__getitem__
         for i, w in enumerate(found):
@@ -159,15 +167,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w, n in counter.items():
                 if s := letters(w):
                     merged[s] += n
-            found = list(merged)
-            if not found:
+            found, times = list(merged), np.fromiter(merged.values(), np.int64, len(merged))
+            tagged, size, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            for i in range(0, len(found), PART_WORDS):
+                keys, sizes, of = sequences(found[i : i + PART_WORDS])
+                keys, sizes, weights = np.concatenate((tagged, keys)), np.concatenate((size, sizes)), np.concatenate((n, times[i + of]))
+                tagged, where = np.unique(keys, return_inverse=True)
+                n = np.bincount(where, weights, len(tagged)).astype(np.int64)
+                size = np.zeros(len(tagged), np.int64)
+                size[where] = sizes
+            if not len(tagged):
                 continue
-            keys, sizes, of = sequences(found)
-            times = np.fromiter(merged.values(), np.int64, len(found))[of]
-            tagged, where = np.unique(keys, return_inverse=True)
-            n = np.bincount(where, times, len(tagged)).astype(np.int64)
-            size = np.zeros(len(tagged), np.int64)
-            size[where] = sizes
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tagged)), pa.array(tagged.view(np.int64)), pa.array(size), pa.array(n)], ["lang", "key", "size", "n"])
 
     for batch in batches:

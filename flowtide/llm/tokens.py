@@ -1,7 +1,7 @@
 """Token ids of texts with a public tokenizer file, through a cache of words.
 
 The tokenizer drops white space and never joins pieces across it, so the ids of a text are the ids of its
-words in turn. A worker keeps the ids of the words it has met. A word that is only letters skips
+words in turn. A task keeps the ids of the words it has met. A word that is only letters skips
 the tokenizer's normalisation, which is the identity on it after lower-casing, and goes straight to its
 model; everything else is encoded in full.
 """
@@ -9,13 +9,12 @@ model; everything else is encoded in full.
 from __future__ import annotations
 
 import unicodedata
-from functools import cache as once
 from struct import pack
 
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: words a worker keeps in each of two generations; the older one is dropped when the newer is full
-KEPT_WORDS = 300_000
+#: words a task keeps in each of two generations; the older one is dropped when the newer is full
+KEPT_WORDS = 200_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -76,9 +75,8 @@ def plain_letters(word: str) -> bool:
     return word.isascii() or (max(word) < "ɐ" and "İ" not in word and unicodedata.is_normalized("NFC", word))
 
 
-@once
 def word_ids(path: str) -> WordIds:
-    """One cache for each worker process."""
+    """A cache for one task; it goes when the task ends."""
     return WordIds(path)
 
 
