@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowtide.session import cut
+
 #: rows and bytes of one Arrow batch that a Python worker holds at a time
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -46,8 +48,6 @@ SENT_IDS = 1 << 18
 
 def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id is not in the only column of ``gone``; a null id equals a null id."""
-    from flowtide.session import cut
-
     gone = cut(gone.toDF("_gone").distinct())
     if gone.count() <= SENT_IDS:
         gone = F.broadcast(gone)
@@ -67,7 +67,7 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], new, [len(sorted_values)]))
 
 
-def grouped_rows(batches: Iterator[pa.RecordBatch], key: str, limit: int | None = None) -> Iterator[pa.RecordBatch]:
+def grouped_rows(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     """Cut the batches of a partition sorted by ``key`` so that no key's rows lie on both sides of
     a cut: each record batch handed on holds all rows of its keys."""
     held: list[pa.RecordBatch] = []
