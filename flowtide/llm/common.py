@@ -42,16 +42,33 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-#: ids that are broadcast at most; more are joined by a shuffle
+#: keys that are broadcast at most; more are joined by a shuffle
 SENT_IDS = 1 << 18
 
 
-def without_ids(docs: DataFrame, doc_id: str, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in the only column of ``gone``; a null id equals a null id."""
-    gone = cut(gone.toDF("_gone").distinct())
-    if gone.count() <= SENT_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs[doc_id].eqNullSafe(gone["_gone"]), "left_anti")
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """What tells rows apart where ids are null or repeat: the id and the text's SHA-256."""
+    return [doc_id.alias("_id"), F.sha2(text, 256).alias("_sha")]
+
+
+def without_rows(docs: DataFrame, key: list[Column], gone: DataFrame, again: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose ``row_key`` is not a row of ``gone``; a null id equals a null id. Of the
+    rows that share a key in ``again`` one stays, the smallest by all columns from left to right."""
+    names = docs.columns
+    keyed = docs.select(F.struct("*").alias("_row"), *key)
+
+    def with_key(rows: DataFrame, how: str) -> DataFrame:
+        keys = cut(rows.toDF("_gone_id", "_gone_sha").distinct())
+        if keys.count() <= SENT_IDS:
+            keys = F.broadcast(keys)
+        return keyed.join(keys, keyed["_id"].eqNullSafe(keys["_gone_id"]) & (keyed["_sha"] == keys["_gone_sha"]), how)
+
+    if again is not None:
+        again = cut(again)
+        if not again.isEmpty():
+            one = with_key(again, "left_semi").groupBy("_id", "_sha").agg(F.min("_row").alias("_row"))
+            return with_key(gone.unionAll(again), "left_anti").select("_row").unionAll(one.select("_row")).select("_row.*").toDF(*names)
+    return with_key(gone, "left_anti").select("_row.*").toDF(*names)
 
 
 def column(batch: pa.RecordBatch, name: str) -> np.ndarray:

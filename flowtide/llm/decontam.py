@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import utf8, without_ids
+from flowtide.llm.common import row_key, utf8, without_rows
 
 WINDOW = 13
 #: a document of n words with h hit words is contaminated if h > 0 and LEAST * h >= n
@@ -197,7 +197,7 @@ def search_shard(texts: list[bytes], windows: Windows) -> tuple[np.ndarray, list
     return counts, spans, items
 
 
-_FOUND = "doc_id long, _key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+_FOUND = "doc_id long, _key {}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -234,8 +234,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     without words are ignored, repeated items count once. An empty documents table gives no rows,
     an empty benchmark no hits; other columns are ignored.
     """
+    return _contamination(docs, benchmark, doc_id, text, item_id, F.xxhash64("_t"), "long").drop("_key")
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, item_id: str, key: Column, key_type: str) -> DataFrame:
+    """``find_contamination`` with a ``_key`` of the text (its bytes are ``_t``) beside each row."""
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("_t")).withColumn("_key", F.xxhash64("_t"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("_t")).withColumn("_key", key)
     passes = _passes(benchmark, item_id, text)
 
     def one_pass(items: list[tuple[str, bytes]]) -> DataFrame:
@@ -249,7 +254,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
                 pairs = [[{"start": a, "end": b} for a, b in x] for x in spans]
                 return pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts),
+                        pa.array(ids, pa.int64()), pa.array(keys), pa.array(counts),
                         pa.array(pairs, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                         pa.array([sorted(x) for x in found], pa.list_(pa.string())),
                     ],
@@ -269,12 +274,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
             if ids:
                 yield emit(ids, keys, texts)
 
-        return source.mapInArrow(search, _FOUND)
+        return source.mapInArrow(search, _FOUND.format(key_type))
 
     found = one_pass(passes[0]) if len(passes) == 1 else _joined_passes([one_pass(p) for p in passes])
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
+        "doc_id", "_key", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items",
         ((n_hit > 0) & (n_hit * LEAST >= F.col("n_words"))).alias("contaminated"), "spans",
     )
 
@@ -289,9 +294,11 @@ def _joined_passes(parts: list[DataFrame]) -> DataFrame:
         F.collect_set("spans").alias("_spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count("*") / len(parts)).cast("int").alias("_rows"),
     )
-    return one.select("doc_id", "n_words", merge("_spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), "_rows")).alias("_row"))
+    return one.select("doc_id", "_key", "n_words", merge("_spans").alias("spans"), "items", F.explode(F.sequence(F.lit(1), "_rows")).alias("_row"))
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
-    return without_ids(docs, doc_id, find_contamination(docs, benchmark, doc_id, text).where("contaminated").select("doc_id"))
+    """The rows of ``docs`` that are not contaminated, with all their columns; clean rows that repeat all stay."""
+    found = _contamination(docs, benchmark, doc_id, text, "item_id", F.sha2("_t", 256), "string")
+    key = row_key(F.col(doc_id).cast("long"), utf8(F.col(text)))
+    return without_rows(docs, key, found.where("contaminated").select("doc_id", "_key"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import SENT_IDS, column, runs, tasks_for, whole, without_ids
+from flowtide.llm.common import SENT_IDS, column, row_key, runs, tasks_for, whole, without_rows
 from flowtide.session import cut
 
 #: fingerprints that one merged block holds on average, at most
@@ -138,5 +138,9 @@ def exact_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def without_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    return without_ids(docs, doc_id, exact_copies(docs, doc_id, text).where("not kept").select("doc_id"))
+    """One row of each group of equal texts, with all its columns: the one with the smallest id, and of
+    rows that repeat this id (or have none, in a group of null ids) the smallest by all columns."""
+    found = exact_copies(docs, doc_id, text)
+    again = found.where("kept and group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    key = row_key(F.col(doc_id), normalised(F.col(text)))
+    return without_rows(docs, key, found.where("not kept").select("doc_id", "text_sha256"), again)

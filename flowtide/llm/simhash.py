@@ -17,10 +17,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowtide.llm.common import column, grouped_rows, runs, tasks_for, utf8, without_ids
+from flowtide.llm.common import column, grouped_rows, row_key, runs, tasks_for, utf8, without_rows
 from flowtide.llm.components import components
 from flowtide.session import cut
 
@@ -58,7 +58,8 @@ def fingerprint(data: bytes, words: int = WORDS, seed: int = SEED) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.fromiter((fingerprint(x.as_py()) for x in batch.column("_t")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+        names = [n for n in batch.schema.names if n != "_t"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(values.view(np.int64))], [*names, "fp"])
 
 
 _POINTS = np.arange(1, 32, dtype=np.uint32)
@@ -175,15 +176,29 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     other). An empty table gives no rows; other columns are ignored.
     """
     marked = cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("_t")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    first = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = _smallest(marked, F.col("doc_id")).withColumnRenamed("first", "component_id")
+    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _smallest(marked: DataFrame, of: Column) -> DataFrame:
+    """(fp, first): the smallest ``of`` in the component of each fingerprint."""
+    first = cut(marked.groupBy("fp").agg(F.min(of).alias("first_id")))
 
     nodes = components(links(first, first.count())).withColumnRenamed("node", "fp")
     rooted = cut(first.join(nodes, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("first"))
+    return rooted.join(smallest, "root").select("fp", "first")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group of near copies."""
-    return without_ids(docs, doc_id, near_copies(docs, doc_id, text).where("doc_id <> component_id").select("doc_id"))
+    """One row of each group of near copies, with all its columns: the one with the smallest id (null ids
+    come last), of texts with this id the one with the smallest SHA-256, and of rows that repeat both
+    the smallest by all columns."""
+    key = row_key(F.col(doc_id).cast("long"), utf8(F.col(text)))
+    source = docs.select(*key, utf8(F.col(text)).alias("_t"))
+    marked = cut(source.mapInArrow(_fingerprints, "_id long, _sha string, fp long"))
+    # a struct is compared field by field
+    own = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_sha").alias("sha"))
+    placed = marked.join(_smallest(marked, own), "fp").withColumn("kept", F.col("_id").eqNullSafe(F.col("first.id")) & (F.col("_sha") == F.col("first.sha")))
+    again = placed.where("kept").groupBy("_id", "_sha").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return without_rows(docs, key, placed.where("not kept").select("_id", "_sha"), again)

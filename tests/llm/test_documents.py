@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -320,6 +321,31 @@ def test_empty_table_and_rows_that_repeat(spark, name):
         assert [len(r["kept"]) for r in got if r["doc_id"] == 1] == [len(text)] * 2 and [len(r["kept"]) for r in got if r["doc_id"] == 2] == [0]
 
 
+def test_filters_decide_per_row(spark):
+    r = random.Random(4)
+    one, two, three, four = (" ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4))
+    near = one[:-6] + "zzzzzz"
+    rows = [(7, one), (7, two), (7, two), (None, one), (None, three), (None, three), (None, four), (3, two), (None, near), (9, None), (None, ""), (7, near)]
+    twice = common.prepare(spark).createDataFrame([(i, t, "en", None, None, None, None) for i, t in rows], SCHEMA)
+
+    def kept(found):
+        return sorted(((x["doc_id"], x["text"]) for x in found.collect()), key=str)
+
+    def want(*pairs):
+        return sorted(pairs, key=str)
+
+    assert kept(exact.without_copies(twice)) == want((7, one), (3, two), (None, three), (None, four), (7, near), (9, None))
+    assert (plain.components([(0, one), (1, near)])[1][1] == 0) is True
+    got = kept(simhash.one_of_each(twice))
+    least = min((one, near), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    assert got == want((7, least), (3, two), (None, three), (None, four), (9, None))
+    bench = spark.createDataFrame([(1, two), (2, four)], "item_id long, text string")
+    assert kept(decontam.clean_of(twice, bench)) == want(*(x for x in rows if x[1] not in (two, four)))
+    rejected = {(x["doc_id"], x["lang_pred"]) for x in langid.identify(twice).where("rejected").collect()}
+    assert rejected == {(9, "und"), (None, "und")}
+    assert kept(langid.recognised(twice)) == want(*(x for x in rows if x[1]))
+
+
 def test_an_empty_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r["n_hit"] for r in decontam.find_contamination(frame(spark, ["a b", None]), none).collect()] == [0, 0]
