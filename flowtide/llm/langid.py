@@ -6,7 +6,7 @@ orders count distinct left contexts, except for sequences that start a word, whi
 come from all training rows, are summed per worker over distinct words first, and end in sorted arrays
 of hashed sequences: at most 2^BITS entries per table, which bounds what is broadcast. A text goes to the
 language with the lowest cross-entropy per letter. Texts are rejected above a limit that is halfway
-between what training texts reach and what the same texts with reversed words reach; short texts get more room.
+between what training texts reach under the counts of the others and what the same texts with reversed words reach; short texts get more room.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ ALPHABET = 1 << 10
 KEPT_WORDS = 150_000
 #: words whose letters are scored or counted at a time
 PART_WORDS = 8192
-#: one of so many training documents is left out of the counts and used for calibration
+#: one of so many training documents is left out of the counts that the limits are taken under
 CALIBRATION = 8
 UNKNOWN = "und"
 
@@ -236,17 +236,25 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
-def fit(train: DataFrame, calibration: DataFrame) -> Model | None:
-    """A model of the rows (lang, _t) of ``train``, its limits from ``calibration``; None without rows."""
-    spark = train.sparkSession
-    grams = train.mapInArrow(_count_words, "lang string, key long, size long, n long")
+def _counted(grams: DataFrame) -> Model | None:
+    """A model of the counts, without a limit; None without counts."""
     tables = _tables(grams)
     languages = sorted(r["lang"] for r in tables[0].select("lang").distinct().collect())
     if not languages:
         return None
     parts = [_hashed(k + 1, languages, t) for k, t in enumerate(tables)]
-    model = Model(languages, *([p[i] for p in parts] for i in range(5)), np.array([p[5] for p in parts]))
-    shared = spark.sparkContext.broadcast(model)
+    return Model(languages, *([p[i] for p in parts] for i in range(5)), np.array([p[5] for p in parts]))
+
+
+def fit(train: DataFrame, calibration: DataFrame) -> Model | None:
+    """A model of all rows (lang, _t) of both tables; None without rows. Its limits are what ``calibration``
+    reaches under a model of ``train`` alone; there are none if either is empty."""
+    spark = train.sparkSession
+    counted, rest = (cut(rows.mapInArrow(_count_words, "lang string, key long, size long, n long")) for rows in (train, calibration))
+    model, part = _counted(counted.unionAll(rest)), _counted(counted)
+    if model is None or part is None:
+        return model
+    shared = spark.sparkContext.broadcast(part)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, noise = Scorer(shared.value), Scorer(shared.value, reverse=True)
@@ -254,13 +262,14 @@ def fit(train: DataFrame, calibration: DataFrame) -> Model | None:
         for b in batches:
             texts = b.column("_t").to_pylist()
             bits, other = scorer.texts(texts), noise.texts(texts)
-            kept = bits[:, -1] > 0
-            rate = bits[kept, :-1] / bits[kept, -1:]
-            own = np.array([known.get(x, -1) for x in b.column("lang").to_pylist()])[kept]
+            own = np.array([known.get(x, -1) for x in b.column("lang").to_pylist()])
+            # a language that is only in the calibration rows says nothing about texts of known ones
+            kept = (bits[:, -1] > 0) & (own >= 0)
+            rate, own = bits[kept, :-1] / bits[kept, -1:], own[kept]
             best = rate.min(axis=1)
             rivals = rate.copy()
             rivals[np.arange(len(own)), own] = np.inf
-            margin = np.where(own >= 0, rivals.min(axis=1) - rate[np.arange(len(own)), own], 0.0)
+            margin = rivals.min(axis=1) - rate[np.arange(len(own)), own]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(best), pa.array(other[kept, :-1].min(axis=1) / other[kept, -1]), pa.array(bits[kept, -1]), pa.array(np.where(np.isfinite(margin), margin, 10.0))],
                 ["best", "noise", "n", "margin"],

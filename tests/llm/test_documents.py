@@ -209,6 +209,18 @@ def test_language_without_anything_to_learn_from(spark):
     assert [(x["lang_pred"], x["rejected"]) for x in got] == [("und", True)] * 2
 
 
+def test_language_counts_the_calibration_rows(spark):
+    number = lambda i: zlib.crc32(str(i).encode())
+    learned = [i for i in range(400) if number(i) % 3 != 1]
+    left_out = [i for i in learned if number(i) // 3 % langid.CALIBRATION == 0]
+    texts, lang = ["the water of the river " * 5] * 400, ["aa" if i in learned else None for i in range(400)]
+    texts[left_out[0]], lang[left_out[0]] = "grün schön über zwölf " * 5, "rare"
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(frame(spark, texts, lang)).collect()}
+    assert got == {i: "rare" if i == left_out[0] else "aa" for i in range(400)}
+    only = frame(spark, texts, [lang[i] if i in left_out[1:] else None for i in range(400)])
+    assert {(x["lang_pred"], x["rejected"]) for x in langid.identify(only).collect()} == {("aa", False)}
+
+
 def test_token_cache_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
