@@ -26,6 +26,8 @@ from flowtide.llm.common import whole
 # fixed values: element kinds of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head title template noscript iframe object svg math canvas audio video select textarea datalist".split())
+#: what may stand in a head; any other start tag, or text, ends a head that is left open
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter output progress q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -67,12 +69,19 @@ class Page(HTMLParser):
         self.opened: Counter = Counter()
         self.holders = [0]
         self.silent = self.links = 0
+        #: a page has one head, before its body
+        self.headed = False
         self.block = -1
         self.feed(html)
         self.close()
         self._end_block()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "head" and self.headed:
+            return
+        self.headed |= tag in ("head", "body")
+        if self.opened["head"] and (tag == "body" and not self.opened["template"] or self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            self._close("head", ())
         if tag in VOID:
             if tag in ("br", "hr"):
                 self._space() if tag == "br" else self._end_block()
@@ -127,6 +136,8 @@ class Page(HTMLParser):
             self.nodes[self.block].parts.append(" ")
 
     def handle_data(self, data: str) -> None:
+        if self.silent and self.stack[-1][0] == "head" and not data.isspace():
+            self._close("head", ())
         if self.silent:
             return
         if self.block < 0:
@@ -154,7 +165,7 @@ def _names(attrs: list[tuple[str, str | None]]) -> list[str]:
     out = []
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            out += [w.lower() for w in _NAME.findall(value[:400])]
+            out += [w.lower() for w in _NAME.findall(value)]
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", ""):
             out.append("#hidden")
     return list(dict.fromkeys(out))

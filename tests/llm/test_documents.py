@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowtide.llm import common, components, decontam, exact, langid, packing, repeats, secrets, simhash, tokens
+from flowtide.llm import common, components, decontam, exact, langid, maintext, packing, repeats, secrets, simhash, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, fp string"
 
@@ -221,6 +221,20 @@ def test_language_counts_the_calibration_rows(spark):
     assert {(x["lang_pred"], x["rejected"]) for x in langid.identify(only).collect()} == {("aa", False)}
 
 
+@pytest.mark.parametrize("head", [
+    "<head><title>x</title></head><body>", "<head><title>x</title><body>", "<head><meta charset=utf-8><title>x</title>", "<head><style>p {}</style><link rel=y>",
+    "<head><title>x</title><noscript><style>p {}</style></noscript><body>", "<head><head><title>x</title></head><body>", "<head><script>if (a < b) c()</script><img src=z>",
+])
+def test_a_head_may_be_left_open(head):
+    nodes = maintext.Page(f"<html>{head}<p>First words.</p><div>More <b>words</b>.</div></html>").nodes
+    assert [n.text for n in nodes if n.tag == maintext.TEXT] == ["First words.", "More words."]
+    assert [n.text for n in maintext.Page(f"<html><head><title>x</title>Words alone.").nodes if n.tag == maintext.TEXT] == ["Words alone."]
+
+
+def test_names_are_read_whole():
+    assert "last" in maintext.Page(f'<p class="{"first " * 100}last">a</p>').nodes[1].seen
+
+
 def test_token_cache_equals_the_tokenizer():
     from tokenizers import Tokenizer
 
