@@ -4,7 +4,7 @@ Each language has a model of order four over the letters of words: a letter is p
 letters before it in its word (a space stands before and after). Highest-order counts are plain, lower
 orders count distinct left contexts, except for sequences that start a word, which have none. Counts
 come from all training rows, are summed per worker over distinct words first, and end in sorted arrays
-of hashed sequences: at most 2^BITS entries per table, which bounds what is broadcast. A text goes to the
+of whole sequences, so no two share a count; the arrays are as long as there are distinct sequences. A text goes to the
 language with the lowest cross-entropy per letter. Texts are rejected above a limit that is halfway
 between what training texts reach under the counts of the others and what the same texts with reversed words reach; short texts get more room.
 """
@@ -26,7 +26,6 @@ from flowtide.llm.common import whole
 from flowtide.session import cut
 
 ORDER = 4
-BITS = 18
 #: size of the alphabet that unknown letters are spread over
 ALPHABET = 1 << 10
 #: distinct words a worker keeps the scores of, or counts before it hands counts on
@@ -38,7 +37,6 @@ CALIBRATION = 8
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = " "
 
 
@@ -69,19 +67,15 @@ def sequences(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def buckets(keys: np.ndarray, order: int, context: bool) -> np.ndarray:
-    """Hashes of the last ``order`` characters, or of the context before the last one."""
+    """The last ``order`` characters, or the context before the last one, packed as in ``sequences``."""
     keys = keys >> np.uint64(16) if context else keys
     size = order - 1 if context else order
-    if size < 4:
-        keys = keys & np.uint64((1 << (16 * size)) - 1)
-    mixed = keys * _MIX
-    mixed ^= mixed >> np.uint64(29)
-    return (mixed * _MIX) >> np.uint64(64 - BITS)
+    return keys & np.uint64((1 << (16 * size)) - 1)
 
 
 @dataclass
 class Model:
-    """Per order: sorted bucket numbers with counts per language, of sequences and of contexts."""
+    """Per order: sorted packed sequences with counts per language, of sequences and of contexts."""
 
     languages: list[str]
     sequence_keys: list[np.ndarray]
@@ -202,7 +196,7 @@ def _tables(grams: DataFrame) -> list[DataFrame]:
 
 
 def _hashed(order: int, languages: list[str], table: DataFrame) -> tuple:
-    """The arrays of one order; what comes back has at most 2^BITS rows per language and side."""
+    """The arrays of one order; a row per language and distinct sequence or context comes back."""
 
     def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

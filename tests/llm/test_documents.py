@@ -209,6 +209,14 @@ def test_language_without_anything_to_learn_from(spark):
     assert [(x["lang_pred"], x["rejected"]) for x in got] == [("und", True)] * 2
 
 
+def test_sequences_keep_their_own_counts():
+    import numpy as np
+
+    keys, sizes, _ = langid.sequences([chr(0x4E00 + i // 700) + chr(0x5E00 + i % 700) + "ab" for i in range(400_000)])
+    full = np.unique(keys[sizes == langid.ORDER])
+    assert len(full) > 1 << 18 and len(np.unique(langid.buckets(full, langid.ORDER, False))) == len(full)
+
+
 def test_language_counts_the_calibration_rows(spark):
     number = lambda i: zlib.crc32(str(i).encode())
     learned = [i for i in range(400) if number(i) % 3 != 1]
