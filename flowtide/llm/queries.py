@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowtide.llm import decontam, exact, langid, maintext, packing, rangecoder, repeats, secrets, simhash, warc
+from flowtide.llm import decontam, exact, jaccard, langid, maintext, merkle, packing, phrases, rangecoder, repeats, secrets, simhash, warc
 from flowtide.llm.common import prepare, read_table
 from flowtide.session import configure, scratch_path
 
@@ -162,3 +162,91 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)"""
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+COLLOCATION_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, k, list_slice(w, i, i + k - 1) AS g, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest(range(1, {phrases.LONGEST + 1})) AS k) WHERE len(w) >= k)
+  GROUP BY 1, 2, 3 HAVING count(*) >= {phrases.LEAST}),
+covered AS (SELECT DISTINCT lang, k, part AS g FROM (
+    SELECT h.lang, h.f, j AS k, unnest(list_transform(range(1, h.k - j + 2), lambda i: list_slice(h.g, i, i + j - 1))) AS part
+    FROM g AS h, (SELECT unnest(range(2, {phrases.LONGEST})) AS j) WHERE j < h.k) AS x
+  WHERE EXISTS (SELECT 1 FROM g AS s WHERE s.lang = x.lang AND s.g = x.part AND 100 * x.f >= 100 * s.f)),
+cuts AS (SELECT c.lang, c.g, c.f AS a, j, list_slice(c.g, 1, j) AS lg, list_slice(c.g, j + 1, c.k) AS rg
+  FROM (SELECT c.*, unnest(range(1, c.k)) AS j FROM g AS c WHERE c.k > 1 AND (c.lang, c.g) NOT IN (SELECT lang, g FROM covered)) AS c),
+scored AS (SELECT cuts.lang, cuts.g, a, j, x.f AS l, y.f AS r, n, CAST({phrases.SCALE}::HUGEINT * a * n // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN g AS x ON x.lang = cuts.lang AND x.g = lg JOIN g AS y ON y.lang = cuts.lang AND y.g = rg JOIN total ON total.lang = cuts.lang),
+best AS (SELECT *, array_to_string(g, ' ') AS phrase FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY rank <= {phrases.TOP}"""
+
+
+@query("op11_phrase_collocations", COLLOCATION_SQL)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+JACCARD_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 2, 1) + 1), lambda i: list_slice(w, i, i + 2))) END AS s FROM w),
+g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM g AS x JOIN g AS y ON x.g = y.g AND x.doc_id < y.doc_id AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))),
+joined AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM joined UNION SELECT r.a, t.b FROM reach AS r JOIN joined AS t ON t.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM s LEFT JOIN least_of ON a = doc_id"""
+
+
+@query("op12_jaccard_join", JACCARD_SQL)
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(read_table(spark, sf_dir, "documents"))
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["doc_id", "source", "lang", "n_chars", text]
+    return "sha256(" + " || ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE strlen(CAST({f} AS VARCHAR)) || ':' || CAST({f} AS VARCHAR) END" for f in fields) + ")"
+
+
+_CRC_STEP = "list_reduce([xor(c, b), 0, 1, 2, 3, 4, 5, 6, 7], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))"
+_TREE = """
+  SELECT l, g, p, h FROM (SELECT l + 1 AS l, g, p // 8 AS p, sha256(string_agg(h, '' ORDER BY p)) AS h
+    FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY l, g, p // 8)"""
+
+MERKLE_SQL = rf"""
+WITH RECURSIVE leaves AS (
+  SELECT coalesce('=' || lang, '-') AS g, doc_id, {_leaf_sql('text')} AS h, {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS other,
+    xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: ascii(d)::BIGINT), lambda c, b: {_CRC_STEP}), 4294967295) % 3 = 0 AS third
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM leaves),
+tree AS (SELECT 0 AS l, g, p, h FROM placed UNION ALL {_TREE.format(name='tree')}),
+subs AS (SELECT g AS lang_of, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS p FROM (SELECT g, arg_max(h, l) AS h FROM tree GROUP BY 1)),
+top AS (SELECT 0 AS l, 0 AS g, p, subroot AS h FROM subs UNION ALL {_TREE.format(name='top')}),
+root AS (SELECT arg_max(h, l) AS root FROM top),
+sizes AS (SELECT g, max(l) AS steps FROM tree GROUP BY 1),
+-- every node below a root: its level, the siblings left and right of it; the languages' tree goes on where theirs ends
+runs AS (SELECT l, g, p, string_agg(h, '') OVER (PARTITION BY l, g, p // 8 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lt,
+    string_agg(h, '') OVER (PARTITION BY l, g, p // 8 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rt FROM tree),
+top_runs AS (SELECT l, p, string_agg(h, '') OVER (PARTITION BY l, p // 8 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lt,
+    string_agg(h, '') OVER (PARTITION BY l, p // 8 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS rt FROM top),
+tops AS (SELECT max(l) AS steps FROM top),
+steps AS (
+  SELECT d.g, d.p AS leaf_no, r.l, coalesce(r.lt, '') AS lt, coalesce(r.rt, '') AS rt FROM placed d JOIN sizes z USING (g) JOIN runs r ON r.g = d.g AND r.l < z.steps AND r.p = d.p >> (3 * r.l)
+  UNION ALL
+  SELECT d.g, d.p, z.steps + r.l, coalesce(r.lt, ''), coalesce(r.rt, '') FROM placed d JOIN sizes z USING (g) JOIN subs s ON s.lang_of = d.g, tops t JOIN top_runs r ON r.l < t.steps AND r.p = s.p >> (3 * r.l)),
+proofs AS (SELECT g, leaf_no, sha256(string_agg(lt || rt, '' ORDER BY l)) AS proof, list(struct_pack(a := lt, b := rt) ORDER BY l) AS path FROM steps GROUP BY 1, 2),
+folds AS (SELECT d.g, d.p AS leaf_no, 0 AS l, CASE WHEN third THEN other ELSE h END AS h, path FROM placed d LEFT JOIN proofs q ON q.g = d.g AND q.leaf_no = d.p
+  UNION ALL SELECT g, leaf_no, l + 1, sha256(path[l + 1].a || h || path[l + 1].b), path FROM folds WHERE l < len(path)),
+ends AS (SELECT g, leaf_no, arg_max(h, l) AS folded_root FROM folds GROUP BY 1, 2)
+SELECT d.doc_id, d.h AS leaf, s.subroot, root, coalesce(q.proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed d JOIN ends e ON e.g = d.g AND e.leaf_no = d.p JOIN subs s ON s.lang_of = d.g LEFT JOIN proofs q ON q.g = d.g AND q.leaf_no = d.p, root"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tampered_manifest(read_table(spark, sf_dir, "documents"))

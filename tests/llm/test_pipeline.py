@@ -14,13 +14,13 @@ from flowtide.llm import langid, tokens
 from flowtide.llm.common import prepare
 from tools.check import TABLES, norm
 
-SQL = ["op3_exact_dedup", "op4_warc", "op7_secrets", "op10_decontamination"]
+SQL = ["op3_exact_dedup", "op4_warc", "op7_secrets", "op10_decontamination", "op11_phrase_collocations", "op12_jaccard_join", "op13_merkle_manifest"]
 
 
 def test_all_are_registered():
     names = entry_module.queries()
     assert "pipeline" in names
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
 
 
 @pytest.mark.parametrize("name", SQL)
