@@ -2,7 +2,7 @@
 
 The order puts n-grams of rare words first and the n-grams of passages that many texts share last; the
 frequent words and n-grams come from a bounded sample, which only moves n-grams in the order: any order gives
-the same links. An n-gram is its place in the order: four bits of class, sixty bits of its hash.
+the same links. An n-gram is its place in the order: four bits of class, then 59 bits of its hash.
 
 Equal sets are one node. Two sets that reach the threshold share one of the first few n-grams of both,
 at a place that still lets them reach it, so nodes meet in the buckets of their first n-grams. For the pairs that
@@ -68,7 +68,7 @@ class Order:
         """The places of a text's set, ascending."""
         found, grams = shingles(data, size)
         if not grams:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64)
         own = hashes(grams)
         known = self.words
         often = np.fromiter((w in known for w in found), np.int64, len(found))
@@ -77,7 +77,7 @@ class Order:
         if len(self.grams):
             at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
             kind = np.where(self.grams[at] == own, self.classes[at], kind)
-        return np.unique((kind << np.uint64(60)) | (own >> np.uint64(4)))
+        return np.unique((kind << np.uint64(59)) | (own >> np.uint64(5))).view(np.int64)
 
 
 def least_overlap(a: Column, b: Column) -> Column:
@@ -110,15 +110,15 @@ def draw_order(texts: DataFrame, rows: int, size: int = WORDS) -> Order:
     one_in = max(1, rows // SAMPLE)
     sample = texts.where(F.pmod(F.xxhash64("_t"), F.lit(one_in)) == 0).select("_t").distinct()
     counted = cut(sample.mapInArrow(_sampled(size), "gram long, word binary, n long").groupBy("gram", "word").agg(F.sum("n").alias("n")).where(f"n >= {LEAST_GRAM}"))
-    words = counted.where(f"word is not null and n >= {LEAST_WORD}").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word").collect()
-    grams = counted.where("gram is not null").orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).select("gram", "n").collect()
-    keys = np.array([r["gram"] for r in grams], np.int64).view(np.uint64)
-    return Order(frozenset(bytes(r["word"]) for r in words), keys, np.array([r["n"] for r in grams], np.int64))
+    words = counted.where(f"word is not null and n >= {LEAST_WORD}").orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).select("word").toArrow()
+    grams = counted.where("gram is not null").orderBy(F.desc("n"), "gram").limit(FREQUENT_GRAMS).select("gram", "n").toArrow()
+    keys, counts = (grams.column(c).to_numpy().astype(np.int64) for c in ("gram", "n"))
+    return Order(frozenset(words.column("word").to_pylist()), keys.view(np.uint64), counts)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts).view(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
 def _prefixes(order, size: int):
@@ -178,36 +178,44 @@ class Sets:
         self.pivots = self._pivots()
 
     def _pivots(self) -> np.ndarray:
-        """Where the order is cut: each fragment has about the same share of the sampled places."""
+        """Where the order is cut: each fragment has about the same share of the places of some 512 nodes."""
         rate = max(1, self.nodes.count() // 512)
         some = self.nodes.where(F.pmod(F.xxhash64("digest"), F.lit(rate)) == 0).select("digest")
-        whole = self._places_of(some, np.zeros(0, np.uint64)).select(F.explode("segment").alias("p"))
-        # unsigned order
-        cuts = whole.select(F.col("p").bitwiseXOR(F.lit(-(1 << 63))).alias("p")).agg(
-            F.percentile_approx("p", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000).alias("c")
-        )
-        found = cuts.first()["c"] or []
-        return np.unique(np.array(found, np.int64).view(np.uint64) ^ np.uint64(1 << 63))
-
-    def _places_of(self, wanted: DataFrame, pivots: np.ndarray) -> DataFrame:
-        """(digest, fragment, segment) of the nodes with these digests, one of each."""
-        ids = self.rows.join(_few(wanted, "digest"), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("_id"))
-        keys = _few(ids, "_id")
-        texts = self.texts.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        whole = self._places(some, np.zeros(0, np.int64)).select(F.explode("segment").alias("p"))
+        found = whole.agg(F.percentile_approx("p", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000).alias("c")).first()["c"]
+        return np.unique(np.array(found or [], np.int64))
+
+    def _places(self, wanted: DataFrame, pivots: np.ndarray) -> DataFrame:
+        """(digest, fragment, segment) of the nodes with these digests; rows that repeat id and text give a node again."""
+        wanted = _few(wanted, "digest")
+        ids = self.rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("_id"))
+        texts = self.texts.join(_few(ids, "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
         made = texts.mapInArrow(_segments(self.order, pivots, self.size), "digest binary, fragment int, segment array<long>")
-        return made.join(_few(wanted, "digest"), "digest", "left_semi").groupBy("digest", "fragment").agg(F.any_value("segment").alias("segment"))
+        return made.join(wanted, "digest", "left_semi")
+
+    def _first_fragment(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that can still reach the threshold when the overlap of their first n-grams is counted: up to the
+        place where the shorter list of the two ends, what only one of them has is lost."""
+        wanted = _few(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), "node")
+        firsts = self.nodes.select("node", "prefix").join(wanted, "node", "left_semi")
+        both = pairs.join(firsts.toDF("x", "px"), "x").join(firsts.toDF("y", "py"), "y")
+        end = F.least(F.element_at("px", -1), F.element_at("py", -1))
+        left = [F.col(n) - F.size(F.filter(p, lambda v: v <= F.col("_end"))) for n, p in (("nx", "px"), ("ny", "py"))]
+        most = F.size(F.array_intersect("px", "py")) + F.least(*left)
+        return both.withColumn("_end", end).where(most >= least_overlap(F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y, nx, ny) that reach the threshold, as (a, b): partial overlaps summed over the fragments."""
-        ids = self.nodes.select("node", "digest")
-        wanted = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        named = cut(ids.join(_few(wanted, "node"), "node"))
-        placed = cut(self._places_of(named.select("digest"), self.pivots).join(named, "digest").select("node", "fragment", "segment"))
-        left = placed.select(F.col("node").alias("x"), "fragment", F.col("segment").alias("sx"))
-        right = placed.select(F.col("node").alias("y"), "fragment", F.col("segment").alias("sy"))
-        cells = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(len(self.pivots)))))
-        partial = cells.join(left, ["x", "fragment"]).join(right, ["y", "fragment"]).select("x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).alias("shared"))
-        summed = partial.groupBy("x", "y", "nx", "ny").agg(F.sum("shared").alias("i"))
+        pairs = cut(self._first_fragment(pairs))
+        pair = ["x", "y", "nx", "ny"]
+        sides = [pairs.select(F.col(c).alias("node"), *pair, F.lit(c).alias("side")) for c in ("x", "y")]
+        named = cut(sides[0].union(sides[1]).join(self.nodes.select("node", "digest"), "node").drop("node"))
+        asked = F.broadcast(named) if named.count() <= SENT_IDS else named
+        cells = self._places(named.select("digest"), self.pivots).join(asked, "digest")
+        segment = lambda c: F.first(F.when(F.col("side") == c, F.col("segment")), ignorenulls=True)
+        met = cells.groupBy(*pair, "fragment").agg(segment("x").alias("sx"), segment("y").alias("sy"))
+        partial = met.where("sx is not null and sy is not null").select(*pair, F.size(F.array_intersect("sx", "sy")).alias("shared"))
+        summed = partial.groupBy(*pair).agg(F.sum("shared").alias("i"))
         return cut(summed.where(F.col("i") >= least_overlap(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
@@ -227,14 +235,14 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     similarity is at least NUM / DEN are linked; component_id is the smallest id reachable, the own
     included; null ids do not count (null if there is no other). Rows with equal sets are one
     node, whether they repeat an id or not. Texts without words (null, empty, white space) have an
-    empty set and no links: their component is their own id. N-grams are told apart by 60 bits of their hash.
+    empty set and no links: their component is their own id. N-grams are told apart by 59 bits of their hash.
     An empty table gives no rows; other columns are ignored.
     """
     sets = Sets(docs, doc_id, text, words)
     tokens = sets.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
     met = cut(tokens.join(shared, "token").withColumn("root", F.col("node")))
-    links = roots = None
+    links = roots = compared = None
     for turn in range(CENTRES + 1):
         if turn < CENTRES:
             centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos")).alias("c"))
@@ -243,7 +251,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         else:
             other = met.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("root").alias("_root"))
             pairs = met.join(other, "token").where("root < _root")
-        pairs = cut(_meeting(pairs).distinct())
+        pairs = _meeting(pairs).distinct()
+        pairs = cut(pairs if compared is None else pairs.join(compared, ["x", "y"], "left_anti"))
+        compared = pairs.select("x", "y") if compared is None else compared.union(pairs.select("x", "y"))
         found = None if pairs.isEmpty() else sets.linked(pairs)
         if found is not None and not found.isEmpty():
             links = found if links is None else links.union(found)
