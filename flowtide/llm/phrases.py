@@ -241,7 +241,8 @@ def _numbered(texts: DataFrame, words: Dictionary):
 def grams(texts: DataFrame, words: Dictionary, least: int = LEAST) -> DataFrame:
     """(w1 .. w5, f): the grams of one to five words (0 after the last) that occur ``least`` times."""
     spark = texts.sparkSession
-    ranges = max(1, -(-words.total // RANGE))
+    # a range is a task
+    ranges = tasks_for(spark, words.total, RANGE) if words.total > FLUSH else 1
     rows, edges = _numbered(texts, words)
     bx = by = np.zeros(0, np.int64)
     if ranges > 1:
@@ -257,7 +258,7 @@ def grams(texts: DataFrame, words: Dictionary, least: int = LEAST) -> DataFrame:
         borders = sorted({keys[k * len(keys) // ranges] for k in range(1, ranges)}) if keys else []
         bx, by = (np.array([b[k] for b in borders], np.int64) for k in (0, 1))
     dealt = rows.mapInArrow(lambda it: _dealt(edges(it), bx, by), "range long, edges binary")
-    held = dealt.repartition(tasks_for(spark, words.total, RANGE), "range").sortWithinPartitions("range")
+    held = dealt.repartitionById(ranges, F.col("range").cast("int")).sortWithinPartitions("range")
     found = held.mapInArrow(_range_counts(least), _GRAM_TYPE).groupBy(*GRAM).agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return cut(found)
 
