@@ -10,7 +10,7 @@ meet, the order is cut into fragments of about equal load, the overlap of each f
 and the partial overlaps are summed per pair.
 
 No bucket's pairs are all written out where its members hang together: first every member meets one centre of the
-bucket, which is linear, components are taken, and only members of different components meet after that.
+bucket, which is linear, then only members that do not hang together yet meet.
 """
 
 from __future__ import annotations
@@ -158,10 +158,9 @@ def _segments(order, pivots: np.ndarray, size: int):
     return run
 
 
-def _few(df: DataFrame, key: str) -> DataFrame:
-    """Distinct keys, broadcast while their number is bounded."""
-    keys = cut(df.select(key).distinct())
-    return F.broadcast(keys) if keys.count() <= SENT_IDS else keys
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast while the number of rows is bounded."""
+    return F.broadcast(df) if rows <= SENT_IDS else df
 
 
 class Sets:
@@ -180,38 +179,37 @@ class Sets:
     def _pivots(self) -> np.ndarray:
         """Where the order is cut: each fragment has about the same share of the places of some 512 nodes."""
         rate = max(1, self.nodes.count() // 512)
-        some = self.nodes.where(F.pmod(F.xxhash64("digest"), F.lit(rate)) == 0).select("digest")
-        whole = self._places(some, np.zeros(0, np.int64)).select(F.explode("segment").alias("p"))
+        some = self.nodes.where(F.pmod(F.xxhash64("digest"), F.lit(rate)) == 0).select("digest", "first")
+        whole = self._places(some, 0, np.zeros(0, np.int64)).join(F.broadcast(some), "digest").select(F.explode("segment").alias("p"))
         found = whole.agg(F.percentile_approx("p", [k / FRAGMENTS for k in range(1, FRAGMENTS)], 1000).alias("c")).first()["c"]
         return np.unique(np.array(found or [], np.int64))
 
-    def _places(self, wanted: DataFrame, pivots: np.ndarray) -> DataFrame:
-        """(digest, fragment, segment) of the nodes with these digests; rows that repeat id and text give a node again."""
-        wanted = _few(wanted, "digest")
-        ids = self.rows.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("_id"))
-        texts = self.texts.join(_few(ids, "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        made = texts.mapInArrow(_segments(self.order, pivots, self.size), "digest binary, fragment int, segment array<long>")
-        return made.join(wanted, "digest", "left_semi")
+    def _places(self, wanted: DataFrame, rows: int, pivots: np.ndarray) -> DataFrame:
+        """(digest, fragment, segment) of the texts whose id is the ``first`` of a row of ``wanted`` (at most ``rows`` rows)."""
+        ids = wanted.select(F.col("first").alias("_id")).distinct()
+        texts = self.texts.join(_small(ids, rows), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+        return texts.mapInArrow(_segments(self.order, pivots, self.size), "digest binary, fragment int, segment array<long>")
 
-    def _first_fragment(self, pairs: DataFrame) -> DataFrame:
+    def _first_fragment(self, pairs: DataFrame, rows: int) -> DataFrame:
         """The pairs that can still reach the threshold when the overlap of their first n-grams is counted: up to the
         place where the shorter list of the two ends, what only one of them has is lost."""
-        wanted = _few(pairs.select(F.col("x").alias("node")).union(pairs.select("y")), "node")
-        firsts = self.nodes.select("node", "prefix").join(wanted, "node", "left_semi")
-        both = pairs.join(firsts.toDF("x", "px"), "x").join(firsts.toDF("y", "py"), "y")
+        pairs = _small(pairs, rows)
+        left = self.nodes.select(F.col("node").alias("x"), F.col("prefix").alias("px"), F.col("digest").alias("dx"), F.col("first").alias("fx"))
+        right = self.nodes.select(F.col("node").alias("y"), F.col("prefix").alias("py"), F.col("digest").alias("dy"), F.col("first").alias("fy"))
+        both = left.join(pairs, "x").join(right.join(pairs.select("x", "y"), "y"), ["x", "y"])
         end = F.least(F.element_at("px", -1), F.element_at("py", -1))
-        left = [F.col(n) - F.size(F.filter(p, lambda v: v <= F.col("_end"))) for n, p in (("nx", "px"), ("ny", "py"))]
-        most = F.size(F.array_intersect("px", "py")) + F.least(*left)
-        return both.withColumn("_end", end).where(most >= least_overlap(F.col("nx"), F.col("ny"))).select("x", "y", "nx", "ny")
+        rest = [F.col(n) - F.size(F.filter(p, lambda v: v <= F.col("_end"))) for n, p in (("nx", "px"), ("ny", "py"))]
+        most = F.size(F.array_intersect("px", "py")) + F.least(*rest)
+        return both.withColumn("_end", end).where(most >= least_overlap(F.col("nx"), F.col("ny"))).drop("px", "py", "_end")
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, rows: int) -> DataFrame:
         """The pairs (x, y, nx, ny) that reach the threshold, as (a, b): partial overlaps summed over the fragments."""
-        pairs = cut(self._first_fragment(pairs))
+        close = cut(self._first_fragment(pairs, rows))
+        rows = 2 * close.count()
         pair = ["x", "y", "nx", "ny"]
-        sides = [pairs.select(F.col(c).alias("node"), *pair, F.lit(c).alias("side")) for c in ("x", "y")]
-        named = cut(sides[0].union(sides[1]).join(self.nodes.select("node", "digest"), "node").drop("node"))
-        asked = F.broadcast(named) if named.count() <= SENT_IDS else named
-        cells = self._places(named.select("digest"), self.pivots).join(asked, "digest")
+        asked = [close.select(F.col(f"d{c}").alias("digest"), F.col(f"f{c}").alias("first"), *pair, F.lit(c).alias("side")) for c in ("x", "y")]
+        asked = asked[0].union(asked[1])
+        cells = self._places(asked, rows, self.pivots).join(_small(asked.drop("first"), rows), "digest")
         segment = lambda c: F.first(F.when(F.col("side") == c, F.col("segment")), ignorenulls=True)
         met = cells.groupBy(*pair, "fragment").agg(segment("x").alias("sx"), segment("y").alias("sy"))
         partial = met.where("sx is not null and sy is not null").select(*pair, F.size(F.array_intersect("sx", "sy")).alias("shared"))
@@ -242,7 +240,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     tokens = sets.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
     met = cut(tokens.join(shared, "token").withColumn("root", F.col("node")))
-    links = roots = compared = None
+    links = compared = None
     for turn in range(CENTRES + 1):
         if turn < CENTRES:
             centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos")).alias("c"))
@@ -254,15 +252,15 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         pairs = _meeting(pairs).distinct()
         pairs = cut(pairs if compared is None else pairs.join(compared, ["x", "y"], "left_anti"))
         compared = pairs.select("x", "y") if compared is None else compared.union(pairs.select("x", "y"))
-        found = None if pairs.isEmpty() else sets.linked(pairs)
-        if found is not None and not found.isEmpty():
+        rows = pairs.count()
+        if rows:
+            found = sets.linked(pairs, rows)
             links = found if links is None else links.union(found)
-            roots = components(links)
         if turn < CENTRES:
-            met = _apart(met, roots)
+            met = _apart(met, links)
             if met.isEmpty():
                 break
-    roots = sets.nodes.select("node", F.col("node").alias("root")).limit(0) if roots is None else roots
+    roots = sets.nodes.select("node", F.col("node").alias("root")).limit(0) if links is None else components(links)
 
     placed = sets.nodes.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -272,9 +270,15 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     )
 
 
-def _apart(met: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """The members of buckets that hold more than one component, with their component ``root``."""
-    plain = met.drop("root")
-    named = plain.withColumn("root", F.col("node")) if roots is None else plain.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _apart(met: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The members of buckets that may hold more than one component. Members with one ``root`` belong together: a
+    node's root is the smallest neighbour of its smallest neighbour, which need not be that of the component."""
+    if links is None:
+        return met
+    both = links.union(links.select("b", "a"))
+    near = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
+    ahead = near.select(F.col("node").alias("root"), F.col("root").alias("_root"))
+    roots = near.join(ahead, "root").select("node", F.col("_root").alias("root"))
+    named = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = named.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token")
     return cut(named.join(several, "token"))
