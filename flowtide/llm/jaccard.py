@@ -38,7 +38,9 @@ SAMPLE = 1 << 14
 FREQUENT_WORDS, FREQUENT_GRAMS, LEAST_WORD, LEAST_GRAM = 1 << 15, 1 << 17, 4, 3
 FRAGMENTS = 8
 #: rounds in which members meet a centre before members of different components meet
-CENTRES = 2
+CENTRES = 3
+#: steps that the smallest label moves along the links between these rounds
+HOPS = 4
 
 
 def shingles(data: bytes, words: int = WORDS) -> tuple[list[bytes], list[bytes]]:
@@ -240,10 +242,11 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     tokens = sets.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
     met = cut(tokens.join(shared, "token").withColumn("root", F.col("node")))
+    # the centre is the member with the fewest n-grams of its own before the shared one: most others are near it
     links = compared = None
     for turn in range(CENTRES + 1):
         if turn < CENTRES:
-            centre = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "pos")).alias("c"))
+            centre = met.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("c"))
             other = centre.select("token", F.col("c.node").alias("_node"), F.col("c.n").alias("_n"), F.col("c.pos").alias("_pos"))
             pairs = met.join(other, "token").where("node <> _node")
         else:
@@ -271,14 +274,15 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
 
 def _apart(met: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The members of buckets that may hold more than one component. Members with one ``root`` belong together: a
-    node's root is the smallest neighbour of its smallest neighbour, which need not be that of the component."""
+    """The members of buckets that may hold more than one component. Members with one ``root`` hang together: it is the
+    smallest node that HOPS steps along the links reach, which need not be that of the component."""
     if links is None:
         return met
-    both = links.union(links.select("b", "a"))
-    near = cut(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("root")))
-    ahead = near.select(F.col("node").alias("root"), F.col("root").alias("_root"))
-    roots = near.join(ahead, "root").select("node", F.col("_root").alias("root"))
+    both = links.union(links.select("b", "a")).union(links.select("a", "a")).union(links.select("b", "b")).toDF("node", "b")
+    roots = cut(both.groupBy("node").agg(F.min("b").alias("root")))
+    for _ in range(HOPS - 1):
+        ahead = roots.select(F.col("node").alias("b"), "root")
+        roots = cut(both.join(ahead, "b").groupBy("node").agg(F.min("root").alias("root")))
     named = met.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = named.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("token")
     return cut(named.join(several, "token"))
