@@ -7,8 +7,8 @@ or a linger after both sides sent FIN; and it ends with an RST packet.
 
 Idle and RST boundaries do not depend on where the current flow started, so they are window
 expressions on one shuffle by key. Active and FIN closing do: only the segments in which they can
-strike are looked at again. In time order a key with more than ``hot_rows`` packets is cut into time
-chunks and never meets one task (see ``hot.py``).
+strike are looked at again. A key with more than ``hot_rows`` packets is cut into chunks, of time in time order and of
+arrival in any other, and never meets one task (see ``hot.py``).
 """
 
 from __future__ import annotations
@@ -305,21 +305,21 @@ def assemble(
 ) -> DataFrame:
     """All flows of ``packets`` with counters, flags, end reason and the first 30 payload packets.
 
-    In time order, keys above ``hot_rows`` packets are cut into chunks; the flows are the same. Chunks are time
-    ranges, so in any other order every key is read in one stream, in which a clock may step back.
+    Keys above ``hot_rows`` packets are cut into chunks; the flows are the same. In any order but time order, in which
+    a clock may step back, chunks are ranges of arrival; ``order`` has to be unique inside a key.
     """
     from flowtide.operators import hot
 
     packets = with_side(packets).drop("src")
     capture_end = packets.agg(F.max("ts_us").alias("capture_end_us"))
-    keys = hot.hot_keys(packets, hot_rows) if tuple(order) == ORDER else None
+    in_time = tuple(order) == ORDER
+    keys = hot.hot_keys(packets, hot_rows) if in_time else hot.hot_in_arrival(packets, hot_rows)
     if keys is None:
         flows = _assemble_cold(packets, timeouts, order)
     else:
         cold = packets.join(F.broadcast(keys.select("flow_key")), "flow_key", "left_anti")
-        flows = _assemble_cold(cold, timeouts, order).unionByName(
-            _finish(hot.assemble_hot(packets, keys, timeouts, order, hot_rows))
-        )
+        chunked = hot.assemble_hot if in_time else hot.assemble_arrival
+        flows = _assemble_cold(cold, timeouts, order).unionByName(_finish(chunked(packets, keys, timeouts, order, hot_rows)))
     return end_reasons(flows, timeouts, capture_end).drop("fin_us", "rst_last", "next_us")
 
 

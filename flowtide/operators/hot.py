@@ -8,14 +8,21 @@ Active and FIN closing: the first packet of the next flow is a function of the f
 the current one, ``nxt(p)``. It is looked up for all packets at once, and the flow starts are the
 packets reached from the segment's first packet. They are found by pointer doubling, in
 log2(flows per segment) rounds, instead of a walk in one task.
+
+In arrival order a clock may step back, so time ranges say nothing. There a hot key is cut into ranges of
+arrival. Every chunk is read as a stream from the state its predecessor leaves, which is first taken to be
+none; chunks whose predecessor leaves another state are read again until nothing changes. A flow that begins
+inside a chunk makes what the chunk leaves independent of what it got, so few are read twice.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from flowtide import schema as S
@@ -252,3 +259,113 @@ def _reached(starts: DataFrame, pointer: DataFrame) -> DataFrame:
                 "flow_key", "seg_no", "p", F.col("nxt2").alias("nxt")
             )
         )
+
+
+#: what a chunk leaves to the next: the open flow of the key, and the chunk and number it is called by
+STATE = "rst boolean, start bigint, last bigint, fin int, close_at bigint, n_pay bigint, pay_ts bigint, o_chunk int, o_no bigint"
+STATE_NAMES = [c.split()[0] for c in STATE.split(", ")]
+_MADE = [("o_chunk", T.IntegerType(), pa.int32()), ("o_no", T.LongType(), pa.int64()), ("pay_rank", T.LongType(), pa.int64()),
+         ("pay_prev_ts", T.LongType(), pa.int64()), ("jump", T.IntegerType(), pa.int32())]
+
+
+class ChunkFold:
+    """Flows of one chunk of a key in arrival order, from the state before it."""
+
+    def __init__(self, t: Timeouts, chunk: int, state: dict | None) -> None:
+        from flowtide.operators.assemble import Fold
+
+        self.flow, self.chunk, self.made = Fold(t), chunk, 0
+        self.fresh, self.name = True, (chunk, 0)
+        if state is not None:
+            f = self.flow
+            f.no, f.start, f.last, f.fin, f.close_at, f.n_pay, f.pay_ts = 0, *(state[c] for c in STATE_NAMES[1:7])
+            self.fresh, self.name = state["rst"], (state["o_chunk"], state["o_no"])
+
+    def add(self, now: int, side: int, flags: int, proto: int, payload: int) -> tuple:
+        """(chunk and number of the flow, payload rank, time of the payload packet before, time went backwards)."""
+        before = self.flow.no
+        no, rank, prev, jump = self.flow.add(self.fresh, now, side, flags, proto, payload)
+        if self.fresh or no != before:
+            self.name, self.made = (self.chunk, self.made), self.made + 1
+        self.fresh = proto == S.TCP and bool(flags & S.RST)
+        return (*self.name, rank, prev, jump)
+
+    def state(self) -> tuple:
+        f = self.flow
+        return (self.fresh, f.start, f.last, f.fin, f.close_at, f.n_pay, f.pay_ts, *self.name)
+
+
+def _chunk_folds(rows: DataFrame, t: Timeouts, order: Sequence[str], ends: bool) -> DataFrame:
+    """``rows`` (with ``chunk`` and the state before it, ``got``) read chunk by chunk: the state each leaves, or its packets
+    with flow names and ranks. A chunk lies in one partition."""
+    names = [c for c in rows.columns if c != "got"]
+    if ends:
+        fields = [f for f in rows.schema.fields if f.name in ("flow_key", "chunk", "got")]
+        schema = T.StructType([*fields, T.StructField("left", T._parse_datatype_string(f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>"))])
+    else:
+        schema = T.StructType([*[f for f in rows.schema.fields if f.name != "got"], *[T.StructField(n, k) for n, k, _ in _MADE]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, here, got = None, None, None
+
+        def left(kinds: pa.Schema) -> pa.RecordBatch:
+            row = {"flow_key": here[0], "chunk": here[1], "got": got, "left": dict(zip(STATE_NAMES, fold.state(), strict=True))}
+            return pa.RecordBatch.from_pylist([row], pa.schema([*(kinds.field(c) for c in ("flow_key", "chunk", "got")), pa.field("left", kinds.field("got").type)]))
+
+        kinds = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds = b.schema
+            out = []
+            cols = [b.column(c).to_pylist() for c in ("flow_key", "chunk", "ts_us", "side", "flags", "proto", "payload_len")]
+            for i, (key, chunk, *packet) in enumerate(zip(*cols, strict=True)):
+                if (key, chunk) != here:
+                    if ends and fold is not None:
+                        yield left(kinds)
+                    here, got = (key, chunk), b.column("got")[i].as_py()
+                    fold = ChunkFold(t, chunk, got)
+                out.append(fold.add(*packet))
+            if not ends:
+                extra = [pa.array(c, k) for c, (_, _, k) in zip(zip(*out, strict=True), _MADE, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *extra], names=[*names, *[n for n, _, _ in _MADE]])
+        if ends and fold is not None:
+            yield left(kinds)
+
+    return rows.sortWithinPartitions("flow_key", "chunk", *order).mapInArrow(run, schema)
+
+
+def hot_in_arrival(packets: DataFrame, hot_rows: int) -> DataFrame | None:
+    """Keys above ``hot_rows`` packets, at most rows / hot_rows of them, or None."""
+    if packets.count() <= hot_rows:
+        return None
+    keys = cut(packets.groupBy("flow_key").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows))
+    return None if keys.isEmpty() else keys
+
+
+def assemble_arrival(packets: DataFrame, keys: DataFrame, t: Timeouts, order: Sequence[str], hot_rows: int) -> DataFrame:
+    """Per-side flow rows (as ``assemble.flow_rows``) of the hot keys only, in arrival order."""
+    from flowtide.operators.assemble import flow_rows
+
+    hot = packets.join(F.broadcast(keys.select("flow_key")), "flow_key")
+    total = keys.agg(F.sum("n")).first()[0]
+    chunks = max(2, -(-4 * total // hot_rows))
+    rows = cut(hot.repartitionByRange(min(chunks, 1 << 16), "flow_key", *order).withColumn("chunk", F.spark_partition_id()))
+    none = F.lit(None).cast(f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>")
+    by_key = W.partitionBy("flow_key").orderBy("chunk")
+
+    states = cut(_chunk_folds(rows.withColumn("got", none), t, order, True))
+    while True:
+        linked = states.withColumn("due", F.lag("left").over(by_key))
+        again = cut(linked.where(~F.col("due").eqNullSafe(F.col("got"))).select("flow_key", "chunk", F.col("due").alias("got")))
+        if again.isEmpty():
+            break
+        made = _chunk_folds(rows.join(again, ["flow_key", "chunk"]), t, order, True)
+        states = cut(states.join(again.select("flow_key", "chunk"), ["flow_key", "chunk"], "left_anti").unionByName(made))
+    firsts = rows.groupBy("flow_key", "chunk").agg(F.min_by("ts_us", F.struct(*order)).alias("_first"))
+    following = firsts.select("flow_key", "chunk", F.lead("_first").over(by_key).alias("_after"))
+    known = states.select("flow_key", "chunk", "got").join(following, ["flow_key", "chunk"])
+    named = _chunk_folds(rows.join(known, ["flow_key", "chunk"]), t, order, False)
+    in_chunk = W.partitionBy("flow_key", "chunk").orderBy(*order)
+    named = named.withColumn("next_ts", F.coalesce(F.lead("ts_us").over(in_chunk), "_after")).drop("_after")
+    return flow_rows(named, ["flow_key", "o_chunk", "o_no"], t, order)

@@ -39,3 +39,13 @@ def test_query_equals_its_sql(spark, sf, name):
 
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_an_absent_package_leaves_the_other_queries(monkeypatch, capsys):
+    import sys
+
+    for name in [n for n in sys.modules if n == "corpus_pipeline" or n.startswith("flowtide.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    names = entry_module.queries()
+    assert len(names) > 180 and "pipeline" not in names and set(entry_module.oracle_sql()) <= set(names)
