@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,10 +193,33 @@ def ev_captures(spark: SparkSession, sf: str) -> DataFrame:
     return CP.encode(rows, name)
 
 
-@query(
-    "capture_packets",
-    f"WITH {Q.packets_sql()} SELECT 'capture-' || CAST(pkt_id // 500 AS VARCHAR) || '.pcap' AS path, pkt_id % 500 AS pkt_no, ts_us, payload_len, flags, CASE WHEN side = 0 THEN 40000 ELSE 443 END AS src_port FROM pk",
-)
+def stored(captures: DataFrame, folder: str) -> str:
+    """The captures as files of a shared folder, each written where it was made."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                with CP.output(f"{folder}/{name}") as out:
+                    out.write(content.as_buffer())
+                yield pa.RecordBatch.from_pylist([{"path": name}])
+
+    captures.mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+CAPTURE_PACKETS_SQL = f"WITH {Q.packets_sql()} SELECT 'capture-' || CAST(pkt_id // 500 AS VARCHAR) || '.pcap' AS path, pkt_id % 500 AS pkt_no, ts_us, payload_len, flags, CASE WHEN side = 0 THEN 40000 ELSE 443 END AS src_port FROM pk"
+
+
+@query("capture_range_scan", CAPTURE_PACKETS_SQL)
+def capture_range_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Capture files read in ranges of 8 KB, several a file."""
+    folder = stored(ev_captures(spark, sf), scratch_path(spark, "captures"))
+    return CP.scan(spark, folder, size=8 << 10).select(
+        F.element_at(F.split("path", "/"), -1).alias("path"), "pkt_no", "ts_us", "payload_len", "flags", "src_port"
+    )
+
+
+@query("capture_packets", CAPTURE_PACKETS_SQL)
 def capture_packets(spark: SparkSession, sf: str) -> DataFrame:
     return CP.decode(ev_captures(spark, sf)).select("path", "pkt_no", "ts_us", "payload_len", "flags", "src_port")
 

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from flowtide.functions.draws import uniform
 from flowtide.functions.labels import salted_hash
+from flowtide.session import cut
+from flowtide.sources.captures import HELD_BYTES, Opened
 
+#: schemes of file systems that a task opens itself
+STREAMED = {"file", "hdfs", "s3", "gs"}
 RESERVED_META = ("dataset", "period", "n_flows", "file_rows", "counters")
 
 
@@ -114,17 +118,32 @@ def audit_rows(flows: DataFrame, salt: str, key: str = "flow_key") -> DataFrame:
 
 
 def file_hashes(spark: SparkSession, paths: str | Sequence[str], glob: str = "*") -> DataFrame:
-    """(name, bytes, sha256) of files, hashed where they are read."""
+    """(name, bytes, sha256) of files, hashed where they are read: as streams of a few MB where Arrow can open the
+    file system, else (a store that only Spark reads) one value a file."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
+    listed = cut(files.select("path", "length"))
+    schemes = [r[0] for r in listed.select(F.regexp_extract("path", "^([a-z0-9]+):", 1)).distinct().collect()]
+    if set(schemes) <= STREAMED:
+        rows, content = listed.repartition(max(1, min(listed.count(), 100_000))), False
+    else:
+        rows, content = files.select("path", "length", "content"), True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
         for b in batches:
-            h = [hashlib.sha256(c.as_buffer()).hexdigest() for c in b.column("content")]
-            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(h)], names=["path", "length", "h"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select("path", "length", "content")
-    return files.mapInArrow(run, "path string, length bigint, h string").select(
+            digests = []
+            for i, path in enumerate(b.column("path").to_pylist()):
+                if content:
+                    digests.append(hashlib.sha256(b.column("content")[i].as_buffer()).hexdigest())
+                    continue
+                made, file = hashlib.sha256(), Opened(path).file
+                while part := file.read(HELD_BYTES):
+                    made.update(part)
+                digests.append(made.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("length"), pa.array(digests, pa.string())], names=["path", "length", "h"])
+
+    return rows.mapInArrow(run, "path string, length bigint, h string").select(
         F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.col("h").alias("sha256")
     )
 

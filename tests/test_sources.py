@@ -206,3 +206,62 @@ def test_draws_differ_2_to_31_apart_and_take_strings(spark):
     d = rows.select("name", R.hashed(4)("x", F.col("id")).alias("d"), R.hashed(4)("x", F.col("name")).alias("e"))
     assert d.select("d").distinct().count() == 100 and d.select("e").distinct().count() == 50
     assert P.subsample(rows.select("name").distinct(), 20, R.hashed(1), "name").count() == 20
+
+
+def _tcp(i, extra=b""):
+    tcp = struct.pack(">HHIIBBHHH", 1000 + i % 50, 443, 0, 0, 5 << 4, 16, 0, 0, 0)
+    ip = struct.pack(">BBHHHBBH4s4s", 0x45, 0, 40 + len(extra), 0, 0, 64, 6, 0, bytes([10, 0, 0, i % 7]), bytes([10, 0, 0, 200]))
+    return b"\0" * 12 + b"\x08\x00" + ip + tcp + extra
+
+
+def _classic(frames, order="<"):
+    out = [struct.pack(order + "IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)]
+    return b"".join(out + [struct.pack(order + "IIII", 1_700_000_000 + i, i, len(f), len(f)) + f for i, f in enumerate(frames)])
+
+
+def _blocks(frames, order="<"):
+    def block(kind, body):
+        body += b"\0" * (-len(body) % 4)
+        return struct.pack(order + "II", kind, len(body) + 12) + body + struct.pack(order + "I", len(body) + 12)
+
+    section = block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1))
+    out = [section, block(1, struct.pack(order + "HHI", 1, 0, 0))]
+    for i, f in enumerate(frames):
+        if i == len(frames) // 2:
+            # a second section whose first interface has another clock, and a second interface
+            out += [section, block(1, struct.pack(order + "HHI", 1, 0, 0) + struct.pack(order + "HHB3x", 9, 1, 9) + struct.pack(order + "HH", 0, 0)), block(1, struct.pack(order + "HHI", 101, 0, 0))]
+        who, data = (1, f[14:]) if i > len(frames) // 2 and i % 5 == 0 else (0, f)
+        out.append(block(6, struct.pack(order + "IIIII", who, 0, 1_000_000 + i * 7, len(data), len(data)) + data))
+    return b"".join(out)
+
+
+def test_captures_are_read_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(CP, "HELD_BYTES", 64)
+    fake = b"".join(struct.pack("<IIII", 1_700_000_000 + k, 0, 4, 4) + b"abcd" for k in range(40))
+    frames = [_tcp(i, fake if i % 9 == 4 else b"x" * (i % 200)) for i in range(120)]
+    (tmp_path / "a.pcap").write_bytes(_classic(frames))
+    (tmp_path / "b.pcap").write_bytes(_classic(frames[:100], ">")[:-3])
+    (tmp_path / "c.pcapng").write_bytes(_blocks(frames))
+    (tmp_path / "d.pcapng").write_bytes(_blocks(frames[:50], ">"))
+    (tmp_path / "e.pcap").write_bytes(_classic([]))
+    (tmp_path / "f.pcap").write_bytes(_classic([_tcp(0, b"y" * 9000), *frames[:30]]))
+    want = CP.decode(CP.read(spark, str(tmp_path)))
+    for size in (3000, None):
+        got = CP.scan(spark, str(tmp_path), size=size)
+        assert got.count() == want.count() == 120 + 100 + 120 + 50 + 31
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # records inside a payload were taken for a first record and walked again
+    data = (tmp_path / "a.pcap").read_bytes()
+    read, (head, _) = CP.reader(data), CP.head_of(CP.reader(data))
+    true = {at for at, _, _, _ in CP.records(read, 24, len(data), head)}
+    guesses = {CP.first_record(read, k, k + 700, len(data), head) for k in range(700, len(data), 700)}
+    assert guesses - true - set(range(700, len(data) + 700, 700))
+
+
+def test_files_are_hashed_as_streams(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x.bin").write_bytes(b"ab" * 5_000_000)
+    (tmp_path / "y.bin").write_bytes(b"c")
+    got = {r["name"]: (r["bytes"], r["sha256"]) for r in FT.file_hashes(spark, str(tmp_path)).collect()}
+    assert got == {n: ((tmp_path / n).stat().st_size, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n in ("x.bin", "y.bin")}
