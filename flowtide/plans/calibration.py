@@ -93,11 +93,13 @@ def safe_map_choice(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "calibration_population",
-    Q.EM_LOGITS + " SELECT g.k, CAST(count(*) AS BIGINT) AS n FROM em, (SELECT CAST(unnest([3, 8, 24]) AS INTEGER) AS k) g WHERE label >= 0 AND ppi_len >= g.k AND split = 'val' GROUP BY g.k",
+    Q.EM_LOGITS + " SELECT g.k, CAST(count(*) AS BIGINT) AS n FROM em, (SELECT CAST(unnest(range(1, 31)) AS INTEGER) AS k) g WHERE label >= 0 AND ppi_len >= g.k AND split = 'val' GROUP BY g.k",
 )
 def calibration_population(spark: SparkSession, sf: str) -> DataFrame:
     val = B.em_flows(spark, sf).where("split = 'val'")
-    return C.concat([K.population(val, k).agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k in (3, 8, 24)])
+    # the population at K is every known flow that reaches K: one pass for all K
+    reached = K.population(val, 1).select(F.explode(F.sequence(F.lit(1), F.least("ppi_len", F.lit(30)))).alias("k"))
+    return reached.groupBy("k").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -139,14 +141,14 @@ def _bins(c: str) -> str:
 @query(
     "calibration_error_per_k",
     Q.EM_LOGITS + f""", {Q.class_scores_sql(ADJ_SQL, TEMP_SQL)}, r AS (SELECT k, conf, 1.0::DOUBLE / (1.0::DOUBLE + exp(-(2.0::DOUBLE * conf - 1.0::DOUBLE))) AS sp, CASE WHEN pred = label THEN 1.0::DOUBLE ELSE 0 END AS hit
-  FROM cs WHERE split = 'test' AND label >= 0 AND k <= ppi_len AND k IN (3, 8, 24)),
+  FROM cs WHERE split = 'test' AND label >= 0 AND k <= ppi_len),
  a AS (SELECT k, {_bins('conf')} AS b, count(*) AS n, abs(avg(conf) - avg(hit)) AS g FROM r GROUP BY 1, 2),
  s AS (SELECT k, {_bins('sp')} AS b, count(*) AS n, abs(avg(sp) - avg(hit)) AS g FROM r GROUP BY 1, 2)
 SELECT x.k, x.ece, x.n, y.safe_ece FROM (SELECT k, round(sum(n * g) / sum(n), 6) AS ece, CAST(sum(n) AS BIGINT) AS n FROM a GROUP BY k) x
  JOIN (SELECT k, round(sum(n * g) / sum(n), 6) AS safe_ece FROM s GROUP BY k) y USING (k)""",
 )
 def calibration_error_per_k(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.known_only(calibrated(spark, sf)).where("split = 'test'").where(F.col("k").isin(3, 8, 24))
+    rows = C.known_only(calibrated(spark, sf)).where("split = 'test'")
     a = M.ece(rows, "conf", M.is_correct(), ["k"])
     b = M.ece(rows, "p_correct", M.is_correct(), ["k"]).select("k", F.col("ece").alias("safe_ece"))
     return a.join(b, "k").select("k", F.round("ece", 6).alias("ece"), "n", F.round("safe_ece", 6).alias("safe_ece"))

@@ -279,9 +279,9 @@ def sequence_twins(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out, ["n_flows", "n_sequences", "n_with_twin"])
 
 
-@query("flow_packet_rows", LONG + " SELECT flow_id, j, ipt, dir, size, push FROM pp WHERE dir = -1")
+@query("flow_packet_rows", LONG + " SELECT flow_id, j, ipt, dir, size, push FROM pp")
 def flow_packet_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return A.packet_rows(ev_long_flows(spark, sf)).where("dir = -1")
+    return A.packet_rows(ev_long_flows(spark, sf))
 
 
 @query(

@@ -41,40 +41,41 @@ def short_flow_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("short_accuracy", F.round("short_accuracy", 6))
 
 
-CELLS = "ce AS (SELECT label, pred, count(*) AS n FROM sc WHERE split = 'test' AND label >= 0 AND k = 8 GROUP BY 1, 2), cl AS (SELECT DISTINCT label AS c FROM ce)"
+CELLS = "ce AS (SELECT k, label, pred, count(*) AS n FROM sc WHERE split = 'test' AND label >= 0 GROUP BY 1, 2, 3), cl AS (SELECT DISTINCT k, label AS c FROM ce)"
 
 
 @query(
     "confusion_matrix",
-    Q.EM_SCORED + f""", {CELLS} SELECT a.c AS label, b.c AS pred, CAST(coalesce(ce.n, 0) AS BIGINT) AS n
- FROM cl a CROSS JOIN cl b LEFT JOIN ce ON ce.label = a.c AND ce.pred = b.c""",
+    Q.EM_SCORED + f""", {CELLS} SELECT a.k, a.c AS label, b.c AS pred, CAST(coalesce(ce.n, 0) AS BIGINT) AS n
+ FROM cl a JOIN cl b ON a.k = b.k LEFT JOIN ce ON ce.k = a.k AND ce.label = a.c AND ce.pred = b.c""",
 )
 def confusion_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return M.confusion(test_rows(spark, sf, ["pred"]).where("k = 8"))
+    return M.confusion(test_rows(spark, sf, ["pred"]), by=["k"])
 
 
-PER_CLASS = """pc AS (SELECT c, coalesce((SELECT sum(n) FROM ce WHERE label = c AND pred IN (SELECT c FROM cl)), 0) AS support,
- coalesce((SELECT sum(n) FROM ce WHERE pred = c), 0) AS predicted, coalesce((SELECT sum(n) FROM ce WHERE label = c AND pred = c), 0) AS tp FROM cl),
- pf AS (SELECT c, support, CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0 END AS p, tp::DOUBLE / support AS r FROM pc WHERE support > 0),
+PER_CLASS = """pc AS (SELECT cl.k, cl.c, coalesce(sum(n) FILTER (ce.label = c AND list_contains(cs, ce.pred)), 0) AS support,
+ coalesce(sum(n) FILTER (ce.pred = c), 0) AS predicted, coalesce(sum(n) FILTER (ce.label = c AND ce.pred = c), 0) AS tp
+ FROM cl JOIN (SELECT k, list(c) AS cs FROM cl GROUP BY k) lc ON lc.k = cl.k JOIN ce ON ce.k = cl.k GROUP BY 1, 2),
+ pf AS (SELECT k, c, support, CASE WHEN predicted > 0 THEN tp::DOUBLE / predicted ELSE 0 END AS p, tp::DOUBLE / support AS r FROM pc WHERE support > 0),
  f1 AS (SELECT *, CASE WHEN p + r > 0 THEN 2.0::DOUBLE * p * r / (p + r) ELSE 0 END AS f1 FROM pf)"""
 
 
 @query(
     "per_class_f1",
-    Q.EM_SCORED + f", {CELLS}, {PER_CLASS} SELECT c, CAST(support AS BIGINT) AS support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f1",
+    Q.EM_SCORED + f", {CELLS}, {PER_CLASS} SELECT k, c, CAST(support AS BIGINT) AS support, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1 FROM f1",
 )
 def per_class_f1(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.per_class(test_rows(spark, sf, ["pred"]).where("k = 8"))
-    return out.select("c", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    out = M.per_class(test_rows(spark, sf, ["pred"]), by=["k"])
+    return out.select("k", "c", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 @query(
     "macro_f1",
-    Q.EM_SCORED + f", {CELLS}, {PER_CLASS} SELECT round(avg(f1), 6) AS macro_f1, round(avg(r), 6) AS balanced_accuracy FROM f1",
+    Q.EM_SCORED + f", {CELLS}, {PER_CLASS} SELECT k, round(avg(f1), 6) AS macro_f1, round(avg(r), 6) AS balanced_accuracy FROM f1 GROUP BY k",
 )
 def macro_f1(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.macro_scores(test_rows(spark, sf, ["pred"]).where("k = 8"))
-    return out.select(F.round("macro_f1", 6).alias("macro_f1"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
+    out = M.macro_scores(test_rows(spark, sf, ["pred"]), by=["k"])
+    return out.select("k", F.round("macro_f1", 6).alias("macro_f1"), F.round("balanced_accuracy", 6).alias("balanced_accuracy"))
 
 
 @query(
@@ -183,14 +184,11 @@ def pareto_area(spark: SparkSession, sf: str) -> DataFrame:
     return M.pareto_area(sweep_points(spark, sf)).withColumn("pareto_area", F.round("pareto_area", 6))
 
 
-TEST_U = "t AS (SELECT flow_id, k, u, label < 0 AS y FROM su WHERE split = 'test' AND k IN (3, 8))"
+TEST_U = "t AS (SELECT flow_id, k, u, label < 0 AS y FROM su WHERE split = 'test')"
 
 
 def unknown_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.long_scores(em_scores(spark, sf).where("split = 'test'"), ["u"], ["flow_id", "label"])
-    return rows.where(F.col("k").isin(3, 8))
-
-
+    return C.long_scores(em_scores(spark, sf).where("split = 'test'"), ["u"], ["flow_id", "label"])
 
 
 @query(
@@ -226,7 +224,7 @@ def fpr_at_tpr(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("fpr", F.round("fpr", 6))
 
 
-OPEN_CELLS = "ce AS (SELECT label, prediction AS pred, count(*) AS n FROM de GROUP BY 1, 2), cl AS (SELECT DISTINCT label AS c FROM ce)"
+OPEN_CELLS = "ce AS (SELECT 0 AS k, label, prediction AS pred, count(*) AS n FROM de GROUP BY 2, 3), cl AS (SELECT DISTINCT k, label AS c FROM ce)"
 
 
 @query(
@@ -269,12 +267,13 @@ def expected_calibration_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "reliability_curve",
-    Q.EM_SCORED + f""", {BINNED} SELECT CAST(b.i AS INTEGER) AS bin, round((b.i + 0.5::DOUBLE) / 15, 6) AS center, round(a, 6) AS accuracy,
- round(c, 6) AS confidence, CAST(coalesce(n, 0) AS BIGINT) AS n FROM range(0, 15) b(i) LEFT JOIN (SELECT * FROM bn WHERE k = 8) ON bin = b.i""",
+    Q.EM_SCORED + f""", {BINNED} SELECT g.k, CAST(b.i AS INTEGER) AS bin, round((b.i + 0.5::DOUBLE) / 15, 6) AS center, round(x.a, 12) AS accuracy,
+ round(x.c, 12) AS confidence, CAST(coalesce(x.n, 0) AS BIGINT) AS n FROM range(0, 15) b(i) CROSS JOIN (SELECT DISTINCT k FROM bn) g LEFT JOIN bn x ON x.bin = b.i AND x.k = g.k""",
 )
 def reliability_curve(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.reliability(test_rows(spark, sf, ["pred", "conf"]).where("k = 8"), "conf", M.is_correct())
-    return out.select("bin", *[F.round(c, 6).alias(c) for c in ("center", "accuracy", "confidence")], "n")
+    out = M.reliability(test_rows(spark, sf, ["pred", "conf"]), "conf", M.is_correct(), ["k"])
+    # means of a few six-digit numbers: fewer digits would make ties
+    return out.select("k", "bin", F.round("center", 6).alias("center"), *[F.round(c, 12).alias(c) for c in ("accuracy", "confidence")], "n")
 
 
 @query(
@@ -293,14 +292,14 @@ def nll_at_temperature(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "spearman",
-    Q.EM_SCORED + """, t AS (SELECT k, conf AS x, energy_raw AS y FROM sc WHERE split = 'test' AND k IN (2, 8)),
+    Q.EM_SCORED + """, t AS (SELECT k, conf AS x, energy_raw AS y FROM sc WHERE split = 'test'),
  r AS (SELECT k, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0::DOUBLE AS rx,
   rank() OVER (PARTITION BY k ORDER BY y) + (count(*) OVER (PARTITION BY k, y) - 1) / 2.0::DOUBLE AS ry FROM t)
 SELECT k, round(corr(rx, ry), 6) AS spearman, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY k""",
 )
 def spearman(spark: SparkSession, sf: str) -> DataFrame:
     rows = C.long_scores(em_scored(spark, sf).where("split = 'test'"), ["conf", "energy_raw"], ["flow_id"])
-    out = M.spearman(rows.where(F.col("k").isin(2, 8)), "conf", "energy_raw", ["k"])
+    out = M.spearman(rows, "conf", "energy_raw", ["k"])
     return out.withColumn("spearman", F.round("spearman", 6))
 
 

@@ -142,14 +142,15 @@ def robustness_summary(spark: SparkSession, sf: str) -> DataFrame:
     from flowtide.operators import damage as G
     from flowtide.operators import metrics as M
     from flowtide.plans.damage import CONDS, damaged
+    from flowtide.schema import K_GRID
     from flowtide.streaming.engine import feature_column
 
     rows = damaged(spark, sf).withColumn("x", feature_column(F.col("ppi")))
     model = C.ScoreModel(C.fit_centroids(rows.where("condition = 'clean'"), 7, 0.05))
     scored = C.score_flows(rows.select("flow_id", "label", "condition", "ppi_len", "x"), model)
-    long = C.long_scores(scored, ["pred"], ["condition", "label"]).where(F.col("k").isin(1, 5, 8, 30))
+    long = C.long_scores(scored, ["pred"], ["condition", "label"])
     acc = M.accuracy(long, ["condition", "k"]).select("condition", F.lit("accuracy").alias("metric"), "k", F.col("accuracy").alias("value"))
-    auc = acc.groupBy("condition").agg(F.avg("value").alias("value")).select("condition", F.lit("auc_k").alias("metric"), F.lit(0).alias("k"), "value")
+    auc = acc.where(F.col("k").isin(*K_GRID)).groupBy("condition").agg(F.avg("value").alias("value")).select("condition", F.lit("auc_k").alias("metric"), F.lit(0).alias("k"), "value")
     reports = acc.unionByName(auc)
     R.assert_same_conditions(reports, list(G.conditions(CONDS)), ["metric", "k"])
     return R.robustness(reports)

@@ -61,13 +61,12 @@ ADJ_SQL = "[" + ",".join(f"{a}::DOUBLE" for a in ADJ) + "][c+1]"
     "class_score_columns",
     Q.EM_LOGITS + f""", {Q.class_scores_sql(ADJ_SQL, "(0.5::DOUBLE + least(k, ppi_len) / 20.0::DOUBLE)")}
 SELECT flow_id, k, pred, pred_raw, round(conf, 6) AS conf, round(margin, 6) AS margin, round(energy, 6) AS energy,
- round(energy_raw, 6) AS energy_raw FROM cs WHERE k IN (1, 2, 5, 9, 30)""",
+ round(energy_raw, 6) AS energy_raw FROM cs""",
 )
 def class_score_columns(spark: SparkSession, sf: str) -> DataFrame:
     temps = [0.5 + k / 20.0 for k in range(1, S.K_MAX + 1)]
     s = C.class_scores(em_logits(spark, sf), B.EM_CLASSES, ADJ, temps, digits=6)
     rows = C.long_scores(s, ["pred", "pred_raw", "conf", "margin", "energy", "energy_raw"], ["flow_id"])
-    rows = rows.where(F.col("k").isin(1, 2, 5, 9, 30))
     return rows.select(
         "flow_id", "k", "pred", "pred_raw",
         *[F.round(c, 6).alias(c) for c in ("conf", "margin", "energy", "energy_raw")],
@@ -242,11 +241,11 @@ def first_rejection(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "energy_gate_threshold",
     Q.EM_SCORED + """ SELECT k, round(quantile_cont(energy_raw, 0.98::DOUBLE), 6) AS theta FROM sc
- WHERE split = 'val' AND label >= 0 AND k <= ppi_len AND k IN (3, 10) GROUP BY k""",
+ WHERE split = 'val' AND label >= 0 AND k <= ppi_len GROUP BY k""",
 )
 def energy_gate_threshold(spark: SparkSession, sf: str) -> DataFrame:
     val = em_scored(spark, sf).where("split = 'val'")
-    t = C.reject_thresholds(val, [0.02], "energy_raw", 9).where(F.col("k").isin(3, 10))
+    t = C.reject_thresholds(val, [0.02], "energy_raw", 9)
     return t.select("k", F.round("theta", 6).alias("theta"))
 
 

@@ -193,11 +193,10 @@ def label_space_map(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "class_counts",
-    FL + " SELECT CAST(c AS INTEGER) AS dataset_id, CAST(c AS INTEGER) AS model_idx, CAST((SELECT count(*) FROM fl WHERE label = c AND period = 'WEEK-2024-05' AND ppi_len > 6) AS BIGINT) AS n FROM range(0, 5) r(c)",
+    FL + " SELECT CAST(c AS INTEGER) AS dataset_id, CAST(c AS INTEGER) AS model_idx, CAST((SELECT count(*) FROM fl WHERE label = c) AS BIGINT) AS n FROM range(0, 5) r(c)",
 )
 def class_counts(spark: SparkSession, sf: str) -> DataFrame:
-    flows = ev_flows(spark, sf).where("period = 'WEEK-2024-05' and ppi_len > 6")
-    return P.class_counts(flows, ev_space(spark))
+    return P.class_counts(ev_flows(spark, sf), ev_space(spark))
 
 
 @query(
