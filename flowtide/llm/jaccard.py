@@ -38,9 +38,9 @@ SAMPLE = 1 << 14
 FREQUENT_WORDS, FREQUENT_GRAMS, LEAST_WORD, LEAST_GRAM = 1 << 15, 1 << 17, 4, 3
 FRAGMENTS = 8
 #: rounds in which members meet a centre before members of different components meet
-CENTRES = 3
+CENTRES = 1
 #: steps that the smallest label moves along the links between these rounds
-HOPS = 4
+HOPS = 3
 
 
 def shingles(data: bytes, words: int = WORDS) -> tuple[list[bytes], list[bytes]]:
