@@ -2,7 +2,7 @@
 
 The order puts n-grams of rare words first and the n-grams of passages that many texts share last; the
 frequent words and n-grams come from a bounded sample, which only moves n-grams in the order: any order gives
-the same links. An n-gram is its place in the order: four bits of class, then 59 bits of its hash.
+the same links. An n-gram is its place in the order: four bits of class, then 59 bits of a hash of the hashes of its words.
 
 Equal sets are one node. Two sets that reach the threshold share one of the first few n-grams of both,
 at a place that still lets them reach it, so nodes meet in the buckets of their first n-grams. For the pairs that
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,19 +42,36 @@ CENTRES = 1
 HOPS = 3
 
 
-def shingles(data: bytes, words: int = WORDS) -> tuple[list[bytes], list[bytes]]:
-    """The words of a text in lower-case A-Z and its shingles; fewer words than a shingle has are one shingle."""
-    found = data.lower().split()
-    if len(found) <= words:
-        return found, [b" ".join(found)] if found else []
-    joined = b" ".join(found)
-    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-words] + 1))
-    return found, [joined[a:b] for a, b in zip(starts.tolist(), ends[words - 1 :].tolist(), strict=True)]
+class WordHashes(dict):
+    """64-bit hashes of words, worked out once per distinct word; the lowest bit tells whether the word is frequent."""
 
+    def __init__(self, frequent: frozenset[bytes] = frozenset()):
+        super().__init__()
+        self.frequent = frequent
 
-def hashes(grams: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams)), ">u8").astype(np.uint64)
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = (xxhash.xxh64_intdigest(word) & ~1) | (word in self.frequent)
+        return value
+
+    def of(self, data: bytes) -> np.ndarray:
+        """The hashes of the words of a text in lower-case A-Z."""
+        found = data.lower().split()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingles(words: np.ndarray, size: int = WORDS) -> np.ndarray:
+    """Hashes of the n-grams of a text from those of its words; fewer words than an n-gram has are one n-gram."""
+    n = max(len(words) - size + 1, 1) if len(words) else 0
+    grams = np.zeros(n, np.uint64)
+    for k in range(min(size, len(words))):
+        grams = _mixed(grams + (words[k : k + n] >> np.uint64(1)) + np.uint64(k + 1))
+    return grams
 
 
 class Order:
@@ -66,16 +82,13 @@ class Order:
         self.words, self.grams = words, grams[by]
         self.classes = (4 + np.minimum(np.log2(np.maximum(counts[by], 1)).astype(np.uint64), 11)).astype(np.uint64)
 
-    def places(self, data: bytes, size: int) -> np.ndarray:
-        """The places of a text's set, ascending."""
-        found, grams = shingles(data, size)
-        if not grams:
+    def places(self, words: np.ndarray, size: int) -> np.ndarray:
+        """The places of the set of a text whose words have these hashes, ascending."""
+        own = shingles(words, size)
+        if not len(own):
             return np.zeros(0, np.int64)
-        own = hashes(grams)
-        known = self.words
-        often = np.fromiter((w in known for w in found), np.int64, len(found))
-        total = np.concatenate(([0], np.cumsum(often)))
-        kind = (total[size:] - total[:-size] if len(found) > size else total[-1:]).clip(0, 3).astype(np.uint64)
+        total = np.concatenate(([0], np.cumsum((words & np.uint64(1)).astype(np.int64))))
+        kind = (total[size:] - total[:-size] if len(words) > size else total[-1:]).clip(0, 3).astype(np.uint64)
         if len(self.grams):
             at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
             kind = np.where(self.grams[at] == own, self.classes[at], kind)
@@ -92,15 +105,16 @@ def _sampled(size: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words: dict[bytes, int] = {}
-            grams: list[np.ndarray] = []
+            hashes = WordHashes()
+            words, grams = [], []
             for data in batch.column("_t"):
-                found, own = shingles(data.as_py(), size)
-                for w in set(found):
-                    words[w] = words.get(w, 0) + 1
-                grams.append(np.unique(hashes(own)))
-            seen = pa.array(list(words.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(words), pa.int64()), pa.array(list(words), pa.binary()), seen], ["gram", "word", "n"])
+                found = hashes.of(data.as_py())
+                words.append(np.unique(found))
+                grams.append(np.unique(shingles(found, size)))
+            values, counts = np.unique(np.concatenate(words), return_counts=True)
+            named = {h: w for w, h in hashes.items()}
+            names = pa.array([named[h] for h in values.tolist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.int64()), names, pa.array(counts.astype(np.int64))], ["gram", "word", "n"])
             values, counts = np.unique(np.concatenate(grams), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.nulls(len(values), pa.binary()), pa.array(counts.astype(np.int64))], ["gram", "word", "n"])
 
@@ -128,9 +142,10 @@ def _prefixes(order, size: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            hashes = WordHashes(order.value.words)
             sizes, digests, firsts = [], [], []
             for data in batch.column("_t"):
-                places = order.value.places(data.as_py(), size)
+                places = order.value.places(hashes.of(data.as_py()), size)
                 n = len(places)
                 sizes.append(n)
                 digests.append(hashlib.sha256(places.tobytes()).digest())
@@ -145,9 +160,10 @@ def _prefixes(order, size: int):
 def _segments(order, pivots: np.ndarray, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            hashes = WordHashes(order.value.words)
             digests, fragments, parts = [], [], []
             for data in batch.column("_t"):
-                places = order.value.places(data.as_py(), size)
+                places = order.value.places(hashes.of(data.as_py()), size)
                 digest = hashlib.sha256(places.tobytes()).digest()
                 at = np.concatenate(([0], np.searchsorted(places, pivots), [len(places)]))
                 for k in np.flatnonzero(np.diff(at)).tolist():
