@@ -84,6 +84,10 @@ def prefix_flowstats(
         F.exists(p, lambda x: x["push"] == 1).cast("double").alias("_push"),
         *_histograms(p),
     )
+    return _prefix_columns(rows, keep)
+
+
+def _prefix_columns(rows: DataFrame, keep: Sequence[str]) -> DataFrame:
     return rows.select(
         *keep,
         "bytes", "bytes_rev", "packets", "packets_rev",
@@ -105,13 +109,48 @@ def check_grid(ks: Sequence[int]) -> list[int]:
     return sorted(grid)
 
 
+def _running_stats(ppi: Column) -> Column:
+    """The statistics before the first packet and after each one, as an array: one pass over the packets."""
+    zero = F.lit(0).cast("bigint")
+    sums = ["bytes", "bytes_rev", "packets", "packets_rev", "ppi_duration", "_turns", "_push", *[f"_h_{b}" for b in S.HIST_BLOCKS]]
+    start = F.struct(*[zero.alias(n) for n in sums], F.lit(None).cast("int").alias("_dir"))
+
+    def step(states: Column, p: Column) -> Column:
+        now = F.element_at(states, -1)
+        one_way = {"": p["dir"] == 1, "_rev": p["dir"] == -1}
+        add = {f"bytes{d}": F.when(c, p["size"]) for d, c in one_way.items()}
+        add |= {f"packets{d}": F.when(c, F.lit(1)) for d, c in one_way.items()}
+        add |= {"ppi_duration": p["ipt"], "_turns": F.when(p["dir"] != now["_dir"], F.lit(1)), "_push": F.when(p["push"] == 1, F.lit(1))}
+        for block, field, edges in (("PSIZE_HIST", "size", S.SIZE_EDGES), ("IPT_HIST", "ipt", S.IPT_EDGES)):
+            unit = F.call_function("shiftleft", F.lit(1).cast("bigint"), P.edge_bin(p[field], edges) * F.lit(5))
+            add |= {f"_h_{block}{d.upper()}": F.when(c, unit) for d, c in one_way.items()}
+        after = [(now[n] + F.coalesce(add[n].cast("bigint"), zero)).alias(n) for n in sums]
+        return F.concat(states, F.array(F.struct(*after, p["dir"].cast("int").alias("_dir"))))
+
+    return F.aggregate(ppi, F.array(start), step)
+
+
 def prefix_grid(
     flows: DataFrame, ks: Sequence[int] = tuple(S.K_GRID), keep: Sequence[str] = ("flow_id",)
 ) -> DataFrame:
-    """Prefix statistics of every K of a grid, one row per (flow, k). Nothing is shuffled."""
+    """Prefix statistics of every K of a grid, one row per (flow, k). Nothing is shuffled, and
+    the packets of a flow are passed once for all K."""
     grid = check_grid(ks)
-    wide = flows.select(*keep, "ppi", F.explode(F.array(*[F.lit(k) for k in grid])).alias("k"))
-    return prefix_flowstats(wide, F.col("k"), [*keep, "k"])
+    running = flows.where(F.size("ppi") > 0).select(*keep, _running_stats(F.slice("ppi", 1, grid[-1])).alias("_all"))
+    length = F.size("_all") - 1
+    at = [F.struct(F.lit(k).alias("k"), F.least(F.lit(k), length).alias("_len"), F.element_at("_all", F.least(F.lit(k), length) + 1).alias("s")) for k in grid]
+    rows = running.select(*keep, F.explode(F.array(*at)).alias("_at")).select(*keep, "_at.k", "_at._len", "_at.s.*")
+    counts = ("bytes", "bytes_rev", "packets", "packets_rev", "ppi_duration", "_len")
+    return _prefix_columns(
+        rows.select(
+            *keep, "k",
+            *[F.col(c).cast("double").alias(c) for c in counts],
+            F.floor(F.col("_turns") / 2).cast("double").alias("ppi_roundtrips"),
+            (F.col("_push") > 0).cast("double").alias("_push"),
+            *[f"_h_{b}" for b in S.HIST_BLOCKS],
+        ),
+        [*keep, "k"],
+    )
 
 
 # --- standardisation ----------------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from flowtide import schema as S
-from flowtide.operators.ordered import running_totals
+from flowtide.operators.ordered import average_ranks, running_totals
 
 # --- classification ------------------------------------------------------------------------------
 
@@ -277,22 +277,11 @@ def nll_at_temperature(logits: DataFrame, temperature: float, by: Sequence[str]
 # --- rank correlation, seeds ----------------------------------------------------------------------
 
 
-def average_rank(df: DataFrame, col: str, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Average rank of ``col`` (ties share), at any size."""
-    by = list(by)
-    counted = df.groupBy(*by, F.col(col).alias("_x")).agg(F.count("*").alias("_n"))
-    cum = running_totals(counted, by, ["_x"], {"_cum": "_n"})
-    ranks = cum.select(
-        *by, F.col("_x").alias(col),
-        (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / F.lit(2.0)).alias(name),
-    )
-    return df.join(ranks, [*by, col])
-
-
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Rank correlation; NULL for fewer than 3 pairs or a constant side."""
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    ranked = average_rank(average_rank(ok, x, "_rx", by), y, "_ry", by)
+    pairs = ok.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranked = average_ranks(average_ranks(pairs, by, "_x", "_rx"), by, "_y", "_ry")
     good = (F.count("*") >= 3) & (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
     return ranked.groupBy(*by).agg(
         F.when(good, F.corr("_rx", "_ry")).alias("spearman"), F.count("*").alias("n")

@@ -69,6 +69,49 @@ def global_row_number(
     return running_totals(df, groups, order, {name: F.lit(1).cast("bigint")})
 
 
+def average_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the 1-based rank of ``value`` inside ``groups`` as ``name``; equal values share the mean of their ranks.
+
+    Rows are ordered once, and equal values may lie in several partitions: a value that crosses a border is the
+    first or last of each partition it is in, so a table with one row per (partition, group) closes its ties.
+    No row is joined on its value, however often that occurs.
+    """
+    groups = list(groups)
+    # the position of the row spreads a frequent value over partitions
+    keyed = df.withColumn("__tie", F.monotonically_increasing_id())
+    spread = keyed.repartitionByRange(*[F.col(g) for g in groups], F.col(value), F.col("__tie"))
+    spread = cut(spread.drop("__tie").withColumn("__part", F.spark_partition_id()))
+
+    counted = spread.groupBy(*groups, "__part", F.col(value).alias("__x")).agg(F.count("*").alias("__n"))
+    end = F.struct("__x", "__n")
+    per_part = cut(counted.groupBy(*groups, "__part").agg(F.sum("__n").alias("__rows"), F.min(end).alias("__lo"), F.max(end).alias("__hi")))
+    ends = per_part.select(*groups, "__part", F.explode(F.array_distinct(F.array("__lo", "__hi"))).alias("e")).select(*groups, "__part", "e.*")
+    parts = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ties = W.partitionBy(*groups, "__x")
+    before = ties.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(
+        *groups, "__part", F.struct("__x", F.sum("__n").over(ties).alias("n"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("before")).alias("e")
+    )
+    borders = ends.groupBy(*groups, "__part").agg(F.min("e").alias("__first"), F.max("e").alias("__last"))
+    offsets = per_part.select(*groups, "__part", F.coalesce(F.sum("__rows").over(parts), F.lit(0)).alias("__offset"))
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        named = right.toDF(*[f"__g_{c}" if c in [*groups, "__part"] else c for c in right.columns])
+        same = F.lit(True)
+        for c in [*groups, "__part"]:
+            same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+        return left.join(named, same).drop(*[f"__g_{c}" for c in [*groups, "__part"]])
+
+    inside = W.partitionBy("__part", *groups).orderBy(value)
+    placed = beside(spread, beside(offsets, borders)).select(
+        "*", (F.rank().over(inside) - 1).alias("__smaller"), F.count("*").over(inside.rangeBetween(W.currentRow, W.currentRow)).alias("__same")
+    )
+    first, last = F.col(value) == F.col("__first.__x"), F.col(value) == F.col("__last.__x")
+    smaller = F.col("__offset") + F.col("__smaller") - F.when(first, F.col("__first.before")).otherwise(F.lit(0))
+    same = F.when(first, F.col("__first.n")).when(last, F.col("__last.n")).otherwise(F.col("__same"))
+    return placed.select(*df.columns, (smaller + (same + 1) / F.lit(2.0)).alias(name))
+
+
 def exact_quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]
 ) -> DataFrame:

@@ -259,24 +259,59 @@ def known_only(scores: DataFrame) -> DataFrame:
     return scores.where(F.col("label") >= 0)
 
 
-def content_hash(df: DataFrame, digits: int = 9) -> DataFrame:
-    """Order-free hash of a table: row count, 64-bit sum and xor of row hashes.
+def exact_text(value: Column) -> Column:
+    """A double as text, exact to its last bit and alike on every engine: sign, the 53 bits of its significand as a
+    whole number, and the power of two. Both zeros are ``0``, every NaN is ``nan``."""
+    a = F.abs(value.cast("double"))
+    guess = F.floor(F.log2(a)).cast("int")
+    # a logarithm may be off by one next to a power of two
+    power = guess - (F.pow(F.lit(2.0), guess) > a).cast("int") + (F.pow(F.lit(2.0), guess + 1) <= a).cast("int")
+    power = F.when(a < 2.0**-1021, F.lit(-1022)).when(a >= 2.0**1023, F.lit(1023)).otherwise(power)
+    shift = F.lit(52) - power
+    half = F.floor(shift / 2)
+    whole = (a * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), shift - half)).cast("bigint")
+    finite = F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), whole.cast("string"), F.lit("p"), power.cast("string"))
+    return (
+        F.when(F.isnan(value), F.lit("nan"))
+        .when(a == float("inf"), F.when(value < 0, F.lit("-inf")).otherwise(F.lit("inf")))
+        .when(a == 0, F.lit("0"))
+        .otherwise(finite)
+    )
+
+
+def _value_text(value: Column, kind: T.DataType) -> Column:
+    """A value as text from which it can be told exactly; NULL is ``-``."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = exact_text(value)
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.concat_ws(",", F.transform(value, lambda v: _value_text(v, kind.elementType))), F.lit("]"))
+    elif isinstance(kind, T.StructType):
+        fields = F.concat_ws(",", *[_value_text(value[f.name], f.dataType) for f in kind.fields])
+        text = F.when(value.isNotNull(), F.concat(F.lit("("), fields, F.lit(")")))
+    elif isinstance(kind, T.MapType):
+        text = _value_text(F.array_sort(F.map_entries(value)), T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)])))
+    elif isinstance(kind, T.BinaryType):
+        text = F.lower(F.hex(value))
+    elif isinstance(kind, T.StringType):
+        text = F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
+    else:
+        text = value.cast("string")
+    return F.coalesce(text, F.lit("-"))
+
+
+def content_hash(df: DataFrame) -> DataFrame:
+    """Hash of a table as a multiset of rows: the number of rows and two independent 60-bit sums.
 
-    Floating columns are compared at ``digits``.
+    Nothing is rounded: the last bit of a double counts. The order of rows and columns does not. The sums are of
+    the first and the next 15 hex digits of the MD5 of a row's values (columns by name), modulo 2^60, so
+    repeated rows do not cancel out.
     """
-    cols = []
-    for f in sorted(df.schema.fields, key=lambda f: f.name):
-        c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.round(c, digits)
-        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.DoubleType):
-            c = F.transform(c, lambda v: F.round(v, digits))
-        cols.append(c)
-    h = F.xxhash64(*cols)
-    return df.agg(
+    texts = [_value_text(F.col(f"`{f.name}`"), f.dataType) for f in sorted(df.schema.fields, key=lambda f: f.name)]
+    digest = df.select(F.md5(F.concat_ws(",", *texts)).alias("d"))
+    part = lambda at: F.conv(F.substring("d", at, 15), 16, 10).cast("decimal(20,0)")
+    return digest.agg(
         F.count("*").alias("n_rows"),
-        F.sum(F.pmod(h, F.lit(2**31))).alias("hash_sum"),
-        F.bit_xor(h).alias("hash_xor"),
+        *[F.coalesce(F.sum(part(at)) % F.lit(2**60).cast("decimal(20,0)"), F.lit(0)).cast("bigint").alias(n) for n, at in (("hash_a", 1), ("hash_b", 16))],
     )
 
 

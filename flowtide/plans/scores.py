@@ -157,6 +157,28 @@ def score_content_hash(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _exact_sql(c: str) -> str:
+    """A double as its exact text, as the operator writes it."""
+    power = f"(floor(log2(abs({c})))::INT - (pow(2.0::DOUBLE, floor(log2(abs({c})))) > abs({c}))::INT + (pow(2.0::DOUBLE, floor(log2(abs({c}))) + 1) <= abs({c}))::INT)"
+    whole = f"(abs({c}) * pow(2.0::DOUBLE, floor((52 - {power}) / 2)) * pow(2.0::DOUBLE, (52 - {power}) - floor((52 - {power}) / 2)))::BIGINT"
+    return f"coalesce(CASE WHEN {c} = 0 THEN '0' ELSE (CASE WHEN {c} < 0 THEN '-' ELSE '' END) || {whole} || 'p' || {power} END, '-')"
+
+
+@query(
+    "table_content_hash",
+    f"""WITH v AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice * (1 - l_discount) AS net, l_tax * l_extendedprice AS tax FROM lineitem),
+ d AS (SELECT md5(concat_ws(',', coalesce(l_linenumber::VARCHAR, '-'), coalesce(l_orderkey::VARCHAR, '-'),
+   coalesce(octet_length(l_returnflag::BLOB) || ':' || l_returnflag, '-'), {_exact_sql("net")}, {_exact_sql("tax")})) AS d FROM v)
+SELECT count(*) AS n_rows, (sum(('0x' || substr(d, 1, 15))::BIGINT) % 1152921504606846976)::BIGINT AS hash_a,
+ (sum(('0x' || substr(d, 16, 15))::BIGINT) % 1152921504606846976)::BIGINT AS hash_b FROM d""",
+)
+def table_content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    """Two products per row, hashed to the last bit."""
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet")
+    net, tax = F.col("l_extendedprice") * (1 - F.col("l_discount")), F.col("l_tax") * F.col("l_extendedprice")
+    return C.content_hash(rows.select("l_orderkey", "l_linenumber", "l_returnflag", net.alias("net"), tax.alias("tax")))
+
+
 @query(
     "gaussian_sums",
     Q.EM_LOGITS + """, f AS MATERIALIZED (SELECT g.k, em.label, dv.flow_id, d, CASE WHEN d <= 2 * g.k THEN v ELSE 0 END AS v

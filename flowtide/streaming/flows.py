@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from typing import Any
+from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,16 +41,104 @@ STATE = (
 )
 
 
+#: rows of one key that a task sorts at a time, and rows of such a sorted run that it reads at a time
+HELD_ROWS, PIECE_ROWS = 50_000, 2_000
+#: sorted runs that are merged at a time
+FAN_IN = 16
+
+
+class Packet(NamedTuple):
+    ts_us: int
+    pkt_id: int
+    side: int
+    proto: int
+    payload_len: int
+    flags: int
+
+
 class FlowProcessor(StatefulProcessor):
     """The open flow of one key. It closes at the packet that finds it expired, at an RST, at the
-    flush row, or, with ``timers``, when the watermark passes its expiry."""
+    flush row, or, with ``timers``, when the watermark passes its expiry.
+
+    A key's rows of one batch are put in time order. Up to ``held`` rows that is a sort in memory; the
+    rows of a hot key go to the state store as sorted runs, which are merged piece by piece, so a task
+    holds about ``held`` rows however many a batch has.
+    """
 
-    def __init__(self, timeouts: Timeouts, timers: bool) -> None:
-        self.t, self.timers = timeouts, timers
+    def __init__(self, timeouts: Timeouts, timers: bool, held: int = HELD_ROWS, piece: int = PIECE_ROWS) -> None:
+        self.t, self.timers, self.held, self.piece = timeouts, timers, held, piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("open", STATE)
+        self.runs = handle.getMapState("runs", "run int, piece int", "rows binary")
+
+    def _chunks(self, rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+        """The packets in arrival order, in sorted arrays of at most ``held`` rows."""
+        kept: list[np.ndarray] = []
+        size = 0
+        for frame in rows:
+            values = np.stack([frame[c].to_numpy(np.int64) for c in Packet._fields], axis=1)
+            while size + len(values) > self.held:
+                room = self.held - size
+                yield _in_time(np.concatenate([*kept, values[:room]]))
+                kept, size, values = [], 0, values[room:]
+            kept.append(values)
+            size += len(values)
+        if size:
+            yield _in_time(np.concatenate(kept))
+
+    def _store(self, run: int, ordered: Iterator[np.ndarray]) -> int:
+        """Write a sorted run; the number of its pieces."""
+        pieces = 0
+        for part in ordered:
+            self.runs.updateValue((run, pieces), (part.tobytes(),))
+            pieces += 1
+        return pieces
+
+    def _read(self, run: int, pieces: int) -> Iterator[Packet]:
+        """A run from the state store; what is read is removed."""
+        for piece in range(pieces):
+            part = np.frombuffer(bytes(self.runs.getValue((run, piece))[0]), np.int64).reshape(-1, len(Packet._fields))
+            self.runs.removeKey((run, piece))
+            yield from map(Packet._make, part.tolist())
+
+    def _pieces(self, packets: Iterator[Packet]) -> Iterator[np.ndarray]:
+        held: list[Packet] = []
+        for p in packets:
+            held.append(p)
+            if len(held) == self.piece:
+                yield np.array(held, np.int64)
+                held = []
+        if held:
+            yield np.array(held, np.int64)
+
+    def _ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[Packet]:
+        """The packets by time and number; equal ones stay in arrival order."""
+        chunks = self._chunks(rows)
+        first = next(chunks, None)
+        if first is None:
+            return
+        second = next(chunks, None)
+        if second is None:
+            yield from map(Packet._make, first.tolist())
+            return
+        place = lambda p: p[:2]
+        runs: list[tuple[int, int]] = []
+        for chunk in (first, second):
+            runs.append((len(runs), self._store(len(runs), _cut(chunk, self.piece))))
+        del first, second, chunk
+        for chunk in chunks:
+            runs.append((len(runs), self._store(len(runs), _cut(chunk, self.piece))))
+        made = len(runs)
+        while len(runs) > FAN_IN:
+            merged = []
+            for i in range(0, len(runs), FAN_IN):
+                one = heapq.merge(*[self._read(*r) for r in runs[i : i + FAN_IN]], key=place)
+                merged.append((made, self._store(made, self._pieces(one))))
+                made += 1
+            runs = merged
+        yield from heapq.merge(*[self._read(*r) for r in runs], key=place)
 
     def _reason(self, s: dict[str, Any], now: int) -> str | None:
         idle = self.t.udp if s["proto"] == S.UDP else self.t.idle_us
@@ -123,26 +213,31 @@ class FlowProcessor(StatefulProcessor):
         if self.timers:
             self.handle.registerTimer(self._expiry(s) // 1000 + 1)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        flow_key = int(key[0])
-        s = self._load()
-        out: list[tuple] = []
-        parts = pd.concat(list(rows)).sort_values(["ts_us", "pkt_id"], kind="mergesort")
-        for r in parts.itertuples():
+    def _closed(self, key: int, s: dict[str, Any] | None, packets: Iterator[Packet]) -> Iterator[tuple]:
+        """The flows that close among the packets; what is open at the end is saved."""
+        for r in packets:
             if s is not None:
-                reason = self._reason(s, int(r.ts_us))
+                reason = self._reason(s, r.ts_us)
                 if reason is None and r.proto == FLUSH:
                     reason = "fin" if s["fin"] == 3 else "eof"
                 if reason is not None:
-                    out.append(self._record(flow_key, s, reason))
+                    yield self._record(key, s, reason)
                     s = None
             if r.proto == FLUSH:
                 continue
             s = self._add(s, r)
-            if r.proto == S.TCP and int(r.flags) & S.RST:
-                out.append(self._record(flow_key, s, "rst"))
+            if r.proto == S.TCP and r.flags & S.RST:
+                yield self._record(key, s, "rst")
                 s = None
         self._save(s)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        out: list[tuple] = []
+        for flow in self._closed(int(key[0]), self._load(), self._ordered(rows)):
+            out.append(flow)
+            if len(out) == self.piece:
+                yield pd.DataFrame(out, columns=_COLUMNS)
+                out = []
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
@@ -160,11 +255,21 @@ class FlowProcessor(StatefulProcessor):
         pass
 
 
-def flow_stream(packets: DataFrame, timeouts: Timeouts, timers: bool = True, watermark: str = "1 minute") -> DataFrame:
-    """Closed flows of a packet stream with ``event_time``."""
+def _in_time(packets: np.ndarray) -> np.ndarray:
+    return packets[np.lexsort((packets[:, 1], packets[:, 0]))]
+
+
+def _cut(packets: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    return (packets[i : i + size] for i in range(0, len(packets), size))
+
+
+def flow_stream(
+    packets: DataFrame, timeouts: Timeouts, timers: bool = True, watermark: str = "1 minute", held: int = HELD_ROWS, piece: int = PIECE_ROWS
+) -> DataFrame:
+    """Closed flows of a packet stream with ``event_time``. Of one key a task holds about ``held`` rows of a batch."""
     rows = packets.withWatermark("event_time", watermark) if timers else packets
     return rows.groupBy("flow_key").transformWithStateInPandas(
-        statefulProcessor=FlowProcessor(timeouts, timers), outputStructType=FLOWS, outputMode="Append",
+        statefulProcessor=FlowProcessor(timeouts, timers, held, piece), outputStructType=FLOWS, outputMode="Append",
         timeMode="EventTime" if timers else "None",
     )
 

@@ -13,7 +13,7 @@ from flowtide.operators import evaluate as V
 from flowtide.operators import metrics as M
 from flowtide.operators import policies as H
 from flowtide.operators import scores as C
-from flowtide.operators.ordered import exact_quantiles, global_row_number
+from flowtide.operators.ordered import average_ranks, exact_quantiles, global_row_number
 
 N = 120
 
@@ -149,6 +149,43 @@ def test_spearman_needs_three_pairs_and_spread(spark):
     assert M.spearman(df, "x", "y").first()["spearman"] == pytest.approx(np.corrcoef(rx, ry)[0, 1])
 
 
+def test_ties_share_a_rank_across_partitions(spark):
+    rng = np.random.default_rng(3)
+    values = np.where(rng.random(3000) < 0.5, 4.0, rng.integers(0, 9, 3000)).astype(float)
+    rows = [(int(i), "a" if i % 3 else None, float(v)) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "i int, g string, v double").repartition(5, "i")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r["i"]: r["r"] for r in average_ranks(df, ["g"], "v", "r").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(got) == 3000
+    for own in ([i for i, g, _ in rows if g is None], [i for i, g, _ in rows if g == "a"]):
+        x = values[own]
+        want = [(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x]
+        assert [got[i] for i in own] == want
+    assert average_ranks(df.limit(0), ["g"], "v", "r").isEmpty()
+
+
+def test_the_table_hash_sees_the_last_bit_and_no_order(spark):
+    kinds = "a long, x double, v array<double>, t struct<p:string,q:float>"
+    rows = [(1, 0.1, [1e300, -2.5], ("a", 0.5)), (2, float("nan"), [], None), (None, None, None, (None, None)), (3, float("-inf"), [5e-324], ("-", -0.0)), (3, 2.0**1023, [None], ("", 1.0))]
+    one = lambda r: tuple(C.content_hash(spark.createDataFrame(r, kinds)).first())
+    base = one(rows)
+    assert base[0] == 5 and one(rows[::-1]) == base
+    assert tuple(C.content_hash(spark.createDataFrame(rows, kinds).repartition(3).select("t", "v", "x", "a")).first()) == base
+    changed = [
+        [(1, float(np.nextafter(0.1, 1)), *rows[0][2:]), *rows[1:]], [(1, -0.1, *rows[0][2:]), *rows[1:]], [(1, 0.1, [-2.5, 1e300], rows[0][3]), *rows[1:]],
+        [*rows[:3], (3, float("-inf"), [1e-323], rows[3][3]), rows[4]], [*rows, rows[0], rows[0]], [rows[0], (2, rows[1][1], [], (None, None)), *rows[2:]],
+    ]
+    assert len({base, *map(one, changed)}) == 1 + len(changed)
+    texts = spark.createDataFrame([(v,) for v in (1.0, -0.75, 2.0**-1074, 2.0**-1022, np.finfo(float).max.item(), 3.0)], "x double")
+    for r in texts.select("x", C.exact_text(F.col("x")).alias("t")).collect():
+        whole, power = r["t"].split("p")
+        assert r["x"] == int(whole) * 2.0 ** (int(power) - 52) if int(power) > -1000 else r["x"] == int(whole) * 2.0**-1074
+    assert one([]) == (0, 0, 0)
+
+
 def pav(x, y):
     xs = sorted(set(x))
     blocks = []

@@ -52,6 +52,15 @@ def test_prefixes_grow_and_do_not_look_ahead(flows):
     assert a.exceptAll(b).isEmpty()
 
 
+def test_one_pass_gives_what_each_prefix_gives(flows):
+    ks = [1, 2, 7, 30]
+    grid = X.prefix_grid(flows, ks)
+    for k in ks:
+        own, alone = grid.where(F.col("k") == k).drop("k"), X.prefix_flowstats(flows, k)
+        assert own.columns == alone.columns and own.schema.simpleString() == alone.schema.simpleString()
+        assert own.exceptAll(alone).isEmpty() and own.count() == alone.count()
+
+
 @pytest.mark.parametrize("k", [0, 31, True, 2.0])
 def test_bad_k_raises(flows, k):
     with pytest.raises(ValueError):

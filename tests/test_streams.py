@@ -86,6 +86,18 @@ def test_streamed_flows_are_the_batch_flows(spark, sf, batches, timers):
     assert out.select(*cols).exceptAll(want).isEmpty() and out.count() == want.count()
 
 
+def test_a_hot_key_in_the_stream_is_merged_from_sorted_runs(spark, sf):
+    base = B.ev_packets(spark, sf).withColumn("flow_key", F.lit(1).cast("long"))
+    packets = A.with_side(base).withColumn("event_time", F.timestamp_micros("ts_us")).withColumn("flow_key", F.lit(1).cast("long"))
+    path = scratch_path(spark, "p")
+    SF.with_flush(packets).repartition(3, "pkt_id").coalesce(1).write.parquet(path)
+    flows = [RUN.run_to_table(SF.flow_stream(RP.read_stream(spark, path, SF.PACKETS), B.EV_TIMEOUTS, False, held=h, piece=p), "f") for h, p in ((10**6, 1000), (30, 7))]
+    # 30 rows at a time are more runs than are merged at once
+    assert packets.count() > 30 * SF.FAN_IN and flows[0].count() > 1
+    assert flows[0].exceptAll(flows[1]).isEmpty() and flows[0].count() == flows[1].count()
+    assert flows[1].agg(F.sum(F.col("packets") + F.col("packets_rev"))).first()[0] == packets.count()
+
+
 def test_the_rule_matches_the_column_form(spark):
     from flowtide.operators import policies as H
 
