@@ -38,6 +38,8 @@ FREQUENT_WORDS, FREQUENT_GRAMS, LEAST_WORD, LEAST_GRAM = 1 << 15, 1 << 17, 4, 3
 FRAGMENTS = 8
 #: rounds in which members meet a centre before members of different components meet
 CENTRES = 1
+#: n-grams before an n-gram that tell whether two sets meet at it for the first time
+BEFORE = 8
 #: steps that the smallest label moves along the links between these rounds
 HOPS = 3
 
@@ -255,7 +257,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     An empty table gives no rows; other columns are ignored.
     """
     sets = Sets(docs, doc_id, text, words)
-    tokens = sets.nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = sets.nodes.select("node", "n", "prefix", F.posexplode("prefix").alias("pos", "token")).withColumn(
+        "before", F.slice("prefix", F.greatest(F.col("pos") - BEFORE, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(BEFORE)))
+    ).drop("prefix")
     shared = tokens.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
     met = cut(tokens.join(shared, "token").withColumn("root", F.col("node")))
     # the centre is the member with the fewest n-grams of its own before the shared one: most others are near it
@@ -266,8 +270,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
             other = centre.select("token", F.col("c.node").alias("_node"), F.col("c.n").alias("_n"), F.col("c.pos").alias("_pos"))
             pairs = met.join(other, "token").where("node <> _node")
         else:
-            other = met.select("token", F.col("node").alias("_node"), F.col("n").alias("_n"), F.col("pos").alias("_pos"), F.col("root").alias("_root"))
-            pairs = met.join(other, "token").where("root < _root")
+            # a pair whose lists share an n-gram just before this one has met there: what counts is where it first meets
+            other = met.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "root", "before")])
+            pairs = met.join(other, "token").where((F.col("root") < F.col("_root")) & ~F.arrays_overlap("before", "_before"))
         pairs = _meeting(pairs).distinct()
         pairs = cut(pairs if compared is None else pairs.join(compared, ["x", "y"], "left_anti"))
         compared = pairs.select("x", "y") if compared is None else compared.union(pairs.select("x", "y"))
