@@ -62,7 +62,19 @@ def xy(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("conf").alias("x"), (F.col("pred") == F.col("label")).cast("double").alias("y"))
 
 
-@query("isotonic_map")
+#: the fit at x is the largest, over starts a up to x, of the smallest mean of a piece from a to beyond x
+ISOTONIC_SQL = """vx AS (SELECT conf AS x, CAST(count(*) FILTER (pred = label) AS DOUBLE) AS s, CAST(count(*) AS DOUBLE) AS w FROM sc WHERE split = 'val' AND label >= 0 AND k <= ppi_len GROUP BY conf),
+cu AS MATERIALIZED (SELECT x, s, w, row_number() OVER (ORDER BY x) AS i, sum(s) OVER (ORDER BY x) AS cs, sum(w) OVER (ORDER BY x) AS cw FROM vx),
+mn AS (SELECT b.x, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.i ORDER BY b.i DESC ROWS UNBOUNDED PRECEDING) AS m FROM cu a JOIN cu b ON b.i >= a.i),
+iso AS MATERIALIZED (SELECT x, max(m) AS y FROM mn GROUP BY x)"""
+
+
+@query(
+    "isotonic_map",
+    Q.EM_SCORED + f""", {ISOTONIC_SQL}, t AS (SELECT flow_id, k, conf AS x FROM sc WHERE split = 'test' AND label >= 0 AND k <= ppi_len)
+SELECT flow_id, k, round(CASE WHEN lo.x IS NULL THEN hi.y WHEN hi.x IS NULL OR hi.x = lo.x THEN lo.y ELSE lo.y + (t.x - lo.x) / (hi.x - lo.x) * (hi.y - lo.y) END, 6) AS p_correct
+FROM t ASOF LEFT JOIN iso lo ON t.x >= lo.x ASOF LEFT JOIN iso hi ON t.x <= hi.x""",
+)
 def isotonic_map(spark: SparkSession, sf: str) -> DataFrame:
     """Fitted on all validation prefixes, applied to the test prefixes."""
     m = K.fit_isotonic(xy(safe_rows(spark, sf, "val")))

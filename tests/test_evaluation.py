@@ -209,6 +209,41 @@ def test_isotonic_map_is_pool_adjacent_violators(spark):
     assert all(r["p"] == pytest.approx(want[r["x"]]) for r in got)
 
 
+def test_isotonic_maps_of_groups_in_many_ranges(spark):
+    rng = np.random.default_rng(6)
+    rows = [(g, float(v), float(rng.random() < v)) for g, n in ((3, 40), (7, 900), (9, 1)) for v in rng.random(n).round(3)]
+    # a falling tail pools back over everything before it
+    rows += [(5, i / 100, i / 100) for i in range(100)] + [(5, 2.0, -1e4)]
+    gone = [(None, 0.1, 1.0), (7, None, 1.0), (7, 0.1, None), (7, float("nan"), 1.0)]
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        maps = K.fit_isotonics(spark.createDataFrame(rows + gone, "k int, x double, y double"), "k")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert sorted(maps) == [3, 5, 7, 9]
+    for g, m in maps.items():
+        want = pav([r[1] for r in rows if r[0] == g], [r[2] for r in rows if r[0] == g])
+        assert np.interp(sorted(want), m.xs, m.ys) == pytest.approx([want[v] for v in sorted(want)])
+    assert len(maps[5].xs) == 2 and maps[9].xs == [rows[940][1]]
+    cal = K.Calibration("a", [], [], {**maps, 1: K.Constant(0.25), 2: K.Line(2.0, -1.0)})
+    asked = [(k, c, "kept") for k in (1, 2, 3, 4, 7, 9) for c in (-1.0, 0.0, 0.123, 0.5, 0.777, 2.0, None)]
+    got = cal.with_probability(spark.createDataFrame(asked, "k int, conf double, kind string")).collect()
+    assert len(got) == len(asked) and {r["kind"] for r in got} == {"kept"}
+    for r in got:
+        k, c = r["k"], r["conf"]
+        if k == 1:
+            assert r["p_correct"] == 0.25
+        elif k == 4 or c is None:
+            assert r["p_correct"] is None
+        elif k == 2:
+            assert r["p_correct"] == pytest.approx(1 / (1 + np.exp(1 - 2 * c)))
+        else:
+            assert r["p_correct"] == pytest.approx(np.interp(c, maps[k].xs, maps[k].ys))
+    none = spark.createDataFrame([], "x double, y double")
+    assert K.fit_isotonic(none) == K.Constant(0.5)
+
+
 def test_platt_map_recovers_a_line(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(0, 1, 3000)
