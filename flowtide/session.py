@@ -62,6 +62,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "12
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 

@@ -65,9 +65,10 @@ class WindowLoop:
     """Counts decided flows into windows and judges each full one.
 
     ``closed`` windows are done, ``open`` holds the sums of the one being filled, ``state`` what the judge
-    carries from window to window. With ``folder`` these are stored after every batch beside
-    the rows of its windows, and ``resume`` goes on from the last batch stored: a restarted stream
-    neither forgets the open window nor judges a batch twice.
+    carries from window to window. With ``folder`` these, the length of a window and the judge's settings are stored
+    after every batch beside the rows of its windows, and at once when a setting changes.
+    ``resume`` goes on from what was stored last: a restarted stream neither forgets the open window or a setting nor
+    judges a batch twice. The rows of windows are then read from the folder; without one they are kept in ``rows``.
     """
 
     window: int
@@ -79,8 +80,10 @@ class WindowLoop:
     state: dict = field(default_factory=dict)
     rows: list[dict] = field(default_factory=list)
     last_batch: int = -1
+    changes: int = 0
 
     ROW = ""
+    STORED = "memory string, rows array<string>, change int, batch bigint"
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if batch_id <= self.last_batch:
@@ -94,39 +97,60 @@ class WindowLoop:
             if self.open["n"] >= self.window:
                 new += self.judge(self.closed, self.open)
                 self.closed, self.open = self.closed + 1, {}
-        self.rows += new
-        self.last_batch = batch_id
-        if self.folder is not None:
-            self._store(batch.sparkSession, batch_id, new)
+        self.last_batch, self.changes = batch_id, 0
+        if self.folder is None:
+            self.rows += new
+        else:
+            self._store(batch.sparkSession, new)
 
     def judge(self, window_id: int, sums: dict) -> list[dict]:
         """Rows for a full window."""
         raise NotImplementedError
 
     def _memory(self) -> dict:
-        return {"closed": self.closed, "open": self.open, "state": self.state}
+        return {"closed": self.closed, "open": self.open, "state": self.state, "window": self.window}
 
-    def _store(self, spark: SparkSession, batch_id: int, rows: list[dict]) -> None:
-        kept = [(json.dumps(self._memory()), [json.dumps(r) for r in rows])]
-        spark.createDataFrame(kept, "memory string, rows array<string>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
+    def _recall(self, memory: dict) -> None:
+        for name, value in memory.items():
+            setattr(self, name, value)
 
-    def resume(self, spark: SparkSession) -> WindowLoop:
-        """Take up what the last stored batch left; a folder without batches changes nothing."""
+    def _store(self, spark: SparkSession, rows: list[dict]) -> None:
+        kept = [(json.dumps(self._memory()), [json.dumps(r) for r in rows], self.changes)]
+        table = spark.createDataFrame(kept, "memory string, rows array<string>, change int").coalesce(1)
+        # a batch that was stored in part is written anew, a change is one more file beside its batch
+        table.write.mode("append" if self.changes else "overwrite").parquet(f"{self.folder}/batch={self.last_batch}")
+
+    def _changed(self) -> None:
+        """Store a setting that was changed between two batches."""
+        if self.folder is not None:
+            self.changes += 1
+            self._store(SparkSession.active(), [])
+
+    def _stored(self, spark: SparkSession) -> DataFrame | None:
         from pyspark.errors import AnalysisException
 
         try:
-            stored = spark.read.schema("memory string, rows array<string>, batch bigint").parquet(self.folder)
+            return spark.read.schema(self.STORED).parquet(self.folder)
         except AnalysisException:
-            return self
-        found = stored.orderBy("batch").collect()
-        if found:
-            for name, value in json.loads(found[-1]["memory"]).items():
-                setattr(self, name, value)
-            self.last_batch = found[-1]["batch"]
-            self.rows = [json.loads(r) for x in found for r in x["rows"]]
+            return None
+
+    def resume(self, spark: SparkSession) -> WindowLoop:
+        """Take up what was stored last; a folder without batches changes nothing."""
+        stored = self._stored(spark)
+        if stored is not None:
+            last = stored.orderBy(F.desc("batch"), F.desc_nulls_last("change")).select("memory", "batch", "change").first()
+            if last is not None:
+                self._recall(json.loads(last["memory"]))
+                self.last_batch, self.changes = last["batch"], last["change"] or 0
         return self
 
     def table(self, spark: SparkSession) -> DataFrame:
+        """The rows of all windows judged."""
+        if self.folder is not None:
+            stored = self._stored(spark)
+            if stored is not None:
+                judged = stored.select(F.explode("rows").alias("r"))
+                return judged.select(F.from_json("r", self.ROW, {"allowNonNumericNumbers": "true"}).alias("r")).select("r.*")
         names = [c.split()[0] for c in self.ROW.split(", ")]
         return spark.createDataFrame([tuple(r[c] for c in names) for r in self.rows], self.ROW)
 
@@ -151,6 +175,14 @@ class BudgetLoop(WindowLoop):
             raise ValueError("a window has at least 10 decisions")
         self.state = self.state or {**self.loop.begin(), "mode": MODES[0], "set": None}
 
+    def _memory(self) -> dict:
+        return {**super()._memory(), "loop": {"target": self.loop.target, "follow": self.loop.follow}}
+
+    def _recall(self, memory: dict) -> None:
+        settings = memory.pop("loop", {})
+        super()._recall(memory)
+        self.loop = replace(self.loop, **settings)
+
     @property
     def theta(self) -> float:
         mode = self.state["mode"]
@@ -166,6 +198,7 @@ class BudgetLoop(WindowLoop):
             # go on from the threshold in force
             self.state["theta"] = min(max(in_force, self.loop.commit.low), self.loop.commit.high)
         self.state["mode"], self.open = mode, {}
+        self._changed()
 
     def set_budget(self, target: float | None = None, follow: str | None = None, window: int | None = None) -> None:
         """Change target, what is followed, or the window; the open window starts anew."""
@@ -174,6 +207,7 @@ class BudgetLoop(WindowLoop):
         self.loop = replace(self.loop, target=self.loop.target if target is None else target, follow=follow or self.loop.follow)
         self.state = self.loop.aimed(self.state, self.loop.target)
         self.window, self.open = window or self.window, {}
+        self._changed()
 
     def judge(self, window_id: int, sums: dict) -> list[dict]:
         seen = {"n": sums["n"], "mean_k": sums["k"] / sums["n"], "p95_k": float(_percentile(sums, 0.95)), "reject_rate": sums["rejects"] / sums["n"]}
