@@ -14,8 +14,10 @@ from flowtide.operators import splits as SP
 from flowtide.plans import sql as Q
 from flowtide.plans.inputs import em_scores, ev_flows
 from flowtide.plans.policies import reject_theta, safe_sql
-from flowtide.plans.registry import query
+from flowtide.plans.registry import SQL, query
 from flowtide.plans.splits import SPEC
+from flowtide.session import cut, scratch_path
+from flowtide.sources.decision_store import DecisionStore
 
 DECISIONS_SQL = Q.flows_sql() + f""", dr AS (SELECT *, {Q.reason_sql()} AS end_reason FROM fl),
 tt AS (SELECT flow_id, sum(ipt) AS t FROM pp GROUP BY flow_id),
@@ -95,6 +97,40 @@ def decision_k_histograms(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(V.k_histogram(d, only_rejected=True).select(F.lit("rejection").alias("what"), "k", "n"))
 
 
+def stored(spark: SparkSession, sf: str) -> DecisionStore:
+    """The decisions, stored in two batches."""
+    store = DecisionStore(spark, scratch_path(spark, "decisions"))
+    d = cut(decisions(spark, sf))
+    early = F.col("decided_at") < 1706400000.0
+    store.write(d.where(early), 0)
+    store.write(d.where(~early), 1)
+    return store
+
+
+#: a window that begins inside a minute
+STORED_NOW, STORED_WINDOW = 1706572817.5, 1209600.0
+STORED_SINCE = STORED_NOW - STORED_WINDOW
+
+
+@query("stored_rolling_stats", SQL["rolling_stats"].replace("1706572800.0", repr(STORED_NOW)).replace("259200.0", repr(STORED_WINDOW)))
+def stored_rolling_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = stored(spark, sf).rolling_stats(STORED_WINDOW, STORED_NOW)
+    return out.select(*[c if c in ("n", "undecidable") else F.round(c, 9 if c == "flows_per_s" else 6).alias(c) for c in out.columns])
+
+
+@query("stored_series", SQL["decision_series"].replace("FROM dc GROUP BY 1", f"FROM dc WHERE decided_at >= {STORED_SINCE!r}::DOUBLE GROUP BY 1"))
+def stored_series(spark: SparkSession, sf: str) -> DataFrame:
+    out = stored(spark, sf).series(21600.0, STORED_SINCE)
+    return out.select("t", "n", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("t", "n")])
+
+
+@query("stored_k_histograms", SQL["decision_k_histograms"])
+def stored_k_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    s = stored(spark, sf)
+    a = s.k_histogram().select(F.lit("decision").alias("what"), "k", "n")
+    return a.unionByName(s.k_histogram(only_rejected=True).select(F.lit("rejection").alias("what"), "k", "n"))
+
+
 @query(
     "controller_history",
     """WITH w AS (SELECT event_id // 100 AS window_id, avg(value) AS observed FROM events GROUP BY 1) SELECT CAST(window_id AS BIGINT) AS window_id, round(observed, 4) AS observed FROM w ORDER BY window_id DESC LIMIT 20""",
