@@ -237,13 +237,15 @@ class Sets:
         return cut(summed.where(F.col("i") >= least_overlap(F.col("nx"), F.col("ny"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def _meeting(pairs: DataFrame) -> DataFrame:
-    """Pairs of bucket members (node, n, pos and their ``_`` twins) that can still reach the threshold when this is their first shared place."""
+def _meeting(pairs: DataFrame, first: Column | None = None) -> DataFrame:
+    """Pairs of bucket members (node, n, pos and their ``_`` twins) that can still reach the threshold when this is their first shared place.
+
+    ``first`` may tell whether it is; the comparison of numbers goes before it."""
     rest = F.least(F.col("n") - F.col("pos"), F.col("_n") - F.col("_pos"))
     fits = (F.least("n", "_n") * DEN >= F.greatest("n", "_n") * NUM) & (rest >= least_overlap(F.col("n"), F.col("_n")))
     low = F.col("node") < F.col("_node")
     pick = lambda a, b: F.when(low, F.col(a)).otherwise(F.col(b))
-    return pairs.where(fits).select(pick("node", "_node").alias("x"), pick("_node", "node").alias("y"), pick("n", "_n").alias("nx"), pick("_n", "n").alias("ny"))
+    return pairs.where(fits if first is None else fits & first).select(pick("node", "_node").alias("x"), pick("_node", "node").alias("y"), pick("n", "_n").alias("nx"), pick("_n", "n").alias("ny"))
 
 
 def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -263,7 +265,7 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     shared = tokens.groupBy("token").agg(F.count("*").alias("_c")).where("_c > 1").select("token")
     met = cut(tokens.join(shared, "token").withColumn("root", F.col("node")))
     # the centre is the member with the fewest n-grams of its own before the shared one: most others are near it
-    links = compared = None
+    links = compared = first = None
     for turn in range(CENTRES + 1):
         if turn < CENTRES:
             centre = met.groupBy("token").agg(F.min(F.struct("pos", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n")).alias("c"))
@@ -272,8 +274,9 @@ def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         else:
             # a pair whose lists share an n-gram just before this one has met there: what counts is where it first meets
             other = met.select("token", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "pos", "root", "before")])
-            pairs = met.join(other, "token").where((F.col("root") < F.col("_root")) & ~F.arrays_overlap("before", "_before"))
-        pairs = _meeting(pairs).distinct()
+            pairs = met.join(other, "token").where(F.col("root") < F.col("_root"))
+            first = ~F.arrays_overlap("before", "_before")
+        pairs = _meeting(pairs, first).distinct()
         pairs = cut(pairs if compared is None else pairs.join(compared, ["x", "y"], "left_anti"))
         compared = pairs.select("x", "y") if compared is None else compared.union(pairs.select("x", "y"))
         rows = pairs.count()
