@@ -322,6 +322,14 @@ def _walked_arrow() -> pa.Schema:
     return pa.schema([*whole, ("heads", pa.list_(pa.binary()))])
 
 
+def _spread(ranges: DataFrame) -> DataFrame:
+    """Ranges dealt over tasks by their bytes: a task takes about ``RANGE_BYTES`` one after the other, and few ranges are
+    dealt over four tasks a core."""
+    n, total = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("stop") - F.col("start")), F.lit(0))).first()
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    return ranges.repartition(max(1, min(n, max(4 * cores, -(-total // RANGE_BYTES)))))
+
+
 def ranges_of(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.pcap*", size: int | None = None) -> DataFrame:
     """The byte ranges of capture files, with their records joined up: one row per range of ``size`` bytes."""
     size = size or RANGE_BYTES
@@ -329,9 +337,7 @@ def ranges_of(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.pc
     numbers = F.explode(F.expr(f"sequence(0, cast((length - 1) div {size} as int))"))
     cutting = cut(files.select("path", "length", numbers.alias("no")))
     ranges = cutting.select("*", (F.col("no") * F.lit(size).cast("long")).alias("start")).withColumn("stop", F.least(F.col("start") + size, "length"))
-    # a task takes one range, or a few
-    spread = ranges.repartition(max(1, min(cutting.count(), 100_000)))
-    walked = cut(_walk(spread.withColumn("due", F.lit(None).cast("long"))))
+    walked = cut(_walk(_spread(ranges).withColumn("due", F.lit(None).cast("long"))))
     by_file = W.partitionBy("path").orderBy("no")
     while True:
         due = walked.withColumn("due", F.lag("next").over(by_file)).where("due is not null and due <> first")
@@ -360,7 +366,7 @@ def scan(spark: SparkSession, paths: str | Sequence[str], glob: str = "*.pcap*",
                 found = (frame for _, _, frame, _ in records(read, r["first"], r["stop"], head) if frame is not None)
                 yield from _decoded(r["path"], r["base"], found)
 
-    return ranges.where("n > 0").repartition(max(1, min(ranges.count(), 100_000))).mapInArrow(run, OUT)
+    return _spread(ranges.where("n > 0")).mapInArrow(run, OUT)
 
 
 def usable(decoded: DataFrame) -> DataFrame:

@@ -265,3 +265,10 @@ def test_files_are_hashed_as_streams(spark, tmp_path):
     (tmp_path / "y.bin").write_bytes(b"c")
     got = {r["name"]: (r["bytes"], r["sha256"]) for r in FT.file_hashes(spark, str(tmp_path)).collect()}
     assert got == {n: ((tmp_path / n).stat().st_size, hashlib.sha256((tmp_path / n).read_bytes()).hexdigest()) for n in ("x.bin", "y.bin")}
+
+
+def test_many_small_captures_share_tasks(spark, tmp_path):
+    for k in range(60):
+        (tmp_path / f"{k}.pcap").write_bytes(_classic([_tcp(i, b"x" * i) for i in range(9)]))
+    got = CP.scan(spark, str(tmp_path), size=300)
+    assert got.count() == 60 * 9 and got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
