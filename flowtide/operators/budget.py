@@ -1,17 +1,21 @@
 """Keeping the mean number of packets on a target while decisions stream by.
 
 A window of decided flows closes, its mean K is compared with the target, and the commit
-threshold of the next window follows. Only one small row per window and controller reaches the
-driver; the flows of a window are read where they lie, in a table laid out by window.
+threshold of the next window follows. Windows are followed in blocks, one job each, that leave the states of
+their loops to the next; the flows are decided in one pass once the settings of every window are known. Only the
+states after a block reach the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import json
+import math
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -218,7 +222,19 @@ def lay_out(stream: DataFrame, window: int, block: int = 64) -> tuple[DataFrame,
     return table, int(top["w"]) + 1, int(top["n"])
 
 
-KNOBS = "window_id bigint, name string, theta double, cap int, th array<double>"
+#: flows of a block of windows; a task reads a block, and the next one goes on with the states it leaves
+FOLD_FLOWS = 250_000
+
+#: what a loop said in a window, and its state after the last window of a block
+_FOLDED = (
+    "name string, window_id bigint, target double, theta double, k_cap int, f double, reason string, error double,"
+    " integral double, th array<double>, state string"
+)
+_FOLDED_ARROW = pa.schema(
+    [("name", pa.string()), ("window_id", pa.int64()), ("target", pa.float64()), ("theta", pa.float64()), ("k_cap", pa.int32()),
+     ("f", pa.float64()), ("reason", pa.string()), ("error", pa.float64()), ("integral", pa.float64()), ("th", pa.list_(pa.float64())),
+     ("state", pa.string())]
+)
 
 WINDOW_ROW = (
     "name string, window_id bigint, start bigint, n bigint, target double, theta double, k_cap int, f double,"
@@ -227,6 +243,92 @@ WINDOW_ROW = (
 )
 
 
+class Answers:
+    """What the flows of one window answer to any setting: the rule of ``policies.safe_stop`` on matrices [n, 30]."""
+
+    def __init__(self, p: np.ndarray, u: np.ndarray, ppi_len: np.ndarray, order: str, k_min: int = 2, k_ood: int = 3) -> None:
+        k = np.arange(1, S.K_MAX + 1)
+        self.p = np.where(np.isnan(p), 0.0, p)
+        self.u = np.where(np.isnan(u), np.inf, u)
+        self.len, self.order = ppi_len, order
+        self.may_commit, self.may_reject, self.k = k >= k_min, k >= k_ood, k
+
+    def window(self, theta: float, th: Sequence[float | None], cap: int) -> dict[str, float]:
+        """n, mean_k, p95_k and reject_rate, as ``policies.summarize`` gives them."""
+        n = len(self.len)
+        last = np.minimum(self.len, cap)
+        within = self.k[None] <= last[:, None]
+        # a threshold that is missing rejects nothing
+        over = self.u >= np.array([np.nan if t is None else t for t in th])[None]
+
+        def first(mask: np.ndarray) -> np.ndarray:
+            return np.where(mask.any(axis=1), mask.argmax(axis=1) + 1, S.K_MAX + 1)
+
+        kr = first(over & self.may_reject[None] & within)
+        kc = first((self.p >= theta) & self.may_commit[None] & within)
+        early = np.minimum(kr, kc)
+        stopped = early <= S.K_MAX
+        at = np.where(stopped, early, last)
+        wins = kr <= kc if self.order == "reject_first" else kr < kc
+        rejected = np.where(stopped, wins, over[np.arange(n), np.maximum(last, 1) - 1])
+        line = np.sort(at)
+        place = (n - 1) * 0.95
+        lo, hi = math.floor(place), math.ceil(place)
+        p95 = float(line[lo]) if line[lo] == line[hi] else (hi - place) * float(line[lo]) + (place - lo) * float(line[hi])
+        return {"n": n, "mean_k": float(at.sum()) / n, "p95_k": p95, "reject_rate": float(rejected.sum()) / n}
+
+
+def _fold(
+    flows: DataFrame, loops: Mapping[str, Loop], states: Mapping[str, dict], reject_at: Callable[[float], Sequence], order: str, done: int
+) -> DataFrame:
+    """Loops over the windows of one block, from the states given: a row (``_FOLDED``) per window and loop. ``done`` is
+    the last window before. The task holds one window at a time."""
+    has_u = "u" in flows.columns
+    rows = flows.select("window_id", "ppi_len", "p_safe", *(["u"] if has_u else []))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = {name: dict(x) for name, x in states.items()}, done
+        here: int | None = None
+        parts: list[tuple] = []
+
+        def close() -> list[dict]:
+            nonlocal before, parts
+            p, u, length = (np.concatenate(c) for c in zip(*parts, strict=True))
+            answers, out, parts = Answers(p, u, length, order), [], []
+            for name, loop in loops.items():
+                for w in sorted(w for w in loop.targets if before < w <= here):
+                    held[name] = loop.aimed(held[name], loop.targets[w])
+                was, th = held[name], reject_at(held[name]["f"])
+                held[name], reason, error = loop.step(was, answers.window(was["theta"], th, was["k_cap"]))
+                out.append(
+                    {"name": name, "window_id": here, **{c: was[c] for c in ("target", "theta", "k_cap", "f")}, "reason": reason,
+                     "error": float(error), "integral": held[name]["theta_sum"], "th": list(th)}
+                )
+            before = here
+            return out
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, length = b.column("window_id").to_numpy(), b.column("ppi_len").to_numpy()
+            p = C._matrix(b.column("p_safe"))
+            u = C._matrix(b.column("u")) if has_u else np.zeros(p.shape)
+            edges = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            made: list[dict] = []
+            for lo, hi in zip(edges, edges[1:]):
+                if here is not None and ids[lo] != here:
+                    made += close()
+                here = int(ids[lo])
+                parts.append((p[lo:hi], u[lo:hi], length[lo:hi]))
+            if made:
+                yield pa.RecordBatch.from_pylist(made, _FOLDED_ARROW)
+        if parts:
+            made = close()
+            yield pa.RecordBatch.from_pylist([{**r, "state": json.dumps(held[r["name"]])} for r in made], _FOLDED_ARROW)
+
+    return rows.repartition(1).sortWithinPartitions("window_id").mapInArrow(run, _FOLDED)
+
+
 def replay(
     stream: DataFrame,
     loops: Mapping[str, Loop],
@@ -234,60 +336,65 @@ def replay(
     bank=None,
     window: int = 2000,
     order: str = "reject_first",
-    block: int = 64,
+    block: int | None = None,
 ) -> DataFrame:
     """Run feedback loops over an ordered stream; one row per window and loop.
 
-    Every flow of a window uses what its loop's state says when the window opens. All loops share the
-    pass: a window is one aggregate over its own flows. ``bank`` is the quantile bank the per-K reject
-    thresholds of an ``f`` come from; without it nothing is rejected.
+    Every flow of a window uses what its loop's state says when the window opens. The loops are followed block by block
+    (``block`` windows, by default about ``FOLD_FLOWS`` flows), one job a block that leaves its states to the next. With
+    the settings of every window known, all flows are decided and summed up in one distributed pass. ``bank`` is the
+    quantile bank the per-K reject thresholds of an ``f`` come from; without it nothing is rejected.
     """
     from flowtide.operators.evaluate import theta_at
 
     spark = stream.sparkSession
+    H._check_order(order)
+    block = block or max(1, FOLD_FLOWS // window)
     keep = ["flow_id", "label", "ppi_len", "pos", "p_safe", "pred"] + (["u"] if bank is not None else [])
     states = {name: loop.begin() for name, loop in loops.items()}
     rejects: dict[float, Sequence] = {}
 
     def reject_at(f: float) -> Sequence:
         f = round(f, 6)
+        if bank is None:
+            return H.NEVER
         if f not in rejects:
-            rejects[f] = H.NEVER if bank is None else theta_at(bank, f)
+            if len(rejects) > 1000:
+                rejects.clear()
+            rejects[f] = theta_at(bank, f)
         return rejects[f]
 
+    table, n_windows, _ = lay_out(stream.select(*keep), window, block)
+    path, done, blocks = scratch_path(spark, "replay"), -1, []
+    for b in range(-(-n_windows // block)):
+        blocks.append(f"{path}/{b}")
+        _fold(table.where(F.col("block") == b), loops, states, reject_at, order, done).write.parquet(blocks[-1])
+        for r in spark.read.schema(_FOLDED).parquet(blocks[-1]).where("state is not null").collect():
+            states[r["name"]], done = json.loads(r["state"]), r["window_id"]
+    folded = spark.read.schema(_FOLDED).parquet(*blocks).drop("state")
+
     # when only commit thresholds move, a flow's answer to every threshold is worked out once
-    firsts = {round(x["f"], 6) for x in states.values()}
+    firsts = {round(loop.reject.start, 6) for loop in loops.values()}
     fixed = len(firsts) == 1 and all(x.follow == "mean_k" and x.reject_limit is None and x.caps[1] == S.K_MAX for x in loops.values())
-    rows = stream.select(*keep)
-    if fixed:
-        rows = H.record_segments(
-            rows, "p_safe", k_min=2, theta_reject=reject_at(min(firsts)), order=order, keep=("flow_id", "label", "pos")
-        )
-    table, n_windows, _ = lay_out(rows, window, block)
-    out: list[tuple] = []
     rejected = F.col("decision").isin(S.REJECT, S.FORCED_REJECT).cast("double")
     more = [F.avg(rejected).alias("reject_rate"), F.min("pos").alias("start")]
     covers = (F.col("above").isNull() | (F.col("above") < F.col("theta"))) & (
         F.col("upto").isNull() | (F.col("theta") <= F.col("upto"))
     )
-    for w in range(n_windows):
-        for name, loop in loops.items():
-            if w in loop.targets:
-                states[name] = loop.aimed(states[name], loop.targets[w])
-        # what is in force travels as rows, not as literals, so every window runs the same compiled plan
-        forces = [(w, name, x["theta"], x["k_cap"], reject_at(x["f"])) for name, x in states.items()]
-        wide = table.where(F.col("block") == w // block).join(F.broadcast(spark.createDataFrame(forces, KNOBS)), "window_id")
-        decided = wide.where(covers) if fixed else H.safe_stop(
-            wide, F.col("theta"), F.col("th"), order=order, k_cap=F.col("cap"), keep=["flow_id", "label", "name", "pos"]
+    forces = folded.select("window_id", "name", "theta", F.col("k_cap").alias("cap"), *([] if fixed else ["th"]))
+    if fixed:
+        segments = H.record_segments(
+            table, "p_safe", k_min=2, theta_reject=reject_at(min(firsts)), order=order, keep=("flow_id", "label", "pos", "window_id")
+        )
+        decided = segments.join(forces, "window_id").where(covers)
+    else:
+        decided = H.safe_stop(
+            table.join(forces, "window_id"), F.col("theta"), F.col("th"), order=order, k_cap=F.col("cap"),
+            keep=["flow_id", "label", "name", "pos", "window_id"],
         )
-        for r in H.summarize(decided, ["name"], more).collect():
-            name, was = r["name"], states[r["name"]]
-            states[name], reason, error = loops[name].step(was, r.asDict())
-            out.append(
-                (name, w, r["start"], r["n"], was["target"], was["theta"], was["k_cap"], was["f"], r["mean_k"], r["p95_k"], r["forced_rate"],
-                 r["known_accuracy"], r["known_reject_rate"], r["unknown_reject_rate"], r["reject_rate"], reason, float(error), states[name]["theta_sum"])
-            )
-    return spark.createDataFrame(out, WINDOW_ROW)
+    sums = H.summarize(decided, ["name", "window_id"], more)
+    said = folded.select("name", "window_id", "target", "theta", "k_cap", "f", "reason", "error", "integral")
+    return said.join(sums, ["name", "window_id"]).select(*[c.split()[0] for c in WINDOW_ROW.split(", ")])
 
 
 def tracking_summary(

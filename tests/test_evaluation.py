@@ -432,3 +432,21 @@ def test_weeks_may_be_strings(spark):
     levels = spark.createDataFrame([(0, "none"), (1, "warning"), (2, "alarm")], "window_id bigint, level string")
     r = D.lead_weeks(decay, windows, levels, "a", "b").first()
     assert (r["first_below"], r["warning_week"], r["lead_warning"], r["lead_alarm"]) == ("w4", "w3", 1, 0)
+
+
+def test_replay_decides_all_windows_in_one_pass_and_blocks_hand_on_their_states(scores, monkeypatch):
+    stream = U.stream_order([("a", scores)])
+    bank = V.quantile_bank(scores.where("label >= 0"))
+    dial = U.Dial(0.7, 0.5, 0.999, 0.5, 0.05)
+    loops = {
+        "x": U.Loop(6.0, dial, least_flows=10, reject_limit=0.1, targets={3: 4.0}),
+        "y": U.Loop(6.0, dial, least_flows=10, follow="p95_k"),
+    }
+    calls, summarize = [], H.summarize
+    monkeypatch.setattr(H, "summarize", lambda *a: calls.append(1) or summarize(*a))
+    whole = U.replay(stream, loops, bank=bank, window=20)
+    assert len(calls) == 1
+    blocks = U.replay(stream, loops, bank=bank, window=20, block=2)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(whole) == rows(blocks) and whole.count() > 8
+    assert {r["target"] for r in whole.where("name = 'x' and window_id >= 3").collect()} == {4.0}
