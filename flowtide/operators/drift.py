@@ -163,12 +163,17 @@ def h_grid(start: float = 5.0, step: float = 0.5, top: float = 30.0) -> list[flo
     return [start + step * i for i in range(int((top - start) / step + 1e-9) + 1)]
 
 
+def quiet_h(long: DataFrame, grid: Sequence[float], k: float = 0.5, warmup: int = 5) -> DataFrame:
+    """(h): the smallest h of the grid without an alarm on any series, NULL when even the last one alarms."""
+    wide = long.select("*", F.explode(F.array(*[F.lit(float(h)) for h in grid])).alias("h"))
+    folded = cusum(wide, F.col("h"), k, warmup, ["signal", "h"])
+    return folded.groupBy("h").agg(F.max(F.col("alarm").cast("int")).alias("a")).where("a = 0").agg(F.min("h").alias("h"))
+
+
 def tune_h(long: DataFrame, k: float = 0.5, warmup: int = 5, grid: Sequence[float] | None = None) -> float:
     """Smallest h without an alarm on any validation series; raises when even the last one alarms."""
     hs = list(grid or h_grid())
-    wide = long.select("*", F.explode(F.array(*[F.lit(float(h)) for h in hs])).alias("h"))
-    folded = cusum(wide, F.col("h"), k, warmup, ["signal", "h"])
-    best = folded.groupBy("h").agg(F.max(F.col("alarm").cast("int")).alias("a")).where("a = 0").agg(F.min("h")).first()[0]
+    best = quiet_h(long, hs, k, warmup).first()["h"]
     if best is None:
         raise ValueError(f"validation still alarms at h = {hs[-1]}")
     return float(best)

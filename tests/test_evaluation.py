@@ -450,3 +450,9 @@ def test_replay_decides_all_windows_in_one_pass_and_blocks_hand_on_their_states(
     rows = lambda df: sorted(tuple(r) for r in df.collect())
     assert rows(whole) == rows(blocks) and whole.count() > 8
     assert {r["target"] for r in whole.where("name = 'x' and window_id >= 3").collect()} == {4.0}
+
+
+def test_a_grid_of_limits_that_all_alarm_gives_null(spark):
+    df = spark.createDataFrame([("s", i, 1.5) for i in range(12)], "signal string, window_id bigint, z double")
+    assert [r["h"] for r in D.quiet_h(df, [1.0, 2.0]).collect()] == [None]
+    assert [r["h"] for r in D.quiet_h(df, D.h_grid()).collect()] == [7.0]
