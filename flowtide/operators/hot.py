@@ -11,7 +11,8 @@ log2(flows per segment) rounds, instead of a walk in one task.
 
 In arrival order a clock may step back, so time ranges say nothing. There a hot key is cut into ranges of
 arrival. Every chunk is read as a stream from the state its predecessor leaves, which is first taken to be
-none; chunks whose predecessor leaves another state are read again until nothing changes. A flow that begins
+none; chunks whose predecessor leaves another state are read again until nothing changes, in runs of twice as many
+chunks each time that hand their states on, so a key of n chunks takes log2(n) rounds at most. A flow that begins
 inside a chunk makes what the chunk leaves independent of what it got, so few are read twice.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import Window as W
 
 from flowtide import schema as S
 from flowtide.bindings import Timeouts
+from flowtide.operators.ordered import global_row_number
 from flowtide.session import cut
 
 #: time slots a hot key's histogram has per ``hot_rows`` packets
@@ -87,6 +89,11 @@ def chunk_of(time: Column) -> Column:
     return F.get("slot_chunk", slot.cast("int"))
 
 
+def _in_chunks(rows: DataFrame, keys: DataFrame, time: Column) -> DataFrame:
+    """Rows of hot keys with the ``chunk`` of a time. The slots of a key do not travel with its rows."""
+    return rows.join(F.broadcast(keys), "flow_key").withColumn("chunk", chunk_of(time)).drop(*[c for c in keys.columns if c != "flow_key"])
+
+
 def _fill(
     rows: DataFrame, value: Column, name: str, order: Sequence[Column], key: Sequence[str], forward: bool
 ) -> DataFrame:
@@ -153,7 +160,7 @@ def assemble_hot(
     key = ["flow_key"]
     at = [F.col(c) for c in ("ts_us", "pkt_id")]
     me = F.struct(*at)
-    rows = packets.join(F.broadcast(keys), "flow_key").withColumn("chunk", chunk_of(F.col("ts_us")))
+    rows = _in_chunks(packets, keys, F.col("ts_us"))
     rows = _fill(rows, F.struct("ts_us", has_flag(S.RST).alias("rst")), "prev", at, key, True)
     rows = _fill(rows, F.col("ts_us"), "next_ts", at, key, False)
     hard = (
@@ -164,7 +171,7 @@ def assemble_hot(
     rows = cut(_running_sum(rows.withColumn("hard", hard), F.col("hard").cast("bigint"), "seg_no", at, key))
     starts = rows.where("hard").select("flow_key", "seg_no", me.alias("start"))
     if t.active_us is not None or t.linger_us is not None:
-        starts = _reached(starts, _next_start(rows, t, at, key))
+        starts = _reached(starts, _next_start(rows, keys, t, at, key))
     marks = starts.select("flow_key", F.col("start.ts_us").alias("ts_us"), F.col("start.pkt_id").alias("pkt_id"))
     rows = rows.join(marks.withColumn("is_start", F.lit(1)), ["flow_key", "ts_us", "pkt_id"], "left")
     flow_key = [*key, "flow_no"]
@@ -191,13 +198,13 @@ def assemble_hot(
     )
 
 
-def _next_start(rows: DataFrame, t: Timeouts, at: Sequence[Column], key: Sequence[str]) -> DataFrame:
+def _next_start(rows: DataFrame, keys: DataFrame, t: Timeouts, at: Sequence[Column], key: Sequence[str]) -> DataFrame:
     """``nxt`` per packet: the packet that would start the next flow of the same segment."""
     from flowtide.operators.assemble import has_flag
 
     me = F.struct(*at)
     cols = ["flow_key", "seg_no", "ts_us", "pkt_id"]
-    base = rows.select(*cols, "chunk", "side", "t0", "t1", "slot_us", "slot_chunk", has_flag(S.FIN).alias("fin"))
+    base = rows.select(*cols, "chunk", "side", has_flag(S.FIN).alias("fin"))
     options = []
     if t.linger_us is not None:
         # a packet a linger after the latest FIN before it can end a both-FIN flow
@@ -223,7 +230,7 @@ def _next_start(rows: DataFrame, t: Timeouts, at: Sequence[Column], key: Sequenc
         # probes at start + active, sorted before packets of the same time
         packets = base.withColumn("kind", F.lit(1)).withColumn("time", F.col("ts_us"))
         probes = packets.withColumn("kind", F.lit(0)).withColumn("time", F.col("ts_us") + t.active_us)
-        both = packets.unionByName(probes).withColumn("chunk", chunk_of(F.col("time")))
+        both = packets.unionByName(_in_chunks(probes.drop("chunk"), keys, F.col("time")))
         line = [F.col("time"), F.col("kind"), F.col("pkt_id")]
         found = _fill(
             both, F.when(F.col("kind") == 1, F.struct("seg_no", "ts_us", "pkt_id")), "hit", line, key, False
@@ -295,44 +302,83 @@ class ChunkFold:
         return (self.fresh, f.start, f.last, f.fin, f.close_at, f.n_pay, f.pay_ts, *self.name)
 
 
-def _chunk_folds(rows: DataFrame, t: Timeouts, order: Sequence[str], ends: bool) -> DataFrame:
-    """``rows`` (with ``chunk`` and the state before it, ``got``) read chunk by chunk: the state each leaves, or its packets
-    with flow names and ranks. A chunk lies in one partition."""
-    names = [c for c in rows.columns if c != "got"]
-    if ends:
-        fields = [f for f in rows.schema.fields if f.name in ("flow_key", "chunk", "got")]
-        schema = T.StructType([*fields, T.StructField("left", T._parse_datatype_string(f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>"))])
-    else:
-        schema = T.StructType([*[f for f in rows.schema.fields if f.name != "got"], *[T.StructField(n, k) for n, k, _ in _MADE]])
+def _state_type() -> str:
+    return f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold, here, got = None, None, None
 
-        def left(kinds: pa.Schema) -> pa.RecordBatch:
-            row = {"flow_key": here[0], "chunk": here[1], "got": got, "left": dict(zip(STATE_NAMES, fold.state(), strict=True))}
-            return pa.RecordBatch.from_pylist([row], pa.schema([*(kinds.field(c) for c in ("flow_key", "chunk", "got")), pa.field("left", kinds.field("got").type)]))
+def _left_states(rows: DataFrame, t: Timeouts, order: Sequence[str]) -> DataFrame:
+    """(flow_key, chunk, got, left): the state every chunk leaves, read run by run.
 
+    ``rows`` has ``chunk``, ``run`` and the state before the first chunk of a run, ``due``; inside a run the states are
+    handed on. A chunk that gets what it got before (``got``) leaves what it left (``left``) and is passed over. A run
+    lies in one partition and is read as a stream.
+    """
+    state = T._parse_datatype_string(_state_type())
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name in ("flow_key", "chunk")], T.StructField("got", state), T.StructField("left", state)])
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        left: dict | None = None
+        here: tuple | None = None
+        fold: ChunkFold | None = None
+        got: dict | None = None
         kinds = None
+
+        def close() -> dict:
+            nonlocal left
+            if fold is not None:
+                left = dict(zip(STATE_NAMES, fold.state(), strict=True))
+            return dict(zip(names, (here[0], here[2], got, left), strict=True))
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kinds = pa.schema([b.schema.field("flow_key"), b.schema.field("chunk"), pa.field("got", b.schema.field("due").type), pa.field("left", b.schema.field("due").type)])
+            out = []
+            cols = [b.column(c).to_pylist() for c in ("flow_key", "run", "chunk", "ts_us", "side", "flags", "proto", "payload_len")]
+            for i, (key, no, chunk, *packet) in enumerate(zip(*cols, strict=True)):
+                if (key, no, chunk) != here:
+                    if here is not None:
+                        out.append(close())
+                    here = (key, no, chunk)
+                    got = left if (key, no) == at else b.column("due")[i].as_py()
+                    at = (key, no)
+                    same = b.column("left")[i].is_valid and b.column("got")[i].as_py() == got
+                    fold, left = (None, b.column("left")[i].as_py()) if same else (ChunkFold(t, chunk, got), None)
+                if fold is not None:
+                    fold.add(*packet)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, kinds)
+        if here is not None:
+            yield pa.RecordBatch.from_pylist([close()], kinds)
+
+    dealt = rows.repartition("flow_key", "run").sortWithinPartitions("flow_key", "run", "chunk", *order)
+    return dealt.mapInArrow(run, schema)
+
+
+def _chunk_folds(rows: DataFrame, t: Timeouts, order: Sequence[str]) -> DataFrame:
+    """``rows`` (with ``chunk`` and the state before it, ``got``) read chunk by chunk: packets with flow names and ranks."""
+    names = [c for c in rows.columns if c != "got"]
+    schema = T.StructType([*[f for f in rows.schema.fields if f.name != "got"], *[T.StructField(n, k) for n, k, _ in _MADE]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold, here = None, None
         for b in batches:
             if not b.num_rows:
                 continue
-            kinds = b.schema
             out = []
             cols = [b.column(c).to_pylist() for c in ("flow_key", "chunk", "ts_us", "side", "flags", "proto", "payload_len")]
             for i, (key, chunk, *packet) in enumerate(zip(*cols, strict=True)):
                 if (key, chunk) != here:
-                    if ends and fold is not None:
-                        yield left(kinds)
-                    here, got = (key, chunk), b.column("got")[i].as_py()
-                    fold = ChunkFold(t, chunk, got)
+                    here = (key, chunk)
+                    fold = ChunkFold(t, chunk, b.column("got")[i].as_py())
                 out.append(fold.add(*packet))
-            if not ends:
-                extra = [pa.array(c, k) for c, (_, _, k) in zip(zip(*out, strict=True), _MADE, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *extra], names=[*names, *[n for n, _, _ in _MADE]])
-        if ends and fold is not None:
-            yield left(kinds)
+            extra = [pa.array(c, k) for c, (_, _, k) in zip(zip(*out, strict=True), _MADE, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *extra], names=[*names, *[n for n, _, _ in _MADE]])
 
-    return rows.sortWithinPartitions("flow_key", "chunk", *order).mapInArrow(run, schema)
+    # a chunk lies in one partition
+    return rows.repartition("flow_key", "chunk").sortWithinPartitions("flow_key", "chunk", *order).mapInArrow(run, schema)
 
 
 def hot_in_arrival(packets: DataFrame, hot_rows: int) -> DataFrame | None:
@@ -348,24 +394,31 @@ def assemble_arrival(packets: DataFrame, keys: DataFrame, t: Timeouts, order: Se
     from flowtide.operators.assemble import flow_rows
 
     hot = packets.join(F.broadcast(keys.select("flow_key")), "flow_key")
-    total = keys.agg(F.sum("n")).first()[0]
-    chunks = max(2, -(-4 * total // hot_rows))
-    rows = cut(hot.repartitionByRange(min(chunks, 1 << 16), "flow_key", *order).withColumn("chunk", F.spark_partition_id()))
-    none = F.lit(None).cast(f"struct<{STATE.replace(' ', ':').replace(',:', ',')}>")
+    placed = global_row_number(hot, order, "_at", ["flow_key"])
+    rows = cut(placed.withColumn("chunk", F.floor((F.col("_at") - 1) / max(hot_rows // 4, 1)).cast("int")).drop("_at", "_at_total"))
+    none = F.lit(None).cast(_state_type())
     by_key = W.partitionBy("flow_key").orderBy("chunk")
 
-    states = cut(_chunk_folds(rows.withColumn("got", none), t, order, True))
+    alone = rows.withColumns({"run": F.col("chunk"), "due": none, "got": none, "left": none})
+    states = cut(_left_states(alone, t, order))
+    span = 1
     while True:
         linked = states.withColumn("due", F.lag("left").over(by_key))
-        again = cut(linked.where(~F.col("due").eqNullSafe(F.col("got"))).select("flow_key", "chunk", F.col("due").alias("got")))
-        if again.isEmpty():
+        stale = cut(linked.where(~F.col("due").eqNullSafe(F.col("got"))).select("flow_key", "chunk", "due"))
+        if stale.isEmpty():
             break
-        made = _chunk_folds(rows.join(again, ["flow_key", "chunk"]), t, order, True)
+        # runs of twice as many chunks each time: only a run's first chunk can be given another state afterwards
+        span *= 2
+        run = F.floor(F.col("chunk") / span).cast("bigint")
+        first = stale.groupBy("flow_key", run.alias("run")).agg(F.min("chunk").alias("_from"), F.min_by("due", "chunk").alias("due"))
+        again = states.withColumn("run", run).join(first, ["flow_key", "run"]).where(F.col("chunk") >= F.col("_from")).drop("_from")
+        again = cut(again)
+        made = _left_states(rows.join(again, ["flow_key", "chunk"]), t, order)
         states = cut(states.join(again.select("flow_key", "chunk"), ["flow_key", "chunk"], "left_anti").unionByName(made))
     firsts = rows.groupBy("flow_key", "chunk").agg(F.min_by("ts_us", F.struct(*order)).alias("_first"))
     following = firsts.select("flow_key", "chunk", F.lead("_first").over(by_key).alias("_after"))
     known = states.select("flow_key", "chunk", "got").join(following, ["flow_key", "chunk"])
-    named = _chunk_folds(rows.join(known, ["flow_key", "chunk"]), t, order, False)
+    named = _chunk_folds(rows.join(known, ["flow_key", "chunk"]), t, order)
     in_chunk = W.partitionBy("flow_key", "chunk").orderBy(*order)
     named = named.withColumn("next_ts", F.coalesce(F.lead("ts_us").over(in_chunk), "_after")).drop("_after")
     return flow_rows(named, ["flow_key", "o_chunk", "o_no"], t, order)
