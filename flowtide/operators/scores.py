@@ -89,15 +89,24 @@ def _arrays(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
 
 
+#: flows whose per-K copies are held at a time
+SLICE = 512
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SLICE`` rows: what a task holds does not depend on how many rows it is handed at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, SLICE):
+            yield b.slice(i, SLICE)
+
+
 def score_logits(flows: DataFrame, scorer: Scorer, x: str = "x") -> DataFrame:
     """Run a scorer over every flow; adds ``z``: 30 x C logits, flat, K major."""
     keep = [c for c in flows.columns if c != x]
     out = T.StructType([flows.schema[c] for c in keep] + [T.StructField("z", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in _sliced(batches):
             z = scorer.logits(_matrix(b.column(x)).astype(np.float64))
             cols = [b.column(c) for c in keep] + [_arrays(z.reshape(b.num_rows, -1))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "z"])
@@ -333,10 +342,6 @@ def em_projection(x: np.ndarray, dim: int = 2 * S.K_MAX) -> np.ndarray:
     return x[:, None, :dim] * filled[None]
 
 
-#: flows whose per-K copies are held at a time
-SLICE = 512
-
-
 def gaussian_sums(train: DataFrame, project: Callable[[np.ndarray], np.ndarray], full: bool = True) -> DataFrame:
     """Moments per (k, label) as rows (k, label, i, j, v): the count at (0, 0), the sum of x_i at (i, 0), the sum
     of x_i x_j at i <= j, numbered from 1; without ``full`` only i = j. Flows count at the K they reached.
@@ -466,9 +471,7 @@ def add_mahal(flows: DataFrame, distances: Distances) -> DataFrame:
     out = T.StructType([*flows.schema.fields, T.StructField("mahal", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in _sliced(batches):
             x = _matrix(b.column("x")).astype(np.float64)
             last = np.clip(b.column("ppi_len").to_numpy(), 1, S.K_MAX)
             at = np.minimum(np.arange(S.K_MAX)[None], last[:, None] - 1)
@@ -558,9 +561,7 @@ def score_flows(flows: DataFrame, model: ScoreModel, x: str = "x") -> DataFrame:
     out = T.StructType([flows.schema[c] for c in keep] + [T.StructField(c, kind(c)) for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows == 0:
-                continue
+        for b in _sliced(batches):
             cols = model.columns(_matrix(b.column(x)).astype(np.float64), b.column("ppi_len").to_numpy())
             made = [
                 _arrays(cols[c].astype(np.int32) if c in INT_COLUMNS else cols[c] + 0.0) for c in names

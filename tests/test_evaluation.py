@@ -456,3 +456,19 @@ def test_a_grid_of_limits_that_all_alarm_gives_null(spark):
     df = spark.createDataFrame([("s", i, 1.5) for i in range(12)], "signal string, window_id bigint, z double")
     assert [r["h"] for r in D.quiet_h(df, [1.0, 2.0]).collect()] == [None]
     assert [r["h"] for r in D.quiet_h(df, D.h_grid()).collect()] == [7.0]
+
+
+def test_a_score_pass_holds_few_rows_at_a_time(spark):
+    class Narrow:
+        """A scorer that refuses more rows at a time than a task may hold copies of."""
+
+        version, n_classes, most = "narrow", 2, 512
+
+        def logits(self, x):
+            assert len(x) <= self.most
+            return np.zeros((len(x), 30, 2))
+
+    n = 3 * Narrow.most + 1
+    rows = spark.range(0, n, numPartitions=1).selectExpr("id AS flow_id", "3 AS ppi_len", "array_repeat(0.5D, 60) AS x")
+    assert C.score_flows(rows, C.ScoreModel(Narrow())).where("size(pred) = 30").count() == n
+    assert C.score_logits(rows, Narrow()).where("size(z) = 60").count() == n
