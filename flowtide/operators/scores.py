@@ -89,8 +89,8 @@ def _arrays(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(values.reshape(-1)))
 
 
-#: flows whose per-K copies are held at a time
-SLICE = 512
+#: flows whose per-K copies are held at a time, and flows whose copies per K and class are
+SLICE, NEAR = 512, 16
 
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,11 +398,11 @@ class Distances(NamedTuple):
         """[n, 30] from [n, 30, d]: the distance to the nearest class less that to all flows, 0 without a class."""
         out = np.zeros(seen.shape[:2])
         far = np.where(np.append(self.enough, np.ones((len(self.enough), 1), bool), axis=1), 0.0, np.inf)
-        for i in range(0, len(seen), SLICE):
-            gap = seen[i : i + SLICE, :, None] - self.centre[None]
+        for i in range(0, len(seen), NEAR):
+            gap = seen[i : i + NEAR, :, None] - self.centre[None]
             inside, overall = (self._size(g, side) for g, side in ((gap[:, :, :-1], 0), (gap[:, :, -1:], 1)))
             near = (inside + far[None, :, :-1]).min(axis=2, initial=np.inf)
-            out[i : i + SLICE] = np.where(np.isfinite(near), near - overall[:, :, 0], 0.0)
+            out[i : i + NEAR] = np.where(np.isfinite(near), near - overall[:, :, 0], 0.0)
         return out
 
     def _size(self, gap: np.ndarray, side: int) -> np.ndarray:
