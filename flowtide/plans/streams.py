@@ -29,8 +29,8 @@ def packet_stream(spark: SparkSession, sf: str, batches: int = BATCHES) -> DataF
         "*", F.when(F.col("src") == "A", F.lit(0)).otherwise(F.lit(1)).alias("side"), F.timestamp_micros("ts_us").alias("event_time")
     )
     path = scratch_path(spark, "packets")
-    RP.write_in_order(SF.with_flush(packets), path, F.col("ts_us"), batches, "flow_key")
-    return RP.read_stream(spark, path, SF.PACKETS)
+    files = RP.write_in_order(SF.with_flush(packets), path, F.col("ts_us"), batches, "flow_key")
+    return RP.read_stream(spark, path, SF.PACKETS, files)
 
 
 SHAPE = "flow_key, flow_id, start_us, end_us, packets, packets_rev, bytes, bytes_rev, flags_seen, ppi_len"
@@ -58,8 +58,8 @@ def scored_flows(spark: SparkSession, sf: str) -> tuple[DataFrame, C.ScoreModel,
 def event_files(spark: SparkSession, flows: DataFrame, batches: int = BATCHES) -> DataFrame:
     events = RP.schedule(RP.capture_starts(flows, 1000.0), speed=1.0)
     path = scratch_path(spark, "events")
-    RP.write_in_order(events, path, F.unix_micros("event_time"), batches, "flow_id")
-    return RP.read_stream(spark, path, RP.EVENTS)
+    files = RP.write_in_order(events, path, F.unix_micros("event_time"), batches, "flow_id")
+    return RP.read_stream(spark, path, RP.EVENTS, files)
 
 
 RULES = E.Rules(theta_commit=0.35, idle_s=86_400.0, unknown="energy_raw", trace=True)
@@ -98,8 +98,8 @@ def stream_decision_trace(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_prefix_tokens", LONG + f", {TOKENS_SQL} SELECT * FROM tk")
 def stream_prefix_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    flows = ev_long_flows(spark, sf)
-    stream = event_files(spark, flows.select("flow_id", "label", "ppi", "start_us"))
+    flows = cut(ev_long_flows(spark, sf).select("flow_id", "label", "ppi", "start_us"))
+    stream = event_files(spark, flows)
     return RUN.run_to_table(E.feature_stream(stream), "tokens")
 
 

@@ -72,26 +72,44 @@ def schedule(
     )
 
 
-def write_in_order(events: DataFrame, path: str, by: Column, batches: int, key: str | None = None) -> None:
-    """Write events in ``batches`` slices whose files' age follows ``by``.
+#: rows of a slice that go to one file
+FILE_ROWS = 100_000
 
-    With a ``key`` its rows share a file inside a slice, so a stream that takes files by age sees
-    every key's rows in order, however many tasks write a slice. Without one a slice is one file and
-    ``batches`` has to keep it small.
+
+def write_in_order(events: DataFrame, path: str, by: Column, batches: int, key: str | None = None) -> int:
+    """Write events in ``batches`` slices whose files' age follows ``by``; the number of files of a slice.
+
+    With a ``key`` its rows share a file inside a slice, and every slice has the same number of files, so a stream
+    that takes that many at a time takes a slice per micro-batch: every key's rows come in order, no row comes
+    after the watermark of its own slice, and the number of micro-batches does not depend on the rows. Without
+    one a slice is one file and ``batches`` has to keep it small.
     """
     v = by.cast("double")
     probs = [i / batches for i in range(1, batches)]
-    edges = events.select(v.alias("v")).approxQuantile("v", probs, 0.001) if probs else []
-    lows: Sequence[float | None] = [None, *edges]
-    highs: Sequence[float | None] = [*edges, None]
+    edges = F.percentile_approx(v, probs, 1000) if probs else F.lit(None)
+    n, found = events.agg(F.count("*"), edges).first()
+    files = max(1, -(-n // (batches * FILE_ROWS))) if key else 1
+    lows: Sequence[float | None] = [None, *(found or [])]
+    highs: Sequence[float | None] = [*(found or []), None]
     for lo, hi in zip(lows, highs, strict=True):
         part = events
         if lo is not None:
             part = part.where(v > lo)
         if hi is not None:
             part = part.where(v <= hi)
-        part = part.repartition(key) if key else part.repartition(1)
-        part.write.mode("append").parquet(path)
+        before = _files(events.sparkSession, path)
+        (part.repartition(files, key) if key else part.repartition(1)).write.mode("append").parquet(path)
+        # a task without rows writes no file
+        for _ in range(_files(events.sparkSession, path) - before, files if key else 0):
+            events.limit(0).repartition(1).write.mode("append").parquet(path)
+    return files
+
+
+def _files(spark: SparkSession, path: str) -> int:
+    """Data files in a folder; 0 without the folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sum(f.getPath().getName().startswith("part-") for f in fs.listStatus(where)) if fs.exists(where) else 0
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
