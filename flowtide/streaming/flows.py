@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any, NamedTuple
 
 import numpy as np
@@ -45,9 +46,12 @@ STATE = (
 HELD_ROWS, PIECE_ROWS = 50_000, 2_000
 #: sorted runs that are merged at a time
 FAN_IN = 16
+#: keys are dealt into so many groups, handed over a group at a time: a call for every key costs more than its packets
+GROUPS = 1024
 
 
 class Packet(NamedTuple):
+    flow_key: int
     ts_us: int
     pkt_id: int
     side: int
@@ -57,11 +61,11 @@ class Packet(NamedTuple):
 
 
 class FlowProcessor(StatefulProcessor):
-    """The open flow of one key. It closes at the packet that finds it expired, at an RST, at the
-    flush row, or, with ``timers``, when the watermark passes its expiry.
+    """The open flows of a group of keys, one each. A flow closes at the packet that finds it expired, at an RST, at
+    the flush row, or, with ``timers``, when the watermark passes its expiry; then a group is one key.
 
-    A key's rows of one batch are put in time order. Up to ``held`` rows that is a sort in memory; the
-    rows of a hot key go to the state store as sorted runs, which are merged piece by piece, so a task
+    A group's rows of one batch are put in order of key and time. Up to ``held`` rows that is a sort in memory; more
+    rows, as of a hot key, go to the state store as sorted runs, which are merged piece by piece, so a task
     holds about ``held`` rows however many a batch has.
     """
 
@@ -70,7 +74,7 @@ class FlowProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("open", STATE)
+        self.state = handle.getMapState("open", "flow_key bigint", STATE)
         self.runs = handle.getMapState("runs", "run int, piece int", "rows binary")
 
     def _chunks(self, rows: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
@@ -78,6 +82,8 @@ class FlowProcessor(StatefulProcessor):
         kept: list[np.ndarray] = []
         size = 0
         for frame in rows:
+            if frame["flow_key"].isna().any():
+                raise TypeError("a packet without a flow key")
             values = np.stack([frame[c].to_numpy(np.int64) for c in Packet._fields], axis=1)
             while size + len(values) > self.held:
                 room = self.held - size
@@ -114,7 +120,7 @@ class FlowProcessor(StatefulProcessor):
             yield np.array(held, np.int64)
 
     def _ordered(self, rows: Iterator[pd.DataFrame]) -> Iterator[Packet]:
-        """The packets by time and number; equal ones stay in arrival order."""
+        """The packets by key, time and number; equal ones stay in arrival order."""
         chunks = self._chunks(rows)
         first = next(chunks, None)
         if first is None:
@@ -123,7 +129,7 @@ class FlowProcessor(StatefulProcessor):
         if second is None:
             yield from map(Packet._make, first.tolist())
             return
-        place = lambda p: p[:2]
+        place = lambda p: p[:3]
         runs: list[tuple[int, int]] = []
         for chunk in (first, second):
             runs.append((len(runs), self._store(len(runs), _cut(chunk, self.piece))))
@@ -195,26 +201,29 @@ class FlowProcessor(StatefulProcessor):
                 s["close_at"] = ts + self.t.linger_us
         return s
 
-    def _load(self) -> dict[str, Any] | None:
-        if not self.state.exists():
+    def _load(self, key: int) -> dict[str, Any] | None:
+        got = self.state.getValue((key,))
+        if got is None:
             return None
         names = [c.split()[0] for c in STATE.split(", ")]
-        s = dict(zip(names, self.state.get(), strict=True))
+        s = dict(zip(names, got, strict=True))
         return {k: list(v) if hasattr(v, "__len__") and not isinstance(v, str) else v for k, v in s.items()}
 
-    def _save(self, s: dict[str, Any] | None) -> None:
+    def _save(self, key: int, s: dict[str, Any] | None, known: bool = True) -> None:
         if self.timers:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
         if s is None:
-            self.state.clear()
+            if known:
+                self.state.removeKey((key,))
             return
-        self.state.update(tuple(s.values()))
+        self.state.updateValue((key,), tuple(s.values()))
         if self.timers:
             self.handle.registerTimer(self._expiry(s) // 1000 + 1)
 
     def _closed(self, key: int, s: dict[str, Any] | None, packets: Iterator[Packet]) -> Iterator[tuple]:
-        """The flows that close among the packets; what is open at the end is saved."""
+        """The flows of a key that close among its packets; what is open at the end is saved."""
+        known = s is not None
         for r in packets:
             if s is not None:
                 reason = self._reason(s, r.ts_us)
@@ -229,26 +238,28 @@ class FlowProcessor(StatefulProcessor):
             if r.proto == S.TCP and r.flags & S.RST:
                 yield self._record(key, s, "rst")
                 s = None
-        self._save(s)
+        self._save(key, s, known)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         out: list[tuple] = []
-        for flow in self._closed(int(key[0]), self._load(), self._ordered(rows)):
-            out.append(flow)
-            if len(out) == self.piece:
-                yield pd.DataFrame(out, columns=_COLUMNS)
-                out = []
+        for own, packets in groupby(self._ordered(rows), key=lambda p: p.flow_key):
+            for flow in self._closed(own, self._load(own), packets):
+                out.append(flow)
+                if len(out) == self.piece:
+                    yield pd.DataFrame(out, columns=_COLUMNS)
+                    out = []
         if out:
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        s = self._load()
+        own = int(key[0])
+        s = self._load(own)
         if s is None:
             return
         reason = self._reason(s, expiredTimerInfo.getExpiryTimeInMs() * 1000)
         if reason is not None:
-            out = [self._record(int(key[0]), s, reason)]
-            self._save(None)
+            out = [self._record(own, s, reason)]
+            self._save(own, None)
             yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
@@ -256,7 +267,7 @@ class FlowProcessor(StatefulProcessor):
 
 
 def _in_time(packets: np.ndarray) -> np.ndarray:
-    return packets[np.lexsort((packets[:, 1], packets[:, 0]))]
+    return packets[np.lexsort((packets[:, 2], packets[:, 1], packets[:, 0]))]
 
 
 def _cut(packets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -266,9 +277,11 @@ def _cut(packets: np.ndarray, size: int) -> Iterator[np.ndarray]:
 def flow_stream(
     packets: DataFrame, timeouts: Timeouts, timers: bool = True, watermark: str = "1 minute", held: int = HELD_ROWS, piece: int = PIECE_ROWS
 ) -> DataFrame:
-    """Closed flows of a packet stream with ``event_time``. Of one key a task holds about ``held`` rows of a batch."""
+    """Closed flows of a packet stream with ``event_time``. Of one group of keys a task holds about ``held`` rows of a
+    batch. With ``timers`` every key is a group of its own, as each has its own expiry."""
     rows = packets.withWatermark("event_time", watermark) if timers else packets
-    return rows.groupBy("flow_key").transformWithStateInPandas(
+    group = F.col("flow_key") if timers else F.pmod(F.xxhash64("flow_key"), F.lit(GROUPS))
+    return rows.withColumn("flow_group", group).groupBy("flow_group").transformWithStateInPandas(
         statefulProcessor=FlowProcessor(timeouts, timers, held, piece), outputStructType=FLOWS, outputMode="Append",
         timeMode="EventTime" if timers else "None",
     )
